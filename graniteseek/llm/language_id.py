@@ -47,8 +47,8 @@ class PpmOptions:
     bytes_per_language: int = 400 << 10
     states: int = 12_000
     table_bytes: int = 48 << 20
-    #: Bits a byte beyond which even the best language explains nothing: more than incompressible bytes cost.
-    reject_bits: float = 8.0
+    #: Bits a byte beyond which even the best language explains nothing: plain bytes cost 8.
+    reject_bits: float = 12.0
 
 
 @dataclass

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ from .shared import as_bytes, cut, fresh
 BLOCK_ROWS = 256
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3.0
+_HELD = 10
 
 
 def targets_of(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, total: float | None = None) -> dict[str | None, float]:
@@ -96,24 +98,29 @@ def _step(out: list[float], units: list[int], sizes: list[float], draw: _Draws)
         out[k] = _snapped(out[k] + by * v)
 
 
-def landing(chances: list[float], draw: _Draws) -> list[float]:
-    """Decides the few that the flight left: pairs keep the document total, a last one is drawn alone."""
-    out, last = list(chances), None
-    for k in range(len(out)):
-        if not 0.0 < out[k] < 1.0:
-            continue
-        if last is None:
-            last = k
-            continue
-        up, down = min(1 - out[last], out[k]), min(out[last], 1 - out[k])
-        by = up if draw() * (up + down) < down else -down
-        out[last], out[k] = _snapped(out[last] + by), _snapped(out[k] - by)
-        last = k if 0.0 < out[k] < 1.0 else last if 0.0 < out[last] < 1.0 else None
-    if last is not None:
-        out[last] = 1.0 if draw() < out[last] else 0.0
+def landing(sizes: list[float], chances: list[float]) -> list[float]:
+    """Decides what the flight left: of all outcomes of the undecided documents (at most `_HELD` + 2), those whose
+    document total is their expectation rounded up or down, and of these the nearest to the expected tokens."""
+    out, open_units = list(chances), [k for k, c in enumerate(chances) if 0.0 < c < 1.0]
+    if not open_units:
+        return out
+    size, chance = np.array([sizes[k] for k in open_units]), np.array([chances[k] for k in open_units])
+    outcomes = (np.arange(1 << len(open_units))[:, None] >> np.arange(len(open_units))) & 1
+    off = np.abs(outcomes @ size - chance @ size)
+    off[np.abs(outcomes.sum(1) - chance.sum()) >= 1] = np.inf
+    for k, x in zip(open_units, outcomes[int(off.argmin())].tolist()):
+        out[k] = float(x)
     return out
 
 
+def fly_and_land(sizes: list[float], chances: list[float], draw: _Draws) -> list[float]:
+    """A flight that sits out a few documents of different sizes, and the landing with them."""
+    undecided = [k for k, c in enumerate(chances) if 0.0 < c < 1.0]
+    held = set(undecided[len(undecided) // 4 :: max(1, len(undecided) // _HELD)][:_HELD])
+    flown = flight(sizes, [0.0 if k in held else c for k, c in enumerate(chances)], draw)
+    return landing(sizes, [chances[k] if k in held else c for k, c in enumerate(flown)])
+
+
 def _snapped(x: float) -> float:
     return 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
 
@@ -125,8 +132,8 @@ def _flyer(names: list[str], seed: int, depth: int, last: bool):
         # long documents first, so that short ones are left; the rest only fixes the order
         group = group.sort_values(["size", "tag", "doc_id"], ascending=[False, True, True], kind="stable")
         draw = _Draws(seed, depth, *map(str, key), len(group))
-        chances = flight(group["size"].astype(float).tolist(), group["chance"].tolist(), draw)
-        return group.assign(chance=landing(chances, draw) if last else chances)[names]
+        chances = (fly_and_land if last else flight)(group["size"].astype(float).tolist(), group["chance"].tolist(), draw)
+        return group.assign(chance=chances)[names]
 
     return fly
 
