@@ -1,10 +1,10 @@
 """Mixing sources to target weights by the cube method.
 
 Each document gets an expected number of copies, its source's target over its source's size; the whole part
-is taken for sure and the fraction is an inclusion probability.  The flight phase moves the probabilities of
-three documents at a time along the null space of the two balancing constraints (documents and tokens), up
-or down at random so that each keeps its expectation, until one of the three is 0 or 1.  At most two
-undecided documents stay behind.  They land by dropping the token constraint, then the document constraint.
+is taken for sure and the fraction is an inclusion probability.  The flight phase moves the probabilities along
+the null space of the two balancing constraints (documents and tokens), up or down at random so that each keeps
+its expectation, until all but two at most are 0 or 1.  Moves decide the largest documents first, so those two are
+small; their landing is the outcome nearest to the expected tokens.
 
 Scale: the text is read once, to count tokens; afterwards rows hold an id, a source and a size.  A flight
 runs in blocks of a source of about `block_rows` documents, so a source with a third of all rows is as many
@@ -36,7 +36,6 @@ from .shared import as_bytes, cut, fresh
 BLOCK_ROWS = 256
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3.0
-_HELD = 10
 
 
 def targets_of(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, total: float | None = None) -> dict[str | None, float]:
@@ -74,32 +73,41 @@ class _Draws:
 
 
 def flight(sizes: list[float], chances: list[float], draw: _Draws) -> list[float]:
-    """Probabilities after the flight: all but two at most are 0 or 1.  Both totals stay as they were."""
-    out, window = list(chances), []
-    for k in range(len(out)):
-        if 0.0 < out[k] < 1.0:
-            window.append(k)
-        if len(window) == 3:
-            _step(out, window, sizes, draw)
-            window = [j for j in window if 0.0 < out[j] < 1.0]
-    return out
-
+    """Probabilities after the flight: all but two at most are 0 or 1.  Both totals stay as they were.
 
-def _step(out: list[float], units: list[int], sizes: list[float], draw: _Draws) -> None:
-    a, b, c = units
-    # the vector that is orthogonal to (1, 1, 1) and to the sizes
-    u = [sizes[b] - sizes[c], sizes[c] - sizes[a], sizes[a] - sizes[b]]
-    if not any(u):
-        u = [1.0, -1.0, 0.0]
-    up = min((1 - out[k]) / v if v > 0 else out[k] / -v for k, v in zip(units, u) if v)
-    down = min(out[k] / v if v > 0 else (1 - out[k]) / -v for k, v in zip(units, u) if v)
-    by = up if draw() * (up + down) < down else -down
-    for k, v in zip(units, u):
-        out[k] = _snapped(out[k] + by * v)
+    Every move decides the largest undecided document, or another that gets to 0 or 1 before it: the direction is
+    that document's unit vector projected on the null space of the two totals over all that is undecided.  So
+    what stays behind is small.
+    """
+    out = np.array(chances, float)
+    size = np.array(sizes, float)
+    open_units = np.flatnonzero((out > 0) & (out < 1))
+    open_units = open_units[np.argsort(-size[open_units], kind="stable")]
+    while len(open_units) > 1:
+        s, p = size[open_units], out[open_units]
+        scaled = s / s[0] if s[0] else s
+        n, s1, s2 = len(s), scaled.sum(), (scaled * scaled).sum()
+        det = n * s2 - s1 * s1
+        if det > 1e-9 * n * s2:
+            u = -((s2 - s1 * scaled[0]) + (n * scaled[0] - s1) * scaled) / det
+        else:
+            u = np.full(n, -1.0 / n)
+        u[0] += 1
+        if n == 2 and s[0] != s[1] or np.abs(u).max() < 1e-9:
+            break
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 1e-12, (1 - p) / u, np.where(u < -1e-12, -p / u, np.inf)).min()
+            down = np.where(u > 1e-12, p / u, np.where(u < -1e-12, (p - 1) / u, np.inf)).min()
+        moved = p + (up if draw() * (up + down) < down else -down) * u
+        moved[moved < 1e-9] = 0.0
+        moved[moved > 1 - 1e-9] = 1.0
+        out[open_units] = moved
+        open_units = open_units[(moved > 0) & (moved < 1)]
+    return out.tolist()
 
 
 def landing(sizes: list[float], chances: list[float]) -> list[float]:
-    """Decides what the flight left: of all outcomes of the undecided documents (at most `_HELD` + 2), those whose
+    """Decides what the flight left: of all outcomes of the undecided documents (two at most), those whose
     document total is their expectation rounded up or down, and of these the nearest to the expected tokens."""
     out, open_units = list(chances), [k for k, c in enumerate(chances) if 0.0 < c < 1.0]
     if not open_units:
@@ -113,26 +121,16 @@ def landing(sizes: list[float], chances: list[float]) -> list[float]:
     return out
 
 
-def fly_and_land(sizes: list[float], chances: list[float], draw: _Draws) -> list[float]:
-    """A flight that sits out a few documents of different sizes, and the landing with them."""
-    undecided = [k for k, c in enumerate(chances) if 0.0 < c < 1.0]
-    held = set(undecided[len(undecided) // 4 :: max(1, len(undecided) // _HELD)][:_HELD])
-    flown = flight(sizes, [0.0 if k in held else c for k, c in enumerate(chances)], draw)
-    return landing(sizes, [chances[k] if k in held else c for k, c in enumerate(flown)])
-
-
-def _snapped(x: float) -> float:
-    return 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
-
-
 def _flyer(names: list[str], seed: int, depth: int, last: bool):
     """The flight of one block, and its landing in the last round."""
 
     def fly(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        # long documents first, so that short ones are left; the rest only fixes the order
+        # the order of equal rows is of no matter; all else is fixed
         group = group.sort_values(["size", "tag", "doc_id"], ascending=[False, True, True], kind="stable")
         draw = _Draws(seed, depth, *map(str, key), len(group))
-        chances = (fly_and_land if last else flight)(group["size"].astype(float).tolist(), group["chance"].tolist(), draw)
+        sizes = group["size"].astype(float).tolist()
+        chances = flight(sizes, group["chance"].tolist(), draw)
+        chances = landing(sizes, chances) if last else chances
         return group.assign(chance=chances)[names]
 
     return fly
