@@ -1,2 +1,469 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""The registered queries and, where SQL can say the same, their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import clipped_label, collapsed, engine_list, heading_of, retrieval_tokens, truncated, xml_attribute, xml_text
+from ..functions.urls import canonical_url, is_document, normal_host, path_suffix, resolved, url_domain
+from ..functions.vectors import hash_bucket
+from ..operators.budget import first_per_source, within_budget
+from ..operators.chunking import pack_chunks, window_chunks
+from ..operators.dedupe import jaccard_columns, select_with_quota
+from ..operators.pages import admissible_links, metadata, page_struct
+from ..operators.ranking import bm25_scores, bm25_top, cosine_top, hybrid_rank
+from ..operators.urls import blocked_list, drop_blocked, safety_code
+from ..sources.payloads import dispatch, parse_results, unresponsive_engines, with_fallback
+from ..sources.staging import staged
+from ..sources.tables import load, query_log
+from .options import Options
+from .render import envelope, grounded_results, public_scores, search_text
+from .research import evidence, research, run_stats, token_savings
+from .scrape import page_order, prefiltered_links, read_items, related_links, scrape
+from .search import discover, page_title, pages_as_results, ranked_results, with_dense
+
+QUERY = "the on and thing re tion"
+BLOCKED = ("spam-farm.example.com", "https://www.CHEAP-pills.example.com/x", "org")
+POOL = 30
+
+# Fixed inputs: urls whose form the test pages don't have.
+ODD_URLS = (
+    "HTTP://WWW.Example.COM", "https://example.com:8443/a/b.PDF?x=1#f", "ftp://example.com/", "https://user@example.com/", "javascript:alert(1)",
+    "https://127.0.0.1/x", "http://[::1]/", "http://8.8.8.8/ok", "http://192.168.1.9/", "https://host_name.example.org./p", "//example.com/x", "", "http:///nohost", "https://localhost/a")
+# Fixed inputs: captured responses of the three backends, one query each or shared.
+RESPONSES = (
+    ("searxng", 1, '{"results":[{"title":"A","url":"https://a.example.com/","content":"aa","publishedDate":"2024-01-02"},{"title":"","url":"https://b.example.com/"},{"title":"C","url":"https://c.example.com/","published":" 2023 "}],"unresponsive_engines":[["bing","timeout"],"qwant"]}'),
+    ("searxng", 2, '{"results":[],"unresponsive_engines":["google"]}'),
+    ("ddgs", 2, '[{"title":"D","href":"https://d.example.com/","body":"dd"},{"title":"E","body":"no link"}]'),
+    ("ddgs", 3, '[{"title":"F","href":"https://f.example.com/","body":"ff","date":"2022-02-02"}]'),
+    ("brave", 3, '{"web":{"results":[{"title":"G","url":"https://g.example.com/","description":"gg"}]}}'),
+    ("brave", 4, '{"web":{"results":[{"title":"H","url":"https://h.example.com/","description":"hh"},{"title":"I","url":""}]}}'))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages")
+
+
+def _literal_rows(spark: SparkSession, values, *names: str) -> DataFrame:
+    """A few constant rows, as a local relation."""
+    structs = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names))) for row in values))
+    return spark.range(1).select(F.explode(structs).alias("r")).select("r.*")
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = _literal_rows(spark, [(-k, u) for k, u in enumerate(ODD_URLS, 1)], "page_id", "url")
+    return _pages(spark, sf_dir).select("page_id", "url").unionByName(odd.withColumn("page_id", F.col("page_id").cast("long")))
+
+
+# --- urls and sources -------------------------------------------------------------------------------------------
+
+
+def host_normalize(spark, sf_dir):
+    return _urls(spark, sf_dir).select("page_id", normal_host(F.col("url")).alias("host"), url_domain(F.col("url")).alias("domain"))
+
+
+def url_canonicalize(spark, sf_dir):
+    url = F.col("url")
+    return _urls(spark, sf_dir).select("page_id", canonical_url(url).alias("canonical"), path_suffix(url).alias("suffix"), is_document(url).alias("is_document"))
+
+
+def url_safety_codes(spark, sf_dir):
+    return _urls(spark, sf_dir).select("page_id", safety_code(F.col("url")).alias("code"))
+
+
+def blocked_domain_filter(spark, sf_dir):
+    return drop_blocked(_pages(spark, sf_dir).select("page_id", "url"), blocked_list(spark, BLOCKED)).select("page_id", "url")
+
+
+def search_discovery(spark, sf_dir):
+    return discover(pages_as_results(_pages(spark, sf_dir)), 50, BLOCKED).select("rank", "result_id", "title", "url")
+
+
+def _responses(spark, backend):
+    return _literal_rows(spark, [(q, b) for name, q, b in RESPONSES if name == backend], "query_id", "body")
+
+
+def search_payloads(spark, sf_dir):
+    out = None
+    for backend in ("searxng", "ddgs", "brave"):
+        rows = parse_results(_responses(spark, backend), backend)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def fallback_union(spark, sf_dir):
+    asked = _literal_rows(spark, [(q,) for q in (1, 2, 3, 4, 5)], "query_id")
+    results = {b: parse_results(_responses(spark, b), b) for b in ("searxng", "ddgs", "brave")}
+    return with_fallback(results, dispatch("searxng", True, True), asked).select("query_id", "result_id", "url", "backend")
+
+
+def engine_reports(spark, sf_dir):
+    return unresponsive_engines(_responses(spark, "searxng")).withColumn("listed", engine_list(F.concat_ws(" , ", F.col("engine"), F.lit(" "), F.lit("ddg "))))
+
+
+# --- text -------------------------------------------------------------------------------------------------------
+
+
+def retrieval_token_counts(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", retrieval_tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
+def chunk_windows(spark, sf_dir):
+    rows = window_chunks(_documents(spark, sf_dir).select("doc_id", "text"), "text", 300, 80)
+    return rows.select("doc_id", "chunk_id", "start", "tokens", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
+def chunk_pack(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", page_struct(F.col("html"))["markdown"].alias("markdown"))
+    return pack_chunks(rows, "markdown").select("page_id", "chunk_id", "heading", "tokens", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
+def token_truncate(spark, sf_dir):
+    text = F.col("text")
+    return _documents(spark, sf_dir).select("doc_id", F.length(truncated(text, 500)).alias("n_500"), F.md5(truncated(text, 500).cast("binary")).alias("digest"), F.length(truncated(text, 0)).alias("n_all"))
+
+
+def text_labels(spark, sf_dir):
+    text = F.col("text")
+    head = F.concat(F.lit("## "), text)
+    return _documents(spark, sf_dir).select("doc_id", clipped_label(collapsed(text)).alias("label"), F.length(heading_of(head)).alias("heading_chars"), heading_of(text).alias("no_heading"))
+
+
+def xml_escape(spark, sf_dir):
+    html = F.col("html")
+    return _pages(spark, sf_dir).select("page_id", F.md5(xml_text(html).cast("binary")).alias("body_digest"), xml_attribute(F.col("url")).alias("url_attribute"))
+
+
+# --- pages ------------------------------------------------------------------------------------------------------
+
+
+def html_title(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", page_title(F.col("html")).alias("title"))
+
+
+def html_meta(spark, sf_dir):
+    html = F.concat(F.lit('<meta name="author" content="A. Writer"><meta content="2024-05-06" property="article:published_time">'), F.col("html"))
+    rows = _pages(spark, sf_dir).select("page_id", page_struct(html).alias("p"))
+    return rows.select("page_id", *metadata(F.col("p.meta")))
+
+
+def _links(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", "url", page_struct(F.col("html")).alias("p"))
+    return rows.select("page_id", "url", F.explode("p.links").alias("l")).select("page_id", "url", "l.*")
+
+
+def link_extract(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "pos", "href", collapsed(F.col("text")).alias("text"))
+
+
+def link_resolve(spark, sf_dir):
+    forms = ("/a/../b", "c/./d?x=1", "//other.example.org/z", "?q=2", "#top", "https://x.example.com/")
+    rows = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(F.lit(list(forms))).alias("form", "href"))
+    return rows.select("page_id", "form", resolved(F.col("url"), F.col("href")).alias("target"))
+
+
+def link_dedupe(spark, sf_dir):
+    return admissible_links(_links(spark, sf_dir)).select("page_id", "pos", "url", "text")
+
+
+def page_order_extract(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    rows = read_items(pages.select(F.col("page_id").alias("item_id"), "url", F.lit(None).cast("string").alias("query")), pages)
+    return page_order(rows, 2000).select("item_id", "chunk_id", "tokens", "truncated", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _items(spark, sf_dir):
+    """Every page, asked for its own title."""
+    return _pages(spark, sf_dir).select(F.col("page_id").alias("item_id"), "url", page_title(F.col("html")).alias("query"))
+
+
+def link_prefilter(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    links = staged(admissible_links(staged(_links(spark, sf_dir), "page-links")), "admissible").withColumnRenamed("page_id", "item_id")
+    asked = items.select("item_id", retrieval_tokens(F.col("query")).alias("tokens"))
+    return prefiltered_links(links, asked, 3).select("item_id", "pos", "url", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+def link_rank(spark, sf_dir):
+    return related_links(read_items(_items(spark, sf_dir), _pages(spark, sf_dir)), Options(scrape_max_links=3))
+
+
+# --- ranking ----------------------------------------------------------------------------------------------------
+
+
+def _corpus(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", "source", "text", F.col("doc_id").alias("pos"), retrieval_tokens(F.col("text")).alias("tokens"))
+
+
+def _one_query(spark):
+    return spark.range(1).select(F.lit(0).alias("q"), retrieval_tokens(F.lit(QUERY)).alias("tokens"))
+
+
+def _scored(spark, sf_dir):
+    rows = _corpus(spark, sf_dir).drop("text", "source").withColumn("q", F.lit(0))
+    return bm25_scores(rows, _one_query(spark), ["q"], ["doc_id"])
+
+
+def bm25_scores_all(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", F.round("bm25_score", 6).alias("score"))
+
+
+def bm25_topk(spark, sf_dir):
+    found = bm25_top(_corpus(spark, sf_dir).drop("text", "source"), query_log(spark, sf_dir), "doc_id", "pos", "query_id", 10)
+    return found.select("query_id", "doc_id", "rank", F.round("bm25_score", 6).alias("score"))
+
+
+def cosine_topk(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = cosine_top(vectors, asked, "vec_id", "embedding", "query_id", "embedding", 10)
+    return found.select("query_id", "vec_id", "rank", F.round("dense_score", 6).alias("score"))
+
+
+def hashed_buckets(spark, sf_dir):
+    rows = _corpus(spark, sf_dir).select("doc_id", F.explode("tokens").alias("t"))
+    return rows.groupBy("doc_id", hash_bucket(F.col("t")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hybrid(spark, sf_dir, **options):
+    scored = with_dense(_scored(spark, sf_dir), _one_query(spark), ["doc_id"], "q", "tokens")
+    return hybrid_rank(scored.withColumn("pos", F.col("doc_id")), ["q"], **options)
+
+
+def rrf_hybrid(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("doc_id", "bm25_rank", "dense_rank", F.round("rrf_similarity", 6).alias("similarity"), "rank")
+
+
+def rrf_cutoff(spark, sf_dir):
+    return _hybrid(spark, sf_dir, dense_weight=0.75, cutoff=0.5, top_k=100).select("doc_id", "rank", F.round("rrf_score", 6).alias("score"))
+
+
+# --- duplicates, quotas, budgets --------------------------------------------------------------------------------
+
+
+def jaccard_pairs(spark, sf_dir):
+    """Neighbouring turns of each conversation: a pair for each turn, none for each pair of turns."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(retrieval_tokens(F.col("text"))).alias("t"))
+    before = F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = rows.withColumn("b", before).filter("b IS NOT NULL")
+    return rows.select("conv_id", "turn", F.round(jaccard_columns(F.col("t"), F.col("b")), 6).alias("jaccard"))
+
+
+def _query_pool(spark, sf_dir):
+    """The best documents of every query: the bounded pools that selection works on."""
+    queries = query_log(spark, sf_dir)
+    corpus = _corpus(spark, sf_dir)
+    best = bm25_top(corpus.drop("text", "source"), queries, "doc_id", "pos", "query_id", POOL).select("query_id", "doc_id", "rank", "bm25_score")
+    rows = staged(best.join(corpus.select("doc_id", "source", "text", "tokens"), "doc_id"), "query-pool")
+    rows = with_dense(rows, queries, ["doc_id"], "query_id", "tokens", rows)
+    return rows.select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_url"), "text", F.length("text").alias("tokens"), "rank", "vector")
+
+
+def _select(spark, sf_dir, limit, per_source, lexical, semantic):
+    rows = select_with_quota(_query_pool(spark, sf_dir), "query_id", limit, per_source, lexical, semantic, semantic < 1)
+    return rows.select("query_id", "chunk_id", "rank", "status", "selected", F.round("similarity", 4).alias("similarity"), "matched")
+
+
+def jaccard_dedupe(spark, sf_dir):
+    return _select(spark, sf_dir, POOL, 0, 0.8, 1.0)
+
+
+def semantic_dedupe(spark, sf_dir):
+    return _select(spark, sf_dir, POOL, 0, 1.0, 0.92)
+
+
+def quota_fill(spark, sf_dir):
+    return _select(spark, sf_dir, 10, 2, 0.92, 0.97)
+
+
+def quota_first_pass(spark, sf_dir):
+    rows = _query_pool(spark, sf_dir).drop("vector", "text")
+    return first_per_source(rows, ["query_id"], "source_url", "rank", 2).select("query_id", "chunk_id", "source_url", "rank")
+
+
+def budget_select(spark, sf_dir):
+    rows = within_budget(_query_pool(spark, sf_dir).drop("vector"), ["query_id"], "rank", 2000)
+    return rows.select("query_id", "chunk_id", "rank", "tokens", "truncated", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# --- plans ------------------------------------------------------------------------------------------------------
+
+
+def search_ranking(spark, sf_dir):
+    rows = ranked_results(query_log(spark, sf_dir), _pages(spark, sf_dir), Options())
+    return rows.select("query_id", "page_id", "rank", F.round("rrf_similarity", 4).alias("similarity"))
+
+
+def search_listing(spark, sf_dir):
+    rows = ranked_results(query_log(spark, sf_dir), _pages(spark, sf_dir), Options())
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", F.col("snippet").alias("preview"), F.lit("").alias("published_at")))).alias("r"))
+    return listed.join(query_log(spark, sf_dir), "query_id").select("query_id", search_text(F.col("query"), F.col("r")).alias("listing"))
+
+
+def scrape_batch(spark, sf_dir):
+    rows = scrape(_items(spark, sf_dir), _pages(spark, sf_dir), Options())
+    return rows.select("item_id", "status", "error_code", "title", "content_tokens", "truncated", F.to_json("chunks").alias("chunks"), F.to_json("links").alias("links"))
+
+
+def research_e2e(spark, sf_dir):
+    rows = research(query_log(spark, sf_dir), _pages(spark, sf_dir))
+    scores = public_scores(F.col("rrf_similarity"), F.col("dense_score"), F.col("bm25_score"))
+    return rows.select("query_id", "chunk_id", "source_url", "rank", "status", "selected", "tokens", "text", scores["rrf"].alias("rrf"), scores["dense"].alias("dense"), scores["bm25"].alias("bm25"))
+
+
+def evidence_stats(spark, sf_dir):
+    queries, pages = query_log(spark, sf_dir), _pages(spark, sf_dir)
+    return run_stats(queries, ranked_results(queries, pages, Options()), research(queries, pages))
+
+
+def envelope_json(spark, sf_dir):
+    queries, pages = query_log(spark, sf_dir), _pages(spark, sf_dir)
+    decided = research(queries, pages)
+    rows = queries.join(evidence(decided), "query_id", "left").join(run_stats(queries, ranked_results(queries, pages, Options()), decided), "query_id")
+    stats = F.struct("search_results", "chunks_considered", "chunks_selected")
+    record = envelope("research", F.col("status"), F.col("query"), F.col("sources"), F.array().cast("array<string>"), stats, F.lit("1970-01-01T00:00:00Z"))
+    return rows.select("query_id", F.to_json(record).alias("envelope"))
+
+
+def prompt_xml(spark, sf_dir):
+    queries = query_log(spark, sf_dir)
+    sources = evidence(research(queries, _pages(spark, sf_dir)))
+    results = F.transform("sources", lambda s: F.struct(s["title"].alias("title"), s["source_url"].alias("url"), F.lit("").alias("snippet"), F.transform(s["chunks"], lambda c: c["text"]).alias("chunks")))
+    return queries.join(sources, "query_id", "left").select("query_id", grounded_results(F.col("query"), F.coalesce(results, F.expr("cast(array() as array<struct<title:string,url:string,snippet:string,chunks:array<string>>>)")), F.lit("1970-01-01")).alias("prompt"))
+
+
+def savings(spark, sf_dir):
+    queries, pages = query_log(spark, sf_dir), _pages(spark, sf_dir)
+    return token_savings(queries, ranked_results(queries, pages, Options()), pages, research(queries, pages))
+
+
+def current_datetime(spark, sf_dir):
+    now = F.current_timestamp()
+    return spark.range(1).select(F.date_format(now, "yyyy-MM-dd").alias("date"), F.date_format(now, "HH:mm:ss").alias("time"))
+
+
+QUERIES = {f.__name__: f for f in (
+    host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, engine_reports,
+    retrieval_token_counts, chunk_windows, chunk_pack, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
+    page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe,
+    semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, scrape_batch, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
+QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings}
+
+# --- SQL --------------------------------------------------------------------------------------------------------
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(_text(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+def _tokens(column: str) -> str:
+    return f"regexp_extract_all(lower({column}), '[a-zA-Z0-9_./:#-]+')"
+
+
+_URLS = f"u AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES {_values([(-k, u) for k, u in enumerate(ODD_URLS, 1)])}) t(page_id, url))"
+_AUTHORITY = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
+_HOST = f"lower(regexp_replace(regexp_replace({_AUTHORITY}, '^[^@]*@', ''), ':[0-9]*$', ''))"
+_BARE = "regexp_replace(regexp_extract(lower(trim(url)), '^([^/?#]*)', 1), ':[0-9]*$', '')"
+_NORMAL = f"CASE WHEN regexp_matches(lower(trim(url)), '\\s') THEN '' ELSE regexp_replace(regexp_replace(CASE WHEN contains(url, '://') THEN {_HOST} ELSE {_BARE} END, '\\.+$', ''), '^www\\.', '') END"
+_PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
+_CANONICAL = f"""CASE WHEN regexp_matches(url, '(?i)^https?://') AND {_AUTHORITY} <> '' THEN lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower({_AUTHORITY}) ||
+  CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || regexp_extract(url, '^[^?#]*(\\?[^#]+)', 1) END"""
+_BLOCKED_HOSTS = "('spam-farm.example.com'), ('cheap-pills.example.com'), ('org')"
+_OPEN = f"NOT EXISTS (SELECT 1 FROM (VALUES {_BLOCKED_HOSTS}) b(d) WHERE h = d OR ends_with(h, '.' || d))"
+_SPACES = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_TITLE_RAW = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _name, _said in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    _TITLE_RAW = f"replace({_TITLE_RAW}, {_text(_name)}, {_text(_said)})"
+_TITLE = _SPACES.format(_TITLE_RAW)
+
+
+def _bm25_sql(docs: str, queries: str) -> str:
+    """CTEs d(pool, id, t), q(pool, qid, t) given; gives s(pool, id, qid, score) of hits."""
+    return f"""d AS ({docs}), q AS ({queries}),
+tok AS (SELECT pool, id, unnest(t) AS term FROM d), stats AS (SELECT pool, count(*) AS n, avg(len(t)) AS avgdl FROM d GROUP BY pool),
+tf AS (SELECT pool, id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT pool, term, count(*) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT df.pool, term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df JOIN stats USING (pool)),
+idf AS (SELECT raw.pool, term, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw JOIN (SELECT pool, avg(r) AS m FROM raw GROUP BY pool) USING (pool)),
+qt AS (SELECT pool, qid, term, count(*) AS a FROM (SELECT pool, qid, unnest(t) AS term FROM q) GROUP BY ALL),
+s AS (SELECT tf.pool, tf.id, qid, sum(a * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.t) / avgdl))) AS score
+  FROM tf JOIN qt USING (pool, term) JOIN idf USING (pool, term) JOIN d ON d.pool = tf.pool AND d.id = tf.id JOIN stats ON stats.pool = tf.pool GROUP BY tf.pool, tf.id, qid)"""
+
+
+_DOCS = f"SELECT 0 AS pool, doc_id AS id, {_tokens('text')} AS t FROM documents"
+_ONE = f"SELECT 0 AS pool, 0 AS qid, {_tokens(_text(QUERY))} AS t"
+_ASKED = f"SELECT 0 AS pool, item_id AS qid, {_tokens('text')}[1:8] AS t FROM benchmark"
+_TOP = f"""{_bm25_sql(_DOCS, _ASKED)},
+every AS (SELECT qid, id, score FROM s UNION ALL SELECT q.qid, f.id, 0.0 FROM q, (SELECT id FROM d ORDER BY id LIMIT {POOL}) f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = q.qid AND s.id = f.id)),
+top AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM every)"""
+_BUCKET = "(('0x' || substr(md5(term), 1, 8))::UBIGINT % 64)::INTEGER"
+_HYBRID = f"""{_bm25_sql(_DOCS, _ONE)},
+dv AS (SELECT id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM tok GROUP BY ALL),
+qv AS (SELECT {_BUCKET} AS b, sum(a)::DOUBLE AS c FROM qt GROUP BY ALL),
+dense AS (SELECT id, sum(dv.c * coalesce(qv.c, 0)) / sqrt(sum(dv.c * dv.c)) / (SELECT sqrt(sum(c * c)) FROM qv) AS dense FROM dv LEFT JOIN qv USING (b) GROUP BY id),
+two AS (SELECT d.id, coalesce(s.score, 0) AS bm25, coalesce(dense, 0) AS dense FROM d LEFT JOIN s USING (id) LEFT JOIN dense USING (id)),
+ranks AS (SELECT *, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS br, row_number() OVER (ORDER BY round(dense, 9) DESC, id) AS dr FROM two)"""
+_ORDERED = "row_number() OVER (ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, id)"
+_NAV = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS text, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1), 1) - 1 AS pos FROM pages"
+_ROOT = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)"
+
+ORACLE_SQL = {
+    "host_normalize": f"WITH {_URLS} SELECT page_id, {_NORMAL} AS host, regexp_replace({_HOST}, '^www\\.', '') AS domain FROM u",
+    "url_canonicalize": f"""WITH {_URLS}, s AS (SELECT page_id, {_CANONICAL} AS canonical, lower(regexp_extract({_PATH}, '\\.([^./]*)$', 1)) AS suffix FROM u)
+SELECT *, suffix IN ('pdf', 'docx', 'doc') AS is_document FROM s""",
+    "url_safety_codes": f"""WITH {_URLS} SELECT page_id, CASE WHEN NOT regexp_matches(url, '(?i)^https?://') OR contains({_AUTHORITY}, '@') OR ({_AUTHORITY} = '') THEN 'invalid_url'
+WHEN {_HOST} = 'localhost' OR regexp_matches({_AUTHORITY}, '^(127|10|192\\.168)\\.|^\\[::1\\]') THEN 'blocked_url' ELSE 'ok' END AS code FROM u""",
+    "blocked_domain_filter": f"WITH p AS (SELECT page_id, url, {_NORMAL} AS h FROM pages) SELECT page_id, url FROM p WHERE {_OPEN}",
+    "search_discovery": f"""WITH r AS (SELECT page_id AS result_id, {_TITLE} AS title, url, {_NORMAL} AS h FROM pages WHERE {_TITLE} <> '' AND url <> '' ORDER BY page_id LIMIT 50)
+SELECT row_number() OVER (ORDER BY result_id)::INTEGER AS rank, result_id, title, url FROM r WHERE regexp_matches(url, '(?i)^https?://') AND {_OPEN}""",
+    "search_payloads": """SELECT * FROM (VALUES (1, 1, 'A', 'https://a.example.com/', 'aa', '2024-01-02', 'searxng'), (1, 2, 'C', 'https://c.example.com/', '', '2023', 'searxng'),
+(2, 1, 'D', 'https://d.example.com/', 'dd', NULL, 'ddgs'), (3, 1, 'F', 'https://f.example.com/', 'ff', '2022-02-02', 'ddgs'), (3, 1, 'G', 'https://g.example.com/', 'gg', NULL, 'brave'), (4, 1, 'H', 'https://h.example.com/', 'hh', NULL, 'brave'))
+t(query_id, result_id, title, url, text, published_at, backend)""",
+    "fallback_union": """SELECT * FROM (VALUES (1, 1, 'https://a.example.com/', 'searxng'), (1, 2, 'https://c.example.com/', 'searxng'), (2, 1, 'https://d.example.com/', 'ddgs'),
+(3, 1, 'https://f.example.com/', 'ddgs'), (4, 1, 'https://h.example.com/', 'brave')) t(query_id, result_id, url, backend)""",
+    "engine_reports": "SELECT * FROM (VALUES (1, 'bing', 'bing,ddg'), (1, 'qwant', 'qwant,ddg'), (2, 'google', 'google,ddg')) t(query_id, engine, listed)",
+    "retrieval_token_counts": f"WITH t AS (SELECT doc_id, {_tokens('text')} AS t FROM documents) SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM t",
+    "chunk_windows": """WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 220)) AS start FROM documents)
+SELECT doc_id, (start // 220)::INTEGER AS chunk_id, start::INTEGER AS start, length(substr(text, start + 1, 300))::INTEGER AS tokens, md5(substr(text, start + 1, 300)) AS digest FROM w""",
+    "token_truncate": "SELECT doc_id, length(substr(text, 1, 500))::INTEGER AS n_500, md5(substr(text, 1, 500)) AS digest, length(text)::INTEGER AS n_all FROM documents",
+    "text_labels": f"""WITH c AS (SELECT doc_id, text, {_SPACES.format('text')} AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE rtrim(CASE WHEN contains(substr(t, 1, 160), ' ') THEN regexp_replace(substr(t, 1, 160), ' [^ ]*$', '') ELSE substr(t, 1, 160) END) || '…' END AS label,
+  length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::INTEGER AS heading_chars, NULL::VARCHAR AS no_heading FROM c""",
+    "xml_escape": """SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS body_digest,
+'"' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '"' AS url_attribute FROM pages""",
+    "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "html_meta": "SELECT page_id, NULL::VARCHAR AS description, 'A. Writer' AS author, '2024-05-06' AS published_date FROM pages",
+    "link_extract": f"SELECT page_id, pos::INTEGER AS pos, href, {_SPACES.format('text')} AS text FROM ({_NAV})",
+    "link_resolve": f"""WITH p AS (SELECT page_id, {_ROOT} AS root, {_PATH} AS path, regexp_extract(url, '^([a-zA-Z]+:)', 1) AS scheme, regexp_replace(url, '#.*$', '') AS bare FROM pages)
+SELECT page_id, form::INTEGER AS form, CASE form WHEN 0 THEN root || '/b' WHEN 1 THEN root || regexp_replace(path, '[^/]*$', '') || 'c/d?x=1' WHEN 2 THEN scheme || '//other.example.org/z'
+WHEN 3 THEN root || path || '?q=2' WHEN 4 THEN bare || '#top' ELSE 'https://x.example.com/' END AS target FROM p, range(6) r(form)""",
+    "link_dedupe": f"""WITH l AS (SELECT page_id, pos, {_ROOT} || href AS target, text, {_CANONICAL} AS own FROM ({_NAV}) WHERE href <> ''),
+c AS (SELECT page_id, pos, {_CANONICAL.replace('url', 'target')} AS url, text, own FROM l)
+SELECT page_id, pos::INTEGER AS pos, url, {_SPACES.format('text')} AS text FROM c WHERE url <> own QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1""",
+    "bm25_scores": f"WITH {_bm25_sql(_DOCS, _ONE)} SELECT d.id AS doc_id, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN s USING (id)",
+    "bm25_topk": f"WITH {_TOP} SELECT qid AS query_id, id AS doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top WHERE rank <= 10",
+    "cosine_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank::INTEGER AS rank, round(c, 6) AS score FROM r WHERE rank <= 10""",
+    "hashed_buckets": f"SELECT doc_id, {_BUCKET} AS bucket, count(*) AS n FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL",
+    "rrf_hybrid": f"""WITH {_HYBRID}, f AS (SELECT *, 0.5 / (60 + br) + 0.5 / (60 + dr) AS rrf FROM ranks)
+SELECT id AS doc_id, br::INTEGER AS bm25_rank, dr::INTEGER AS dense_rank, round(rrf * 61, 6) AS similarity, ({_ORDERED})::INTEGER AS rank FROM f""",
+    "rrf_cutoff": f"""WITH {_HYBRID}, f AS (SELECT *, 0.25 / (60 + br) + 0.75 / (60 + dr) AS rrf FROM ranks)
+SELECT * FROM (SELECT id AS doc_id, ({_ORDERED})::INTEGER AS rank, round(rrf, 6) AS score FROM f WHERE rrf * 61 >= 0.5 - 1e-12) WHERE rank <= 100""",
+    "jaccard_pairs": f"""WITH c AS (SELECT conv_id, turn, list_distinct({_tokens('text')}) AS t FROM conversations), p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c)
+SELECT conv_id, turn, round(CASE WHEN len(t) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(t, b)) / greatest(1, len(t) + len(b) - len(list_intersect(t, b))) END::DOUBLE, 6) AS jaccard FROM p WHERE b IS NOT NULL""",
+    "quota_first_pass": f"""WITH {_TOP}, r AS (SELECT qid, id, source, rank, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS n FROM top JOIN documents ON doc_id = id WHERE rank <= {POOL})
+SELECT qid AS query_id, id::VARCHAR AS chunk_id, source AS source_url, rank::INTEGER AS rank FROM r WHERE n <= 2""",
+    "budget_select": f"""WITH {_TOP}, r AS (SELECT qid, id, text, rank, sum(length(text)) OVER (PARTITION BY qid ORDER BY rank) AS run FROM top JOIN documents ON doc_id = id WHERE rank <= {POOL})
+SELECT qid AS query_id, id::VARCHAR AS chunk_id, rank::INTEGER AS rank, least(length(text), 2000)::INTEGER AS tokens, run > 2000 AS truncated, md5(CASE WHEN run > 2000 THEN substr(text, 1, 2000) ELSE text END) AS digest
+FROM r WHERE run <= 2000 OR rank = 1""",
+}
