@@ -158,15 +158,20 @@ def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embeddi
             links[right] = np.where(home[right], counted, 0)
         edges = [(int(cls[left[i]]), int(cls[right[j]])) for i, j in _forest(linked, x == y)]
         some = np.flatnonzero(links)
-        out = [(c, k, None) for c, k in zip(cls[some].tolist(), links[some].tolist())] + [(a, 0, b) for a, b in edges]
-        return pd.DataFrame(out, columns=["cls", "links", "other"]).astype({"cls": "int64", "links": "int64", "other": "Int64"})
+        # hashes use all 64 bits, which a column that pandas makes of integers and gaps would lose
+        column = {
+            "cls": np.concatenate([cls[some], np.array([a for a, _ in edges], np.int64)]),
+            "links": np.concatenate([links[some], np.zeros(len(edges), np.int64)]),
+            "other": pd.array([None] * len(some) + [b for _, b in edges], "Int64"),
+        }
+        return pd.DataFrame(column)
 
     found = cut(groups.groupBy("label", "width", "cell", "pair.x", "pair.y").applyInPandas(join, "cls long, links long, other long"), "vector-links")
     roots = connected_components(found.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     members = classes.select("cls", "n", "least").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     members = cut(members.select("cls", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")), "vector-members")
-    firsts = members.groupBy(F.col("root").alias("r2")).agg(F.min("least").alias("component"))
+    firsts = cut(members.groupBy(F.col("root").alias("r2")).agg(F.min("least").alias("component")), "vector-firsts")
     info = members.join(firsts, F.col("root") == F.col("r2")).select(F.col("cls").alias("c2"), "n", "links", "component")
     # rows that can't link have no class; their key is made null so that none matches by accident
     able = F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))

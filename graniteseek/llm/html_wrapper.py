@@ -291,12 +291,27 @@ def _is_framed(path: str) -> bool:
     return any(tag in ("article", "main") or words & MAIN_WORDS and tag not in ("html", "body") for tag, words in _parts(path))
 
 
+def _block_of(path: str) -> str:
+    """The slot's path without the inline elements at its end."""
+    parts = path.split("/")
+    while len(parts) > 1 and parts[-1].split(".")[0] in INLINE:
+        parts.pop()
+    return "/".join(parts)
+
+
 def main_slots(slots: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str], list[str]]:
     """Of a host's slots (characters, linked characters, pages, always the same): the framed main ones, and
     those that are main in a page without a frame."""
     framed = [p for p in slots if _is_framed(p) and not _is_boilerplate(p)]
+    # links inside a block are judged with the block's other text
+    blocks: dict[str, list[int]] = {}
+    for path, (chars, linked, _, _) in slots.items():
+        block = blocks.setdefault(_block_of(path), [0, 0])
+        block[0] += chars
+        block[1] += linked
     loose = []
-    for path, (chars, linked, pages, same) in slots.items():
+    for path, (_, _, pages, same) in slots.items():
+        chars, linked = blocks[_block_of(path)]
         if not _is_framed(path) and not _is_boilerplate(path) and 2 * linked <= chars and not (same and pages >= 3):
             loose.append(path)
     return sorted(framed), sorted(loose)

@@ -109,6 +109,8 @@ class PpmModel:
 def fit_ppm(samples: dict[str, list[bytes]], options: PpmOptions = PpmOptions()) -> PpmModel:
     """Trees from texts by language; see the module for what they hold."""
     languages = sorted(samples)
+    if not languages:
+        return PpmModel([], options.order, 1, np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     seen = np.zeros(256, bool)
     for texts in samples.values():
         for text in texts:

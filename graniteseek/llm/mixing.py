@@ -89,12 +89,15 @@ def flight(sizes: list[float], chances: list[float], draw: _Draws) -> list[float
         n, s1, s2 = len(s), scaled.sum(), (scaled * scaled).sum()
         det = n * s2 - s1 * s1
         if det > 1e-9 * n * s2:
-            u = -((s2 - s1 * scaled[0]) + (n * scaled[0] - s1) * scaled) / det
+            # how much of each unit vector the null space holds: none of a document whose size is like no other's
+            free = 1 - (s2 - 2 * s1 * scaled + n * scaled * scaled) / det
+            chosen = int(np.argmax(free > 1e-7))
+            if free[chosen] <= 1e-7:
+                break
+            u = -((s2 - s1 * scaled[chosen]) + (n * scaled[chosen] - s1) * scaled) / det
         else:
-            u = np.full(n, -1.0 / n)
-        u[0] += 1
-        if n == 2 and s[0] != s[1] or np.abs(u).max() < 1e-9:
-            break
+            chosen, u = 0, np.full(n, -1.0 / n)
+        u[chosen] += 1
         with np.errstate(divide="ignore", invalid="ignore"):
             up = np.where(u > 1e-12, (1 - p) / u, np.where(u < -1e-12, -p / u, np.inf)).min()
             down = np.where(u > 1e-12, p / u, np.where(u < -1e-12, (p - 1) / u, np.inf)).min()
