@@ -70,7 +70,7 @@ def search_text(question: Column, results: Column) -> Column:
     def one(r):
         return F.concat_ws("\n", F.concat(r["rank"].cast("string"), F.lit(". "), stripped(r["title"])), F.concat(F.lit("URL: "), stripped(r["url"])), F.concat(F.lit("Preview: "), stripped(F.coalesce(r["preview"], F.lit("")))), F.when(r["published_at"] != "", F.concat(F.lit("Published: "), stripped(r["published_at"]))), F.lit(""))
 
-    return F.rtrim(F.concat_ws("\n", F.concat(F.lit("Search results for: "), question), F.array_join(F.transform(results, one), "\n")))
+    return F.regexp_replace(F.concat_ws("\n", F.concat(F.lit("Search results for: "), question), F.array_join(F.transform(results, one), "\n")), r"\s+$", "")
 
 
 def markdown_listing(results: Column) -> Column:
