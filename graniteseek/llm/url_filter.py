@@ -11,7 +11,7 @@ A filter is an array of 64-bit words.  A key sets `hashes` bits in one filter; t
 OR per word, with partial sums on the map side.  Filters reach the rows as scalar subqueries.
 
 Scale: the universe is a distinct over short keys with map-side combining, so a host with a third of all pages is one
-key a task.  A level has `bits_per_key` bits for each key; levels shrink geometrically.  The listed keys must number
+key a task.  A level has ten bits for each key; levels shrink geometrically.  The listed keys must number
 `most_keys` or fewer for the filters to fit (32 MB at the default); more are refused, to be filtered in parts.
 
 Cases: a null url, or one without ://, has host and path '' and matches no key.  Repeated urls get a row each; extra
@@ -21,15 +21,12 @@ after A-Z of the host are lower-cased.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, bloom_holds, bloom_words
 from .shared import ascii_lower, cut
 
-BITS_PER_KEY = 10
-HASHES = 4
 MOST_KEYS = 1 << 24
 
 # Rules with their verdicts, matched with all subdomains; the longest that fits wins.
@@ -47,32 +44,6 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _words(keys: int) -> int:
-    return max(1, math.ceil(keys * BITS_PER_KEY / 64))
-
-
-def _bits(key: Column, words: int, level: int) -> list[Column]:
-    """The positions of the key's bits in a filter of so many words."""
-    return [F.pmod(F.xxhash64(key, F.lit(1000 * level + k)), F.lit(64 * words)) for k in range(HASHES)]
-
-
-def _filter(keys: DataFrame, words: int, level: int) -> DataFrame:
-    """One row: the filter of the keys as an array of words."""
-    spots = keys.select(F.explode(F.array(*_bits(F.col("key"), words, level))).alias("bit"))
-    parts = spots.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    # one entry per word that is not empty: no more than the filter holds
-    held = parts.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    return held.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(words - 1).cast("long")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("filter"))
-
-
-def _holds(key: Column, held: DataFrame, words: int, level: int) -> Column:
-    """Whether the filter may hold the key."""
-    bits, out = held.scalar(), F.lit(True)
-    for spot in _bits(key, words, level):
-        out = out & (F.getbit(F.get(bits, F.floor(spot / 64).cast("int")), F.pmod(spot, F.lit(64)).cast("int")) == 1)
-    return out
-
-
 class Cascade:
     """The levels: (number of words, filter DataFrame of one row)."""
 
@@ -85,7 +56,7 @@ class Cascade:
         verdict = F.lit(len(self.levels) % 2 == 1)
         for level in range(len(self.levels), 0, -1):
             words, held = self.levels[level - 1]
-            verdict = F.when(_holds(key, held, words, level), verdict).otherwise(F.lit(level % 2 == 0))
+            verdict = F.when(bloom_holds(key, held, words, level), verdict).otherwise(F.lit(level % 2 == 0))
         return verdict
 
 
@@ -103,16 +74,16 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_keys: int = MOST_
     inside, outside = listed, None
     levels: list[tuple[int, DataFrame]] = []
     while n:
-        level, words = len(levels) + 1, _words(n)
-        held = cut(_filter(inside, words, level), "cascade-filter")
+        level, words = len(levels) + 1, bloom_words(n)
+        held = cut(bloom_filter(inside, words, level), "cascade-filter")
         levels.append((words, held))
         if outside is None:
-            passed = universe.select("key").filter(_holds(F.col("key"), held, words, level)).distinct()
+            passed = universe.select("key").filter(bloom_holds(F.col("key"), held, words, level)).distinct()
             # of the few that pass, those that are listed go
             both = passed.select("key", F.lit(False).alias("l")).unionAll(listed.select("key", F.lit(True).alias("l")))
             passed = both.groupBy("key").agg(F.bool_or("l").alias("l")).filter("not l").select("key")
         else:
-            passed = outside.filter(_holds(F.col("key"), held, words, level))
+            passed = outside.filter(bloom_holds(F.col("key"), held, words, level))
         passed = cut(passed, "cascade-passed")
         inside, outside, n = passed, inside, passed.count()
     return Cascade(levels)
