@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import windows
+from ..functions.tokenizers import Characters, Tokenizer, tokenizer_for
 
 _BLOCK_END = re.compile(r"(?=\n#{1,6}\s)|\n{2,}")
 _HEADING = re.compile(r"^#{1,6}\s+(.+)$", re.S)
@@ -18,14 +19,7 @@ _HEADING = re.compile(r"^#{1,6}\s+(.+)$", re.S)
 CHUNKS = T.ArrayType(T.StructType([T.StructField("chunk_id", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("text", T.StringType()), T.StructField("tokens", T.IntegerType())]))
 
 
-class Characters:
-    """The tokenizer that needs no vocabulary: one token a character."""
-
-    encode = staticmethod(list)
-    decode = staticmethod("".join)
-
-
-def chunks_of(text: str | None, most: int, overlap: int, tokenizer=Characters) -> list[tuple[int, str, str, int]]:
+def chunks_of(text: str | None, most: int, overlap: int, tokenizer: Tokenizer = Characters()) -> list[tuple[int, str, str, int]]:
     """(chunk_id, heading, text, tokens) of a text.
 
     Blocks end before markdown headings and at blank lines.  They are joined while they fit; a chunk carries the
@@ -60,11 +54,15 @@ def chunks_of(text: str | None, most: int, overlap: int, tokenizer=Characters) -
     return out
 
 
-def pack_chunks(rows: DataFrame, text: str, most: int = 300, overlap: int = 80) -> DataFrame:
-    """The rows without the text, one for each chunk: chunk_id, heading, chunk_text, tokens."""
+def pack_chunks(rows: DataFrame, text: str, most: int = 300, overlap: int = 80, tokenizer: str | None = None) -> DataFrame:
+    """The rows without the text, one for each chunk: chunk_id, heading, chunk_text, tokens.
+
+    tokenizer: a vocabulary file that executors have; characters without one.
+    """
     @F.pandas_udf(CHUNKS)
     def chunk(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("chunk_id", "heading", "text", "tokens"), c)) for c in chunks_of(t, most, overlap)])
+        coder = tokenizer_for(tokenizer)
+        return texts.map(lambda t: [dict(zip(("chunk_id", "heading", "text", "tokens"), c)) for c in chunks_of(t, most, overlap, coder)])
 
     kept = [c for c in rows.columns if c != text]
     exploded = rows.select(*kept, F.explode(chunk(F.col(text))).alias("c"))

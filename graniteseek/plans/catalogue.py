@@ -18,7 +18,7 @@ from ..sources.payloads import dispatch, parse_results, unresponsive_engines, wi
 from ..sources.staging import staged
 from ..sources.tables import load, query_log
 from .options import Options
-from .render import envelope, grounded_results, public_scores, search_text
+from .render import batch_status, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
 from .research import evidence, research, run_stats, token_savings
 from .scrape import page_order, prefiltered_links, read_items, related_links, scrape
 from .search import discover, page_title, pages_as_results, ranked_results, with_dense
@@ -311,6 +311,24 @@ def scrape_batch(spark, sf_dir):
     return rows.select("item_id", "status", "error_code", "title", "content_tokens", "truncated", F.to_json("chunks").alias("chunks"), F.to_json("links").alias("links"))
 
 
+def scrape_xml(spark, sf_dir):
+    """Items in batches of five, as one XML each."""
+    rows = scrape(_items(spark, sf_dir), _pages(spark, sf_dir), Options())
+    page = F.struct("item_id", "status", "error_code", "url", "title", F.transform("chunks", lambda c: c["text"]).alias("chunks"), F.coalesce("links", F.expr("cast(array() as array<struct<rank:int,url:string,text:string,score:double>>)")).alias("links"))
+    batches = rows.groupBy(F.expr("item_id div 5").alias("batch")).agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return batches.select("batch", grounded_batch(F.col("pages"), F.lit("1970-01-01")).alias("prompt"))
+
+
+def batch_rollup(spark, sf_dir):
+    return batch_status(_urls(spark, sf_dir).select(safety_code(F.col("url")).alias("status")))
+
+
+def search_results_xml(spark, sf_dir):
+    rows = ranked_results(query_log(spark, sf_dir), _pages(spark, sf_dir), Options())
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", F.col("snippet").alias("preview")))).alias("r"))
+    return listed.join(query_log(spark, sf_dir), "query_id").select("query_id", search_xml(F.col("query"), F.col("r"), F.lit("1970-01-01")).alias("prompt"))
+
+
 def research_e2e(spark, sf_dir):
     rows = research(query_log(spark, sf_dir), _pages(spark, sf_dir))
     scores = public_scores(F.col("rrf_similarity"), F.col("dense_score"), F.col("bm25_score"))
@@ -352,7 +370,7 @@ QUERIES = {f.__name__: f for f in (
     host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, engine_reports,
     retrieval_token_counts, chunk_windows, chunk_pack, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
     page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe,
-    semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, scrape_batch, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
+    semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
 QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings}
 
 # --- SQL --------------------------------------------------------------------------------------------------------
@@ -467,3 +485,5 @@ SELECT qid AS query_id, id::VARCHAR AS chunk_id, source AS source_url, rank::INT
 SELECT qid AS query_id, id::VARCHAR AS chunk_id, rank::INTEGER AS rank, least(length(text), 2000)::INTEGER AS tokens, run > 2000 AS truncated, md5(CASE WHEN run > 2000 THEN substr(text, 1, 2000) ELSE text END) AS digest
 FROM r WHERE run <= 2000 OR rank = 1""",
 }
+ORACLE_SQL["batch_rollup"] = f"""SELECT CASE WHEN bool_or(code <> 'ok') THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (code = 'ok') AS n_ok, count(*) FILTER (code <> 'ok') AS n_errors
+FROM ({ORACLE_SQL["url_safety_codes"]})"""

@@ -82,3 +82,31 @@ def write_trace(rows: DataFrame, path: str) -> None:
     """Run records as JSON lines under `path`; nothing if the path is empty."""
     if path:
         rows.write.mode("overwrite").json(path)
+
+
+def grounded_batch(pages: Column, today: Column) -> Column:
+    """The XML of several pages: an array of (status, error_code, url, title, chunks, links)."""
+    def one(p, i):
+        head = F.concat(F.lit('<page index="'), (i + 1).cast("string"), F.lit('" status='), xml_attribute(p["status"]), F.lit(">"))
+        text = relevant_text(p["chunks"])
+        good = F.concat_ws("\n", _element("title", F.coalesce(p["title"], F.lit(""))), F.when(text == "", "<relevant_text />").otherwise(F.concat(F.lit("<relevant_text>\n"), text, F.lit("\n</relevant_text>"))), related_links(p["links"]))
+        return F.concat_ws("\n", head, _element("url", p["url"]), F.when(p["status"] == "ok", good).otherwise(_element("error", F.coalesce(p["error_code"], F.lit("")))), F.lit("</page>"))
+
+    return F.concat_ws("\n", F.concat(F.lit("<url_grounded_batch today="), xml_attribute(today), F.lit(">")), F.array_join(F.transform(pages, one), "\n"), F.lit("</url_grounded_batch>"))
+
+
+def search_xml(question: Column, results: Column, today: Column) -> Column:
+    """The XML of plain search results: an array of (rank, title, url, preview)."""
+    each = F.transform(results, lambda r: F.concat_ws("\n", F.concat(F.lit('<result rank="'), r["rank"].cast("string"), F.lit('">')), _element("title", r["title"]), _element("url", r["url"]), _element("preview", F.coalesce(r["preview"], F.lit(""))), F.lit("</result>")))
+    body = F.when(F.size(results) == 0, "<results />").otherwise(F.concat(F.lit("<results>\n"), F.array_join(each, "\n"), F.lit("\n</results>")))
+    return F.concat_ws("\n", F.concat(F.lit("<search_results today="), xml_attribute(today), F.lit(">")), _element("question", question), body, F.lit("</search_results>"))
+
+
+def datetime_xml(now: Column) -> Column:
+    return F.concat(F.lit("<current_datetime><date>"), F.date_format(now, "yyyy-MM-dd"), F.lit("</date><time>"), F.date_format(now, "HH:mm:ss"), F.lit("</time></current_datetime>"))
+
+
+def batch_status(rows: DataFrame) -> DataFrame:
+    """status, n_ok, n_errors of a batch: partial if any item failed."""
+    bad = F.count_if(F.col("status") != "ok")
+    return rows.agg(F.when(bad > 0, "partial").otherwise("ok").alias("status"), F.count_if(F.col("status") == "ok").alias("n_ok"), bad.alias("n_errors"))
