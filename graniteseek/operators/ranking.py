@@ -14,7 +14,8 @@ from ..functions.vectors import cosine
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Ranks compare scores at this many decimals, so that the order of a distributed sum can't flip a tie.
 RANK_DECIMALS = 9
-_PAIR_ROWS = 1_000_000
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
 
 
 def bm25_hits(corpus: DataFrame, queries: DataFrame, pool: list[str], key: list[str], query: list[str]) -> DataFrame:
@@ -107,5 +108,10 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, qu
     """
     keep = vectors.select(key, F.col(vector).alias("_v"))
     asked = queries.select(F.col(query).alias("_q"), F.col(query_vector).alias("_u"))
-    scored = keep.join(F.broadcast(asked) if queries.count() <= 4096 else asked).select(F.col("_q").alias(query), key, cosine(F.col("_v"), F.col("_u")).alias("dense_score"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    scored = None
+    for block in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block) if blocks > 1 else asked
+        part = keep.join(F.broadcast(some)).select(F.col("_q").alias(query), key, cosine(F.col("_v"), F.col("_u")).alias("dense_score"))
+        scored = part if scored is None else scored.unionAll(part)
     return scored.withColumn("rank", rank_by([query], "dense_score", key)).filter(F.col("rank") <= k)

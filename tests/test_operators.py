@@ -79,6 +79,16 @@ def test_cosine_top(spark):
     assert [r.v for r in rows] == [0, 1]
 
 
+def test_queries_go_in_blocks(spark, monkeypatch):
+    from graniteseek.operators import ranking
+
+    frame = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)], "v int, e array<double>")
+    asked = frame.withColumnRenamed("v", "q")
+    whole = sorted(tuple(r) for r in cosine_top(frame, asked, "v", "e", "q", "e", 3).collect())
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 9)
+    assert sorted(tuple(r) for r in cosine_top(frame, asked, "v", "e", "q", "e", 3).collect()) == whole
+
+
 def test_lexical_duplicates():
     assert lexical_survivors(["a b c", "a b c", "d"], 0.9) == [0, 2]
     assert lexical_survivors(["a", "a"], 1.0) == [0, 1]
