@@ -8,12 +8,14 @@ needed, as a level has each label once.  A wrapper looks like
 
     html(head(title(#)) body(nav(ul(li+(a(#)))) article(h1(#) p+(b?(# br?) #?)) footer(#)))
 
-Each text slot of the wrapper is judged once for the host: by the element and class names around it, and, where no
-article or main element frames the text, by the slot's share of linked text and whether all of the host's
-pages say the same there.  Pages are read again under their host's wrapper and give the texts of its main slots.
+Each page is matched with its host's wrapper, level by level: an automaton over the level's places, optional and
+repeated groups included, gives every element and text its place.  A slot is a text's place with those of its
+elements, so equal names inside and outside a group are different slots.  Each slot is judged once for the host: by
+the element and class names around it, and, where no article or main element frames the text, by the slot's
+share of linked text and whether all of the host's pages say the same there.  A last match gives the texts of the main slots.
 
 Scale: pages fold and slot sums add up on the map side, so a host with a third of all pages arrives at its
-inference as a few distinct streams and one row per slot.  Wrappers are broadcast only if their measured size is under
+inference as a few distinct streams and at its judgement as one row per slot.  Wrappers are broadcast only if their measured size is under
 `broadcast_bytes`; else pages join them by host, which Spark may split by skew.
 
 Cases: a null or empty html gives an empty text, a null or odd url the host ''.  Tags that never close, stray ends,
@@ -26,7 +28,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -229,46 +231,154 @@ def expression(items: list[Item]) -> str:
 
 @dataclass
 class Reading:
-    """A page: its folded stream and, by slot, characters, linked characters and a hash of the texts."""
+    """A page's folded stream."""
 
     items: list[Item]
-    slots: dict[str, list[int]] = field(default_factory=dict)
 
 
 def read(page: str) -> Reading:
     levels: list[list[Item]] = [[]]
-    paths, linked, out = [""], [0], Reading([])
     deep = 0
-    for kind, value, tag in events(page):
+    for kind, value, _ in events(page):
         if kind == "open":
-            if len(paths) > DEEPEST:
+            if len(levels) > DEEPEST:
                 deep += 1
                 continue
             levels.append([])
-            paths.append(f"{paths[-1]}/{value}")
-            linked.append(linked[-1] + (tag == "a"))
         elif kind == "close":
             if deep:
                 deep -= 1
                 continue
             children = folded(levels.pop())
             levels[-1].append([value, 1, 1, children])
-            paths.pop()
-            linked.pop()
             if len(levels[-1]) > 1 and levels[-1][-2][0] == value:  # folds on the way, so levels stay short
                 last = levels[-1].pop()
                 levels[-1][-1] = _many(_merged_item(levels[-1][-1], last))
         elif kind == "break":
             levels[-1].append([value, 1, 1, []])
-        elif not value.isspace():
-            if not (levels[-1] and levels[-1][-1][0] == "#"):
-                levels[-1].append(["#", 1, 1, []])
+        elif not value.isspace() and not (levels[-1] and levels[-1][-1][0] == "#"):
+            levels[-1].append(["#", 1, 1, []])
+    return Reading(folded(levels[0]))
+
+
+# --- matching: a page's slots are places of its host's wrapper ----------------------------------------------------
+
+#: Stands between a name and its place; white space, so no tag holds it.
+_AT = "\x1f"
+
+
+class Level:
+    """One level of a wrapper as an automaton: its places, those that may begin it and those that may follow each."""
+
+    def __init__(self, items: list[Item]):
+        self.items: list[Item] = []
+        self.places: dict[str, list[int]] = {}
+        self.follow: list[set[int]] = []
+        self.first, self.last, _ = self._sequence(items)
+        self.once = all(len(k) == 1 for k in self.places.values())
+        self.below: dict[int, Level] = {}
+
+    def _sequence(self, items: list[Item]) -> tuple[set[int], set[int], bool]:
+        first: set[int] = set()
+        last: set[int] = set()
+        empty = True
+        for label, least, most, children in items:
+            if label == "()":
+                begins, ends, skipped = self._sequence(children)
+            else:
+                k = len(self.items)
+                self.items.append([label, least, most, children])
+                self.follow.append(set())
+                self.places.setdefault(label, []).append(k)
+                begins, ends, skipped = {k}, {k}, False
+            skipped = skipped or not least
+            for k in [*last, *(ends if most > 1 else ())]:
+                self.follow[k] |= begins
+            first = first | begins if empty else first
+            last = last | ends if skipped else ends
+            empty = empty and skipped
+        return first, last, empty
+
+    def child(self, place: int) -> Level | None:
+        if place < 0:
+            return None
+        if place not in self.below:
+            self.below[place] = Level(self.items[place][3])
+        return self.below[place]
+
+    def match(self, labels: list[str]) -> list[int]:
+        """The place of each label, of several ways the one through the earliest places; -1 if there is none."""
+        if self.once:
+            return [self.places[x][0] if x in self.places else -1 for x in labels]
+        reached: list[list[int]] = []
+        now = self.first
+        for label in labels:
+            all_places = self.places.get(label, [])
+            here = [k for k in all_places if k in now] or all_places
+            reached.append(here)
+            if here:
+                now = self.follow[here[0]] if len(here) == 1 else set().union(*(self.follow[k] for k in here))
+        out, after = [-1] * len(labels), None
+        for at in range(len(labels) - 1, -1, -1):
+            if reached[at]:
+                fits = [k for k in reached[at] if (k in self.last if after is None else after in self.follow[k])]
+                out[at] = after = (fits or reached[at])[0]
+        return out
+
+
+def matched(page: str, wrapper: Level) -> list[tuple[str, str, str, str | None, bool]]:
+    """The page's events under its host's wrapper: kind, value, tag, slot (of a text that isn't blank) and whether it
+    is linked.  A slot is named by its elements, each with its place in the wrapper."""
+    labels: list[list[str]] = [[]]
+    children: list[list[int]] = [[]]
+    inside, found, deep = [0], [], 0
+    for kind, value, tag in events(page):
+        here, spot = inside[-1], None
+        if kind == "open":
+            if len(inside) > DEEPEST:
+                deep += 1
+            else:
+                labels[here].append(value)
+                children[here].append(len(labels))
+                inside.append(len(labels))
+                labels.append([])
+                children.append([])
+        elif kind == "close":
+            if deep:
+                deep -= 1
+            else:
+                inside.pop()
+        elif kind == "break" or not value.isspace():
+            label = value if kind == "break" else "#"
+            if label != "#" or not (labels[here] and labels[here][-1] == "#"):
+                labels[here].append(label)
+                children[here].append(-1)
+            spot = (here, len(labels[here]) - 1) if label == "#" else None
+        found.append((kind, value, tag, spot))
+    names, linked = [""] * len(labels), [False] * len(labels)
+    levels: list[Level | None] = [wrapper] * len(labels)
+    places: list[list[int]] = []
+    for node, (own, below) in enumerate(zip(labels, children)):  # an element stands after its parent
+        level = levels[node]
+        places.append(level.match(own) if level else [-1] * len(own))
+        for label, k, child in zip(own, places[-1], below):
+            if child >= 0:
+                names[child] = f"{names[node]}/{label}{_AT}{k}"
+                linked[child] = linked[node] or label.split(".")[0] == "a"
+                levels[child] = level.child(k) if level else None
+    return [(kind, value, tag, None, False) if spot is None else (kind, value, tag, f"{names[spot[0]]}{_AT}#{places[spot[0]][spot[1]]}", linked[spot[0]]) for kind, value, tag, spot in found]
+
+
+def page_slots(page: str, wrapper: Level) -> dict[str, list[int]]:
+    """By slot: characters, linked characters and a hash of the texts."""
+    out: dict[str, list[int]] = {}
+    for _, value, _, slot, linked in matched(page, wrapper):
+        if slot is not None:
             said = value.strip()
-            slot = out.slots.setdefault(paths[-1], [0, 0, 0])
-            slot[0] += len(said)
-            slot[1] += len(said) if linked[-1] else 0
-            slot[2] = hash_text(slot[2], said)
-    out.items = folded(levels[0])
+            row = out.setdefault(slot, [0, 0, 0])
+            row[0] += len(said)
+            row[1] += len(said) if linked else 0
+            row[2] = hash_text(row[2], said)
     return out
 
 
@@ -279,7 +389,8 @@ def hash_text(before: int, text: str) -> int:
 
 
 def _parts(path: str) -> list[tuple[str, frozenset[str]]]:
-    return [(p.split(".")[0], frozenset(p.split(".")[1:])) for p in path.split("/")[1:]]
+    names = [p.partition(_AT)[0].split(".") for p in path.split("/")[1:]]
+    return [(name[0], frozenset(name[1:])) for name in names]
 
 
 def _is_boilerplate(path: str) -> bool:
@@ -294,9 +405,9 @@ def _is_framed(path: str) -> bool:
 def _block_of(path: str) -> str:
     """The slot's path without the inline elements at its end."""
     parts = path.split("/")
-    while len(parts) > 1 and parts[-1].split(".")[0] in INLINE:
+    while len(parts) > 1 and parts[-1].partition(_AT)[0].split(".")[0] in INLINE:
         parts.pop()
-    return "/".join(parts)
+    return "/".join(parts).partition(f"{_AT}#")[0]
 
 
 def main_slots(slots: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str], list[str]]:
@@ -326,53 +437,62 @@ _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrst
 
 
 def infer_wrappers(pages: DataFrame, url="url", html="html") -> DataFrame:
-    """One row per host: host, wrapper (expression), framed and loose (its main slots), n_pages."""
-    schema = "host string, kind int, name string, pages long, chars long, linked long, low long, high long"
-
+    """One row per host: host, wrapper (expression), items (the wrapper as JSON), n_pages."""
     def fold(batches):
         for batch in batches:
-            sums: dict[tuple, list[int]] = {}
+            sums: dict[tuple, int] = {}
             for address, page in zip(batch.column(url).to_pylist(), batch.column(html).to_pylist()):
-                reading, host = read(page or ""), page_host(address)
-                stream = (host, 0, json.dumps(reading.items, separators=(",", ":")))
-                sums.setdefault(stream, [0, 0, 0, 0, 0])[0] += 1
-                for path, (chars, linked, tag) in reading.slots.items():
-                    row = sums.setdefault((host, 1, path), [0, 0, 0, tag, tag])
-                    row[0] += 1
-                    row[1] += chars
-                    row[2] += linked
-                    row[3], row[4] = min(row[3], tag), max(row[4], tag)
-            columns = list(zip(*((*k, *v) for k, v in sums.items()))) or [[]] * 8
-            kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "kind", "name", "pages", "chars", "linked", "low", "high"])
+                stream = (page_host(address), json.dumps(read(page or "").items, separators=(",", ":")))
+                sums[stream] = sums.get(stream, 0) + 1
+            columns = [[k[0] for k in sums], [k[1] for k in sums], list(sums.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["host", "name", "pages"])
 
     def infer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        streams = group[group["kind"] == 0].sort_values("name")
+        streams = group.sort_values("name")
         wrapper: list[Item] = []
         for k, stream in enumerate(streams["name"]):
             wrapper = json.loads(stream) if not k else aligned(wrapper, json.loads(stream))
-        slots = {r.name: (r.chars, r.linked, r.pages, r.low == r.high) for r in group[group["kind"] == 1].set_index("name").itertuples() for r in [_named(r)]}
-        framed, loose = main_slots(slots)
-        return pd.DataFrame([(key[0], expression(wrapper), framed, loose, int(streams["pages"].sum()))], columns=["host", "wrapper", "framed", "loose", "n_pages"])
+        return pd.DataFrame([(key[0], expression(wrapper), json.dumps(wrapper, separators=(",", ":")), int(streams["pages"].sum()))], columns=["host", "wrapper", "items", "n_pages"])
 
-    found = pages.select(url, html).mapInArrow(fold, schema).groupBy("host", "kind", "name").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return found.groupBy("host").applyInPandas(infer, "host string, wrapper string, framed array<string>, loose array<string>, n_pages long")
+    found = pages.select(url, html).mapInArrow(fold, "host string, name string, pages long").groupBy("host", "name").agg(F.sum("pages").alias("pages"))
+    return found.groupBy("host").applyInPandas(infer, "host string, wrapper string, items string, n_pages long")
 
 
-@dataclass
-class _named:
-    row: object
+def judge_slots(joined: DataFrame, html="html") -> DataFrame:
+    """One row per host: host, framed and loose (its main slots), of pages with their page_host and its wrapper's items."""
+    schema = "host string, name string, pages long, chars long, linked long, low long, high long"
 
-    def __getattr__(self, name):
-        return self.row.Index if name == "name" else getattr(self.row, name)
+    def add_up(batches):
+        for batch in batches:
+            wrappers: dict[str, Level] = {}
+            sums: dict[tuple, list[int]] = {}
+            for page, host, items in zip(batch.column(html), batch.column("page_host").to_pylist(), batch.column("items")):
+                if host not in wrappers:
+                    wrappers[host] = Level(json.loads(items.as_py() or "[]"))
+                for slot, (chars, linked, tag) in page_slots(page.as_py() or "", wrappers[host]).items():
+                    row = sums.setdefault((host, slot), [0, 0, 0, tag, tag])
+                    row[0] += 1
+                    row[1] += chars
+                    row[2] += linked
+                    row[3], row[4] = min(row[3], tag), max(row[4], tag)
+            columns = list(zip(*((*k, *v) for k, v in sums.items()))) or [[]] * 7
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "name", "pages", "chars", "linked", "low", "high"])
+
+    def judge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        columns = (group[c].tolist() for c in ("name", "chars", "linked", "pages", "low", "high"))
+        framed, loose = main_slots({name: (chars, linked, n, low == high) for name, chars, linked, n, low, high in zip(*columns)})
+        return pd.DataFrame([(key[0], framed, loose)], columns=["host", "framed", "loose"])
+
+    found = joined.select(html, "page_host", "items").mapInArrow(add_up, schema).groupBy("host", "name").agg(
+        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.groupBy("host").applyInPandas(judge, "host string, framed array<string>, loose array<string>")
 
 
-def main_text(page: str, framed: frozenset[str], loose: frozenset[str]) -> str:
+def main_text(page: str, wrapper: Level, framed: frozenset[str], loose: frozenset[str]) -> str:
     """The blocks of the page's main slots, joined by two line ends."""
     found: dict[bool, list[str]] = {True: [], False: []}
     open_blocks: dict[bool, list[str]] = {True: [], False: []}
-    paths, deep = [""], 0
 
     def flush():
         for k, parts in open_blocks.items():
@@ -382,48 +502,48 @@ def main_text(page: str, framed: frozenset[str], loose: frozenset[str]) -> str:
                     found[k].append(block)
                 parts.clear()
 
-    for kind, value, tag in events(page):
+    for kind, value, tag, slot, _ in matched(page, wrapper):
         if kind == "text":
-            if paths[-1] in framed:
+            if slot in framed:
                 open_blocks[True].append(entities.unescape(value))
-            elif paths[-1] in loose:
+            elif slot in loose:
                 open_blocks[False].append(entities.unescape(value))
-            continue
-        if tag not in INLINE:
+            elif slot is None:  # a blank between inline elements
+                for parts in open_blocks.values():
+                    if parts:
+                        parts.append(" ")
+        elif tag not in INLINE:
             flush()
         elif tag == "br":
             for parts in open_blocks.values():
                 if parts:
                     parts.append(" ")
-        if kind == "open":
-            if len(paths) > DEEPEST:
-                deep += 1
-            else:
-                paths.append(f"{paths[-1]}/{value}")
-        elif kind == "close":
-            if deep:
-                deep -= 1
-            else:
-                paths.pop()
     flush()
     return "\n\n".join(found[True] or found[False])
 
 
 def extract_main_text(pages: DataFrame, page_id="page_id", url="url", html="html", broadcast_bytes=BROADCAST_BYTES) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars (code points), host."""
-    wrappers = cut(infer_wrappers(pages, url, html).select(F.col("host").alias("w_host"), "framed", "loose"), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length(F.concat_ws("", "w_host", F.array_join("framed", ""), F.array_join("loose", ""))))).first()[0] or 0
+    inferred = cut(infer_wrappers(pages, url, html).select(F.col("host").alias("w_host"), "items"), "wrappers")
     host = F.coalesce(F.translate(F.regexp_extract(F.col(url), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
     rows = pages.select(F.col(page_id), F.col(url), F.col(html), host.alias("page_host"))
-    joined = rows.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, F.col("page_host") == F.col("w_host"), "left").drop("w_host")
+
+    def with_host(wrappers: DataFrame, size) -> DataFrame:
+        n = wrappers.agg(F.sum(size)).first()[0] or 0
+        return rows.join(F.broadcast(wrappers) if n <= broadcast_bytes else wrappers, F.col("page_host") == F.col("w_host"), "left").drop("w_host")
+
+    size = F.octet_length(F.concat_ws("", "w_host", "items"))
+    judged = judge_slots(with_host(inferred, size), html)
+    wrappers = cut(inferred.join(judged, F.col("w_host") == F.col("host"), "left").select("w_host", "items", "framed", "loose"), "judged")
+    joined = with_host(wrappers, size + F.octet_length(F.concat_ws("", F.array_join("framed", ""), F.array_join("loose", ""))))
     schema = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("host", T.StringType())])
 
     def run(batches):
         for batch in batches:
             texts, sets = [], {}
-            for page, site, framed, loose in zip(batch.column(html), batch.column("page_host").to_pylist(), batch.column("framed"), batch.column("loose")):
+            for page, site, items, framed, loose in zip(batch.column(html), batch.column("page_host").to_pylist(), batch.column("items"), batch.column("framed"), batch.column("loose")):
                 if site not in sets:
-                    sets[site] = (frozenset(framed.as_py() or ()), frozenset(loose.as_py() or ()))
+                    sets[site] = (Level(json.loads(items.as_py() or "[]")), frozenset(framed.as_py() or ()), frozenset(loose.as_py() or ()))
                 texts.append(main_text(page.as_py() or "", *sets[site]))
             yield pa.RecordBatch.from_arrays([batch.column(page_id), batch.column(url), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), batch.column("page_host")], names=schema.names)
 

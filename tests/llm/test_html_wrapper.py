@@ -62,3 +62,12 @@ def test_one_wrapper_for_each_host(spark):
     got = infer_wrappers(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).orderBy("host").collect()
     assert [(r.host, r.n_pages) for r in got] == [("h0.org", 20), ("h1.org", 20)]
     assert all("article(h1(#) p+(#) ul?(li(#)))" in r.wrapper for r in got)
+
+
+def test_slots_are_places_of_the_wrapper(spark):
+    lists = [f"<title>t{k}</title><body><h2>a{k}</h2><p>b{k}</p><h2>c{k}</h2><p>d{k}</p></body>" for k in range(3)]
+    bare = [f"<title>u{k}</title><body><p>Nothing here yet</p><div>n{k}</div></body>" for k in range(3)]  # a paragraph outside the group
+    frame = spark.createDataFrame([(k, f"http://h.com/{k}", x) for k, x in enumerate(lists + bare)], "page_id long, url string, html string")
+    assert "(h2(#) p(#))*" in infer_wrappers(frame).first().wrapper
+    got = {r.page_id: r.text for r in extract_main_text(frame).collect()}
+    assert got == {k: f"a{k}\n\nb{k}\n\nc{k}\n\nd{k}" for k in range(3)} | {k: f"n{k - 3}" for k in range(3, 6)}
