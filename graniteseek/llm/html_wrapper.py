@@ -12,7 +12,8 @@ Each page is matched with its host's wrapper, level by level: an automaton over
 repeated groups included, gives every element and text its place.  A slot is a text's place with those of its
 elements, so equal names inside and outside a group are different slots.  Each slot is judged once for the host: by
 the element and class names around it, and, where no article or main element frames the text, by the slot's
-share of linked text and whether all of the host's pages say the same there.  A last match gives the texts of the main slots.
+share of linked text and whether at least three distinct pages, copies and mirrors counted once, all say the same
+there.  A last match gives the texts of the main slots.
 
 Scale: pages fold and slot sums add up on the map side, so a host with a third of all pages arrives at its
 inference as a few distinct streams and at its judgement as one row per slot.  Wrappers are broadcast only if their measured size is under
@@ -26,6 +27,7 @@ their texts are kept.  Extra columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import hashlib
 import json
 import re
 from dataclasses import dataclass
@@ -40,6 +42,8 @@ from .shared import cut
 
 BROADCAST_BYTES = 32 << 20
 DEEPEST = 64
+#: Distinct pages from which a slot that says the same on all of them is boilerplate.
+DISTINCT_PAGES = 3
 
 # Element names by role, and words of class, id and role attributes that tell boilerplate or content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -410,8 +414,14 @@ def _block_of(path: str) -> str:
     return "/".join(parts).partition(f"{_AT}#")[0]
 
 
+def said_hash(slots: dict[str, list[int]]) -> int:
+    """What a page says outside boilerplate elements, so that copies and mirrors of a page count once."""
+    data = json.dumps(sorted((slot, row[0], row[2]) for slot, row in slots.items() if not _is_boilerplate(slot)))
+    return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def main_slots(slots: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str], list[str]]:
-    """Of a host's slots (characters, linked characters, pages, always the same): the framed main ones, and
+    """Of a host's slots (characters, linked characters, distinct pages, always the same): the framed main ones, and
     those that are main in a page without a frame."""
     framed = [p for p in slots if _is_framed(p) and not _is_boilerplate(p)]
     # links inside a block are judged with the block's other text
@@ -423,7 +433,7 @@ def main_slots(slots: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str],
     loose = []
     for path, (_, _, pages, same) in slots.items():
         chars, linked = blocks[_block_of(path)]
-        if not _is_framed(path) and not _is_boilerplate(path) and 2 * linked <= chars and not (same and pages >= 3):
+        if not _is_framed(path) and not _is_boilerplate(path) and 2 * linked <= chars and not (same and pages >= DISTINCT_PAGES):
             loose.append(path)
     return sorted(framed), sorted(loose)
 
@@ -460,32 +470,40 @@ def infer_wrappers(pages: DataFrame, url="url", html="html") -> DataFrame:
 
 def judge_slots(joined: DataFrame, html="html") -> DataFrame:
     """One row per host: host, framed and loose (its main slots), of pages with their page_host and its wrapper's items."""
-    schema = "host string, name string, pages long, chars long, linked long, low long, high long"
+    schema = "host string, name string, said long, chars long, linked long, low long, high long"
 
     def add_up(batches):
         for batch in batches:
             wrappers: dict[str, Level] = {}
             sums: dict[tuple, list[int]] = {}
+            said: dict[tuple, set[int]] = {}
             for page, host, items in zip(batch.column(html), batch.column("page_host").to_pylist(), batch.column("items")):
                 if host not in wrappers:
                     wrappers[host] = Level(json.loads(items.as_py() or "[]"))
-                for slot, (chars, linked, tag) in page_slots(page.as_py() or "", wrappers[host]).items():
-                    row = sums.setdefault((host, slot), [0, 0, 0, tag, tag])
-                    row[0] += 1
-                    row[1] += chars
-                    row[2] += linked
-                    row[3], row[4] = min(row[3], tag), max(row[4], tag)
-            columns = list(zip(*((*k, *v) for k, v in sums.items()))) or [[]] * 7
+                slots = page_slots(page.as_py() or "", wrappers[host])
+                whole = said_hash(slots)
+                for slot, (chars, linked, tag) in slots.items():
+                    row = sums.setdefault((host, slot), [0, 0, tag, tag])
+                    row[0] += chars
+                    row[1] += linked
+                    row[2], row[3] = min(row[2], tag), max(row[3], tag)
+                    pages = said.setdefault((host, slot), set())
+                    if len(pages) < DISTINCT_PAGES:  # more aren't asked for
+                        pages.add(whole)
+            # a row for each of a slot's first distinct pages; its sums stand in one of them
+            rows = [(*k, whole, *(v if not n else (0, 0, v[2], v[3]))) for k, v in sums.items() for n, whole in enumerate(said[k])]
+            columns = list(zip(*rows)) or [[]] * 7
             kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "name", "pages", "chars", "linked", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "name", "said", "chars", "linked", "low", "high"])
 
     def judge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         columns = (group[c].tolist() for c in ("name", "chars", "linked", "pages", "low", "high"))
         framed, loose = main_slots({name: (chars, linked, n, low == high) for name, chars, linked, n, low, high in zip(*columns)})
         return pd.DataFrame([(key[0], framed, loose)], columns=["host", "framed", "loose"])
 
-    found = joined.select(html, "page_host", "items").mapInArrow(add_up, schema).groupBy("host", "name").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
+    sums = [F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high")]
+    found = joined.select(html, "page_host", "items").mapInArrow(add_up, schema).groupBy("host", "name", "said").agg(*sums)
+    found = found.groupBy("host", "name").agg(F.count(F.lit(1)).alias("pages"), *sums)
     return found.groupBy("host").applyInPandas(judge, "host string, framed array<string>, loose array<string>")
 
 

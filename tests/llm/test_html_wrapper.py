@@ -71,3 +71,10 @@ def test_slots_are_places_of_the_wrapper(spark):
     assert "(h2(#) p(#))*" in infer_wrappers(frame).first().wrapper
     got = {r.page_id: r.text for r in extract_main_text(frame).collect()}
     assert got == {k: f"a{k}\n\nb{k}\n\nc{k}\n\nd{k}" for k in range(3)} | {k: f"n{k - 3}" for k in range(3, 6)}
+
+
+def test_a_host_of_copies_keeps_its_text(spark):
+    page_ = "<title>t{}</title><body><div><p>All of this</p><p>is said once</p></div></body>"
+    rows = [(k, "http://copies.com/", page_.format("")) for k in range(4)] + [(k, f"http://mirrors.com/{k}", page_.format(k)) for k in range(4, 8)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.text for r in extract_main_text(frame).collect()} == {"All of this\n\nis said once"}
