@@ -258,13 +258,17 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", sketches=SKET
     others = stars.join(ra, F.col("a") == F.col("na"), "left").join(rb, F.col("b") == F.col("nb"), "left").filter(apart).select("a", "b")
     others = others.join(best.toDF("ta", "tb"), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
     links = cut(links.unionByName(_verified(cut(others, "omh-others"), bodies, similarity)), "omh-links")
-    # members that aren't connected to the first of their bucket, compared with each other
+    # members that aren't connected to the first of their bucket, compared with all its other members
     linked = links.select(F.col("a").alias("la"), F.col("b").alias("lb"))
+    roots = connected_components(links)
+    ra, rb = roots.toDF("na", "ra"), roots.toDF("nb", "rb")
     rest = held.filter("cls <> first").join(ra, F.col("cls") == F.col("na"), "left").join(rb, F.col("first") == F.col("nb"), "left")
-    rest = rest.select("bucket", "cls", "n_words", "first", F.coalesce("ra", "cls").alias("root"), F.coalesce("rb", "first").alias("first_root")).filter("root <> first_root")
-    rest = rest.join(linked, (F.col("cls") == F.col("la")) & (F.col("first") == F.col("lb")), "left_anti").select("bucket", "cls", "n_words", "root")
-    many = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("b2"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rest = rest.join(many, F.col("bucket") == F.col("b2")).select("bucket", "cls", "n_words", "root", "blocks")
+    rest = rest.select("bucket", "cls", "n_words", F.coalesce("ra", "cls").alias("root"), F.coalesce("rb", "first").alias("first_root"))
+    open_ = F.col("root") != F.col("first_root")
+    many = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(open_, F.col("n_words"))).alias("least"), F.max(F.when(open_, F.col("n_words"))).alias("most")).filter("n > 1 and least is not null")
+    many = many.select(F.col("bucket").alias("b2"), "least", "most", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    reachable = (F.col("n_words") >= F.col("least") * similarity - 1e-6) & (F.col("n_words") * similarity <= F.col("most") + 1e-6)
+    rest = rest.join(many, F.col("bucket") == F.col("b2")).filter(reachable).select("bucket", "cls", "n_words", "root", "blocks")
     more = cut(_rest_pairs(cut(rest, "omh-rest"), classes, bodies, similarity, sketches), "omh-more").distinct()
     more = cut(more.join(linked, (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left_anti"), "omh-pairs")
     if not more.isEmpty():

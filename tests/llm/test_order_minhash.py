@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from graniteseek.llm.order_minhash import WordHashes, _seeds, drop_near_duplicates, edit_distance_within, labelled_kmers, near_duplicates, order_minhash, similar
+from graniteseek.llm.order_minhash import WordHashes, _class_key, _seeds, drop_near_duplicates, edit_distance_within, labelled_kmers, near_duplicates, order_minhash, similar
 from graniteseek.llm.shared import words_of
 
 
@@ -100,3 +100,27 @@ def test_odd_rows(spark, docs_of):
     assert near_duplicates(docs.limit(0)).count() == 0 and drop_near_duplicates(docs.limit(0)).count() == 0
     nulls = docs_of(["a b c", "a b c", "d"], ids=[None, 4, None])
     assert sorted(str((r.doc_id, r.class_id)) for r in near_duplicates(nulls).collect()) == ["(4, 4)", "(None, 4)", "(None, None)"]
+
+
+def substituted(rng, words, at):
+    return [f"n{rng.randrange(10**9)}" if k in at else w for k, w in enumerate(words)]
+
+
+
+def test_chains_of_versions_in_one_bucket(spark, docs_of):
+    # both sketches pick one passage, and the first of the bucket is like only one end of the chain
+    rng, found = random.Random(11), 0
+    for _ in range(400):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+        chain = [base]
+        for k in range(2):
+            chain.append(substituted(rng, chain[-1], range(50 + 15 * k, 65 + 15 * k)))
+        keys = [order_minhash(labelled_kmers(WordHashes().of([w.encode() for w in c]), 5), _seeds(2)).tolist() for c in chain]
+        cls = [_class_key([w.encode() for w in c], b"") for c in chain]
+        if keys[0] == keys[1] == keys[2] and min(cls) != cls[1]:
+            found += 1
+            got = classes(near_duplicates(docs_of([" ".join(c) for c in chain]), sketches=2, size=5).collect())
+            assert got == {0: 0, 1: 0, 2: 0}
+            if found == 2:
+                return
+    raise AssertionError("no such chain")
