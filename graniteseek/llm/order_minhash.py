@@ -10,10 +10,11 @@ decides.  Texts under five words have one k-mer, the whole text.
 Scale: texts with the same words are one class from the start, so exact copies cost an aggregation.  Sketch keys
 (a few hundred bytes a class) are shuffled, not texts.  In a bucket every class is a candidate with the bucket's
 first one.  Each class is verified against the first that heads most of its buckets, then against those firsts it
-isn't yet connected to.  Only what isn't connected to the first of its bucket is compared further, by sketches, in
-blocks of bounded size: two sketches must agree and enough words be shared, and a class that agrees with an earlier
-one in a quarter of the sketches stands behind it.  So a group of thousands of near
-copies gives as many candidates, not their square.  Texts move once for the candidates that remain.  Components
+isn't yet connected to.  What isn't connected to the first of its bucket is then compared with all other members,
+the connected ones included, in blocks of bounded size.  Only exact bounds (lengths, shared words) spare a pair of
+different components its alignment, and what a block links is one component at once.  So a group of thousands of near
+copies gives as many candidates, not their square.  Texts move once for the
+first two verifications and once a bucket for the last.  Components
 are contracted on DataFrames; nothing about documents is collected.
 
 Cases: a null text is a class of its own kind: it links with nothing and is kept.  Empty texts and texts without a
@@ -43,6 +44,7 @@ SKETCHES = 20
 PICKS = 2
 SIMILARITY = 0.8
 BLOCK = 2048
+BLOCK_WORDS = 1 << 21
 PROFILE = 512
 #: Classes up to which a Bloom filter (20 MB) spares texts the shuffle; beyond, all move and the join decides alone.
 MOST_FILTERED = 1 << 24
@@ -240,9 +242,9 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", sketches=SKET
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
     classes = cut(classes, "omh-classes")
     # one row per class and sketch; buckets of one class go
-    each = classes.filter(F.size("keys") > 0).select("cls", "n_words", F.posexplode("keys").alias("sketch", "key")).select("cls", "n_words", F.xxhash64("sketch", "key").alias("key"))
+    each = classes.filter(F.size("keys") > 0).select("cls", "n_words", F.posexplode("keys").alias("sketch", "key")).select("cls", "n_words", "sketch", F.xxhash64("sketch", "key").alias("key"))
     buckets = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "n_words")).alias("first")).filter("n > 1").select(F.col("key").alias("bucket"), "first")
-    held = cut(each.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "cls", "n_words", F.col("first.cls").alias("first"), F.col("first.n_words").alias("first_words")), "omh-buckets")
+    held = cut(each.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "sketch", "cls", "n_words", F.col("first.cls").alias("first"), F.col("first.n_words").alias("first_words")), "omh-buckets")
     # lengths that far apart can't be similar
     near = F.least("n_words", "first_words") >= F.greatest("n_words", "first_words") * similarity - 1e-6
     stars = held.filter((F.col("cls") != F.col("first")) & near).groupBy("cls", "first").agg(F.count(F.lit(1)).alias("n"))
@@ -259,20 +261,16 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", sketches=SKET
     others = others.join(best.toDF("ta", "tb"), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
     links = cut(links.unionByName(_verified(cut(others, "omh-others"), bodies, similarity)), "omh-links")
     # members that aren't connected to the first of their bucket, compared with all its other members
-    linked = links.select(F.col("a").alias("la"), F.col("b").alias("lb"))
     roots = connected_components(links)
     ra, rb = roots.toDF("na", "ra"), roots.toDF("nb", "rb")
     rest = held.filter("cls <> first").join(ra, F.col("cls") == F.col("na"), "left").join(rb, F.col("first") == F.col("nb"), "left")
-    rest = rest.select("bucket", "cls", "n_words", F.coalesce("ra", "cls").alias("root"), F.coalesce("rb", "first").alias("first_root"))
+    rest = rest.select("bucket", "sketch", "cls", "n_words", F.coalesce("ra", "cls").alias("root"), F.coalesce("rb", "first").alias("first_root"))
     open_ = F.col("root") != F.col("first_root")
-    many = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(open_, F.col("n_words"))).alias("least"), F.max(F.when(open_, F.col("n_words"))).alias("most")).filter("n > 1 and least is not null")
-    many = many.select(F.col("bucket").alias("b2"), "least", "most", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    many = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.min(F.when(open_, F.col("n_words"))).alias("least"), F.max(F.when(open_, F.col("n_words"))).alias("most")).filter("n > 1 and least is not null")
+    many = many.select(F.col("bucket").alias("b2"), "least", "most", F.ceil(F.greatest(F.col("n") / block, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks"))
     reachable = (F.col("n_words") >= F.col("least") * similarity - 1e-6) & (F.col("n_words") * similarity <= F.col("most") + 1e-6)
-    rest = rest.join(many, F.col("bucket") == F.col("b2")).filter(reachable).select("bucket", "cls", "n_words", "root", "blocks")
-    more = cut(_rest_pairs(cut(rest, "omh-rest"), classes, bodies, similarity, sketches), "omh-more").distinct()
-    more = cut(more.join(linked, (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left_anti"), "omh-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, bodies, similarity))
+    rest = rest.join(many, F.col("bucket") == F.col("b2")).filter(reachable).select("bucket", "sketch", "cls", "n_words", "root", "blocks")
+    links = cut(links.unionByName(_rest_links(cut(rest, "omh-rest"), classes, bodies, similarity)), "omh-links")
     roots = connected_components(links).withColumnsRenamed({"node": "rn"})
     members = classes.select("cls", "least").join(roots, F.col("cls") == F.col("rn"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     members = cut(members, "omh-members")
@@ -303,55 +301,61 @@ def _class_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def _profiles(bodies: DataFrame) -> DataFrame:
-    """(pc, profile): how many words of a text fall into each of PROFILE hash buckets, as 32-bit integers."""
+    """(pc, profile, body): how many words of a text fall into each of PROFILE hash buckets, as 32-bit integers."""
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             found = [np.bincount((hashes.of(words_of(b)) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).astype("<u4").tobytes() for b in as_bytes(batch.column("body"))]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], names=["pc", "profile"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary()), batch.column("body")], names=["pc", "profile", "body"])
 
-    return bodies.mapInArrow(run, "pc long, profile binary")
+    return bodies.mapInArrow(run, "pc long, profile binary, body string")
 
 
-def _rest_pairs(rest: DataFrame, classes: DataFrame, bodies: DataFrame, similarity: float, sketches: int) -> DataFrame:
-    """Candidates among bucket members that the bucket's first one didn't take, block by block.
+def _rest_links(rest: DataFrame, classes: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among bucket members that the bucket's first one didn't take, block by block.
 
-    Texts within the edit distance share at least `similarity` of the longer one's words, with repeats.  Counts
-    of hashed words bound that from above, so pairs below it go without a loss: texts that share a passage only
-    give no candidates.
+    Every pair of different components is compared in the first sketch it shares: bounded out by its lengths, by its
+    shared words, or aligned.  Texts within the edit distance share at least `similarity` of the longer one's words,
+    with repeats; counts of hashed words bound that from above, so nothing is lost and texts that share a passage
+    only are seldom aligned.  What is linked here is one component from then on.
     """
     own = F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
     keyed = rest.join(classes.select(F.col("cls").alias("kc"), "keys"), F.col("cls") == F.col("kc"))
-    profiles = _profiles(bodies.join(rest.select(F.col("cls").alias("w")).distinct(), F.col("cls") == F.col("w"), "left_semi"))
-    keyed = keyed.join(profiles, F.col("cls") == F.col("pc"))
-    dealt = keyed.select("bucket", "cls", "n_words", "root", "keys", "profile", own.alias("own"), F.explode(pairs).alias("pair"))
-    strong = max(2, sketches // 4)
+    wanted = bodies.join(rest.select(F.col("cls").alias("w")).distinct(), F.col("cls") == F.col("w"), "left_semi")
+    keyed = keyed.join(_profiles(wanted), F.col("cls") == F.col("pc"))
+    dealt = keyed.select("bucket", "sketch", "cls", "n_words", "root", "keys", "profile", "body", own.alias("own"), F.explode(pairs).alias("pair"))
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, y = key[1], key[2]
-        group = group.sort_values("cls", kind="stable")
-        cls, n, root, own_block = (group[c].to_numpy() for c in ("cls", "n_words", "root", "own"))
-        keys = np.array(group["keys"].tolist(), np.int64)
-        profiles = np.frombuffer(b"".join(group["profile"]), "<u4").reshape(len(group), PROFILE)
-        left = np.flatnonzero(own_block == x)
-        right = left if x == y else np.flatnonzero(own_block == y)
-        covered = np.zeros(len(group), bool)  # stands behind an earlier member of this block pair
-        out = []
-        for i in left.tolist():
-            if covered[i]:
-                continue
-            others = right[right > i] if x == y else right
-            others = others[~covered[others]]
-            agree = (keys[others] == keys[i]).sum(1)
-            fits = (np.minimum(n[others], n[i]) >= np.maximum(n[others], n[i]) * similarity - 1e-6) & (agree >= 2) & (root[others] != root[i])
-            alike = others[fits]
-            shared = np.minimum(profiles[alike], profiles[i]).sum(1)
-            alike = alike[shared >= similarity * np.maximum(n[alike], n[i]) - 1e-6]
-            fits = np.isin(others, alike)
-            out += [(max(c, int(cls[i])), min(c, int(cls[i]))) for c in cls[alike].tolist()]
-            agree = np.where(fits | (root[others] == root[i]), agree, 0)
-            covered[others[agree >= strong]] = True
+        out: list[tuple[int, int]] = []
+        cls, n, root, own_block = (group[c].to_numpy(copy=True) for c in ("cls", "n_words", "root", "own"))
+        if len(group) > 1 and (root != root[0]).any():
+            sketch = int(group["sketch"].iloc[0])
+            earlier = np.array([k[:sketch] for k in group["keys"]], np.int64).reshape(len(group), sketch)
+            profiles = np.frombuffer(b"".join(group["profile"]), "<u4").reshape(len(group), PROFILE)
+            texts, hashes, read = group["body"].tolist(), WordHashes(), {}
+
+            def sequence(k: int) -> np.ndarray:
+                if k not in read:
+                    read[k] = hashes.of(words_of(texts[k].encode()))
+                return read[k]
+
+            left = np.flatnonzero(own_block == x)
+            right = left if x == y else np.flatnonzero(own_block == y)
+            for i in left.tolist():
+                others = right[right > i] if x == y else right
+                most = np.maximum(n[others], n[i]) * similarity - 1e-6
+                others = others[(np.minimum(n[others], n[i]) >= most) & (root[others] != root[i])]
+                if not len(others):
+                    continue
+                others = others[~(earlier[others] == earlier[i]).any(1)]  # they meet in an earlier sketch
+                shared = np.minimum(profiles[others], profiles[i]).sum(1)
+                others = others[shared >= similarity * np.maximum(n[others], n[i]) - 1e-6]
+                for j in others.tolist():
+                    if root[j] != root[i] and similar(sequence(i), sequence(j), similarity):
+                        out.append((max(int(cls[i]), int(cls[j])), min(int(cls[i]), int(cls[j]))))
+                        root[root == root[j]] = root[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return dealt.groupBy("bucket", "pair.x", "pair.y").applyInPandas(compare, "a long, b long")

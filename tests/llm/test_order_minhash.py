@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from graniteseek.llm.order_minhash import WordHashes, _class_key, _seeds, drop_near_duplicates, edit_distance_within, labelled_kmers, near_duplicates, order_minhash, similar
+from graniteseek.llm.order_minhash import WordHashes, _class_key, _mixed, _seeds, drop_near_duplicates, edit_distance_within, labelled_kmers, near_duplicates, order_minhash, similar
 from graniteseek.llm.shared import words_of
 
 
@@ -124,3 +124,20 @@ def test_chains_of_versions_in_one_bucket(spark, docs_of):
             if found == 2:
                 return
     raise AssertionError("no such chain")
+
+
+def test_one_equal_sketch_is_enough(spark, docs_of):
+    # one bucket of many components: a word that the only sketch picks stands in every text
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    seed = _seeds(1)
+    picked = vocabulary[min(range(4000), key=lambda k: int(_mixed(labelled_kmers(WordHashes().of([vocabulary[k].encode()]), 1) ^ seed)[0]))]
+    texts, want = [], []
+    for k in range(40):
+        base = [picked] + rng.choices(vocabulary, k=99)
+        for version in (base, *(substituted(rng, base, rng.sample(range(1, 100), 12)) for _ in range(k % 2))):
+            texts.append(" ".join(version))
+            want.append(len(texts) - 1 if version is base else want[-1])
+    for block in (2048, 8):
+        got = classes(near_duplicates(docs_of(texts), sketches=1, picks=1, size=1, block=block).collect())
+        assert [got[k] for k in range(len(texts))] == want
