@@ -1,11 +1,11 @@
 """Near-dedup with Order MinHash, verified by banded alignment.
 
-Words are a text's runs of letters and digits, A-Z lower-cased.  Every run of five words is a k-mer, labelled by
-how often it occurred before.  Each of `sketches` hash functions picks the `picks` labelled k-mers with the
+Words are a text's runs of letters and digits, A-Z lower-cased.  Every run of three words is a k-mer (of two
+in texts of up to 64 words; texts that may be similar to such have both), labelled by how often it occurred before.  Each of `sketches` hash functions picks the `picks` labelled k-mers with the
 smallest values and keeps them in text order; equal ordered picks make a candidate.  As the picks keep their order,
 agreement follows edit similarity, not only shared content.  A candidate becomes a link if the edit distance of the
 word sequences is at most (1 - similarity) of the longer one, computed in a diagonal band that grows until it
-decides.  Texts under five words have one k-mer, the whole text.
+decides.  Texts under a k-mer's words have one k-mer, the whole text.
 
 Scale: texts with the same words are one class from the start, so exact copies cost an aggregation.  Sketch keys
 (a few hundred bytes a class) are shuffled, not texts.  In a bucket every class is a candidate with the bucket's
@@ -39,8 +39,11 @@ from .bloom import bloom_filter, bloom_holds, bloom_words
 from .components import connected_components
 from .shared import as_bytes, cut, fresh, words_of
 
-SHINGLE = 5
-SKETCHES = 20
+SHINGLE = 3
+SKETCHES = 60
+#: Texts of up to SHORT words have k-mers of SHORT_SHINGLE words; those that may be similar to longer ones have both.
+SHORT = 64
+SHORT_SHINGLE = 2
 PICKS = 2
 SIMILARITY = 0.8
 BLOCK = 2048
@@ -83,7 +86,7 @@ class WordHashes:
             return np.array([known[w] for w in words], np.uint64)
 
 
-def labelled_kmers(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+def labelled_kmers(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Hashes of the k-mers, each with the number of its earlier places mixed in."""
     n = max(1, len(words) - size + 1)
     x = np.full(n, np.uint64(len(words) if len(words) < size else size))
@@ -200,7 +203,17 @@ def _class_key(words: list[bytes], body: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str, sketches: int, picks: int, size: int) -> DataFrame:
+def sketch_keys(words: np.ndarray, seeds: np.ndarray, picks: int = PICKS, size: int = SHINGLE, similarity: float = SIMILARITY) -> np.ndarray:
+    """The keys of the long k-mers, then those of the short ones; zeros for those that the length rules out."""
+    keys = np.zeros(2 * len(seeds), np.uint64)
+    if len(words) > SHORT:
+        keys[: len(seeds)] = order_minhash(labelled_kmers(words, size), seeds, picks)
+    if len(words) and len(words) * similarity <= SHORT + 1e-6:
+        keys[len(seeds) :] = order_minhash(labelled_kmers(words, min(size, SHORT_SHINGLE)), seeds, picks)
+    return keys
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str, sketches: int, picks: int, size: int, similarity: float) -> DataFrame:
     """id, cls (null for a null text), n_words, keys (empty without words) of every row."""
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("cls", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
@@ -212,7 +225,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, sketches: int, picks: int, s
                 words = words_of(body)
                 cls.append(None if body is None else _class_key(words, body))
                 counts.append(len(words))
-                keys.append(order_minhash(labelled_kmers(hashes.of(words), size), seeds, picks).view(np.int64) if words else [])
+                keys.append(sketch_keys(hashes.of(words), seeds, picks, size, similarity).view(np.int64) if words else [])
             yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(cls, pa.int64()), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
@@ -238,11 +251,11 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFra
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", sketches=SKETCHES, picks=PICKS, size=SHINGLE, similarity=SIMILARITY, block=BLOCK) -> DataFrame:
     """One row per document row: doc_id, class_id (the least doc_id of its group), kept (doc_id = class_id)."""
-    rows = cut(_keyed(docs, doc_id, text, sketches, picks, size), "omh-rows")
+    rows = cut(_keyed(docs, doc_id, text, sketches, picks, size, similarity), "omh-rows")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
     classes = cut(classes, "omh-classes")
     # one row per class and sketch; buckets of one class go
-    each = classes.filter(F.size("keys") > 0).select("cls", "n_words", F.posexplode("keys").alias("sketch", "key")).select("cls", "n_words", "sketch", F.xxhash64("sketch", "key").alias("key"))
+    each = classes.filter(F.size("keys") > 0).select("cls", "n_words", F.posexplode("keys").alias("sketch", "key")).filter("key <> 0").select("cls", "n_words", "sketch", F.xxhash64("sketch", "key").alias("key"))
     buckets = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "n_words")).alias("first")).filter("n > 1").select(F.col("key").alias("bucket"), "first")
     held = cut(each.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "sketch", "cls", "n_words", F.col("first.cls").alias("first"), F.col("first.n_words").alias("first_words")), "omh-buckets")
     # lengths that far apart can't be similar
@@ -349,7 +362,7 @@ def _rest_links(rest: DataFrame, classes: DataFrame, bodies: DataFrame, similari
                 others = others[(np.minimum(n[others], n[i]) >= most) & (root[others] != root[i])]
                 if not len(others):
                     continue
-                others = others[~(earlier[others] == earlier[i]).any(1)]  # they meet in an earlier sketch
+                others = others[~((earlier[others] == earlier[i]) & (earlier[i] != 0)).any(1)]  # they meet in an earlier sketch
                 shared = np.minimum(profiles[others], profiles[i]).sum(1)
                 others = others[shared >= similarity * np.maximum(n[others], n[i]) - 1e-6]
                 for j in others.tolist():

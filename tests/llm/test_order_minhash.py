@@ -141,3 +141,18 @@ def test_one_equal_sketch_is_enough(spark, docs_of):
     for block in (2048, 8):
         got = classes(near_duplicates(docs_of(texts), sketches=1, picks=1, size=1, block=block).collect())
         assert [got[k] for k in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_recall_at_the_threshold(spark, docs_of, similarity):
+    rng = random.Random(13)
+    texts = []
+    for n in [10, 30, 64, 70, 100, 300] * 30:
+        base = [f"v{k}" for k in rng.choices(range(3000), k=n)]
+        texts += [" ".join(base), " ".join(substituted(rng, base, rng.sample(range(n), int((1 - similarity) * n + 1e-9))))]
+    for k in range(20):  # ten words, the fifth changed
+        base = [f"w{k}x{j}" for j in range(10)]
+        texts += [" ".join(base), " ".join(substituted(rng, base, [4]))]
+    got = classes(near_duplicates(docs_of(texts)).collect())
+    found = sum(got[k] == got[k + 1] for k in range(0, len(texts), 2))
+    assert found >= 0.99 * len(texts) / 2
