@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates by containment.
 
-A block is a line of a document, as the set of its words; a template is a set of words.  A block links to a
+A block is a line of a document, as the set of its words, and on demand (`wrapped`) also any run of words as long
+as a template, for license texts wrapped over several lines; a template is a set of words.  A block links to a
 template if it holds at least `threshold` of the template's words.  Words are ordered by how many blocks of the
 whole corpus have them, rarest first; words of no template can't add to an overlap and are left out.  With
 t words and a need of ceil(threshold * t):
@@ -98,6 +99,7 @@ class ContainmentIndex:
             for place, rank in enumerate(order[: len(order) - need + 1]):
                 self.prefixes.setdefault(rank, []).append((k, place))
         self.least = min((t[3] for t in self.templates), default=1)
+        self.threshold = threshold
 
     def links(self, words: list[bytes]) -> list[tuple[int, float]]:
         """Templates that the block holds well enough, with the containment."""
@@ -121,6 +123,33 @@ class ContainmentIndex:
         return out
 
 
+    def wrapped_links(self, words: list[bytes], lengths: list[int]) -> list[tuple[int, float]]:
+        """Templates that a run of the text's words holds well enough wherever its lines end, with the best containment.
+
+        A run has the template's words with repeats (lengths), divided by the threshold.  Only templates that the
+        whole text holds are looked for.
+        """
+        out = []
+        for k, _ in self.links(words):
+            _, members, size, need = self.templates[k]
+            reach = math.floor(lengths[k] / self.threshold + 1e-9)
+            places = [(at, self.rank[w]) for at, w in enumerate(words) if w in self.vocabulary and self.rank[w] in members]
+            inside: dict[int, int] = {}
+            begin = best = 0
+            for at, rank in places:
+                inside[rank] = inside.get(rank, 0) + 1
+                while places[begin][0] <= at - reach:
+                    gone = places[begin][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    begin += 1
+                best = max(best, len(inside))
+            if best >= need:
+                out.append((k, best / size))
+        return out
+
+
 def phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[tuple[int, str]]:
     """(first word, label) of every place of every phrase."""
     flat = b" " + b" ".join(words) + b" "
@@ -162,11 +191,13 @@ def license_links(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPL
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def license_labels(docs: DataFrame, doc_id="doc_id", text="text", phrases=PHRASES, templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
+def license_labels(docs: DataFrame, doc_id="doc_id", text="text", phrases=PHRASES, templates=TEMPLATES, threshold=THRESHOLD, wrapped=False) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score: 1 with a phrase, else the best containment of a linked block, else 0.
+    score: 1 with a phrase, else the best containment of a linked block, else 0.  With `wrapped`, runs of words over
+    several lines are blocks too.
     """
+    lengths = [n for n in (len(words_of(body.encode())) for _, body in templates) if n]
     shipped = docs.sparkSession.sparkContext.broadcast((license_index(docs, text, templates, threshold), _flat_phrases(phrases)))
     schema = T.StructType([docs.schema[doc_id]] + [T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")] + [T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -179,6 +210,8 @@ def license_labels(docs: DataFrame, doc_id="doc_id", text="text", phrases=PHRASE
                 words = [w for line in lines for w in line]
                 places = phrase_places(words, flat) if words else []
                 links = [link for line in lines if len(line) >= index.least for link in index.links(line)]
+                if wrapped and len(lines) > 1:
+                    links += index.wrapped_links(words, lengths)
                 base = {label for _, label in places}
                 more = {index.templates[k][0] for k, _ in links}
                 starts = [at for at, _ in places]

@@ -41,7 +41,7 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_labels(table(spark, sf_dir, "documents"))
+    return license_labels(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

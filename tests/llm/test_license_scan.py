@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import textwrap
 
 import pytest
 
 from graniteseek.llm.license_scan import PHRASES, TEMPLATES, license_labels, license_links
+from graniteseek.llm.queries import op5_license_scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,3 +58,15 @@ def test_links_and_empty_tables(spark, docs_of):
 def test_a_very_long_text(spark, docs_of):
     row = license_labels(docs_of(["w " * 400000 + "mit license"])).first()
     assert (row.n_base, row.first_word) == (1, 400000)
+
+
+def test_wrapped_texts_have_their_labels(spark, docs_of, tmp_path):
+    full = [(label, t) for label, t in TEMPLATES if len(t) > 80]
+    texts = ["Some words before. " + t + " and some after it." for _, t in full]
+    texts = ["\n".join(f" * {line}" for line in textwrap.wrap(t, 40)) for t in texts]
+    apart = words(full[0][1])  # the same words, far from each other
+    docs_of([*texts, ("\n" + "x " * 30).join(apart)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op5_license_scan(spark, str(tmp_path)).collect()}
+    for k, (label, _) in enumerate(full):
+        assert label in got[k].labels.split(",") and got[k].score == 1.0
+    assert (got[len(full)].labels, got[len(full)].score) == ("", 0.0)
