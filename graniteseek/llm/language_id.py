@@ -12,12 +12,19 @@ segments which start with the last `order` bytes of the one before; as a state d
 segments of a batch advance in lockstep in numpy and their sums are those of the whole text.
 
 Bounds (documented parameters): at most `rows_per_language` whole training texts of `row_bytes` or less and
-`bytes_per_language` in all for each of at most `languages` languages; tables of `table_bytes`.  Only this
-sample reaches the driver.  Prediction is a map over all rows without a shuffle.
-
-Cases: `und` with score 0 if the text is null or has no letter.  Ties go to the first language by name.
-Null languages don't train.  With no training rows every text is `und`.  Extra columns are ignored by
-`predict_language` and kept by `keep_identified`.
+`bytes_per_language` in all for each of at most `languages` languages (the most frequent); tables of `table_bytes`.
+Spark applies these bounds, so only the bounded sample reaches the driver.  Prediction is a map over all rows without
+a shuffle.
+
+A filter rejects what no language explains.  Its limit in bits a byte is calibrated on a bounded sample of labelled
+texts that the model hasn't seen: `reject_factor` times the `reject_quantile` point of their rates, and no less than
+the 8 bits that plain bytes cost; it applies to the text's bytes plus `reject_bytes`, as the first bytes of a short
+text have no context.
+
+Cases: `und` with score 0 if the text is null or has no letter.  Ties go to the first language by name.  A text of any
+length is coded whole, in segments.  Repeated rows are predicted each.  Null languages don't train.  With no training
+rows every text is `und`, and the filter, which then has nothing to tell languages by, keeps all that has a letter.
+An empty table gives an empty one.  Extra columns are ignored by `predict_language` and kept by `keep_identified`.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +54,10 @@ class PpmOptions:
     bytes_per_language: int = 400 << 10
     states: int = 12_000
     table_bytes: int = 48 << 20
-    #: Bits a byte beyond which even the best language explains nothing: plain bytes cost 8.
-    reject_bits: float = 12.0
+    reject_quantile: float = 0.99
+    reject_factor: float = 2.0
+    reject_bytes: int = 16
+    plain_bits: float = 8.0
 
 
 @dataclass
@@ -195,14 +204,26 @@ def labelled_sample(docs: DataFrame, usable: Column, doc_id: str, text: str, lan
     chosen = F.lit(False)
     for name, n in sizes:
         chosen |= (F.col(lang) == F.lit(name)) & (place < F.lit(min(1.0, options.rows_per_language / n)))
-    found = rows.filter(chosen & (F.octet_length(text) <= options.row_bytes)).select(lang, F.col(text).cast("binary"), place, F.col(doc_id).cast("string"))
-    out: dict[str, list[bytes]] = {name: [] for name, _ in sizes}
-    used = dict.fromkeys(out, 0)
-    for name, body, _, _ in sorted(found.collect(), key=lambda r: (r[2], r[3], bytes(r[1]))):
-        if used[name] < options.bytes_per_language:
-            out[name].append(bytes(body))
-            used[name] += len(body)
-    return {name: texts for name, texts in out.items() if texts}
+    order = ["place", "id", "body"]
+    found = rows.filter(chosen & (F.octet_length(text) <= options.row_bytes)).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("body"), place.alias("place"), F.col(doc_id).cast("string").alias("id"))
+    # whole texts while those before them are under the bound; a language's candidates are bounded already
+    before = F.coalesce(F.sum(F.octet_length("body")).over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.withColumn("before", before).filter(F.col("before") < options.bytes_per_language)
+    out: dict[str, list[bytes]] = {}
+    for row in sorted(found.select("lang", *order).collect(), key=lambda r: (r["place"], r["id"], bytes(r["body"]))):
+        out.setdefault(row["lang"], []).append(bytes(row["body"]))
+    return out
+
+
+def reject_limit(model: PpmModel, samples: dict[str, list[bytes]], options: PpmOptions = PpmOptions()) -> float:
+    """Bits a byte beyond which no language explains a text, from labelled texts that the model hasn't learnt."""
+    rates = []
+    for language in set(samples) & set(model.languages):
+        texts = [t for t in samples[language] if _LETTER.search(t.decode("utf-8", "replace"))]
+        if texts:
+            bits = model.code_lengths(texts)[:, model.languages.index(language)]
+            rates += [b / (len(t) + options.reject_bytes) for b, t in zip(bits, texts)]
+    return max(options.plain_bits, options.reject_factor * float(np.quantile(rates, options.reject_quantile))) if rates else float("inf")
 
 
 def _predict(model: PpmModel, bodies: list[bytes | None]) -> tuple[list[str], list[float], list[float]]:
@@ -230,10 +251,10 @@ def predict_language(docs: DataFrame, model: PpmModel, doc_id="doc_id", text="te
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: PpmModel, text="text", reject_bits: float = PpmOptions.reject_bits) -> DataFrame:
+def keep_identified(docs: DataFrame, model: PpmModel, limit: float, text="text", options: PpmOptions = PpmOptions()) -> DataFrame:
     """The documents whose language is determined, with all their columns.
 
-    Rejected: texts without a letter, and texts whose best code needs more bits a byte than plain bytes do.
+    Rejected: texts without a letter, and texts whose best code needs more than `limit` bits a byte.
     """
     keep, = fresh(docs, "identified")
     schema = T.StructType([*docs.schema.fields, T.StructField(keep, T.BooleanType())])
@@ -241,8 +262,12 @@ def keep_identified(docs: DataFrame, model: PpmModel, text="text", reject_bits:
 
     def run(batches):
         for batch in batches:
-            names, _, rates = _predict(shipped.value, as_bytes(batch.column(text)))
-            ok = pa.array([n != UNDETERMINED and r <= reject_bits for n, r in zip(names, rates)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ok], names=schema.names)
+            bodies = as_bytes(batch.column(text))
+            if shipped.value.languages:
+                names, _, rates = _predict(shipped.value, bodies)
+                ok = [n != UNDETERMINED and r * len(b) <= limit * (len(b) + options.reject_bytes) for n, r, b in zip(names, rates, bodies)]
+            else:
+                ok = [bool(b and _LETTER.search(b.decode("utf-8", "replace"))) for b in bodies]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], names=schema.names)
 
     return docs.mapInArrow(run, schema).filter(F.col(keep)).drop(keep)

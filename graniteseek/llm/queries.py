@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .embedding_dedup import embedding_components
 from .html_wrapper import extract_main_text
-from .language_id import PpmOptions, fit_ppm, labelled_sample, predict_language
+from .language_id import PpmOptions, fit_ppm, keep_identified, labelled_sample, predict_language, reject_limit
 from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_labels
 from .mixing import mix_sources
 from .order_minhash import near_duplicates
@@ -57,6 +57,12 @@ def fitted_language_model(docs: DataFrame, options: PpmOptions = PpmOptions()):
     return fit_ppm(labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", options), options)
 
 
+def keep_known_languages(docs: DataFrame, options: PpmOptions = PpmOptions()) -> DataFrame:
+    """The documents that a language explains; the limit is calibrated on the held-out ones."""
+    model = fitted_language_model(docs, options)
+    return keep_identified(docs, model, reject_limit(model, labelled_sample(docs, held_out(), "doc_id", "text", "lang", options), options))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict_language(docs, fitted_language_model(docs))

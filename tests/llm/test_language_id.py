@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from graniteseek.llm.language_id import PpmOptions, fit_ppm, keep_identified, labelled_sample, predict_language
-from graniteseek.llm.queries import held_out
+from graniteseek.llm.language_id import PpmOptions, fit_ppm, keep_identified, labelled_sample, predict_language, reject_limit
+from graniteseek.llm.queries import held_out, keep_known_languages
 
 
 def brute_bits(samples, text, order):
@@ -86,9 +86,32 @@ def test_odd_rows(spark, docs_of):
     model = fit_ppm({"en": [b"the of and the of "], "de": ["straße ß ß ".encode()]})
     rows = predict_language(docs, model).collect()
     assert [(r.lang_pred, r.score) for r in rows[:3]] == [("und", 0.0)] * 3 and [r.lang_pred for r in rows[3:]] == ["en", "de", "en"]
-    kept = keep_identified(docs, model)
+    kept = keep_identified(docs, model, 12.0)
     assert kept.columns == docs.columns and kept.count() == 3
     nothing = fit_ppm({})
     assert {r.lang_pred for r in predict_language(docs, nothing).collect()} == {"und"}
+    assert sorted(str(r.doc_id) for r in keep_identified(docs, nothing, 1.0).collect()) == ["4", "4", "None"]
     assert predict_language(docs.limit(0), model).count() == 0
     assert labelled_sample(docs.limit(0), ~held_out(), "doc_id", "text", "lang", PpmOptions()) == {}
+
+
+def test_junk_goes_and_clean_texts_stay(spark, docs_of):
+    rng = random.Random(9)
+    rows = corpus(rng, 500)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    junk = ["".join(rng.choices("0123456789abcdef", k=200)) for _ in range(10)] + ["".join(rng.choices(letters, k=300)) for _ in range(10)]
+    junk += ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(80)) for _ in range(10)] + [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(40)) for _ in range(10)]
+    docs = docs_of([t for t, _ in rows] + junk, langs=[g for _, g in rows] + [None] * len(junk))
+    kept = {r.doc_id for r in keep_known_languages(docs).collect()}
+    assert not kept & set(range(500, 540)) and len(kept) >= 499
+    unlabelled = docs_of([t for t, _ in rows[:20]] + ["12 !"], langs=[None] * 21)
+    assert {r.doc_id for r in keep_known_languages(unlabelled).collect()} == set(range(20))
+    assert keep_known_languages(docs.limit(0)).count() == 0
+
+
+def test_samples_are_bounded_before_they_are_collected(spark, docs_of):
+    docs = docs_of(["x" * 100] * 300, langs=["en"] * 200 + ["de"] * 100)
+    options = PpmOptions(bytes_per_language=1000, rows_per_language=1000)
+    found = labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", options)
+    assert {k: len(v) for k, v in found.items()} == {"en": 10, "de": 10}
+    assert reject_limit(fit_ppm({}), found) == float("inf")
