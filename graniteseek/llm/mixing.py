@@ -6,17 +6,21 @@ the null space of the two balancing constraints (documents and tokens), up or do
 its expectation, until all but two at most are 0 or 1.  Moves decide the largest documents first, so those two are
 small; their landing is the outcome nearest to the expected tokens.
 
-Scale: the text is read once, to count tokens; afterwards rows hold an id, a source and a size.  A flight
-runs in blocks of a source of about `block_rows` documents, so a source with a third of all rows is as many
-blocks; each block hands its few undecided documents to the next round, which deals them into blocks again,
-until every source fits one block.  Rounds shrink the rows by over 80 times each.  Sources, not documents,
-are collected: one row each, for the targets.
+Scale: the text is read once, to count tokens; afterwards rows hold an id, a source, a size and a hash.  Rows alike in
+all of these are one unit with a number of rows (summed on the map side), so a row repeated a million times is one
+unit: its whole copies are sure and only its fraction flies.  A flight runs in blocks of a source of about `block_rows`
+units, so a source with a third of all rows is as many blocks; each block hands its few undecided units to the next
+round, which deals them into blocks again, until every source fits one block.  Rounds shrink the units by over 80 times
+each.  Sources, not documents, are collected: one row each, for the targets, at most `most_sources` of them and
+`SOURCE_BYTES` of names; more are refused, so the plan that is broadcast has a proven bound.
 
 Random choices are hashes of the document, its block and the seed: reruns and lost executors agree.
 
-Cases: a null or empty text has size 0 and is never taken.  A null source is a source, the last.  Repeated
-rows are separate documents.  A source of size 0 has target 0; empty tables give empty results.  Extra columns
-are ignored by `mix_sources` and kept by `take_mix`.
+Cases: a null or empty text has size 0 and is never taken.  A null source is a source, the last.  Repeated rows share
+their unit's copies evenly; which of them has one more is of no matter, as they are equal.  Rows of equal size fly in
+the order of their text's hash and id.  A null or large id is carried as it is.  A text of any length is one document
+and counts whole.  A source of size 0 has target 0; empty tables give empty results.  Extra columns are ignored by
+`mix_sources` and kept by `take_mix`.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,10 @@ from .shared import as_bytes, cut, fresh
 BLOCK_ROWS = 256
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3.0
+MOST_SOURCES = 100_000
+SOURCE_BYTES = 32 << 20
+#: Rows of a unit that are made at once.
+STRIDE = 1024
 
 
 def targets_of(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, total: float | None = None) -> dict[str | None, float]:
@@ -127,14 +134,13 @@ def landing(sizes: list[float], chances: list[float]) -> list[float]:
 def _flyer(names: list[str], seed: int, depth: int, last: bool):
     """The flight of one block, and its landing in the last round."""
 
-    def fly(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        # the order of equal rows is of no matter; all else is fixed
-        group = group.sort_values(["size", "tag", "doc_id"], ascending=[False, True, True], kind="stable")
-        draw = _Draws(seed, depth, *map(str, key), len(group))
-        sizes = group["size"].astype(float).tolist()
-        chances = flight(sizes, group["chance"].tolist(), draw)
+    def fly(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("size", "descending"), ("tag", "ascending"), ("doc_id", "ascending")])
+        draw = _Draws(seed, depth, *(str(k.as_py()) for k in key), group.num_rows)
+        sizes = group["size"].to_numpy().astype(float).tolist()
+        chances = flight(sizes, group["chance"].to_pylist(), draw)
         chances = landing(sizes, chances) if last else chances
-        return group.assign(chance=chances)[names]
+        return group.set_column(group.schema.get_field_index("chance"), "chance", pa.array(chances, pa.float64())).select(names)
 
     return fly
 
@@ -153,18 +159,22 @@ def token_sizes(docs: DataFrame, doc_id="doc_id", text="text", source="source")
     return docs.select(doc_id, source, text).mapInArrow(count, schema)
 
 
-def mix_sources(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, most=MOST_REPEATS, block_rows=BLOCK_ROWS, seed=1) -> DataFrame:
-    """One row per document row: doc_id, source, size, source_size, target (its source's), copies, taken (size * copies), tag."""
+def _mixed_units(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, most=MOST_REPEATS, block_rows=BLOCK_ROWS, seed=1, most_sources=MOST_SOURCES) -> DataFrame:
+    """One row per unit of equal rows: doc_id, source, size, tag, times (its rows), source_size, target, copies (of all)."""
     spark = docs.sparkSession
-    sized = cut(token_sizes(docs, doc_id, text, source).toDF("doc_id", "source", "size", "tag"), "mix-sizes")
-    stats = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).collect()}
+    sized = token_sizes(docs, doc_id, text, source).toDF("doc_id", "source", "size", "tag")
+    units = cut(sized.groupBy("doc_id", "source", "size", "tag").agg(F.count(F.lit(1)).alias("times")), "mix-units")
+    per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
+    bytes_ = per_source.agg(F.count(F.lit(1)), F.sum(F.octet_length("source"))).first()
+    if bytes_[0] > most_sources or (bytes_[1] or 0) > SOURCE_BYTES:
+        raise ValueError(f"{bytes_[0]} sources with names of {bytes_[1]} bytes; group them into at most {most_sources}")
+    stats = {r["source"]: r for r in per_source.collect()}
     targets = targets_of({s: r["size"] for s, r in stats.items()}, weights, most)
     rows = [(s, r["size"], targets[s], targets[s] / r["size"] if r["size"] else 0.0, max(1, -(-r["n"] // block_rows))) for s, r in stats.items()]
-    plan = spark.createDataFrame(rows, "plan_source string, source_size long, target double, rate double, blocks long")
-    if len(rows) <= 100_000:
-        plan = F.broadcast(plan)
-    frame = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
-    frame = frame.withColumns({"sure": F.floor("rate"), "chance": F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0)})
+    plan = F.broadcast(spark.createDataFrame(rows, "plan_source string, source_size long, target double, rate double, blocks long"))
+    frame = units.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
+    wanted = F.col("rate") * F.col("times")
+    frame = frame.withColumns({"sure": F.floor(wanted), "chance": F.when(F.col("size") > 0, wanted - F.floor(wanted)).otherwise(0.0)})
 
     schema = T.StructType([*frame.schema.fields])
     decided, depth = [], 0
@@ -178,22 +188,36 @@ def mix_sources(docs: DataFrame, doc_id="doc_id", text="text", source="source",
         moving = (F.col("chance") > 0) & (F.col("chance") < 1)
         if depth == 0:
             decided.append(frame.filter(~moving).drop("block"))
-        flown = cut(frame.filter(moving).groupBy("source", "block").applyInPandas(fly, schema), f"mix-{depth}")
+        flown = cut(frame.filter(moving).groupBy("source", "block").applyInArrow(fly, schema), f"mix-{depth}")
         decided.append(flown.filter(~moving))
         if last:
             break
         # what each source has left sets its blocks for the next round
         left = {r["source"]: r["n"] for r in flown.filter(moving).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
         rows = [(*r[:4], max(1, -(-left.get(r[0], 0) // block_rows))) for r in rows]
-        again = spark.createDataFrame([(r[0], r[4]) for r in rows], "again_source string, again long")
-        again = F.broadcast(again) if len(rows) <= 100_000 else again
+        again = F.broadcast(spark.createDataFrame([(r[0], r[4]) for r in rows], "again_source string, again long"))
         frame = flown.filter(moving).join(again, F.col("source").eqNullSafe(F.col("again_source")), "left").withColumn("blocks", F.col("again")).select(*schema.names)
         depth += 1
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    copies = (F.col("sure") + F.col("chance")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "tag")
+    return out.select("doc_id", "source", "size", "tag", "times", "source_size", "target", (F.col("sure") + F.col("chance")).cast("long").alias("copies"))
+
+
+def _counted(rows: DataFrame, times: str, name: str) -> DataFrame:
+    """Each row `times` times, with its number from 0 as `name`; long counts are made a stride at a time."""
+    some = rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) div {STRIDE}"))))
+    first = F.col(name) * STRIDE
+    return some.withColumn(name, F.explode(F.sequence(first, F.least(first + STRIDE, F.col(times)) - 1)))
+
+
+def mix_sources(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, most=MOST_REPEATS, block_rows=BLOCK_ROWS, seed=1, most_sources=MOST_SOURCES) -> DataFrame:
+    """One row per document row: doc_id, source, size, source_size, target (its source's), copies, taken (size * copies), tag."""
+    units = _mixed_units(docs, doc_id, text, source, weights, most, block_rows, seed, most_sources)
+    rows = _counted(units, "times", "place")
+    copies = F.expr("copies div times + int(place < copies % times)")
+    rows = rows.withColumn("copies", copies)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "tag")
 
 
 def take_mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", **options) -> DataFrame:
@@ -201,10 +225,9 @@ def take_mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", **o
 
     Decisions go back to the rows by id, source and text hash.
     """
-    tag, mixed, alike_rows = fresh(docs, "tag", "mixed", "alike_rows")
-    decisions = mix_sources(docs, doc_id, text, source, **options)
-    sums = decisions.groupBy("doc_id", "source", "tag").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
-    sums = cut(sums.filter("copies > 0"), "mix-copies").toDF("m_id", "m_source", "m_tag", mixed, alike_rows)
+    tag, mixed, alike_rows, m_id, m_source, m_tag = fresh(docs, "tag", "mixed", "alike_rows", "m_id", "m_source", "m_tag")
+    units = _mixed_units(docs, doc_id, text, source, **options).filter("copies > 0")
+    units = cut(units.select("doc_id", "source", "tag", "copies", "times"), "mix-copies").toDF(m_id, m_source, m_tag, mixed, alike_rows)
     schema = T.StructType([*docs.schema.fields, T.StructField(tag, T.LongType())])
 
     def tagged(batches: Iterator[pa.RecordBatch]):
@@ -213,10 +236,11 @@ def take_mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", **o
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=schema.names)
 
     rows = docs.mapInArrow(tagged, schema)
-    alike = F.col(doc_id).eqNullSafe(F.col("m_id")) & F.col(source).eqNullSafe(F.col("m_source")) & (F.col(tag) == F.col("m_tag"))
-    joined = rows.join(sums, alike, "inner").drop("m_id", "m_source", "m_tag")
+    alike = F.col(doc_id).eqNullSafe(F.col(m_id)) & F.col(source).eqNullSafe(F.col(m_source)) & (F.col(tag) == F.col(m_tag))
+    # decisions grow with the documents: a shuffle join at every size
+    joined = rows.join(units.hint("merge"), alike, "inner").drop(m_id, m_source, m_tag)
     out = joined.filter(F.col(alike_rows) == 1)
-    if not sums.filter(F.col(alike_rows) > 1).isEmpty():
-        # rows alike in id, source and text can't be told apart: one of them stands for all their copies
+    if not units.filter(F.col(alike_rows) > 1).isEmpty():
+        # rows alike in id, source and text are equal to the mix: one of them stands for all their copies
         out = out.union(joined.filter(F.col(alike_rows) > 1).dropDuplicates([doc_id, source, tag]))
-    return out.withColumn(mixed, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mixed)))).select(*docs.columns)
+    return _counted(out, mixed, tag).select(*docs.columns)
