@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from graniteseek.llm.decontaminate import contamination, contamination_spans, drop_contaminated
+from graniteseek.llm.decontaminate import WindowIndex, contamination, contamination_spans, drop_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -29,8 +29,8 @@ def brute(docs, items, window=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
-def test_matches_brute_force(spark, docs_of, block_bytes):
+@pytest.mark.parametrize("block_nodes", [2 << 20, 120])
+def test_matches_brute_force(spark, docs_of, block_nodes):
     rng = random.Random(2)
     vocabulary = ["Ab", "c9", "é", "Ünd", "x", "yy", "Zed"]
     items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 10, 12, 14])))) for k in range(12)] + [(99, None), (98, "--- !"), (0, "x x x x x x")]
@@ -43,9 +43,9 @@ def test_matches_brute_force(spark, docs_of, block_bytes):
     docs += [(60, None), (61, ""), (0, docs[0][1])]
     frame = docs_of([t for _, t in docs], ids=[i for i, _ in docs], clashing=True)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, list(r["items"]), r.contaminated) for r in contamination(frame, bench, block_bytes=block_bytes).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, list(r["items"]), r.contaminated) for r in contamination(frame, bench, block_nodes=block_nodes).collect()), key=repr)
     assert got == brute(docs, items)
-    clean = drop_contaminated(frame, bench, block_bytes=block_bytes)
+    clean = drop_contaminated(frame, bench, block_nodes=block_nodes)
     assert clean.columns == frame.columns
     assert sorted((r.doc_id, r.text or "") for r in clean.collect()) == sorted((d, t or "") for (d, t), b in zip(docs, [x for x in [brute([d], items)[0] for d in docs]]) if not b[5])
 
@@ -69,3 +69,21 @@ def test_a_very_long_text(spark, docs_of):
     item = " ".join(f"w{k}" for k in range(10))
     row = contamination(docs_of(["q " * 300000 + item]), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
     assert (row.n_words, row.n_hit, row.n_items) == (300010, 10, 1)
+
+
+def test_clashing_names_and_copies_over_several_blocks(spark, docs_of):
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(25))) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"a {items[k % 6][1]} b" for k in range(30)] + ["clean words", None, ""]
+    docs = docs_of(texts, clashing=True)
+    whole, parts = (sorted((r.doc_id, r.n_hit, r.items) for r in contamination(docs, bench, block_nodes=n).collect()) for n in (2 << 20, 130))
+    assert whole == parts and [r[1] for r in whole] == [25] * 30 + [0] * 3
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, block_nodes=130).collect()) == [30, 31, 32]
+    spans = contamination_spans(docs, bench, block_nodes=130).collect()
+    assert {r.passage for r in spans if r.doc_id == 2} == {items[2][1]}
+
+
+def test_memory_of_a_block_is_bounded():
+    items = [(str(k), " ".join(f"w{k * 7 + j}" for j in range(40)).encode()) for k in range(300)]
+    index = WindowIndex(items, 10)
+    assert index.automaton.get_stats()["nodes_count"] <= 300 * 40 * 10
