@@ -9,8 +9,10 @@ restart from 0, and the document and first token of every segment, so texts can
 Scale: a map with no shuffle.  Blocks fill from a partition's stream, so memory is bounded by
 `block_tokens`, not by the partition or by a source; only the last row of a block is likely to be loose.
 
-Cases: a null or empty text has no ids and takes no place.  A text longer than a block is cut as it comes.
-Repeated rows are packed each.  An empty table gives no rows.  Extra columns are ignored.
+Cases: a null or empty text has no ids and takes no place.  A text longer than a block is cut as it comes; runs of
+any length of one character are encoded.  Pieces of equal length keep their order, and of equally full rows the last
+opened is taken.  Repeated rows are packed each; a null doc_id is carried as null.  An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokenizer import DEFAULT_VOCABULARY, encoding, read_vocabulary, vocabulary_size
+from .tokenizer import DEFAULT_VOCABULARY, encode, encoding, read_vocabulary, vocabulary_size
 
 LENGTH = 2048
 BLOCK_TOKENS = 2 << 20
@@ -116,7 +118,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, length
         for batch in batches:
             kind = batch.schema.field(doc_id).type
             for doc, body in zip(batch.column(doc_id).to_pylist(), batch.column(text)):
-                ids = np.array(coder.encode_ordinary(body.as_py()), dtype) if body.is_valid else ()
+                ids = np.array(encode(coder, body.as_py()), dtype) if body.is_valid else ()
                 for start in range(0, len(ids), length):
                     pieces.append((doc, start, ids[start : start + length]))
                     held += len(pieces[-1][2])

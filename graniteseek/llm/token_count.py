@@ -1,18 +1,21 @@
 """Edit-aware token counts: a segment tree over the pre-tokens of each document.
 
-A text is cut into leaves of about `leaf_chars` at places where the pre-token pattern always ends a match (a
-letter before a space or line end), so the leaves' counts add up to the text's.  The tree holds sums of
-characters and tokens.  An edit finds its leaves by offset, re-encodes those, plus a neighbour when it
-touches the characters around a cut, and updates the sums above; everything else keeps its count.
+A text is cut into leaves of about `leaf_chars` at places where the pre-token pattern always ends a match whatever
+stands around: after a letter before anything else, after a digit before anything else, and after any other mark
+before white space.  So the leaves' counts add up to the text's in every script; only a single pre-token (a run of
+letters or digits without a break) is never cut.  The tree holds sums of characters and tokens.  An edit finds its
+leaves by offset, re-encodes those, plus a neighbour when it touches the characters around a cut, and updates the sums
+above; everything else keeps its count.  A long insertion is cut into leaves of its own.
 
 Trees are two integer arrays a document (`leaf_chars`, `leaf_tokens`), so a later job can count new edits
 without encoding the old text again: `build_trees`, then `recount`.
 
 Scale: maps over documents with no shuffle; memory is one document and its tree.
 
-Cases: a null text counts 0 and has no edits; an empty text has one empty leaf.  Edits apply in order, each
-in offsets of the text that the ones before have left, and are clipped to it; null edits mean none.
-Repeated rows count each.  Extra columns are ignored.
+Cases: a null text counts 0 and has no edits; an empty text has one empty leaf.  Texts and runs of one character may
+be of any length.  Edits apply in order, each in offsets of the text that the ones before have left, and are clipped
+to it; null edits mean none.  Two edits at one place apply one after the other.  Repeated rows count each; an empty
+table gives none.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokenizer import DEFAULT_VOCABULARY, encoding, read_vocabulary
+from .tokenizer import DEFAULT_VOCABULARY, encode, encoding, read_vocabulary
 
 LEAF_CHARS = 256
-_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[ \n])")
+_CUT = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\p{L}\p{N}\x1c-\x1f])(?=[ \t\r\n])")
 
 Edit = tuple[int, int, str]
 
@@ -48,8 +52,13 @@ def leaves_of(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
 class TokenTree:
     """Sums of characters and tokens over the leaves of a text."""
 
-    def __init__(self, leaves: list[str], tokens: list[int], count: Callable[[str], int]):
-        self.leaves, self.count, self.reencoded = leaves, count, 0
+    def __init__(self, leaves: list[str], tokens: list[int], count: Callable[[str], int], leaf_chars: int = LEAF_CHARS):
+        self.count, self.leaf_chars, self.reencoded = count, leaf_chars, 0
+        self._grow(leaves, tokens)
+
+    def _grow(self, leaves: list[str], tokens: list[int]) -> None:
+        """Sums over the leaves; none is encoded."""
+        self.leaves = leaves
         self.size = 1 << max(0, len(leaves) - 1).bit_length()
         self.chars = [0] * self.size + [len(x) for x in leaves] + [0] * (self.size - len(leaves))
         self.tokens = [0] * self.size + tokens + [0] * (self.size - len(leaves))
@@ -60,7 +69,7 @@ class TokenTree:
     @classmethod
     def of(cls, text: str, count: Callable[[str], int], leaf_chars: int = LEAF_CHARS) -> TokenTree:
         leaves = leaves_of(text, leaf_chars)
-        return cls(leaves, [count(x) for x in leaves], count)
+        return cls(leaves, [count(x) for x in leaves], count, leaf_chars)
 
     def total(self) -> int:
         return self.tokens[1]
@@ -103,13 +112,15 @@ class TokenTree:
             end += len(self.leaves[last])
         region = "".join(self.leaves[first : last + 1])
         region = region[: start - begin] + replacement + region[stop - begin :]
-        parts = leaves_of(region) if last > first else [region]
+        parts = leaves_of(region, self.leaf_chars)
+        counts = [self.count(part) if part else 0 for part in parts]
         slots = last - first + 1
-        # parts fill the region's leaves; what is over stays in the last, empty leaves hold nothing
-        parts = parts[: slots - 1] + ["".join(parts[slots - 1 :])]
-        for k in range(slots):
-            part = parts[k] if k < len(parts) else ""
-            self._put(first + k, part, self.count(part) if part else 0)
+        if len(parts) <= slots:  # empty leaves hold nothing
+            for k in range(slots):
+                self._put(first + k, *((parts[k], counts[k]) if k < len(parts) else ("", 0)))
+        else:
+            tokens = self.tokens[self.size : self.size + len(self.leaves)]
+            self._grow(self.leaves[:first] + parts + self.leaves[last + 1 :], tokens[:first] + counts + tokens[last + 1 :])
         self.reencoded += len(region)
 
 
@@ -125,7 +136,7 @@ def build_trees(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, doc_id="d
             for body in batch.column(text):
                 leaves = leaves_of(body.as_py(), leaf_chars) if body.is_valid else []
                 chars.append([len(x) for x in leaves])
-                tokens.append([len(coder.encode_ordinary(x)) for x in leaves])
+                tokens.append([len(encode(coder, x)) for x in leaves])
             yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(map(sum, tokens), pa.int64()), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
@@ -149,7 +160,7 @@ def recount(docs: DataFrame, edits: str | Callable[[str], list[Edit]], vocabular
         coder = encoding(shipped.value)
 
         def count(x: str) -> int:
-            return len(coder.encode_ordinary(x))
+            return len(encode(coder, x))
 
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]

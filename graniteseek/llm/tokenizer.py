@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 #: The rank files' vocabulary; a parameter everywhere.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -11,6 +12,12 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text into pre-tokens before these ranks are applied.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space from here on go past the pattern, whose backtracking keeps a state for each character.
+LONG_BLANK = 10_000
+# Fixed value: characters that the pattern's \s matches.
+_BLANK = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_BLANK = re.compile(rf"(?<![{_BLANK}])[{_BLANK}]{{{LONG_BLANK},}}")
+
 _loaded: dict[str, object] = {}
 
 
@@ -32,3 +39,20 @@ def encoding(vocabulary: bytes):
 
 def vocabulary_size(vocabulary: bytes) -> int:
     return 1 + max(int(line.split()[1]) for line in vocabulary.splitlines() if line)
+
+
+def encode(coder, text: str) -> list[int]:
+    """The text's ids, however long its runs of one kind of character are.
+
+    A run of white space is a pre-token that leaves its last character to what follows, or keeps it at the text's
+    end; both ends are pre-token boundaries, so the run is merged alone and the rest by the pattern.
+    """
+    if len(text) < LONG_BLANK:
+        return coder.encode_ordinary(text)
+    out, at = [], 0
+    for m in _LONG_BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += coder.encode_ordinary(text[at : m.start()])
+        out += coder._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + coder.encode_ordinary(text[at:])
