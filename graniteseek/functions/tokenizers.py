@@ -7,7 +7,7 @@ import os
 from typing import Protocol
 
 # Fixed value: the public pattern that byte-level rank files are meant for.
-_PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Tokenizer(Protocol):
@@ -34,7 +34,7 @@ class Ranks:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-        self.coder = tiktoken.Encoding(os.path.basename(path), pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.coder = tiktoken.Encoding(os.path.basename(path), pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         return self.coder.encode_ordinary(text)
@@ -58,14 +58,24 @@ class TokenizerFile:
         return self.coder.decode(ids)
 
 
-def tokenizer_for(name: str | None = None) -> Tokenizer:
-    """By the file's ending; characters if there is no such file or its library is missing."""
+def resolved(name: str | None) -> str | None:
+    """What a configured name comes to, decided once, on the driver: the file, or None for characters if there is no
+    such file or its library is missing."""
     try:
-        if name and os.path.exists(name):
-            return TokenizerFile(name) if name.endswith(".json") else Ranks(name)
-    except (ImportError, ValueError):
-        pass
-    return Characters()
+        tokenizer_for(name)
+    except (OSError, ImportError, ValueError):
+        return None
+    return name or None
+
+
+def tokenizer_for(name: str | None = None) -> Tokenizer:
+    """By the file's ending; characters without a name.  A file or library that is missing is an error here, so that no
+    executor counts otherwise than the rest."""
+    if not name:
+        return Characters()
+    if not os.path.exists(name):
+        raise FileNotFoundError(f"no vocabulary {name} on this machine")
+    return TokenizerFile(name) if name.endswith(".json") else Ranks(name)
 
 
 def truncate(text: str, most: int | None, tokenizer: Tokenizer) -> str:

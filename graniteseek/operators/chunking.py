@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import windows
-from ..functions.tokenizers import Characters, Tokenizer, tokenizer_for
+from ..functions.tokenizers import Characters, Tokenizer, resolved, tokenizer_for
 
 _BLOCK_END = re.compile(r"(?=\n#{1,6}\s)|\n{2,}")
 _HEADING = re.compile(r"^#{1,6}\s+(.+)$", re.S)
@@ -59,9 +59,11 @@ def pack_chunks(rows: DataFrame, text: str, most: int = 300, overlap: int = 80,
 
     tokenizer: a vocabulary file that executors have; characters without one.
     """
+    vocabulary = resolved(tokenizer)
+
     @F.pandas_udf(CHUNKS)
     def chunk(texts: pd.Series) -> pd.Series:
-        coder = tokenizer_for(tokenizer)
+        coder = tokenizer_for(vocabulary)
         return texts.map(lambda t: [dict(zip(("chunk_id", "heading", "text", "tokens"), c)) for c in chunks_of(t, most, overlap, coder)])
 
     kept = [c for c in rows.columns if c != text]
@@ -74,3 +76,13 @@ def window_chunks(rows: DataFrame, text: str, size: int, overlap: int) -> DataFr
     kept = [c for c in rows.columns if c != text]
     exploded = rows.select(*kept, F.explode(windows(F.col(text), size, overlap)).alias("c"))
     return exploded.select(*kept, "c.chunk_id", "c.start", F.col("c.text").alias("chunk_text"), F.length("c.text").alias("tokens"))
+
+
+def pruned(markdown, threshold: float = 0.48):
+    """The blocks of a page that look like prose, whatever is asked: their share of letters times their length in words, up to ten
+    as one, is `threshold` or more.  Headings stay."""
+    def score(block):
+        letters = F.length(F.regexp_replace(block, r"[^\p{L}]", "")) / F.greatest(F.length(block), F.lit(1))
+        return letters * F.least(F.size(F.split(F.trim(block), r"\s+")) / F.lit(10.0), F.lit(1.0))
+
+    return F.array_join(F.filter(F.split(markdown, r"\n{2,}"), lambda b: (score(b) >= threshold) | b.rlike(r"^#{1,6}\s")), "\n\n")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graniteseek.functions.text import retrieval_tokens
-from graniteseek.functions.tokenizers import Characters, tokenizer_for, truncate
+from graniteseek.functions.tokenizers import Characters, resolved, tokenizer_for, truncate
 from graniteseek.functions.vectors import hash_vectors
 from graniteseek.operators.embedding import Hashing, embed_texts, embedder, pooled, register_embedder
 
@@ -31,7 +31,9 @@ def test_the_hashing_embedder_equals_its_column_form(spark):
 
 
 def test_tokenizers():
-    assert isinstance(tokenizer_for(None), Characters) and isinstance(tokenizer_for("/no/such/file"), Characters)
+    assert isinstance(tokenizer_for(None), Characters) and resolved(None) is None and resolved("/no/such/file") is None
+    with pytest.raises(FileNotFoundError):
+        tokenizer_for("/no/such/file")
     assert truncate("abcdef", 3, Characters()) == "abc" and truncate("abc", 0, Characters()) == "abc"
     for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
         coder = tokenizer_for(f"/opt/tokenizers/{name}")
