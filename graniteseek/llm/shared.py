@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
+__all__ = ["as_bytes", "ascii_lower", "cut", "free", "fresh", "shared_folder", "table", "words_of"]
+
 #: A-Z lower-cased, 0-9, a-z and all bytes of non-ASCII characters kept, the rest blank.
 _WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -31,18 +35,6 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def fresh(frame: DataFrame, *names: str) -> list[str]:
-    """Names like those given that no column of the frame has, whatever their case."""
-    taken = {c.lower() for c in frame.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
@@ -67,7 +59,20 @@ def cut(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def free(*frames: DataFrame | None) -> None:
+    """Deletes tables that `cut` wrote, once all that read them is written itself."""
+    for frame in frames:
+        path = getattr(frame, "_scratch", None)
+        if path:
+            spark = frame.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            frame._scratch = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

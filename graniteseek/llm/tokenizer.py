@@ -6,12 +6,11 @@ import base64
 import hashlib
 import re
 
+from ..functions.tokenizers import PRE_TOKENS
+
 #: The rank files' vocabulary; a parameter everywhere.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-# Fixed value: the public pattern that splits text into pre-tokens before these ranks are applied.
-PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 #: Runs of white space from here on go past the pattern, whose backtracking keeps a state for each character.
 LONG_BLANK = 10_000
 # Fixed value: characters that the pattern's \s matches.

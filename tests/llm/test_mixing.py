@@ -71,3 +71,32 @@ def test_the_mix_itself(spark, docs_of):
         got[(r.doc_id, r.source)] = got.get((r.doc_id, r.source), 0) + 1
     assert got == {k: n for k, n in decided.items() if n}
     assert take_mix(docs.limit(0)).count() == 0
+
+
+def test_ids_are_carried_as_they_are(spark, docs_of):
+    ids = [None] + [(1 << 62) + k for k in range(9)]
+    docs = docs_of([f"w{k} " * (k + 3) for k in range(10)], ids=ids, sources=["s"] * 5 + ["t"] * 5)
+    assert sorted(str(r.doc_id) for r in mix_sources(docs).collect()) == sorted(map(str, ids))
+
+
+def test_names_of_the_join_may_stand_in_the_table(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(["a b c", "d e"] * 20).withColumns({c: F.lit(1) for c in ("m_id", "m_source", "M_TAG", "times", "place")})
+    assert take_mix(docs).columns == docs.columns and take_mix(docs).count() == sum(r.copies for r in mix_sources(docs).collect())
+
+
+def test_equal_rows_are_one_unit(spark, docs_of):
+    docs = docs_of(["the same words"] * 3000 + [f"w{k} other" for k in range(500)], ids=[7] * 3000 + list(range(100, 600)), sources=["s"] * 3300 + ["t"] * 200)
+    rows = mix_sources(docs, block_rows=32).collect()
+    mine = [r.copies for r in rows if r.doc_id == 7]
+    assert len(rows) == 3500 and len(mine) == 3000 and max(mine) - min(mine) <= 1
+    for s in "st":
+        some = [r for r in rows if r.source == s]
+        assert sum(r.taken for r in some) == pytest.approx(some[0].target, abs=10) and all(r.taken <= 3 * r.size for r in some)
+    assert sum(r.doc_id == 7 for r in take_mix(docs, block_rows=32).collect()) == sum(mine)
+
+
+def test_too_many_sources_are_refused(spark, docs_of):
+    with pytest.raises(ValueError, match="sources"):
+        mix_sources(docs_of(["a"] * 5, sources=list("abcde")), most_sources=4)

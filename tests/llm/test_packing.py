@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from graniteseek.llm.packing import best_fit_decreasing, pack_documents, unpack, write_packed
+from graniteseek.llm.tokenizer import encode, encoding, read_vocabulary
 
 
 def naive(lengths, length):
@@ -49,3 +50,26 @@ def test_round_trip(spark, docs_of, tmp_path, block_tokens):
 
 def test_empty_table(spark, docs_of):
     assert pack_documents(docs_of(["a"]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a", "7", "漢", "　", " \n\t"])
+def test_runs_of_any_length(spark, docs_of, run):
+    texts = ["x" + run * 1_200_000 + "end", run * 400_000, "normal words here"]
+    got = unpack(pack_documents(docs_of(texts)))
+    assert [got[k] for k in range(3)] == texts
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_long_blanks_give_the_ids_of_the_whole(seed):
+    coder, rng = encoding(read_vocabulary()), random.Random(seed)
+    parts = [rng.choice(["word", "!", "12", "é", "'s", "\x85"]) + rng.choice([" ", "\n", "\t", " ", "　"]) * rng.choice([0, 1, 3, 9_999, 10_000, 25_000]) for _ in range(8)]
+    text = rng.choice(["", " " * 12_000]) + "".join(parts)
+    assert encode(coder, text) == coder.encode_ordinary(text)
+
+
+def test_repeated_rows_null_ids_and_very_long_texts(spark, docs_of):
+    texts = ["same text here"] * 5 + ["w0 " * 300_000, None]
+    rows = pack_documents(docs_of(texts, ids=[1, 1, 2, None, None, 3, 4], clashing=True)).collect()
+    whose = [d for r in rows for d in r.doc_ids]
+    assert whose.count(1) == 2 and whose.count(2) == 1 and whose.count(None) == 2 and 4 not in whose
+    assert sum(r.n_tokens for r in rows) > 300_000 and max(r.n_tokens for r in rows) <= 2048

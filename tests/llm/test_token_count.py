@@ -64,3 +64,42 @@ def test_scrubbing_counts(spark, docs_of, count):
         assert (rows[k].n_tokens, rows[k].n_tokens_after) == (count(t or ""), count(after))
     assert rows[0].n_edits == 3 and rows[4].n_edits == 4000
     assert recount(docs_of(["a"]).limit(0), scrub_edits).count() == 0 and build_trees(docs_of(["a"]).limit(0)).count() == 0
+
+
+def test_letters_and_digits_are_those_of_the_tokenizer():
+    # an encoding whose pattern knows only letters keeps only what it takes for letters
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        only = tiktoken.Encoding("kind" + kind, pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs = set(only.decode(only.encode_ordinary(every)))
+        ours = set(regex.findall(kind, every))
+        assert ours - theirs <= (set("\x1c\x1d\x1e\x1f") if kind == r"\s" else set()) and not theirs - ours
+
+
+@pytest.mark.parametrize("unit", ["слово ", "漢字、かな。", "12345, ", "مرحبا ", "-- "])
+def test_every_script_is_cut(count, unit):
+    text = unit * 4000
+    leaves = leaves_of(text)
+    assert "".join(leaves) == text and sum(map(count, leaves)) == count(text) and max(map(len, leaves)) < 300
+    tree = TokenTree.of(text, count)
+    tree.edit(9000, 9003, "new")
+    assert tree.total() == count(tree.text()) and tree.reencoded < 900
+
+
+def test_a_long_insertion_gets_leaves_of_its_own(count):
+    tree = TokenTree.of("some words here " * 100, count)
+    tree.edit(500, 500, "inserted text, " * 2000)
+    assert tree.total() == count(tree.text()) and max(map(len, tree.leaves)) < 300
+    before = tree.reencoded
+    tree.edit(9000, 9001, "x")
+    assert tree.total() == count(tree.text()) and tree.reencoded - before < 900
+
+
+def test_long_runs_and_equal_places(spark, docs_of, count):
+    texts = ["x" + " " * 1_500_000 + "y", "ab " * 10, None]
+    edits = F.array(*(F.struct(F.lit(2).cast("long").alias("start"), F.lit(2).cast("long").alias("stop"), F.lit(t).alias("text")) for t in ("1", "2"))).cast(EDITS)
+    rows = {r.doc_id: r for r in recount(docs_of(texts, clashing=True).withColumn("e", edits), "e").collect()}
+    assert rows[0].n_chars_after == 1_500_004 and rows[1].n_tokens_after == count("ab21 " + "ab " * 9) and rows[2].n_tokens == 0
