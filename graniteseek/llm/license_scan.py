@@ -16,8 +16,9 @@ Scale: two maps over the documents, the first for word frequencies (summed per b
 the templates' vocabulary is collected), the second for the join.  Templates are a parameter, checked to fit
 `template_words`, and the only thing broadcast.  No shuffle of text, no pairs of documents.
 
-Cases: a null text is empty and has no word, place or label.  Repeated rows get a row each; extra columns are
-ignored; empty tables and templates without words give no links.
+Cases: a null text is empty and has no word, place or label.  A text of any length is read whole, in time linear in
+its words.  Templates held equally well all give their labels; words of equal frequency are ordered by their bytes.
+Repeated rows get a row each; extra columns are ignored; empty tables and templates without words give no links.
 """
 
 from __future__ import annotations
@@ -122,7 +123,6 @@ class ContainmentIndex:
                     out.append((k, overlap / size))
         return out
 
-
     def wrapped_links(self, words: list[bytes], lengths: list[int]) -> list[tuple[int, float]]:
         """Templates that a run of the text's words holds well enough wherever its lines end, with the best containment.
 
@@ -155,9 +155,11 @@ def phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[
     flat = b" " + b" ".join(words) + b" "
     out = []
     for phrase, label in phrases:
-        at = flat.find(phrase)
+        at, before, blanks = flat.find(phrase), 0, 0
         while at >= 0:
-            out.append((flat.count(b" ", 0, at), label))
+            blanks += flat.count(b" ", before, at)  # from the last place on, so a text is counted once
+            before = at
+            out.append((blanks, label))
             at = flat.find(phrase, at + 1)
     return out
 

@@ -70,3 +70,11 @@ def test_wrapped_texts_have_their_labels(spark, docs_of, tmp_path):
     for k, (label, _) in enumerate(full):
         assert label in got[k].labels.split(",") and got[k].score == 1.0
     assert (got[len(full)].labels, got[len(full)].score) == ("", 0.0)
+
+
+def test_a_very_long_text_of_phrases_is_linear(spark, docs_of):
+    import time
+
+    began = time.time()
+    row = license_labels(docs_of(["the MIT license " * 200_000], clashing=True)).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (600_000, 200_000, 1, 599_998) and time.time() - began < 60
