@@ -1,22 +1,27 @@
 """Embedding near-dedup: an exact metric range join of vectors with equal labels.
 
-On unit vectors, cosine >= c is Euclidean distance <= r = sqrt(2 - 2c).  Each label has pivots; a vector's home
-cell is that of its nearest pivot.  A vector is replicated to every other cell in which it may have a
-neighbour: if y's nearest pivot is q and d(x, y) <= r, the triangle inequality gives d(x, q) <= d(x, p) + 2r for
-x's nearest pivot p, and d(x, q) <= r + (the farthest any vector of q's cell is from q).  So a cell holds all
-neighbours of its home vectors and cells join independently: links of a vector are counted at home, and
-each cell gives a spanning forest of its links rather than all pairs.
-
-Equal vectors are one class with a count from the start, so thousands of copies are a single point.  A cell of
-more than `block` points is dealt into blocks by hash and joined block by block, each task with at most two
-blocks of bounded size, with nothing dropped.
-
-Scale: pivots (at most `pivots` in all, so a bounded broadcast) come from a hash sample of the classes; vectors
-move once for the classes and once for the cells.  Components are found by contraction on DataFrames.
+On unit vectors, cosine >= c is Euclidean distance <= r = sqrt(2 - 2c).  All vectors of a label are a cell at first.  A
+cell of more than `cell` vectors gets pivots, a hash sample of it; a vector's home is the part of its nearest pivot.
+It is replicated to every other part in which it may have a neighbour: if y's nearest pivot is q and d(x, y) <= r, the
+triangle inequality gives d(x, q) <= d(x, p) + 2r for x's nearest pivot p, and x is no more than r beyond the plane
+between p and q.  Parts that are still too large are split again with pivots of their own, so pivots grow with the
+vectors.  A cell holds all neighbours of its home vectors and cells join independently: links of a vector are counted
+at home, and each cell gives a spanning forest of its links rather than all pairs.
+
+A cell is split only where probes, other sampled vectors, show that it pays: with m pivots and f replicas a vector, the
+join falls by m / f^2.  Vectors of one dense ball, in which the inequality rules nothing out, stay together.  Equal
+vectors are one class with a count from the start, so thousands of copies are a single point.  A cell that stays above
+`block` points is dealt into blocks by hash and joined block by block, each task with at most two blocks of bounded
+size, with nothing dropped; only there the work is quadratic.
+
+Scale: the pivots of a round take at most `pivot_bytes`, a bounded broadcast, and the largest cells come first; a round
+is a map.  Vectors move once for the classes and once, as they were given, for the cells.  Components are found by
+contraction on DataFrames; scratch tables are deleted when they have been read.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with
-nothing and are kept.  Vectors of different lengths never link.  Repeated vec_ids are rows of their own that
-link if their vectors do; a null vec_id stands after all others in component_id.  Empty tables give no rows.
+nothing and are kept.  Vectors of different lengths never link.  Ties in distance go to the first pivot.  Repeated
+vec_ids are rows of their own that link if their vectors do; a null vec_id stands after all others in component_id.
+Empty tables give no rows.  Extra columns are ignored by `embedding_components` and kept by `drop_near_vectors`.
 """
 
 from __future__ import annotations
@@ -26,49 +31,119 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import cut, fresh
+from .shared import cut, free, fresh
 
 COSINE = 0.93
-PIVOTS = 2048
 CELL = 2048
 BLOCK = 2048
+#: Pivots of one cell in a round, what the pivots of a round may take, and rounds.
+MOST_PIVOTS = 256
+PIVOT_BYTES = 16 << 20
+ROUNDS = 8
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """label, v (array of double), cls (hash), n rows, least id: one row per label and distinct vector that can link."""
+def _able() -> Column:
+    """Whether a row (label, v) can link."""
     v = F.col("v")
-    fine = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    keyed = rows.filter(F.col("label").isNotNull() & fine)
-    return keyed.groupBy("cls", "label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    fine = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.col("label").isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """cls (a number), hi and lo (128 bits of label and vector), label, v, n rows, least id: one row per label and
+    distinct vector that can link."""
+    found = rows.filter("hi is not null").groupBy("hi", "lo", "label").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    return cut(found.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
 
 
 def _unit(vectors) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    """Rows of length 1, in double precision."""
+    x = vectors.astype(np.float64) if isinstance(vectors, np.ndarray) else np.array([np.asarray(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _pivots(classes: DataFrame, cell: int, pivots: int) -> dict[tuple, np.ndarray]:
-    """Pivots by label and length: about one for `cell` classes, a hash sample of bounded size in all."""
-    sizes = classes.groupBy("label", F.size("v").alias("width")).count().filter(F.col("count") > cell).orderBy(F.desc("count"), "label", "width").limit(pivots).collect()
-    out: dict[tuple, np.ndarray] = {}
-    if not sizes:
-        return out
-    whole = sum(r["count"] for r in sizes)
-    rate = min(1.0, pivots / (whole / cell)) / cell
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen |= (F.col("label") == r["label"]) & (F.size("v") == r["width"])
-    place = F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _parts(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each vector's nearest pivot, and which other parts it may have a neighbour in."""
+    d = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+    near, gap = d.argmin(1), d.min(1)
+    between = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))[near]
+    plane = (d * d - (gap * gap)[:, None]) / np.maximum(2 * between, 1e-12)
+    may = (d <= gap[:, None] + 2 * radius + 1e-9) & ((plane <= radius + 1e-9) | (between < 1e-9))
+    may[np.arange(len(x)), near] = False
+    return near, may
+
+
+def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most: int, pivot_bytes: int, round_: int) -> dict[tuple, np.ndarray]:
+    """Pivots of the largest cells (label, width, cell) that are worth a split; what was looked at goes into `done`."""
+    keys = ["label", "width", "cell"]
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cell)
+    # a cell has two pivots and two probes at least, so no more cells than this fit
+    least = pivot_bytes // (4 * 8)
+    large = [r for r in sizes.orderBy(F.desc("size"), *keys).limit(min(100_000, least)).collect() if tuple(r[k] for k in keys) not in done]
+    chosen, left = [], pivot_bytes
+    for r in large:
+        n = min(most, max(2, math.ceil(2 * r["size"] / cell)))
+        if left < 2 * n * 8 * r["width"]:
+            break
+        left -= 2 * n * 8 * r["width"]
+        chosen.append((*(r[k] for k in keys), 2.0 * n / r["size"]))
+    if not chosen:
+        return {}
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    rates = F.broadcast(points.sparkSession.createDataFrame(chosen, kinds + ", rate double"))
+    place = F.pmod(F.xxhash64("cls", F.lit(2 + round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = points.join(rates, keys).filter(place < F.col("rate")).select(*keys, "cls", "v", place.alias("place")).collect()
     found: dict[tuple, list] = {}
-    for r in sorted(classes.filter(chosen & (place < rate)).select("label", "v", "cls").collect(), key=lambda r: r["cls"]):
-        found.setdefault((r["label"], len(r["v"])), []).append(r["v"])
-    return {k: _unit(v) for k, v in found.items()}
+    for r in sorted(sample, key=lambda r: (r["place"], r["cls"])):
+        found.setdefault(tuple(r[k] for k in keys), []).append(r["v"])
+    out = {}
+    for *key, _ in chosen:
+        done.add(tuple(key))
+        vectors = found.get(tuple(key), [])
+        if len(vectors) >= 4:
+            x = _unit(vectors)
+            pivots, probes = x[0::2], x[1::2]
+            copies = 1 + _parts(probes, pivots, radius)[1].sum(1).mean()
+            if 2 * copies * copies <= len(pivots) or copies < 1.25:
+                out[tuple(key)] = pivots
+    return out
+
+
+def _split(points: DataFrame, centres: dict[tuple, np.ndarray], radius: float) -> DataFrame:
+    """The points with cells split by their pivots; those of other cells as they are."""
+    shipped = points.sparkSession.sparkContext.broadcast(centres)
+    names = points.columns
+
+    def place(batches):
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in ("label", "width", "cell"))))
+            rows_of: dict[tuple, list[int]] = {}
+            for k, key in enumerate(keys):
+                rows_of.setdefault(key, []).append(k)
+            rows, cells, homes = [], [], []
+            was_home, vectors = batch.column("home").to_pylist(), batch.column("v")
+            for key, some in rows_of.items():
+                pivots = shipped.value.get(key)
+                if pivots is None:
+                    rows += some
+                    cells += [key[2]] * len(some)
+                    homes += [was_home[k] for k in some]
+                    continue
+                near, may = _parts(_unit(vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), key[1])), pivots, radius)
+                at, part = np.nonzero(may)
+                rows += some + [some[k] for k in at.tolist()]
+                cells += [f"{key[2]}/{p}" for p in [*near.tolist(), *part.tolist()]]
+                homes += [was_home[k] for k in some] + [False] * len(at)
+            out = batch.take(pa.array(rows, pa.int64()))
+            columns = {**{n: out.column(n) for n in names}, "cell": pa.array(cells, pa.string()), "home": pa.array(homes, pa.bool_())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return points.mapInArrow(place, points.schema)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
@@ -99,41 +174,23 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embedding", label="label", cosine=COSINE, pivots=PIVOTS, cell=CELL, block=BLOCK) -> DataFrame:
+def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embedding", label="label", cosine=COSINE, cell=CELL, block=BLOCK, most_pivots=MOST_PIVOTS, pivot_bytes=PIVOT_BYTES) -> DataFrame:
     """One row per vector row: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    key = F.xxhash64(F.col(label), F.col(embedding))
-    rows = vectors.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("v"), key.alias("cls"))
-    classes = cut(_classes(rows), "vector-classes")
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(embedding).alias("v"))
+    rows = rows.select("id", "label", "v", *(F.when(_able(), F.xxhash64(F.lit(seed), "label", "v")).alias(name) for seed, name in enumerate(("hi", "lo"))))
+    classes = _classes(rows)
     radius = math.sqrt(2 - 2 * cosine)
-    centres = _pivots(classes, cell, pivots)
-    shipped = spark.sparkContext.broadcast(centres)
-
-    placed = "label " + vectors.schema[label].dataType.simpleString() + ", width int, cls long, n long, near int, far array<int>, gap double, v array<double>"
-
-    def place(batches):
-        for batch in batches:
-            frame = batch.to_pandas()
-            for (lab, width), part in frame.assign(width=frame["v"].map(len)).groupby(["label", "width"], sort=False):
-                points, x = shipped.value.get((lab, width)), _unit(part["v"])
-                if points is None:
-                    near, far, gap = [0] * len(x), [[]] * len(x), [0.0] * len(x)
-                else:
-                    d = np.sqrt(np.maximum(2 - 2 * (x @ points.T), 0))
-                    near, gap = d.argmin(1), d.min(1)
-                    # each other pivot q by the triangle inequality, and by the distance to the plane between p and q
-                    between = np.sqrt(np.maximum(2 - 2 * (points @ points.T), 0))[near]
-                    plane = (d * d - (gap * gap)[:, None]) / np.maximum(2 * between, 1e-12)
-                    may = (d <= gap[:, None] + 2 * radius + 1e-9) & ((plane <= radius + 1e-9) | (between < 1e-9))
-                    may[np.arange(len(x)), near] = False
-                    far = [np.flatnonzero(m).tolist() for m in may]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"label": part["label"].to_numpy(), "width": np.int32(width), "cls": part["cls"].to_numpy(), "n": part["n"].to_numpy(), "near": np.asarray(near, np.int32), "far": far, "gap": gap, "v": list(x)}), schema=arrow)
-
-    arrow = pa.schema([("label", _arrow_type(vectors.schema[label].dataType)), ("width", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("near", pa.int32()), ("far", pa.list_(pa.int32())), ("gap", pa.float64()), ("v", pa.list_(pa.float64()))])
-    homes = cut(classes.select("label", "cls", "n", "v").mapInArrow(place, placed), "vector-homes")
-    # members of each cell, and into how many blocks it is dealt
-    where = homes.select("label", "width", "cls", "n", "v", F.explode(F.concat(F.array(F.struct(F.col("near").alias("cell"), F.lit(True).alias("home"))), F.transform("far", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("home"))))).alias("at"))
-    where = where.select("label", "width", "cls", "n", "v", "at.cell", "at.home")
+    points = classes.select("label", F.size("v").alias("width"), "cls", "n", "v", F.lit("").alias("cell"), F.lit(True).alias("home"))
+    scratch, done = [], set()
+    for round_ in range(ROUNDS):
+        centres = _pivots(points, done, radius, cell, most_pivots, pivot_bytes, round_)
+        if not centres:
+            break
+        points = cut(_split(points, centres, radius), "vector-points")
+        scratch.append(points)
+    free(*scratch[:-1])
+    # into how many blocks each cell is dealt
+    where = points
     sizes = where.groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     dealt = where.join(sizes, ["label", "width", "cell"])
     own = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int")
@@ -143,7 +200,7 @@ def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embeddi
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, y = key[3], key[4]
-        matrix = np.array(group["v"].tolist())
+        matrix = _unit(group["v"])
         cls, n, home, own_block = (group[c].to_numpy() for c in ("cls", "n", "home", "block"))
         left = np.flatnonzero(own_block == x)
         right = left if x == y else np.flatnonzero(own_block == y)
@@ -167,25 +224,19 @@ def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embeddi
         return pd.DataFrame(column)
 
     found = cut(groups.groupBy("label", "width", "cell", "pair.x", "pair.y").applyInPandas(join, "cls long, links long, other long"), "vector-links")
-    roots = connected_components(found.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    members = classes.select("cls", "n", "least").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    members = cut(members.select("cls", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")), "vector-members")
+    free(*scratch[-1:])
+    roots = connected_components(found.filter("other is not null").select(F.xxhash64("cls").alias("a"), F.xxhash64("other").alias("b")))
+    links = found.groupBy(F.col("cls").alias("c2")).agg(F.sum("links").alias("links"))
+    members = classes.select("hi", "lo", "cls", "n", "least").join(links, F.col("cls") == F.col("c2"), "left").join(roots, F.xxhash64("cls") == F.col("node"), "left")
+    members = cut(members.select("hi", "lo", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", F.xxhash64("cls")).alias("root")), "vector-members")
+    free(found, classes, roots)
     firsts = cut(members.groupBy(F.col("root").alias("r2")).agg(F.min("least").alias("component")), "vector-firsts")
-    info = members.join(firsts, F.col("root") == F.col("r2")).select(F.col("cls").alias("c2"), "n", "links", "component")
-    # rows that can't link have no class; their key is made null so that none matches by accident
-    able = F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    result = rows.select("id", F.when(able, F.col("cls")).alias("cls")).join(info, F.col("cls") == F.col("c2"), "left")
+    info = members.join(firsts, F.col("root") == F.col("r2")).select(F.col("hi").alias("h2"), F.col("lo").alias("l2"), "n", "links", "component")
+    result = rows.select("id", "hi", "lo").join(info, (F.col("hi") == F.col("h2")) & (F.col("lo") == F.col("l2")), "left")
     component = F.coalesce("component", "id")
     return result.select(F.col("id").alias(vec_id), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def drop_near_vectors(vectors: DataFrame, vec_id="vec_id", **options) -> DataFrame:
     """The vectors whose id is their component's smallest, with all their columns."""
     mark, = fresh(vectors, "kept_id")
