@@ -16,12 +16,16 @@ share of linked text and whether at least three distinct pages, copies and mirro
 there.  A last match gives the texts of the main slots.
 
 Scale: pages fold and slot sums add up on the map side, so a host with a third of all pages arrives at its
-inference as a few distinct streams and at its judgement as one row per slot.  Wrappers are broadcast only if their measured size is under
+inference as its distinct streams and at its judgement as one row per slot.  Hosts of more than `STREAMS` distinct
+streams are aligned as a tree: streams are dealt by hash into groups of bounded size, each group becomes one stream,
+and so on until one group is left.  Groups and their order follow from the streams alone, so the wrapper doesn't
+depend on how pages are dealt to tasks.  Wrappers are broadcast only if their measured size is under
 `broadcast_bytes`; else pages join them by host, which Spark may split by skew.
 
 Cases: a null or empty html gives an empty text, a null or odd url the host ''.  Tags that never close, stray ends,
-cut-off pages and repeated rows are read as they come.  Elements nested deeper than 64 share their ancestor's slot;
-their texts are kept.  Extra columns are ignored.
+cut-off pages and repeated rows are read as they come; a page of any length is read whole.  Elements nested deeper
+than 64 share their ancestor's slot; their texts are kept.  Of several ways to match a page, that through the earliest
+places counts.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, free
 
 BROADCAST_BYTES = 32 << 20
 DEEPEST = 64
 #: Distinct pages from which a slot that says the same on all of them is boilerplate.
 DISTINCT_PAGES = 3
+#: Distinct streams that are aligned in one task.
+STREAMS = 512
 
 # Element names by role, and words of class, id and role attributes that tell boilerplate or content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -446,7 +452,7 @@ def page_host(url: str | None) -> str:
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def infer_wrappers(pages: DataFrame, url="url", html="html") -> DataFrame:
+def infer_wrappers(pages: DataFrame, url="url", html="html", streams=STREAMS) -> DataFrame:
     """One row per host: host, wrapper (expression), items (the wrapper as JSON), n_pages."""
     def fold(batches):
         for batch in batches:
@@ -457,14 +463,28 @@ def infer_wrappers(pages: DataFrame, url="url", html="html") -> DataFrame:
             columns = [[k[0] for k in sums], [k[1] for k in sums], list(sums.values())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["host", "name", "pages"])
 
-    def infer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        streams = group.sort_values("name")
+    def united(group: pd.DataFrame) -> list[Item]:
         wrapper: list[Item] = []
-        for k, stream in enumerate(streams["name"]):
+        for k, stream in enumerate(sorted(set(group["name"]))):
             wrapper = json.loads(stream) if not k else aligned(wrapper, json.loads(stream))
-        return pd.DataFrame([(key[0], expression(wrapper), json.dumps(wrapper, separators=(",", ":")), int(streams["pages"].sum()))], columns=["host", "wrapper", "items", "n_pages"])
+        return wrapper
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], json.dumps(united(group), separators=(",", ":")), int(group["pages"].sum()))], columns=["host", "name", "pages"])
 
-    found = pages.select(url, html).mapInArrow(fold, "host string, name string, pages long").groupBy("host", "name").agg(F.sum("pages").alias("pages"))
+    def infer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        wrapper = united(group)
+        return pd.DataFrame([(key[0], expression(wrapper), json.dumps(wrapper, separators=(",", ":")), int(group["pages"].sum()))], columns=["host", "wrapper", "items", "n_pages"])
+
+    found = cut(pages.select(url, html).mapInArrow(fold, "host string, name string, pages long").groupBy("host", "name").agg(F.sum("pages").alias("pages")), "streams")
+    while True:
+        wide = cut(found.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > streams), "wide")
+        if wide.isEmpty():
+            break
+        dealt = found.join(wide, "host").withColumn("part", F.pmod(F.xxhash64("name"), F.ceil(2 * F.col("n") / streams)))
+        merged = dealt.groupBy("host", "part").applyInPandas(merge, "host string, name string, pages long")
+        before, found = found, cut(found.join(wide, "host", "left_anti").unionByName(merged).groupBy("host", "name").agg(F.sum("pages").alias("pages")), "streams")
+        free(before, wide)
     return found.groupBy("host").applyInPandas(infer, "host string, wrapper string, items string, n_pages long")
 
 

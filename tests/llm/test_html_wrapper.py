@@ -1,9 +1,10 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from graniteseek.llm.html_wrapper import aligned, expression, extract_main_text, infer_wrappers, read
+from graniteseek.llm.html_wrapper import Level, aligned, expression, extract_main_text, infer_wrappers, matched, read
 
 
 def expr(page):
@@ -78,3 +79,24 @@ def test_a_host_of_copies_keeps_its_text(spark):
     rows = [(k, "http://copies.com/", page_.format("")) for k in range(4)] + [(k, f"http://mirrors.com/{k}", page_.format(k)) for k in range(4, 8)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     assert {r.text for r in extract_main_text(frame).collect()} == {"All of this\n\nis said once"}
+
+
+def test_many_streams_of_a_host_are_aligned_as_a_tree(spark):
+    rng = random.Random(5)
+    tags = ["h2", "p", "ul", "blockquote", "pre", "table"]
+    rows = [(k, f"http://big.com/{k}", "<body>" + "".join(f"<{t}>text {k}</{t}>" for t in rng.sample(tags, rng.randint(1, 6))) + "</body>") for k in range(300)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, other = (infer_wrappers(f, streams=8).first() for f in (frame, frame.repartition(7)))
+    assert (one.wrapper, one.n_pages) == (other.wrapper, other.n_pages) and one.n_pages == 300
+    wrapper = Level(json.loads(one["items"]))
+    for _, _, page_ in rows:  # a brute-force match: every element and text of the page has its place
+        assert all("-1" not in slot for *_, slot, _ in matched(page_, wrapper) if slot)
+
+
+def test_the_alignment_decides_the_text(spark):
+    # the same slot by name, inside and outside the repeated group that alignment finds
+    rows = [(k, f"http://h.com/{k}", f"<body><p>Same notice on every page</p><div>x{k}</div></body>") for k in range(4)]
+    rows += [(k, f"http://h.com/{k}", f"<body><h2>a{k}</h2><p>Same notice on every page</p><h2>b{k}</h2><p>c{k}</p></body>") for k in range(4, 8)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(frame).collect()}
+    assert all(got[k] == f"x{k}" for k in range(4)) and all("Same notice" in got[k] for k in range(4, 8))
