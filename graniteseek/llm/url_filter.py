@@ -14,9 +14,13 @@ Scale: the universe is a distinct over short keys with map-side combining, so a
 key a task.  A level has ten bits for each key; levels shrink geometrically.  The listed keys must number
 `most_keys` or fewer for the filters to fit (32 MB at the default); more are refused, to be filtered in parts.
 
-Cases: a null url, or one without ://, has host and path '' and matches no key.  Repeated urls get a row each; extra
-columns are ignored; an empty list blocks nothing and an empty table gives no rows.  Keys are matched byte for byte
-after A-Z of the host are lower-cased.
+Rules and listed keys come as a few values or as tables of any size up to that.  A url is tried against one key for each
+shape of listed keys (labels of the host, characters of the path); there may be `most_shapes` of them.
+
+Cases: a null url, or one without ://, has host and path '' and matches no key.  Urls, hosts and paths of any length
+are matched.  Repeated urls get a row each and repeated keys count once; extra columns are ignored; an empty list blocks
+nothing and an empty table gives no rows.  Keys are matched byte for byte after A-Z of the host are lower-cased.  Two
+fitting rules of one length are the same rule; one given with both verdicts blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .bloom import bloom_filter, bloom_holds, bloom_words
 from .shared import ascii_lower, cut
 
 MOST_KEYS = 1 << 24
+MOST_SHAPES = 256
 
 # Rules with their verdicts, matched with all subdomains; the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -89,9 +94,14 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_keys: int = MOST_
     return Cascade(levels)
 
 
-def shapes_of(keys: list[str]) -> list[tuple[int, int]]:
-    """(labels of the host, characters of the path) of listed keys."""
-    return sorted({(k.partition("/")[0].count(".") + 1, len(k) - k.index("/")) for k in keys})
+def shapes_of(keys: DataFrame, most_shapes: int = MOST_SHAPES) -> list[tuple[int, int]]:
+    """(labels of the host, characters of the path) of listed keys (`key`)."""
+    at = F.position(F.lit("/"), F.col("key"))
+    labels = F.size(F.split(F.substring_index("key", "/", 1), r"\."))
+    rows = keys.filter(at > 0).select(labels.alias("labels"), (F.length("key") - at + 1).alias("size")).distinct().limit(most_shapes + 1).collect()
+    if len(rows) > most_shapes:
+        raise ValueError(f"listed keys have more than {most_shapes} shapes; filter them in parts")
+    return sorted((r["labels"], r["size"]) for r in rows)
 
 
 def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> list[Column]:
@@ -116,14 +126,25 @@ def longest_listed(keys: list[str], *cascades: Cascade) -> Column:
     return (found[0] if len(found) == 1 else F.greatest(*found))["key"]
 
 
-def judge_urls(pages: DataFrame, page_id="page_id", url="url", rules=RULES, listed=LISTED_HOSTS) -> DataFrame:
+def _table(spark: SparkSession, rows, *names: str) -> DataFrame:
+    """Values as a table; a table stays one."""
+    if isinstance(rows, DataFrame):
+        return rows.select(*names)
+    kind = "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>"
+    values = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*values).cast(kind)))
+
+
+def judge_urls(pages: DataFrame, page_id="page_id", url="url", rules=RULES, listed=LISTED_HOSTS, most_keys=MOST_KEYS, most_shapes=MOST_SHAPES) -> DataFrame:
     """One row per page row: page_id, host, path, rule (the longest that fits, or null), listed_key, verdict.
 
+    rules: (rule, verdict) pairs or a table (rule, verdict); listed: hosts with a final '/' or a table (key).
     Without a rule, a url is blocked if its host is listed and allowed otherwise.
     """
     spark: SparkSession = pages.sparkSession
-    shapes = shapes_of([r for r, _ in rules]) if rules else []
-    hosts = shapes_of(list(listed)) if listed else []
+    rules = _table(spark, rules, "rule", "verdict").select(F.col("rule").alias("key"), "verdict")
+    listed = _table(spark, listed if isinstance(listed, DataFrame) else [(k,) for k in listed], "key")
+    shapes, hosts = shapes_of(rules, most_shapes), shapes_of(listed, most_shapes)
     rows = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     # listed hosts stand with '/', whatever the path
     rule_keys = {f"rule_{k}": c for k, c in enumerate(candidate_keys(F.col("host"), F.col("path"), shapes))}
@@ -133,11 +154,8 @@ def judge_urls(pages: DataFrame, page_id="page_id", url="url", rules=RULES, list
     universe = keyed.select(F.explode(F.array_compact(every)).alias("key")).distinct()
     universe = cut(universe, "cascade-universe")
 
-    def cascade(keys: list[str]) -> Cascade:
-        return build_cascade(spark.range(1).select(F.explode(F.lit(keys).cast("array<string>")).alias("key")), universe)
-
-    allow, block = (cascade([r for r, v in rules if v == verdict]) for verdict in ("allow", "block"))
-    sites = cascade(list(listed))
+    allow, block = (build_cascade(rules.filter(F.col("verdict") == verdict), universe, most_keys) for verdict in ("allow", "block"))
+    sites = build_cascade(listed, universe, most_keys)
     found = keyed.select("page_id", "host", "path", longest_listed(list(rule_keys), allow, block).alias("rule"), longest_listed(list(host_keys), sites).alias("listed_key"))
     verdict = F.when(F.col("rule").isNotNull(), F.when(block.contains(F.col("rule")), "block").otherwise("allow")).when(F.col("listed_key").isNotNull(), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", "listed_key", verdict.alias("verdict"))

@@ -51,3 +51,27 @@ def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = judge_urls(frame)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "Join" not in plan
+
+
+def test_lists_as_tables(spark):
+    rng = random.Random(3)
+    hosts = [f"h{k}.example.org" for k in range(2000)]
+    listed = spark.createDataFrame([(h + "/",) for h in hosts[::2]] * 2, "key string")
+    rules = spark.createDataFrame([("h4.example.org/a", "allow"), ("h5.example.org/a", "block"), ("h5.example.org/ab", "allow")], "rule string, verdict string")
+    urls = [f"https://{rng.choice(['', 'www.'])}{h}/{rng.choice(['a', 'ab', 'b'])}" for h in hosts]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, listed=listed).collect()}
+    for k, u in enumerate(urls):
+        want = (None, "allow" if k % 2 else "block")
+        if k == 4 and "/a" in u:
+            want = ("h4.example.org/a", "allow")
+        if k == 5 and "/a" in u:
+            want = ("h5.example.org/ab", "allow") if u.endswith("/ab") else ("h5.example.org/a", "block")
+        assert got[k] == want
+    with pytest.raises(ValueError, match="shapes"):
+        judge_urls(spark.createDataFrame([(1, "x")], "page_id long, url string"), rules=rules, listed=listed, most_shapes=1)
+
+
+def test_equal_rules_and_ties(spark):
+    frame = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (2, "http://b.net/x")], "page_id long, url string")
+    rows = judge_urls(frame, rules=(("net/", "allow"), ("a.net/", "block"), ("a.net/", "block")), listed=()).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in rows) == [(1, "a.net/", "block"), (1, "a.net/", "block"), (2, "net/", "allow")]
