@@ -8,11 +8,13 @@ between p and q.  Parts that are still too large are split again with pivots of
 vectors.  A cell holds all neighbours of its home vectors and cells join independently: links of a vector are counted
 at home, and each cell gives a spanning forest of its links rather than all pairs.
 
-A cell is split only where probes, other sampled vectors, show that it pays: with m pivots and f replicas a vector, the
-join falls by m / f^2.  Vectors of one dense ball, in which the inequality rules nothing out, stay together.  Equal
-vectors are one class with a count from the start, so thousands of copies are a single point.  A cell that stays above
-`block` points is dealt into blocks by hash and joined block by block, each task with at most two blocks of bounded
-size, with nothing dropped; only there the work is quadratic.
+In a cell, home vectors meet all its vectors and replicas don't meet each other.  So with m pivots and f places a vector
+the join falls to f / m.  Probes, other sampled vectors, tell f before a split: of the pivots drawn as many are used as
+keep a vector at `MOST_PLACES` places in all, and none where they rule out less than 1 - `WORTH` of the parts.  So
+vectors of one dense ball, in which the inequality rules nothing out, stay together.  Equal vectors are one class with a
+count from the start, so thousands of copies are a single point.  A cell that stays above `block` points is dealt into
+blocks by hash and joined block by block, each task with at most two blocks of bounded size, with nothing dropped; only
+there the work is quadratic.
 
 Scale: the pivots of a round take at most `pivot_bytes`, a bounded broadcast, and the largest cells come first; a round
 is a map.  Vectors move once for the classes and once, as they were given, for the cells.  Components are found by
@@ -44,6 +46,8 @@ BLOCK = 2048
 MOST_PIVOTS = 256
 PIVOT_BYTES = 16 << 20
 ROUNDS = 8
+WORTH = 0.97
+MOST_PLACES = 4
 
 
 def _able() -> Column:
@@ -81,16 +85,17 @@ def _parts(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray
 def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most: int, pivot_bytes: int, round_: int) -> dict[tuple, np.ndarray]:
     """Pivots of the largest cells (label, width, cell) that are worth a split; what was looked at goes into `done`."""
     keys = ["label", "width", "cell"]
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cell)
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).filter(F.col("size") > cell)
     # a cell has two pivots and two probes at least, so no more cells than this fit
     least = pivot_bytes // (4 * 8)
     large = [r for r in sizes.orderBy(F.desc("size"), *keys).limit(min(100_000, least)).collect() if tuple(r[k] for k in keys) not in done]
-    chosen, left = [], pivot_bytes
+    chosen, places, left = [], {}, pivot_bytes
     for r in large:
         n = min(most, max(2, math.ceil(2 * r["size"] / cell)))
         if left < 2 * n * 8 * r["width"]:
             break
         left -= 2 * n * 8 * r["width"]
+        places[tuple(r[k] for k in keys)] = r["size"] / max(1, r["homes"])
         chosen.append((*(r[k] for k in keys), 2.0 * n / r["size"]))
     if not chosen:
         return {}
@@ -108,9 +113,12 @@ def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most:
         if len(vectors) >= 4:
             x = _unit(vectors)
             pivots, probes = x[0::2], x[1::2]
-            copies = 1 + _parts(probes, pivots, radius)[1].sum(1).mean()
-            if 2 * copies * copies <= len(pivots) or copies < 1.25:
-                out[tuple(key)] = pivots
+            while len(pivots) >= 2:
+                more = 1 + _parts(probes, pivots, radius)[1].sum(1).mean()
+                if more <= WORTH * len(pivots) and more * places[tuple(key)] <= MOST_PLACES:
+                    out[tuple(key)] = pivots
+                    break
+                pivots = pivots[: len(pivots) * 4 // 5]
     return out
 
 
@@ -155,22 +163,28 @@ def _linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
 
 
 def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """(row, column) links that span every tree of the link matrix, breadth first."""
+    """(row, column) links that span every tree of the link matrix, breadth first.
+
+    same: row k is column k as well, and links among them are in both places.
+    """
     rows, columns, out = np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool), []
     for first in np.flatnonzero(linked.any(1)).tolist():
         if not rows[first]:
             continue
         rows[first] = False
         if same:
-            columns = rows
+            columns[first] = False
         todo = [(first, True)]
         while todo:
             k, is_row = todo.pop()
             ahead = linked[k] & columns if is_row else linked[:, k] & rows
             for j in np.flatnonzero(ahead).tolist():
                 (columns if is_row else rows)[j] = False
+                both = same and j < len(rows)
+                if both:
+                    rows[j] = columns[j] = False
                 out.append((k, j) if is_row else (j, k))
-                todo.append((j, same or not is_row))
+                todo.append((j, both or not is_row))
     return out
 
 
@@ -202,9 +216,14 @@ def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embeddi
         x, y = key[3], key[4]
         matrix = _unit(group["v"])
         cls, n, home, own_block = (group[c].to_numpy() for c in ("cls", "n", "home", "block"))
-        left = np.flatnonzero(own_block == x)
-        right = left if x == y else np.flatnonzero(own_block == y)
+        if x == y:  # home vectors against all, which begin with them
+            left = np.flatnonzero((own_block == x) & home)
+            right = np.concatenate([left, np.flatnonzero((own_block == x) & ~home)])
+        else:
+            left, right = np.flatnonzero(own_block == x), np.flatnonzero(own_block == y)
         links = np.zeros(len(group), np.int64)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"cls": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "other": pd.array([], "Int64")})
         linked = _linked(matrix[left], matrix[right], cosine)
         # pairs of two replicas are found where one of them is at home
         linked &= (home[left][:, None] | home[right][None, :]) & (cls[left][:, None] != cls[right][None, :])

@@ -66,3 +66,35 @@ def test_components_of_chains_stars_and_nothing(spark):
         roots.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, roots.values())) == [list(range(7, 60)), list(range(100, 161))]
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("cell", "block"), [(40, 2048), (40, 16), (200, 64)])
+def test_cells_are_split_and_lose_no_link(spark, cell, block, monkeypatch):
+    from graniteseek.llm import embedding_dedup
+
+    split = []
+    real = embedding_dedup._split
+    monkeypatch.setattr(embedding_dedup, "_split", lambda points, centres, radius: split.append(len(centres)) or real(points, centres, radius))
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    rows = [(k, [float(np.float32(x)) for x in centres[rng.integers(60)] + rng.normal(size=16) * rng.choice([0.03, 0.12, 0.2])], int(k % 2)) for k in range(900)]
+    got = sorted(tuple(r) for r in embedding_components(spark.createDataFrame(rows, VECTORS), cell=cell, block=block).collect())
+    assert got == brute(rows) and len(split) >= 1 and sum(split) >= 2
+
+
+def test_a_dense_ball_is_not_replicated(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(np.float32(x)) for x in 1 + rng.normal(size=6) * 0.02], 1) for k in range(300)]
+    got = sorted(tuple(r) for r in embedding_components(spark.createDataFrame(rows, VECTORS), cell=30, block=64).collect())
+    assert got == brute(rows)
+
+
+def test_clashing_names_repeated_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (None, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (None, None, None)]
+    frame = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit(5) for c in ("id", "cls", "hi", "kept_id", "v", "cell", "home", "n")})
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embedding_components(frame).collect())
+    assert got == [("1", 2, "1"), ("1", 2, "1"), ("2", 1, "2"), ("2", 1, "2"), ("None", 0, "None"), ("None", 2, "1")]
+    kept = drop_near_vectors(frame)
+    assert kept.columns == frame.columns and {r.vec_id for r in kept.collect()} == {1, 2, None}
