@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from html.parser import HTMLParser
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import clipped_label, collapsed, stripped
 from ..functions.urls import canonical_url, resolved
 from .urls import drop_blocked, safety_code
@@ -25,97 +30,123 @@ META_KEYS = {
 }
 
 
-class _Reader(HTMLParser):
-    """One pass for all that is read from a page."""
+class Event(NamedTuple):
+    """One mark or text of a page, with how many hidden and left-out elements it stands in."""
 
+    kind: str  # open, close or text
+    value: str  # the element's name, or the text
+    attributes: dict[str, str]
+    hidden: int
+    outside: int
+
+
+class _Recorder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.titles: list[str] = []
-        self.meta: dict[str, str] = {}
-        self.links: list[tuple[str, str, str]] = []
-        self.blocks: list[str] = []
-        self.unseen = self.outside = 0
-        self.in_title = False
-        self.anchors: list[tuple[str, str, list[str]]] = []
-        self.before = ""
-        self.line: list[str] = []
-        self.mark = ""
-
-    def close_block(self, mark: str = "") -> None:
-        text = " ".join("".join(self.line).split())
-        if text:
-            self.blocks.append(self.mark + text)
-        self.line, self.mark = [], mark
+        self.raw: list[tuple[str, str, list]] = []
+        self.handle_data = lambda data: self.raw.append(("text", data, []))
+        self.handle_endtag = lambda tag: self.raw.append(("close", tag, []))
 
     def handle_starttag(self, tag, attrs):
-        if tag in UNSEEN:
-            self.unseen += 1
-            return
-        named = {k.lower(): v or "" for k, v in reversed(attrs)}
-        if tag == "title":
-            self.in_title = True
-        elif tag == "meta":
-            key, value = (named.get("name") or named.get("property") or "").strip().lower(), named.get("content", "").strip()
-            if key and value:
-                self.meta.setdefault(key, value)
-        elif tag == "a" and not self.unseen:
-            self.anchors.append((named.get("href", "").strip(), self.before, []))
-        if tag in LEFT_OUT:
-            self.close_block()
-            self.outside += 1
-        elif tag in BLOCKS:
-            self.close_block("#" * int(tag[1]) + " " if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else "* " if tag == "li" else "")
+        self.raw.append(("open", tag, attrs))
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        self.raw.append(("open", tag, attrs))
         if tag in UNSEEN or tag in LEFT_OUT:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if tag in UNSEEN:
-            self.unseen = max(0, self.unseen - 1)
-            return
-        if tag == "title":
-            self.in_title = False
-        elif tag == "a" and self.anchors:
-            href, context, parts = self.anchors.pop()
-            text = "".join(parts)
-            if href:
-                self.links.append((href, text, context))
-            self._saw(text)
-        if tag in LEFT_OUT:
-            self.line = []
-            self.outside = max(0, self.outside - 1)
-        elif tag in BLOCKS:
-            self.close_block()
-
-    def _saw(self, text: str) -> None:
-        self.before = (self.before + text)[-CONTEXT_CHARS:]
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.titles.append(data)
-        elif not self.unseen and not self.outside:
-            self.line.append(data)
-        if self.unseen:
-            return
-        if self.anchors:
-            self.anchors[-1][2].append(data)
+            self.raw.append(("close", tag, []))
+
+
+def page_events(html: str | None) -> list[Event]:
+    """The page as it is read; all else is derived from this list."""
+    recorder = _Recorder()
+    recorder.feed(html or "")
+    recorder.close()
+    out, depth = [], {True: 0, False: 0}  # of hidden and of left-out elements
+    for kind, value, attrs in recorder.raw:
+        if kind != "text" and (value in UNSEEN or value in LEFT_OUT):
+            group = value in UNSEEN
+            depth[group] = depth[group] + 1 if kind == "open" else max(0, depth[group] - 1)
+        named = {name: text or "" for name, text in reversed(attrs)}  # of equal names the first counts
+        out.append(Event(kind, value, named, depth[True], depth[False]))
+    return out
+
+
+def title_and_body(events: list[Event]) -> tuple[str, list[Event]]:
+    """The text of title elements, and the events without it."""
+    title, body, inside = [], [], False
+    for event in events:
+        if event.value == "title" and event.kind != "text":
+            inside = event.kind == "open"
+        elif inside and event.kind == "text":
+            title.append(event.value)
         else:
-            self._saw(data)
+            body.append(event)
+    return " ".join("".join(title).split()), body
+
+
+def meta_of(events: list[Event]) -> dict[str, str]:
+    """Metadata by lower-cased name or property; the first of a name counts."""
+    found = [(e.attributes.get("name") or e.attributes.get("property") or "", e.attributes.get("content", "").strip()) for e in events if e.kind == "open" and e.value == "meta"]
+    return {name.strip().lower(): value for name, value in reversed(found) if name.strip() and value}
+
+
+def links_of(events: list[Event]) -> list[tuple[str, str, str]]:
+    """(href, text, context) of every closed link, in the order they close.
+
+    A text belongs to the innermost link around it.  It counts as read when that link closes, or at once outside
+    links; a link's context is the last of what was read before it opened.
+    """
+    shown = [e for e in events if not e.hidden]
+    around: list[int] = []  # places of the links that are open
+    closed: dict[int, int] = {}
+    owner: dict[int, int | None] = {}
+    for place, event in enumerate(shown):
+        if event.kind == "text":
+            owner[place] = around[-1] if around else None
+        elif event.value == "a" and event.kind == "open":
+            around.append(place)
+        elif event.value == "a" and around:
+            closed[around.pop()] = place
+    texts: dict[int, str] = {}
+    for place, link in owner.items():
+        if link is not None:
+            texts[link] = texts.get(link, "") + shown[place].value
+    # what was read, by when
+    read = sorted([(place, shown[place].value) for place, link in owner.items() if link is None] + [(stop, texts.get(link, "")) for link, stop in closed.items()])
+    story, times = "".join(text for _, text in read), [when for when, _ in read]
+    ends = list(accumulate((len(text) for _, text in read), initial=0))
+    out = []
+    for link in closed:  # in closing order
+        href, end = shown[link].attributes.get("href", "").strip(), ends[bisect_left(times, link)]
+        if href:
+            out.append((href, texts.get(link, ""), story[max(0, end - CONTEXT_CHARS) : end]))
+    return out
+
+
+def _mark(event: Event) -> str:
+    if event.kind != "open":
+        return ""
+    return "#" * int(event.value[1]) + " " if re.fullmatch("h[1-6]", event.value) else "* " if event.value == "li" else ""
+
+
+def markdown_of(body: list[Event]) -> str:
+    """Headings, list items and other blocks of what is shown, apart from navigation and the like."""
+    blocks: list[tuple[str, list[str]]] = [("", [])]
+    for event in body:
+        if event.kind == "text":
+            if not event.hidden and not event.outside:
+                blocks[-1][1].append(event.value)
+        elif event.value in LEFT_OUT or event.value in BLOCKS:
+            blocks.append((_mark(event), []))
+    texts = [(mark, " ".join("".join(parts).split())) for mark, parts in blocks]
+    return "\n\n".join(mark + text for mark, text in texts if text)
 
 
 def read_page(html: str | None) -> dict:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    reader.close_block()
-    return {
-        "title": " ".join("".join(reader.titles).split()),
-        "meta": reader.meta,
-        "links": [{"pos": k, "href": h, "text": t, "context": c} for k, (h, t, c) in enumerate(reader.links)],
-        "markdown": "\n\n".join(reader.blocks),
-    }
+    events = page_events(html)
+    title, body = title_and_body(events)
+    links = [{"pos": k, "href": h, "text": t, "context": c} for k, (h, t, c) in enumerate(links_of(events))]
+    return {"title": title, "meta": meta_of(events), "links": links, "markdown": markdown_of(body)}
 
 
 PAGE = "title string, meta map<string,string>, links array<struct<pos: int, href: string, text: string, context: string>>, markdown string"
@@ -141,10 +172,11 @@ def admissible_links(links: DataFrame, page: str = "page_id", base: str = "url",
     links: page, base url, pos, href, text, context.
     """
     href = stripped(F.col("href"))
-    fine = links.filter((href != "") & ~href.startswith("#")).withColumn("_url", canonical_url(resolved(F.col(base), href)))
-    fine = fine.filter(F.col("_url").isNotNull() & ~F.col("_url").eqNullSafe(canonical_url(F.col(base))))
-    fine = fine.filter(safety_code(F.col("_url")) == "ok").select(page, "pos", F.col("_url").alias("url"), clipped_label(collapsed(F.col("text"))).alias("text"), collapsed(F.col("context")).alias("context"))
+    target, place = fresh(links, "target", "place")
+    fine = links.filter((href != "") & ~href.startswith("#")).withColumn(target, canonical_url(resolved(F.col(base), href)))
+    fine = fine.filter(F.col(target).isNotNull() & ~F.col(target).eqNullSafe(canonical_url(F.col(base))))
+    fine = fine.filter(safety_code(F.col(target)) == "ok").select(page, "pos", F.col(target).alias("url"), clipped_label(collapsed(F.col("text"))).alias("text"), collapsed(F.col("context")).alias("context"))
     if blocked is not None:
         fine = drop_blocked(fine, blocked)
     first = F.row_number().over(Window.partitionBy(page, "url").orderBy("pos"))
-    return fine.withColumn("_n", first).filter("_n = 1").drop("_n")
+    return fine.withColumn(place, first).filter(F.col(place) == 1).drop(place)
