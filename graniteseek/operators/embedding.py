@@ -42,11 +42,21 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x, dtype=float), where=size > 0)
 
 
-def pooled(outputs: dict[str, np.ndarray], normalise: bool = True) -> np.ndarray:
-    """Sentence vectors of a model's outputs: one named so or with two axes as it is, else the first token's."""
+POOLING = ("auto", "cls")
+
+
+def pooled(outputs: dict[str, np.ndarray], normalise: bool = True, pooling: str = "auto") -> np.ndarray:
+    """Sentence vectors of a model's outputs.
+
+    auto: one named so or with two axes as it is, else the first token's.  cls: the first token's if there are tokens.
+    """
+    if pooling not in POOLING:
+        raise ValueError(f"pooling is one of {', '.join(POOLING)}")
     named = outputs.get("sentence_embedding")
     two = next((v for v in outputs.values() if v.ndim == 2), None)
     three = next((v for v in outputs.values() if v.ndim == 3), None)
+    if pooling == "cls" and three is not None:
+        named = two = None
     x = named if named is not None else two if two is not None else three[:, 0] if three is not None else None
     if x is None or x.ndim != 2:
         raise ValueError("no output has one vector a text")
@@ -56,8 +66,8 @@ def pooled(outputs: dict[str, np.ndarray], normalise: bool = True) -> np.ndarray
 class Onnx:
     """A local ONNX model with its tokenizer file; inputs are padded per batch and cut at `longest` tokens."""
 
-    def __init__(self, model: str, tokenizer: str, longest: int = 512, normalise: bool = True):
-        self.model, self.tokenizer, self.longest, self.normalise = model, tokenizer, longest, normalise
+    def __init__(self, model: str, tokenizer: str, longest: int = 512, normalise: bool = True, pooling: str = "auto"):
+        self.model, self.tokenizer, self.longest, self.normalise, self.pooling = model, tokenizer, longest, normalise, pooling
         self.loaded = None
 
     def __getstate__(self):
@@ -82,7 +92,7 @@ class Onnx:
             whole = {"input_ids": [e.ids for e in encoded], "attention_mask": [e.attention_mask for e in encoded], "token_type_ids": [e.type_ids for e in encoded]}
             given = {i.name: np.array(whole[i.name], np.int64) for i in session.get_inputs() if i.name in whole}
             names = [o.name for o in session.get_outputs()]
-            parts.append(pooled(dict(zip(names, session.run(names, given))), self.normalise))
+            parts.append(pooled(dict(zip(names, session.run(names, given))), self.normalise, self.pooling))
         return np.vstack(parts) if parts else np.zeros((0, 0))
 
 
@@ -109,7 +119,10 @@ def embed_texts(rows: DataFrame, keys: list[str], text: str, model: Embedder, pr
             texts = batch.column(len(keys)).to_pylist()
             real = [k for k, t in enumerate(texts) if t is not None]
             out: list = [None] * len(texts)
-            for k, v in zip(real, model.embed([prefix + texts[k] for k in real]) if real else ()):
+            vectors = model.embed([prefix + texts[k] for k in real]) if real else ()
+            if len(vectors) != len(real):
+                raise ValueError(f"the embedder gave {len(vectors)} vectors for {len(real)} texts")
+            for k, v in zip(real, vectors):
                 out[k] = v.tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, pa.list_(pa.float64()))], names=schema.names)
 

@@ -1,21 +1,39 @@
 """BM25, ranks, weighted reciprocal rank fusion and their composition.
 
-All operators take `pool` columns: corpus statistics, ranks and cut-offs are those of a pool (a page's links, a
-query's chunks).  Windows are always partitioned by query or pool.
+Operators on pools take `pool` columns: statistics, ranks and cut-offs are those of a pool (a page's links, a query's
+chunks), and windows are partitioned by it.
+
+Operators on a whole corpus read it twice and shuffle none of its text: once for the term statistics, which add up on
+the map side to a row for each term, and once to score.  There the queries' terms, a bounded broadcast, meet each
+batch of documents as a sparse product, and every task keeps its own best k of each query.  Ranks over a whole corpus
+come from range partitions and their offsets, not from one ordered window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.names import fresh
 from ..functions.vectors import cosine
+from ..sources.staging import staged
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Ranks compare scores at this many decimals, so that the order of a distributed sum can't flip a tie.
 RANK_DECIMALS = 9
 #: Query vectors that are broadcast at once.
 QUERY_BLOCK = 4096
+#: Terms of queries that are broadcast at once, and scores that a task holds at once.
+TERM_BLOCK = 200_000
+SCORES = 4 << 20
 
 
 def bm25_hits(corpus: DataFrame, queries: DataFrame, pool: list[str], key: list[str], query: list[str]) -> DataFrame:
@@ -46,25 +64,151 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, pool: list[str], key: lis
     return corpus.join(hits, [*pool, *key], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
 
 
+@dataclass
+class Weights:
+    """Query terms with the queries that have them, for scoring batches of documents."""
+
+    terms: pa.Array
+    starts: np.ndarray  # of each term in `queries` and `weights`
+    queries: np.ndarray
+    weights: np.ndarray  # inverse document frequency times places in the query
+    names: list  # of the queries
+    mean_length: float
+
+    def scores(self, tokens: pa.ListArray) -> np.ndarray:
+        """Documents by queries; 0 where they share no term."""
+        n, q = len(tokens), len(self.names)
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        term = pc.index_in(tokens.flatten(), value_set=self.terms)
+        hit = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+        if not len(hit):
+            return np.zeros((n, q))
+        doc = np.repeat(np.arange(n), lengths)[hit]
+        key, tf = np.unique(doc * len(self.terms) + pc.fill_null(term, 0).to_numpy(zero_copy_only=False)[hit], return_counts=True)
+        doc, term = np.divmod(key, len(self.terms))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.mean_length))
+        times = self.starts[term + 1] - self.starts[term]
+        place = np.repeat(self.starts[term] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+        return np.bincount(np.repeat(doc, times) * q + self.queries[place], np.repeat(part, times) * self.weights[place], n * q).reshape(n, q)
+
+
+def term_statistics(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """term, df, length: documents of each term; the null term has the number of documents and of all their tokens."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    terms = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), one.alias("n"), none.alias("size")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), one.alias("n"), F.size(tokens).cast("long").alias("size")))
+    return corpus.select(F.inline(F.concat(terms, whole))).groupBy("term").agg(F.sum("n").alias("df"), F.sum("size").alias("length"))
+
+
+def query_weights(corpus: DataFrame, queries: DataFrame, query: str, term_block: int = TERM_BLOCK) -> Iterator[Weights]:
+    """Weights of the queries (query, tokens) under the corpus's statistics, in blocks of bounded size.
+
+    The mean inverse document frequency is that of all terms, not only those asked for.
+    """
+    stats = staged(term_statistics(corpus), "term-statistics")
+    whole = stats.filter("term IS NULL").first()
+    asked = queries.select(F.col(query).alias("asked_by"), F.explode("tokens").alias("term")).groupBy("asked_by", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = staged(asked, "asked")
+    blocks = max(1, -(-asked.count() // term_block))
+    raw = F.log(F.lit(whole["df"] if whole else 0) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = stats.filter("term IS NOT NULL").select("term", raw.alias("raw"))
+    mean = terms.agg(F.avg("raw")).first()[0] or 0.0
+    for block in range(blocks):
+        mine = F.pmod(F.xxhash64("asked_by"), F.lit(blocks)) == block
+        names = [r[0] for r in queries.select(F.col(query).alias("asked_by")).filter(mine).distinct().collect()]
+        rows = asked.filter(mine).join(terms, "term").select("term", "asked_by", (F.col("times") * F.when(F.col("raw") < 0, F.lit(mean * EPSILON)).otherwise(F.col("raw"))).alias("weight")).collect()
+        number = {name: k for k, name in enumerate(names)}
+        rows = sorted(rows, key=lambda r: (r["term"], number[r["asked_by"]]))
+        found = sorted({r["term"] for r in rows})
+        at = {t: k for k, t in enumerate(found)}
+        starts = np.concatenate(([0], np.cumsum(np.bincount([at[r["term"]] for r in rows], minlength=len(found)) if found else np.zeros(0)))).astype(np.int64)
+        length = whole["length"] / whole["df"] if whole and whole["length"] else 1.0
+        yield Weights(pa.array(found, pa.string()), starts, np.array([number[r["asked_by"]] for r in rows], np.int64), np.array([r["weight"] for r in rows], float), names, length)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
+def bm25_column(corpus: DataFrame, queries: DataFrame, query: str, name: str = "bm25_score") -> DataFrame:
+    """The corpus with the score of its one query; documents without a hit score 0."""
+    weights, = query_weights(corpus, queries, query)
+    shipped = corpus.sparkSession.sparkContext.broadcast(weights)
+    schema = T.StructType([*corpus.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def score(batches):
+        for batch in _batches(batches, SCORES):
+            found = shipped.value.scores(batch.column("tokens"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0] if found.shape[1] else np.zeros(batch.num_rows), pa.float64())], names=schema.names)
+
+    return corpus.mapInArrow(score, schema)
+
+
+class Best:
+    """The best k of each query so far: by score, highest first, then by position."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.rows = [(np.zeros(0), np.zeros(0, np.int64), []) for _ in range(queries)]
+
+    def take(self, scores: np.ndarray, pos: np.ndarray, keys: Callable[[int], object]) -> None:
+        rounded = np.round(scores, RANK_DECIMALS)
+        for q, (had, had_pos, had_keys) in enumerate(self.rows):
+            column = rounded[:, q]
+            least = had[-1] if len(had) == self.k else -np.inf
+            if len(column) > self.k:
+                least = max(least, np.partition(column, -self.k)[-self.k])
+            new = np.flatnonzero(column >= least)
+            if len(new):
+                values, places = np.concatenate([had, column[new]]), np.concatenate([had_pos, pos[new]])
+                order = np.lexsort((places, -values))[: self.k]
+                names = [had_keys[j] if j < len(had) else (keys(int(new[j - len(had)])), float(scores[new[j - len(had)], q])) for j in order.tolist()]
+                self.rows[q] = (values[order], places[order], names)
+
+
 def bm25_top(corpus: DataFrame, queries: DataFrame, key: str, pos: str, query: str, k: int) -> DataFrame:
     """query, key, pos, bm25_score, rank: the k best documents of one corpus for every query.
 
-    Documents that share no term score 0 and come by position, so the corpus's first k stand for all of them.
+    corpus: key, pos (an integer), tokens; queries: query, tokens.  Documents that share no term score 0 and come by
+    position.  A task hands on k rows a query at most.
     """
-    pool = [_pool_name(corpus, queries)]
-    one = F.lit(0)
-    hits = bm25_hits(corpus.select(one.alias(pool[0]), key, pos, "tokens"), queries.select(one.alias(pool[0]), query, "tokens"), pool, [key, pos], [query]).drop(*pool)
-    first = corpus.select(key, pos).orderBy(pos).limit(k)
-    zeros = queries.select(query).distinct().join(F.broadcast(first)).select(key, pos, query, F.lit(0.0).alias("bm25_score"))
-    scored = hits.unionByName(zeros).groupBy(key, pos, query).agg(F.max_by("bm25_score", F.abs("bm25_score")).alias("bm25_score"))
-    return scored.withColumn("rank", rank_by([query], "bm25_score", pos)).filter(F.col("rank") <= k)
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(key, corpus.schema[key].dataType), T.StructField("best_pos", T.LongType()), T.StructField("bm25_score", T.DoubleType())])
+    arrow = [to_arrow_type(f.dataType) for f in schema.fields]
+    found = None
+    for weights in query_weights(corpus, queries, query):
+        shipped = corpus.sparkSession.sparkContext.broadcast(weights)
+
+        def best(batches, shipped=shipped):
+            names = shipped.value.names
+            held = Best(len(names), k)
+            for batch in _batches(batches, max(1, SCORES // max(1, len(names)))):
+                keys = batch.column(key)
+                held.take(shipped.value.scores(batch.column("tokens")), batch.column("best_pos").to_numpy(zero_copy_only=False), lambda j, keys=keys: keys[j].as_py())
+            rows = [(name, one[0], int(place), one[1]) for name, (_, places, ones) in zip(names, held.rows) for place, one in zip(places.tolist(), ones)]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow)], names=schema.names)
 
+        part = corpus.select(key, F.col(pos).cast("long").alias("best_pos"), "tokens").mapInArrow(best, schema)
+        found = part if found is None else found.unionAll(part)
+    ranked = found.withColumn("rank", rank_by([query], "bm25_score", "best_pos")).filter(F.col("rank") <= k)
+    return ranked.select(query, key, *([] if pos == key else [F.col("best_pos").alias(pos)]), "bm25_score", "rank")
 
-def _pool_name(*frames: DataFrame) -> str:
-    name = "pool"
-    while any(name in f.columns for f in frames):
-        name += "_"
-    return name
+
+def global_rank(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The rows with their place, from 1, in one order over all of them.
+
+    Rows go into range partitions, which are stored; a place is that within the partition plus the sizes of those
+    before.  The order must tell all rows apart.
+    """
+    part, before = fresh(rows, "part", "before")
+    placed = staged(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    # one row for each partition
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias(before))
+    sizes = sizes.withColumn(before, F.sum(before).over(Window.orderBy(part)) - F.col(before))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) + F.col(before)
+    return placed.join(F.broadcast(sizes), part).withColumn(name, place.cast("int")).drop(part, before)
 
 
 def rank_by(pool: list[str], score: str | Column, pos: str) -> Column:
@@ -86,25 +230,30 @@ def check_weight(dense_weight: float) -> None:
 
 
 def hybrid_rank(rows: DataFrame, pool: list[str], pos: str = "pos", dense_weight: float = 0.5, cutoff: float = 0.0, top_k: int | None = None) -> DataFrame:
-    """Rows with bm25_score and dense_score, ranked within their pool.
+    """Rows with bm25_score and dense_score, ranked within their pool; without pool columns all rows are one.
 
     Adds bm25_rank, dense_rank, rrf_score, rrf_similarity (0 to 1) and rank; keeps similarities of `cutoff` or
     more and the first `top_k`.  With dense_weight 1 the sparse rank is 1 throughout.
     """
     check_weight(dense_weight)
-    sparse = F.lit(1) if dense_weight == 1 else rank_by(pool, "bm25_score", pos)
-    ranked = rows.withColumns({"bm25_rank": sparse, "dense_rank": rank_by(pool, "dense_score", pos)})
-    ranked = ranked.withColumn("rrf_score", rrf(F.col("bm25_rank"), F.col("dense_rank"), dense_weight))
-    ranked = ranked.withColumn("rrf_similarity", F.col("rrf_score") * (RRF_K + 1)).filter(F.col("rrf_similarity") >= cutoff - 1e-12)
-    order = [F.round(c, RANK_DECIMALS).desc() for c in ("rrf_score", "dense_score", "bm25_score")]
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*pool).orderBy(*order, F.col(pos))))
-    return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
+
+    def ranked(frame: DataFrame, name: str, *scores: str) -> DataFrame:
+        order = [*(F.round(c, RANK_DECIMALS).desc() for c in scores), F.col(pos)]
+        return frame.withColumn(name, F.row_number().over(Window.partitionBy(*pool).orderBy(*order))) if pool else global_rank(frame, name, *order)
+
+    out = rows.withColumn("bm25_rank", F.lit(1)) if dense_weight == 1 else ranked(rows, "bm25_rank", "bm25_score")
+    out = ranked(out, "dense_rank", "dense_score")
+    out = out.withColumn("rrf_score", rrf(F.col("bm25_rank"), F.col("dense_rank"), dense_weight))
+    out = out.withColumn("rrf_similarity", F.col("rrf_score") * (RRF_K + 1)).filter(F.col("rrf_similarity") >= cutoff - 1e-12)
+    out = ranked(out, "rank", "rrf_score", "dense_score", "bm25_score")
+    return out if top_k is None else out.filter(F.col("rank") <= top_k)
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int) -> DataFrame:
     """query, key, dense_score, rank: the k nearest rows of every query vector.
 
-    Queries go in blocks of bounded size against all rows; each task keeps its own best k before the shuffle.
+    A stated set of queries goes in broadcast blocks of bounded size against all rows, as a nested loop; each task
+    keeps its own best k before the shuffle.
     """
     keep = vectors.select(key, F.col(vector).alias("_v"))
     asked = queries.select(F.col(query).alias("_q"), F.col(query_vector).alias("_u"))

@@ -12,14 +12,14 @@ from ..operators.budget import first_per_source, within_budget
 from ..operators.chunking import pack_chunks, window_chunks
 from ..operators.dedupe import jaccard_columns, select_with_quota
 from ..operators.pages import admissible_links, metadata, page_struct
-from ..operators.ranking import bm25_scores, bm25_top, cosine_top, hybrid_rank
+from ..operators.ranking import bm25_column, bm25_top, cosine_top, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked, safety_code
 from ..sources.payloads import dispatch, parse_results, unresponsive_engines, with_fallback
 from ..sources.staging import staged
 from ..sources.tables import load, query_log
 from .options import Options
 from .render import batch_status, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
-from .research import evidence, research, run_stats, token_savings
+from .research import evidence, local_search, research, run_stats, savings_total, token_savings
 from .scrape import page_order, prefiltered_links, read_items, related_links, scrape
 from .search import discover, page_title, pages_as_results, ranked_results, with_dense
 
@@ -120,6 +120,13 @@ def chunk_windows(spark, sf_dir):
 
 
 def chunk_pack(spark, sf_dir):
+    """Documents as blocks: their source as a heading, then their lines."""
+    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n"))
+    rows = pack_chunks(_documents(spark, sf_dir).select("doc_id", body.alias("body")), "body")
+    return rows.select("doc_id", "chunk_id", "heading", "tokens", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
+def page_chunks(spark, sf_dir):
     rows = _pages(spark, sf_dir).select("page_id", page_struct(F.col("html"))["markdown"].alias("markdown"))
     return pack_chunks(rows, "markdown").select("page_id", "chunk_id", "heading", "tokens", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
 
@@ -206,8 +213,7 @@ def _one_query(spark):
 
 
 def _scored(spark, sf_dir):
-    rows = _corpus(spark, sf_dir).drop("text", "source").withColumn("q", F.lit(0))
-    return bm25_scores(rows, _one_query(spark), ["q"], ["doc_id"])
+    return bm25_column(_corpus(spark, sf_dir).drop("text", "source").withColumn("q", F.lit(0)), _one_query(spark), "q")
 
 
 def bm25_scores_all(spark, sf_dir):
@@ -233,7 +239,7 @@ def hashed_buckets(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, **options):
     scored = with_dense(_scored(spark, sf_dir), _one_query(spark), ["doc_id"], "q", "tokens")
-    return hybrid_rank(scored.withColumn("pos", F.col("doc_id")), ["q"], **options)
+    return hybrid_rank(scored.withColumn("pos", F.col("doc_id")), [], **options)
 
 
 def rrf_hybrid(spark, sf_dir):
@@ -335,15 +341,21 @@ def research_e2e(spark, sf_dir):
     return rows.select("query_id", "chunk_id", "source_url", "rank", "status", "selected", "tokens", "text", scores["rrf"].alias("rrf"), scores["dense"].alias("dense"), scores["bm25"].alias("bm25"))
 
 
-def evidence_stats(spark, sf_dir):
+def _researched(spark, sf_dir):
+    """Queries, the results kept for them and the fate of their chunks; results are ranked once."""
     queries, pages = query_log(spark, sf_dir), _pages(spark, sf_dir)
-    return run_stats(queries, ranked_results(queries, pages, Options()), research(queries, pages))
+    kept = ranked_results(queries, pages, Options())
+    return queries, kept, research(queries, pages, kept=kept)
+
+
+def evidence_stats(spark, sf_dir):
+    queries, kept, decided = _researched(spark, sf_dir)
+    return run_stats(queries, kept, decided)
 
 
 def envelope_json(spark, sf_dir):
-    queries, pages = query_log(spark, sf_dir), _pages(spark, sf_dir)
-    decided = research(queries, pages)
-    rows = queries.join(evidence(decided), "query_id", "left").join(run_stats(queries, ranked_results(queries, pages, Options()), decided), "query_id")
+    queries, kept, decided = _researched(spark, sf_dir)
+    rows = queries.join(evidence(decided), "query_id", "left").join(run_stats(queries, kept, decided), "query_id")
     stats = F.struct("search_results", "chunks_considered", "chunks_selected")
     record = envelope("research", F.col("status"), F.col("query"), F.col("sources"), F.array().cast("array<string>"), stats, F.lit("1970-01-01T00:00:00Z"))
     return rows.select("query_id", F.to_json(record).alias("envelope"))
@@ -356,9 +368,20 @@ def prompt_xml(spark, sf_dir):
     return queries.join(sources, "query_id", "left").select("query_id", grounded_results(F.col("query"), F.coalesce(results, F.expr("cast(array() as array<struct<title:string,url:string,snippet:string,chunks:array<string>>>)")), F.lit("1970-01-01")).alias("prompt"))
 
 
+def savings_total_all(spark, sf_dir):
+    return savings_total(savings(spark, sf_dir))
+
+
+def chunk_search(spark, sf_dir):
+    """The best chunks of all documents, packed as in chunk_pack, for every question."""
+    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n"))
+    rows = local_search(_documents(spark, sf_dir).select("doc_id", body.alias("body")), query_log(spark, sf_dir), "body", "doc_id")
+    return rows.select("query_id", "chunk_id", "rank", F.round("bm25_score", 6).alias("score"))
+
+
 def savings(spark, sf_dir):
-    queries, pages = query_log(spark, sf_dir), _pages(spark, sf_dir)
-    return token_savings(queries, ranked_results(queries, pages, Options()), pages, research(queries, pages))
+    queries, kept, decided = _researched(spark, sf_dir)
+    return token_savings(queries, kept, _pages(spark, sf_dir), decided)
 
 
 def current_datetime(spark, sf_dir):
@@ -368,10 +391,10 @@ def current_datetime(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, engine_reports,
-    retrieval_token_counts, chunk_windows, chunk_pack, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
+    retrieval_token_counts, chunk_windows, chunk_pack, page_chunks, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
     page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe,
     semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
-QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings}
+QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings, "token_savings_total": savings_total_all, "chunk_search": chunk_search}
 
 # --- SQL --------------------------------------------------------------------------------------------------------
 
@@ -405,21 +428,21 @@ for _name, _said in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'
 _TITLE = _SPACES.format(_TITLE_RAW)
 
 
-def _bm25_sql(docs: str, queries: str) -> str:
-    """CTEs d(pool, id, t), q(pool, qid, t) given; gives s(pool, id, qid, score) of hits."""
-    return f"""d AS ({docs}), q AS ({queries}),
-tok AS (SELECT pool, id, unnest(t) AS term FROM d), stats AS (SELECT pool, count(*) AS n, avg(len(t)) AS avgdl FROM d GROUP BY pool),
-tf AS (SELECT pool, id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT pool, term, count(*) AS df FROM tf GROUP BY ALL),
-raw AS (SELECT df.pool, term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df JOIN stats USING (pool)),
-idf AS (SELECT raw.pool, term, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw JOIN (SELECT pool, avg(r) AS m FROM raw GROUP BY pool) USING (pool)),
-qt AS (SELECT pool, qid, term, count(*) AS a FROM (SELECT pool, qid, unnest(t) AS term FROM q) GROUP BY ALL),
-s AS (SELECT tf.pool, tf.id, qid, sum(a * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.t) / avgdl))) AS score
-  FROM tf JOIN qt USING (pool, term) JOIN idf USING (pool, term) JOIN d ON d.pool = tf.pool AND d.id = tf.id JOIN stats ON stats.pool = tf.pool GROUP BY tf.pool, tf.id, qid)"""
+def _bm25_sql(docs: str, queries: str, p: str = "") -> str:
+    """CTEs d(pool, id, t), q(pool, qid, t) given; gives s(pool, id, qid, score) of hits; p goes before all names."""
+    return f"""{p}d AS ({docs}), {p}q AS ({queries}),
+{p}tok AS (SELECT pool, id, unnest(t) AS term FROM {p}d), {p}stats AS (SELECT pool, count(*) AS n, avg(len(t)) AS avgdl FROM {p}d GROUP BY pool),
+{p}tf AS (SELECT pool, id, term, count(*) AS tf FROM {p}tok GROUP BY ALL), {p}df AS (SELECT pool, term, count(*) AS df FROM {p}tf GROUP BY ALL),
+{p}raw AS (SELECT x.pool, term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM {p}df x JOIN {p}stats USING (pool)),
+{p}idf AS (SELECT x.pool, term, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM {p}raw x JOIN (SELECT pool, avg(r) AS m FROM {p}raw GROUP BY pool) USING (pool)),
+{p}qt AS (SELECT pool, qid, term, count(*) AS a FROM (SELECT pool, qid, unnest(t) AS term FROM {p}q) GROUP BY ALL),
+{p}s AS (SELECT x.pool, x.id, qid, sum(a * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(y.t) / avgdl))) AS score
+  FROM {p}tf x JOIN {p}qt USING (pool, term) JOIN {p}idf USING (pool, term) JOIN {p}d y ON y.pool = x.pool AND y.id = x.id JOIN {p}stats z ON z.pool = x.pool GROUP BY x.pool, x.id, qid)"""
 
 
 _DOCS = f"SELECT 0 AS pool, doc_id AS id, {_tokens('text')} AS t FROM documents"
 _ONE = f"SELECT 0 AS pool, 0 AS qid, {_tokens(_text(QUERY))} AS t"
-_ASKED = f"SELECT 0 AS pool, item_id AS qid, {_tokens('text')}[1:8] AS t FROM benchmark"
+_ASKED = f"SELECT 0 AS pool, item_id AS qid, {_tokens('text')} AS t FROM benchmark"
 _TOP = f"""{_bm25_sql(_DOCS, _ASKED)},
 every AS (SELECT qid, id, score FROM s UNION ALL SELECT q.qid, f.id, 0.0 FROM q, (SELECT id FROM d ORDER BY id LIMIT {POOL}) f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.qid = q.qid AND s.id = f.id)),
 top AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM every)"""
@@ -430,6 +453,66 @@ qv AS (SELECT {_BUCKET} AS b, sum(a)::DOUBLE AS c FROM qt GROUP BY ALL),
 dense AS (SELECT id, sum(dv.c * coalesce(qv.c, 0)) / sqrt(sum(dv.c * dv.c)) / (SELECT sqrt(sum(c * c)) FROM qv) AS dense FROM dv LEFT JOIN qv USING (b) GROUP BY id),
 two AS (SELECT d.id, coalesce(s.score, 0) AS bm25, coalesce(dense, 0) AS dense FROM d LEFT JOIN s USING (id) LEFT JOIN dense USING (id)),
 ranks AS (SELECT *, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS br, row_number() OVER (ORDER BY round(dense, 9) DESC, id) AS dr FROM two)"""
+# selection: pools of ranked rows as r(qid, id, text, source, rank), pairs of them, and greedy choice as recursion over steps
+_POOLS = f"""{_TOP}, r AS (SELECT qid, id, text, source, rank::INTEGER AS rank, {_tokens('text')} AS t FROM top JOIN documents ON doc_id = id WHERE rank <= {POOL}),
+rb AS (SELECT id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM (SELECT DISTINCT id, t FROM r), unnest(t) u(term) GROUP BY ALL), norms AS (SELECT id, sqrt(sum(c * c)) AS norm FROM rb GROUP BY id),
+cosines AS (SELECT x.id AS i, y.id AS j, sum(x.c * y.c) / any_value(m.norm) / any_value(n.norm) AS c FROM rb x JOIN rb y USING (b) JOIN norms m ON m.id = x.id JOIN norms n ON n.id = y.id
+  WHERE (x.id, y.id) IN (SELECT DISTINCT e.id, f.id FROM r e JOIN r f USING (qid)) GROUP BY x.id, y.id),
+sets AS (SELECT qid, id, rank, list_distinct(t) AS ds FROM r),
+pairs AS (SELECT a.qid, a.rank AS i, b.rank AS j, CASE WHEN len(a.ds) = 0 OR len(b.ds) = 0 THEN 0 ELSE len(list_intersect(a.ds, b.ds)) / (len(a.ds) + len(b.ds) - len(list_intersect(a.ds, b.ds))) END AS jaccard,
+  coalesce(c, 0) AS c FROM sets a JOIN sets b USING (qid) LEFT JOIN cosines ON cosines.i = a.id AND cosines.j = b.id WHERE a.rank <> b.rank)"""
+
+
+def _selection_sql(limit: int, per_source: int, lexical: float, semantic: float) -> str:
+    """Greedy choice: lexical survivors by rank, then a sweep under the quota and one without it."""
+    sweeps = "(VALUES (1), (2))" if per_source else "(VALUES (2))"
+    return f"""WITH RECURSIVE {_POOLS},
+alike AS (SELECT qid, i, list(j) AS js FROM pairs WHERE j < i AND jaccard >= {lexical} AND {lexical} < 1 GROUP BY qid, i),
+lex(qid, rank, kept) AS (SELECT qid, 0, []::INTEGER[] FROM (SELECT DISTINCT qid FROM r)
+  UNION ALL SELECT lex.qid, r.rank, CASE WHEN js IS NOT NULL AND list_has_any(js, kept) THEN kept ELSE list_append(kept, r.rank) END
+  FROM lex JOIN r ON r.qid = lex.qid AND r.rank = lex.rank + 1 LEFT JOIN alike ON alike.qid = r.qid AND alike.i = r.rank),
+survivors AS (SELECT qid, arg_max(kept, rank) AS kept FROM lex GROUP BY qid),
+near AS (SELECT qid, i, map_from_entries(list((j, c))) AS cs FROM pairs GROUP BY qid, i),
+steps AS (SELECT s.qid, r.rank, sweep, coalesce(source, '') AS source, cs, row_number() OVER (PARTITION BY s.qid ORDER BY sweep, r.rank) AS step
+  FROM survivors s JOIN r ON r.qid = s.qid AND list_contains(s.kept, r.rank) CROSS JOIN {sweeps} w(sweep) LEFT JOIN near ON near.qid = r.qid AND near.i = r.rank),
+run(qid, step, chosen, sources, refused) AS (SELECT qid, 0::BIGINT, []::INTEGER[], []::VARCHAR[], []::STRUCT(rank INTEGER, c DOUBLE, j INTEGER)[] FROM survivors
+  UNION ALL SELECT qid, step, CASE WHEN fits THEN list_append(chosen, rank) ELSE chosen END, CASE WHEN fits THEN list_append(sources, source) ELSE sources END,
+    CASE WHEN asked AND NOT fits AND NOT list_contains(list_transform(refused, lambda x: x.rank), rank) THEN list_append(refused, {{'rank': rank, 'c': best, 'j': chosen[list_position(list_transform(chosen, lambda x: cs[x]), best)]}}) ELSE refused END
+  FROM (SELECT *, asked AND NOT ({semantic} < 1 AND best >= {semantic}) AS fits FROM (
+    SELECT run.qid, t.step, chosen, sources, refused, rank, source, cs, len(chosen) < {limit} AND NOT list_contains(chosen, rank) AND (sweep = 2 OR len(list_filter(sources, lambda x: x = t.source)) < {per_source}) AS asked,
+      coalesce(list_max(list_transform(chosen, lambda x: cs[x])), 0) AS best
+    FROM run JOIN steps t ON t.qid = run.qid AND t.step = run.step + 1))),
+ended AS (SELECT qid, arg_max(chosen, step) AS chosen, arg_max(refused, step) AS refused FROM run GROUP BY qid),
+fate AS (SELECT r.qid, r.id, r.rank, list_position(chosen, r.rank) AS place, list_filter(refused, lambda x: x.rank = r.rank)[1] AS no, NOT list_contains(kept, r.rank) AS copy FROM r JOIN ended USING (qid) JOIN survivors USING (qid))
+SELECT f.qid AS query_id, f.id::VARCHAR AS chunk_id, f.rank, CASE WHEN place > 0 THEN 'accepted' WHEN copy THEN 'lexical_duplicate' WHEN no IS NOT NULL THEN 'semantic_duplicate' ELSE 'not_needed' END AS status,
+  CASE WHEN place > 0 THEN place::INTEGER END AS selected, CASE WHEN coalesce(place, 0) = 0 THEN round(no.c, 4) END AS similarity, CASE WHEN coalesce(place, 0) = 0 THEN m.id::VARCHAR END AS matched
+FROM fate f LEFT JOIN r m ON m.qid = f.qid AND m.rank = no.j"""
+
+
+_SNIPPET = "substr(" + _SPACES.format("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)', 1), '(?s)<[^>]*>?', ' ', 'g')") + ", 1, 200)"
+_PAGE_WORDS = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_DOMAIN = f"regexp_replace({_HOST}, '^www\\.', '')"
+_RESULT_DOCS = f"SELECT 0 AS pool, page_id AS id, {_tokens(_PAGE_WORDS)} AS t FROM pages WHERE {_TITLE} <> '' AND url <> ''"
+_FOUND = f"""{_bm25_sql(_RESULT_DOCS, _ASKED, "one_")},
+every AS (SELECT qid, id, score FROM one_s UNION ALL SELECT one_q.qid, f.id, 0.0 FROM one_q, (SELECT id FROM one_d ORDER BY id LIMIT 10) f WHERE NOT EXISTS (SELECT 1 FROM one_s x WHERE x.qid = one_q.qid AND x.id = f.id)),
+top AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS pos FROM every QUALIFY pos <= 10),
+listed AS (SELECT qid, id, pos, {_TITLE} AS title, url, {_SNIPPET} AS snippet, {_DOMAIN} AS domain FROM top JOIN pages ON page_id = id WHERE regexp_matches(url, '(?i)^https?://')),
+{_bm25_sql("SELECT qid AS pool, id, " + _tokens("'Title: ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Domain: ' || domain || chr(10) || 'Snippet: ' || snippet") + " AS t FROM listed", "SELECT qid AS pool, qid, t FROM one_q", "two_")},
+dv AS (SELECT pool, id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM two_tok GROUP BY ALL), qv AS (SELECT pool, {_BUCKET} AS b, sum(a)::DOUBLE AS c FROM two_qt GROUP BY ALL), qn AS (SELECT pool, sqrt(sum(c * c)) AS norm FROM qv GROUP BY pool),
+dense AS (SELECT dv.pool, id, sum(dv.c * coalesce(qv.c, 0)) / sqrt(sum(dv.c * dv.c)) / any_value(norm) AS dense FROM dv JOIN qn USING (pool) LEFT JOIN qv USING (pool, b) GROUP BY dv.pool, id),
+two AS (SELECT qid, listed.id, pos, coalesce(two_s.score, 0) AS bm25, coalesce(dense, 0) AS dense FROM listed LEFT JOIN two_s USING (qid, id) LEFT JOIN dense ON dense.pool = listed.qid AND dense.id = listed.id),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, pos) AS br, row_number() OVER (PARTITION BY qid ORDER BY round(dense, 9) DESC, pos) AS dr FROM two),
+fused AS (SELECT *, 0.5 / (60 + br) + 0.5 / (60 + dr) AS rrf FROM ranks),
+ranked AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, pos) AS rank, rrf * 61 AS similarity FROM fused QUALIFY rank <= 5)"""
+_TRIMMED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_PACKED = f"""WITH RECURSIVE b AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex('# ' || source || chr(10) || text, '\\n+'), lambda x: {_TRIMMED.format('x')}), lambda x: x <> '') AS blocks FROM documents),
+s(doc_id, i, held, put) AS (SELECT doc_id, 0::BIGINT, '', []::VARCHAR[] FROM b
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN length(x) > 300 THEN '' WHEN held = '' OR length(held) + 2 + length(x) > 300 THEN x ELSE held || chr(10) || chr(10) || x END,
+    list_filter(CASE WHEN length(x) > 300 THEN list_prepend(held, list_transform(range(0, length(x), 220), lambda k: {_TRIMMED.format('substr(x, k + 1, 300)')})) WHEN length(held) + 2 + length(x) > 300 THEN [held] ELSE []::VARCHAR[] END, lambda y: y <> '')
+  FROM (SELECT s.doc_id, i, held, blocks[i + 1] AS x FROM s JOIN b USING (doc_id) WHERE i < len(blocks))),
+e AS (SELECT doc_id, i, put FROM s UNION ALL SELECT s.doc_id, i + 1, [held] FROM s JOIN b USING (doc_id) WHERE i = len(blocks) AND held <> ''),
+c AS (SELECT doc_id, i, unnest(put) AS chunk, generate_subscripts(put, 1) AS k FROM e)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INTEGER AS chunk_id, {_TRIMMED.format('source')} AS heading, length(chunk)::INTEGER AS tokens, md5(chunk) AS digest FROM c JOIN b USING (doc_id)"""
 _ORDERED = "row_number() OVER (ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, id)"
 _NAV = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS text, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1), 1) - 1 AS pos FROM pages"
 _ROOT = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)"
@@ -485,5 +568,17 @@ SELECT qid AS query_id, id::VARCHAR AS chunk_id, source AS source_url, rank::INT
 SELECT qid AS query_id, id::VARCHAR AS chunk_id, rank::INTEGER AS rank, least(length(text), 2000)::INTEGER AS tokens, run > 2000 AS truncated, md5(CASE WHEN run > 2000 THEN substr(text, 1, 2000) ELSE text END) AS digest
 FROM r WHERE run <= 2000 OR rank = 1""",
 }
+ORACLE_SQL |= {
+    "jaccard_dedupe": _selection_sql(POOL, 0, 0.8, 1.0),
+    "semantic_dedupe": _selection_sql(POOL, 0, 1.0, 0.92),
+    "quota_fill": _selection_sql(10, 2, 0.92, 0.97),
+    "chunk_pack": _PACKED,
+    "search_ranking": f"WITH {_FOUND} SELECT qid AS query_id, id AS page_id, rank::INTEGER AS rank, round(similarity, 4) AS similarity FROM ranked",
+}
+_CHUNKS = _PACKED[: _PACKED.rindex("SELECT doc_id, (row_number()")]
+_CHUNK_DOCS = f"SELECT 0 AS pool, doc_id * 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS id, {_tokens('chunk')} AS t FROM c"
+ORACLE_SQL["chunk_search"] = f"""{_CHUNKS.rstrip()}, {_bm25_sql(_CHUNK_DOCS, _ASKED, "of_")},
+every AS (SELECT qid, id, score FROM of_s UNION ALL SELECT of_q.qid, f.id, 0.0 FROM of_q, (SELECT id FROM of_d ORDER BY id LIMIT 5) f WHERE NOT EXISTS (SELECT 1 FROM of_s x WHERE x.qid = of_q.qid AND x.id = f.id))
+SELECT qid AS query_id, (id // 1000000)::VARCHAR || ':' || (id % 1000000)::VARCHAR AS chunk_id, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id))::INTEGER AS rank, round(score, 6) AS score FROM every QUALIFY rank <= 5"""
 ORACLE_SQL["batch_rollup"] = f"""SELECT CASE WHEN bool_or(code <> 'ok') THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (code = 'ok') AS n_ok, count(*) FILTER (code <> 'ok') AS n_errors
 FROM ({ORACLE_SQL["url_safety_codes"]})"""

@@ -30,6 +30,7 @@ class Options:
     crawl_fit_markdown_mode: str = "bm25"
     crawl_fit_min_chars: int = 200
     crawl_bm25_threshold: float = 1.5
+    crawl_pruning_threshold: float = 0.48
     crawl_max_chunk_tokens: int = 300
     crawl_overlap_tokens: int = 80
     crawl_max_page_tokens: int = 0
@@ -84,6 +85,21 @@ def redacted(values: dict) -> dict:
     return {k: "***" if v and any(h in k.lower() for h in hide) and not isinstance(v, int | float) else v for k, v in values.items()}
 
 
+def checked_batch(items: list[dict]) -> list[dict]:
+    """One to five items with a url, maybe a query and maybe a positive max_tokens; anything else is an error."""
+    if not isinstance(items, list) or not 1 <= len(items) <= 5:
+        raise ValueError("a batch has 1 to 5 items")
+    for item in items:
+        if not isinstance(item, dict) or not isinstance(item.get("url"), str) or not item["url"].strip():
+            raise ValueError("an item needs a url")
+        if item.get("query") is not None and not isinstance(item["query"], str):
+            raise ValueError("a query is text or nothing")
+        tokens = item.get("max_tokens")
+        if tokens is not None and (isinstance(tokens, bool) or not isinstance(tokens, int) or tokens <= 0):
+            raise ValueError("max_tokens is a positive integer")
+    return items
+
+
 def checked_limit(limit: int) -> int:
     if not 1 <= limit <= 50:
         raise ValueError("limit must be between 1 and 50")

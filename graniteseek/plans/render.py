@@ -110,3 +110,20 @@ def batch_status(rows: DataFrame) -> DataFrame:
     """status, n_ok, n_errors of a batch: partial if any item failed."""
     bad = F.count_if(F.col("status") != "ok")
     return rows.agg(F.when(bad > 0, "partial").otherwise("ok").alias("status"), F.count_if(F.col("status") == "ok").alias("n_ok"), bad.alias("n_errors"))
+
+
+def prompt(operation: str, version: Column, **parts: Column) -> Column:
+    """The text of a record by its operation (search, scrape_urls, research, current_datetime) from what that needs.
+
+    Records of another schema version are an error, as their fields may mean something else.
+    """
+    renderers = {
+        "search": lambda: search_xml(parts["question"], parts["results"], parts["today"]),
+        "scrape_urls": lambda: grounded_batch(parts["pages"], parts["today"]),
+        "research": lambda: grounded_results(parts["question"], parts["results"], parts["today"]),
+        "current_datetime": lambda: datetime_xml(parts["now"]),
+    }
+    if operation not in renderers:
+        raise ValueError(f"no prompt for {operation}")
+    unknown = F.raise_error(F.concat(F.lit("unsupported schema version "), F.coalesce(version, F.lit("null")))).cast("string")
+    return F.when(version.eqNullSafe(F.lit(SCHEMA_VERSION)), renderers[operation]()).otherwise(unknown)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens, stripped
-from ..operators.chunking import pack_chunks
+from ..operators.chunking import pack_chunks, pruned
 from ..operators.dedupe import select_with_quota
 from ..operators.pages import page_struct
-from ..operators.ranking import bm25_hits, bm25_scores, hybrid_rank
+from ..operators.ranking import bm25_hits, bm25_scores, bm25_top, hybrid_rank
 from ..sources.staging import staged
 from .options import Options
 from .search import ranked_results, with_dense
@@ -28,15 +28,21 @@ def fit_markdown(pages: DataFrame, queries: DataFrame, threshold: float) -> Data
     return kept.groupBy("query_id", "page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda b: b["block"]), "\n\n").alias("fit"))
 
 
+def with_fit(rows: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
+    """Rows (query_id, page_id, markdown) with fit: the blocks that matter, by the configured filter; null without one."""
+    if options.crawl_fit_markdown_mode == "bm25":
+        return rows.join(fit_markdown(rows.select("query_id", "page_id", "markdown"), queries, options.crawl_bm25_threshold), ["query_id", "page_id"], "left")
+    if options.crawl_fit_markdown_mode == "pruning":
+        return rows.withColumn("fit", pruned(F.col("markdown"), options.crawl_pruning_threshold))
+    return rows.withColumn("fit", F.lit(None).cast("string"))
+
+
 def readable(kept: DataFrame, pages: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
     """query_id, page_id, url, title, rank, markdown: each kept page parsed once, whoever keeps it."""
     wanted = pages.join(kept.select("page_id").distinct(), "page_id", "left_semi").select("page_id", page_struct(F.col("html"))["markdown"].alias("markdown"))
-    rows = staged(kept.join(wanted, "page_id"), "readable")
-    if options.crawl_fit_markdown_mode == "bm25":
-        fit = fit_markdown(rows.select("query_id", "page_id", "markdown"), queries, options.crawl_bm25_threshold)
-        rows = rows.join(fit, ["query_id", "page_id"], "left")
-        enough = F.length(stripped(F.coalesce("fit", F.lit("")))) >= options.crawl_fit_min_chars
-        rows = rows.withColumn("markdown", F.when(enough, F.col("fit")).otherwise(F.col("markdown"))).drop("fit")
+    rows = with_fit(staged(kept.join(wanted, "page_id"), "readable"), queries, options)
+    enough = F.length(stripped(F.coalesce("fit", F.lit("")))) >= options.crawl_fit_min_chars
+    rows = rows.withColumn("markdown", F.when(enough, F.col("fit")).otherwise(F.col("markdown"))).drop("fit")
     if options.crawl_max_page_tokens > 0:
         rows = rows.withColumn("markdown", F.substring("markdown", 1, options.crawl_max_page_tokens))
     return rows
@@ -55,9 +61,12 @@ def chunk_pool(rows: DataFrame, queries: DataFrame, options: Options) -> DataFra
     return ranked.select("query_id", name.alias("chunk_id"), F.col("url").alias("source_url"), "title", "heading", F.col("chunk_text").alias("text"), F.col("size").alias("tokens"), "rank", "rrf_similarity", "dense_score", "bm25_score", "vector")
 
 
-def research(queries: DataFrame, pages: DataFrame, options: Options = Options()) -> DataFrame:
-    """One row per ranked chunk of a query, with its fate: query_id, chunk_id, source_url, text, scores, status, selected."""
-    kept = ranked_results(queries, pages, options)
+def research(queries: DataFrame, pages: DataFrame, options: Options = Options(), kept: DataFrame | None = None) -> DataFrame:
+    """One row per ranked chunk of a query, with its fate: query_id, chunk_id, source_url, text, scores, status, selected.
+
+    kept: the results of `ranked_results`, if they are known already.
+    """
+    kept = ranked_results(queries, pages, options) if kept is None else kept
     pool = chunk_pool(readable(kept, pages, queries, options), queries, options)
     decided = select_with_quota(pool, "query_id", options.chunk_max_results_to_keep, options.chunk_max_per_source_url, options.chunk_dedupe_jaccard_threshold, options.chunk_semantic_dedupe_threshold, options.chunk_semantic_dedupe_enabled)
     return staged(decided, "decided")
@@ -79,9 +88,28 @@ def run_stats(queries: DataFrame, results: DataFrame, decided: DataFrame) -> Dat
 
 
 def token_savings(queries: DataFrame, results: DataFrame, pages: DataFrame, decided: DataFrame) -> DataFrame:
-    """query_id, naive_tokens (snippets and whole pages), returned_tokens, tokens_saved, pct_saved, in characters."""
-    naive = results.join(pages.select("page_id", F.length("html").alias("page_tokens")), "page_id").groupBy("query_id").agg(F.sum(F.length("snippet") + F.col("page_tokens")).alias("naive_tokens"))
+    """query_id, naive_tokens (snippets and the readable text of whole pages), returned_tokens, tokens_saved, pct_saved,
+    in the character tokens that chunks are counted in."""
+    wanted = pages.join(results.select("page_id").distinct(), "page_id", "left_semi")
+    naive = results.join(wanted.select("page_id", F.length(page_struct(F.col("html"))["markdown"]).alias("page_tokens")), "page_id").groupBy("query_id").agg(F.sum(F.length("snippet") + F.col("page_tokens")).alias("naive_tokens"))
     back = decided.filter("status = 'accepted'").groupBy("query_id").agg(F.sum("tokens").alias("returned_tokens"))
     out = queries.select("query_id").join(naive, "query_id", "left").join(back, "query_id", "left").na.fill(0, ["naive_tokens", "returned_tokens"])
     saved = F.col("naive_tokens") - F.col("returned_tokens")
     return out.select("query_id", "naive_tokens", "returned_tokens", saved.alias("tokens_saved"), F.when(F.col("naive_tokens") > 0, F.round(100 * saved / F.col("naive_tokens"), 1)).otherwise(0.0).alias("pct_saved"))
+
+
+def savings_total(savings: DataFrame) -> DataFrame:
+    """One row over all queries: naive_tokens, returned_tokens, tokens_saved, pct_saved."""
+    sums = savings.agg(*(F.sum(c).alias(c) for c in ("naive_tokens", "returned_tokens", "tokens_saved")))
+    return sums.withColumn("pct_saved", F.when(F.col("naive_tokens") > 0, F.round(100 * F.col("tokens_saved") / F.col("naive_tokens"), 1)).otherwise(0.0))
+
+
+def local_search(rows: DataFrame, queries: DataFrame, text: str, key: str, top_k: int = 5, options: Options = Options()) -> DataFrame:
+    """query_id, chunk_id ("key:chunk"), rank, bm25_score, chunk_text: the best chunks of all rows for each query.
+
+    rows: key (an integer), text.  Chunks are packed on the way and only the best ones' texts move.
+    """
+    chunks = pack_chunks(rows.select(key, text), text, options.crawl_max_chunk_tokens, options.crawl_overlap_tokens)
+    chunks = staged(chunks.select((F.col(key) * 1_000_000 + F.col("chunk_id")).alias("pos"), F.concat_ws(":", F.col(key), F.col("chunk_id")).alias("chunk_id"), "chunk_text"), "local-chunks")
+    best = bm25_top(chunks.select("pos", retrieval_tokens(F.col("chunk_text")).alias("tokens")), queries, "pos", "pos", "query_id", top_k)
+    return best.join(chunks, "pos").select("query_id", "chunk_id", "rank", "bm25_score", "chunk_text")

@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import retrieval_tokens, stripped
 from ..operators.budget import within_budget
 from ..operators.chunking import pack_chunks
 from ..operators.pages import admissible_links, metadata, page_struct
 from ..operators.ranking import bm25_scores, hybrid_rank, rank_by
-from ..operators.urls import blocked_list, drop_blocked, safety_code
+from ..operators.urls import blocked_list, fetch_code
 from ..sources.staging import staged
-from .options import Options
+from .options import Options, checked_batch
+from .research import with_fit
 from .search import with_dense
 
 
-def read_items(items: DataFrame, pages: DataFrame) -> DataFrame:
+def read_items(items: DataFrame, pages: DataFrame, blocked: DataFrame | None = None, dns: DataFrame | None = None) -> DataFrame:
     """item_id, url, query, error_code, title, metadata, links, markdown of every item (item_id, url, query).
 
-    Items without a page fail with fetch_failed, unsafe ones before that, empty ones with empty_content.  Only pages
-    that an item names are parsed.
+    Items without a page fail with fetch_failed, unsafe or blocked ones before that, empty ones with empty_content.
+    Pages may have final_url, where a redirect ended, which must be as safe as the url; and fetch_error, why a page
+    wasn't read: `timeout` gives fetch_timeout, any other fetch_failed.  Only pages that an item names are parsed.
     """
-    wanted = pages.join(items.select("url").distinct(), "url", "left_semi").select("url", page_struct(F.col("html")).alias("p"))
-    rows = items.join(wanted, "url", "left")
-    code = safety_code(F.col("url"))
-    error = F.when(code != "ok", code).when(F.col("p").isNull(), "fetch_failed").when(stripped(F.col("p.markdown")) == "", "empty_content")
+    more = [c for c in ("final_url", "fetch_error") if c in pages.columns]
+    wanted = pages.join(items.select("url").distinct(), "url", "left_semi").select("url", *more, page_struct(F.col("html")).alias("p"))
+    rows = fetch_code(items.select("item_id", "url", "query"), "code", "url", blocked, dns).join(wanted, "url", "left")
+    for name in ("final_url", "fetch_error"):
+        if name not in more:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    if "final_url" in more:
+        rows = fetch_code(rows, "final_code", "final_url", blocked, dns)
+        rows = rows.withColumn("final_code", F.when(F.col("final_url").isNull(), "ok").otherwise(F.col("final_code")))
+    else:
+        rows = rows.withColumn("final_code", F.lit("ok"))
+    error = F.when(F.col("code") != "ok", F.col("code")).when(F.col("final_code") != "ok", F.col("final_code")).when(F.col("fetch_error") == "timeout", "fetch_timeout")
+    error = error.when(F.col("p").isNull() | F.col("fetch_error").isNotNull(), "fetch_failed").when(stripped(F.col("p.markdown")) == "", "empty_content")
     return staged(rows.select("item_id", "url", "query", error.alias("error_code"), F.col("p.title").alias("title"), F.struct(*metadata(F.col("p.meta"))).alias("metadata"), F.col("p.links").alias("links"), F.col("p.markdown").alias("markdown")), "items")
 
 
@@ -40,7 +52,14 @@ def page_order(rows: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def focused_chunks(rows: DataFrame, options: Options) -> DataFrame:
-    """item_id, chunk_id, rank, text, tokens, truncated and scores: ranked chunks within the token budget."""
+    """item_id, chunk_id, rank, text, tokens, truncated and scores: ranked chunks within the token budget.
+
+    Chunks are those of the blocks that matter to the query, or of the whole page if none does.
+    """
+    asked = rows.select(F.col("item_id").alias("query_id"), retrieval_tokens(F.col("query")).alias("tokens")).distinct()
+    fit = with_fit(rows.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("page_id"), "query", "markdown"), asked, options)
+    text = F.when(stripped(F.coalesce("fit", F.lit(""))) != "", F.col("fit")).otherwise(F.col("markdown"))
+    rows = staged(fit.select(F.col("query_id").alias("item_id"), "query", text.alias("markdown")), "fitted")
     chunks = pack_chunks(rows.select("item_id", "query", "markdown"), "markdown", options.crawl_max_chunk_tokens, options.crawl_overlap_tokens)
     chunks = chunks.withColumn("tokens_list", retrieval_tokens(F.col("chunk_text")))
     asked = rows.select("item_id", retrieval_tokens(F.col("query")).alias("tokens")).distinct()
@@ -58,7 +77,8 @@ def prefiltered_links(links: DataFrame, asked: DataFrame, most: int) -> DataFram
     """
     corpus = staged(links.withColumn("tokens", retrieval_tokens(F.concat_ws(" ", "text", "context"))), "links")
     scored = bm25_scores(corpus, asked, ["item_id"], ["pos"])
-    return scored.withColumn("_n", rank_by(["item_id"], "bm25_score", "pos")).filter(F.col("_n") <= most).drop("_n")
+    place, = fresh(scored, "place")
+    return scored.withColumn(place, rank_by(["item_id"], "bm25_score", "pos")).filter(F.col(place) <= most).drop(place)
 
 
 def related_links(rows: DataFrame, options: Options) -> DataFrame:
@@ -76,12 +96,16 @@ def related_links(rows: DataFrame, options: Options) -> DataFrame:
     return best.unionByName(plain)
 
 
-def scrape(items: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
+def batch_items(spark: SparkSession, items: list[dict]) -> DataFrame:
+    """item_id, url, query of a checked batch of one to five items, in order."""
+    rows = [(k, item["url"], item.get("query")) for k, item in enumerate(checked_batch(items))]
+    return spark.createDataFrame(rows, "item_id int, url string, query string")
+
+
+def scrape(items: DataFrame, pages: DataFrame, options: Options, dns: DataFrame | None = None) -> DataFrame:
     """One row per item: item_id, url, query, status, error_code, title, content_tokens, truncated, chunks, links."""
-    rows = read_items(items, pages)
-    if options.blocked_domains:
-        fine = drop_blocked(rows.select("item_id", "url"), blocked_list(rows.sparkSession, options.blocked_domains)).select("item_id", F.lit(True).alias("fine"))
-        rows = rows.join(fine, "item_id", "left").withColumn("error_code", F.when(F.col("fine").isNull(), "blocked_url").otherwise(F.col("error_code"))).drop("fine")
+    blocked = blocked_list(items.sparkSession, options.blocked_domains) if options.blocked_domains else None
+    rows = read_items(items, pages, blocked, dns)
     good = rows.filter("error_code IS NULL")
     chunks = focused_chunks(good.filter(is_focused(F.col("query"))), options)
     chunks = chunks.select("item_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "text", "tokens", "truncated", F.round("rrf_similarity", 4).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import collapsed, retrieval_tokens
 from ..functions.urls import is_http, url_domain
 from ..functions.vectors import cosine, hash_vectors
@@ -23,14 +24,19 @@ def page_title(html: Column) -> Column:
 
 
 def page_snippet(html: Column, chars: int = 200) -> Column:
-    """The first characters of the page's paragraphs."""
-    body = F.regexp_extract(html, r"(?is)<article[^>]*>(.{0,2000})", 1)
+    """What a backend shows of a page: the first characters of its article's text."""
+    body = F.regexp_extract(html, r"(?is)<article[^>]*>(.*)", 1)
     return F.substring(collapsed(F.regexp_replace(body, r"(?s)<[^>]*>?", " ")), 1, chars)
 
 
+def page_words(html: Column) -> Column:
+    """All text of the page, without scripts, styles and marks: what a backend finds it by."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " "), r"(?s)<[^>]*>", " ")
+
+
 def pages_as_results(pages: DataFrame) -> DataFrame:
-    """result_id, title, url, text of every page, in page order."""
-    return pages.select(F.col("page_id").alias("result_id"), page_title(F.col("html")).alias("title"), "url", page_snippet(F.col("html")).alias("text"))
+    """result_id, title, url, text (the snippet), html of every page, in page order."""
+    return pages.select(F.col("page_id").alias("result_id"), page_title(F.col("html")).alias("title"), "url", page_snippet(F.col("html")).alias("text"), "html")
 
 
 def discover(results: DataFrame, limit: int, blocked: tuple[str, ...] = (), pool: tuple[str, ...] = ()) -> DataFrame:
@@ -41,7 +47,8 @@ def discover(results: DataFrame, limit: int, blocked: tuple[str, ...] = (), pool
     rows = results.filter("title <> '' AND url <> ''")
     if pool:
         place = F.row_number().over(Window.partitionBy(*pool).orderBy("result_id"))
-        rows = rows.withColumn("_n", place).filter(F.col("_n") <= checked_limit(limit)).drop("_n")
+        n, = fresh(rows, "n")
+        rows = rows.withColumn(n, place).filter(F.col(n) <= checked_limit(limit)).drop(n)
     else:
         rows = rows.orderBy("result_id").limit(checked_limit(limit))
     rows = rows.filter(is_http(F.col("url")))
@@ -59,20 +66,22 @@ def search_document(title: Column, url: Column, snippet: Column) -> Column:
 def with_dense(rows: DataFrame, queries: DataFrame, keys: list[str], query: str, tokens: str, corpus: DataFrame | None = None) -> DataFrame:
     """Rows with dense_score (cosine of hashed vectors) and vector; a stored corpus spares computing the rows twice."""
     vectors = hash_vectors((rows if corpus is None else corpus).select(*keys, F.col(tokens).alias("tokens")).distinct(), keys)
-    asked = hash_vectors(queries.select(query, "tokens"), [query]).withColumnRenamed("vector", "_asked")
+    name, = fresh(rows, "asked")
+    asked = hash_vectors(queries.select(query, "tokens"), [query]).withColumnRenamed("vector", name)
     joined = rows.join(vectors, keys, "left").join(asked, query, "left")
-    return joined.withColumn("dense_score", F.coalesce(cosine(F.col("vector"), F.col("_asked")), F.lit(0.0))).drop("_asked")
+    return joined.withColumn("dense_score", F.coalesce(cosine(F.col("vector"), F.col(name)), F.lit(0.0))).drop(name)
 
 
 def ranked_results(queries: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
     """query_id, page_id, url, title, snippet and scores: the results kept for each query.
 
-    BM25 over titles and snippets plays the backend; what it returns is filtered, ranked again by both scores
-    within the query, and cut to the results to keep.
+    BM25 over whole pages plays the backend; what it returns is filtered, ranked again by both scores of its title, url
+    and snippet within the query, and cut to the results to keep.
     """
-    listed = staged(pages_as_results(pages).filter("title <> '' AND url <> ''"), "results")
-    corpus = listed.withColumn("tokens", retrieval_tokens(F.concat_ws(" ", "title", "text")))
-    found = bm25_top(corpus.withColumn("pos", F.col("result_id")), queries, "result_id", "pos", "query_id", options.search_max_results)
+    results = pages_as_results(pages).filter("title <> '' AND url <> ''")
+    listed = results.drop("html")
+    corpus = results.select("result_id", F.col("result_id").alias("pos"), retrieval_tokens(page_words(F.col("html"))).alias("tokens"))
+    found = bm25_top(corpus, queries, "result_id", "pos", "query_id", options.search_max_results)
     found = found.select("query_id", "result_id", F.col("rank").alias("backend_rank")).join(listed, "result_id").filter(is_http(F.col("url")))
     if options.blocked_domains:
         found = drop_blocked(found, blocked_list(pages.sparkSession, options.blocked_domains))

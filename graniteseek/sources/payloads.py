@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import first_nonempty, stripped
 
 RESULT = ["query_id", "result_id", "title", "url", "text", "published_at"]
@@ -69,14 +70,51 @@ def dispatch(backend: str, fallback: bool = True, keyed: bool = False) -> Backen
     return Backends("searxng", (("ddgs", "brave") if keyed else ("ddgs",)) if fallback else ())
 
 
-def with_fallback(results: dict[str, DataFrame], backends: Backends, queries: DataFrame) -> DataFrame:
-    """For every query the rows of the first source that has any.  One aggregation over all sources: no source is
-    asked per query from the driver."""
+# Statuses by which a backend says that it won't answer.
+REFUSED = (401, 403, 429)
+
+
+def backend_errors(responses: DataFrame, backend: str) -> DataFrame:
+    """query_id, error_code of every response that is an error: backend_blocked if the backend refused (by `status`, if
+    there is such a column) or has no results while engines didn't respond; backend_failed for other statuses from 400
+    and for bodies that aren't JSON of its form."""
+    status = F.col("status") if "status" in responses.columns else F.lit(200)
+    found = _ROWS[backend](F.from_json("body", SCHEMAS[backend]))
+    unwell = F.coalesce(F.size(F.from_json(F.get_json_object("body", "$.unresponsive_engines"), "array<string>")), F.lit(0))
+    code = F.when(status.isin(*REFUSED), "backend_blocked").when(status >= 400, "backend_failed").when(F.col("body").isNull() | found.isNull(), "backend_failed")
+    code = code.when((F.size(found) == 0) & (unwell > 0), "backend_blocked")
+    return responses.select("query_id", code.alias("error_code")).filter("error_code IS NOT NULL")
+
+
+def with_fallback(results: dict[str, DataFrame], backends: Backends, queries: DataFrame, errors: dict[str, DataFrame] | None = None) -> DataFrame:
+    """For every query the rows of the first source that has any and didn't fail.  One aggregation over all sources: no
+    source is asked per query from the driver."""
     order = [backends.primary, *backends.fallbacks]
-    frames = [results[b].withColumn("_order", F.lit(k)) for k, b in enumerate(order) if b in results]
+    frames = []
+    rank, best = fresh(results[order[0]], "order", "best")
+    for k, b in enumerate(order):
+        if b in results:
+            rows = results[b]
+            if errors and b in errors:
+                rows = rows.join(errors[b].select("query_id").distinct(), "query_id", "left_anti")
+            frames.append(rows.withColumn(rank, F.lit(k)))
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)
     rows = rows.join(queries.select("query_id").distinct(), "query_id", "left_semi")
-    best = F.min("_order").over(Window.partitionBy("query_id"))
-    return rows.withColumn("_best", best).filter("_order = _best").drop("_order", "_best")
+    least = F.min(rank).over(Window.partitionBy("query_id"))
+    return rows.withColumn(best, least).filter(F.col(rank) == F.col(best)).drop(rank, best)
+
+
+def search_errors(found: DataFrame, queries: DataFrame, errors: dict[str, DataFrame], backends: Backends) -> DataFrame:
+    """query_id, error_code of the queries without rows whose sources failed: the first source's error counts."""
+    order = [backends.primary, *backends.fallbacks]
+    rows = None
+    for k, b in enumerate(order):
+        if b in errors:
+            part = errors[b].select("query_id", F.struct(F.lit(k).alias("k"), "error_code").alias("e"))
+            rows = part if rows is None else rows.unionAll(part)
+    empty = queries.select("query_id").distinct().join(found.select("query_id").distinct(), "query_id", "left_anti")
+    if rows is None:
+        return empty.select("query_id", F.lit(None).cast("string").alias("error_code")).limit(0)
+    return empty.join(rows.groupBy("query_id").agg(F.min("e")["error_code"].alias("error_code")), "query_id")

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens
 
-QUERY_WORDS = 8
-
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query_log(spark: SparkSession, sf_dir: str, words: int = QUERY_WORDS) -> DataFrame:
-    """query_id, query, tokens: every benchmark question, asked by its first words."""
-    tokens = F.slice(retrieval_tokens(F.col("text")), 1, words)
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query, tokens: every benchmark question, asked with all its words."""
+    tokens = retrieval_tokens(F.col("text"))
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tokens, " ").alias("query"), tokens.alias("tokens"))

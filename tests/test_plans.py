@@ -129,7 +129,7 @@ def test_the_rest_works_without_the_training_data_folder(monkeypatch):
     class Gone(importlib.abc.MetaPathFinder):
         def find_spec(self, name, path=None, target=None):
             if name == "corpus_pipeline" or name.startswith("graniteseek.llm"):
-                raise ModuleNotFoundError(name)
+                raise ModuleNotFoundError(name, name=name)
 
     for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("graniteseek.llm")]:
         monkeypatch.delitem(sys.modules, name)
