@@ -173,8 +173,8 @@ def _mixed_units(docs: DataFrame, doc_id="doc_id", text="text", source="source",
     rows = [(s, r["size"], targets[s], targets[s] / r["size"] if r["size"] else 0.0, max(1, -(-r["n"] // block_rows))) for s, r in stats.items()]
     plan = F.broadcast(spark.createDataFrame(rows, "plan_source string, source_size long, target double, rate double, blocks long"))
     frame = units.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
-    wanted = F.col("rate") * F.col("times")
-    frame = frame.withColumns({"sure": F.floor(wanted), "chance": F.when(F.col("size") > 0, wanted - F.floor(wanted)).otherwise(0.0)})
+    wanted = F.when(F.col("size") > 0, F.col("rate") * F.col("times")).otherwise(0.0)
+    frame = frame.withColumns({"sure": F.floor(wanted), "chance": wanted - F.floor(wanted)})
 
     schema = T.StructType([*frame.schema.fields])
     decided, depth = [], 0

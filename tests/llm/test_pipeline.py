@@ -51,3 +51,38 @@ def test_registration():
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
     assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_odd_tables(spark, docs_of, folder, number):
+    path, rows = folder
+    name, stage = corpus_pipeline.STAGES[number]
+    last = number + 1 == len(corpus_pipeline.STAGES)
+    empty = docs_of(["a"], clashing=True).limit(0)
+    out = stage(spark, empty, path)
+    assert out.count() == 0 and (last or out.columns == empty.columns)
+    # repeated rows, null and empty texts, null ids, languages and sources, a very long text, clashing names
+    long = "the of and to in is that it was for " * 20_000
+    texts = [rows[0][1], rows[0][1], None, None, "", "", "!?", long, long + "end", rows[1][1], rows[2][1], rows[2][1]]
+    ids = [1, 1, 2, None, 3, 4, 5, 6, 7, None, 8, 9]
+    docs = docs_of(texts, ids=ids, langs=[None, "en", "en", None, "en", "en", "en", "en", "en", None, "de", "en"], sources=["s", "s", None, "t", "s", "t", None, "u", "u", None, "t", "t"], clashing=True)
+    out = stage(spark, docs, path)
+    if last:
+        got = unpack(out.filter("size(doc_ids) > 0"))
+        assert {1, 5, 6, 7, 8, 9} <= set(got) and not {2, 3, 4} & set(got) and got[6] == long
+        return
+    assert out.columns == docs.columns
+    got = sorted(str(r.doc_id) for r in out.collect())
+    if name == "language_id":
+        assert got == sorted(["1", "1", "6", "7", "None", "8", "9"])
+    elif name == "near_dedup":
+        assert got == sorted(["1", "2", "3", "5", "6", "None", "None", "8"])
+    elif name == "decontaminate":
+        assert got == sorted(map(str, ids))
+    else:
+        assert set(got) <= set(map(str, ids)) and not {"2", "3", "4"} & set(got) and len(got) >= 3
+
+
+def test_no_labels_keep_what_has_letters(spark, docs_of, folder):
+    docs = docs_of(["some words", "12 34", None, "mehr Wörter"], langs=[None] * 4)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, folder[0]).collect()} == {0, 3}
