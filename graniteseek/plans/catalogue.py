@@ -453,20 +453,21 @@ qv AS (SELECT {_BUCKET} AS b, sum(a)::DOUBLE AS c FROM qt GROUP BY ALL),
 dense AS (SELECT id, sum(dv.c * coalesce(qv.c, 0)) / sqrt(sum(dv.c * dv.c)) / (SELECT sqrt(sum(c * c)) FROM qv) AS dense FROM dv LEFT JOIN qv USING (b) GROUP BY id),
 two AS (SELECT d.id, coalesce(s.score, 0) AS bm25, coalesce(dense, 0) AS dense FROM d LEFT JOIN s USING (id) LEFT JOIN dense USING (id)),
 ranks AS (SELECT *, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS br, row_number() OVER (ORDER BY round(dense, 9) DESC, id) AS dr FROM two)"""
-# selection: pools of ranked rows as r(qid, id, text, source, rank), pairs of them, and greedy choice as recursion over steps
-_POOLS = f"""{_TOP}, r AS (SELECT qid, id, text, source, rank::INTEGER AS rank, {_tokens('text')} AS t FROM top JOIN documents ON doc_id = id WHERE rank <= {POOL}),
+# selection: pools of ranked rows as r(qid, id, name, source, rank, t); pairs of them, and greedy choice as recursion over steps
+_TOP_POOLS = f"{_TOP}, r AS (SELECT qid, id, id::VARCHAR AS name, source, rank::INTEGER AS rank, {_tokens('text')} AS t FROM top JOIN documents ON doc_id = id WHERE rank <= {POOL})"
+
+
+def _selection_sql(pools: str, limit: int, per_source: int, lexical: float, semantic: float) -> str:
+    """The pools' CTEs and those of greedy choice: lexical survivors by rank, then a sweep under the quota and one
+    without it.  Ends with chosen(qid, id, rank, name, status, selected, similarity, matched)."""
+    sweeps = "(VALUES (1), (2))" if per_source else "(VALUES (2))"
+    return f"""WITH RECURSIVE {pools},
 rb AS (SELECT id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM (SELECT DISTINCT id, t FROM r), unnest(t) u(term) GROUP BY ALL), norms AS (SELECT id, sqrt(sum(c * c)) AS norm FROM rb GROUP BY id),
 cosines AS (SELECT x.id AS i, y.id AS j, sum(x.c * y.c) / any_value(m.norm) / any_value(n.norm) AS c FROM rb x JOIN rb y USING (b) JOIN norms m ON m.id = x.id JOIN norms n ON n.id = y.id
   WHERE (x.id, y.id) IN (SELECT DISTINCT e.id, f.id FROM r e JOIN r f USING (qid)) GROUP BY x.id, y.id),
 sets AS (SELECT qid, id, rank, list_distinct(t) AS ds FROM r),
 pairs AS (SELECT a.qid, a.rank AS i, b.rank AS j, CASE WHEN len(a.ds) = 0 OR len(b.ds) = 0 THEN 0 ELSE len(list_intersect(a.ds, b.ds)) / (len(a.ds) + len(b.ds) - len(list_intersect(a.ds, b.ds))) END AS jaccard,
-  coalesce(c, 0) AS c FROM sets a JOIN sets b USING (qid) LEFT JOIN cosines ON cosines.i = a.id AND cosines.j = b.id WHERE a.rank <> b.rank)"""
-
-
-def _selection_sql(limit: int, per_source: int, lexical: float, semantic: float) -> str:
-    """Greedy choice: lexical survivors by rank, then a sweep under the quota and one without it."""
-    sweeps = "(VALUES (1), (2))" if per_source else "(VALUES (2))"
-    return f"""WITH RECURSIVE {_POOLS},
+  coalesce(c, 0) AS c FROM sets a JOIN sets b USING (qid) LEFT JOIN cosines ON cosines.i = a.id AND cosines.j = b.id WHERE a.rank <> b.rank),
 alike AS (SELECT qid, i, list(j) AS js FROM pairs WHERE j < i AND jaccard >= {lexical} AND {lexical} < 1 GROUP BY qid, i),
 lex(qid, rank, kept) AS (SELECT qid, 0, []::INTEGER[] FROM (SELECT DISTINCT qid FROM r)
   UNION ALL SELECT lex.qid, r.rank, CASE WHEN js IS NOT NULL AND list_has_any(js, kept) THEN kept ELSE list_append(kept, r.rank) END
@@ -483,10 +484,14 @@ run(qid, step, chosen, sources, refused) AS (SELECT qid, 0::BIGINT, []::INTEGER[
       coalesce(list_max(list_transform(chosen, lambda x: cs[x])), 0) AS best
     FROM run JOIN steps t ON t.qid = run.qid AND t.step = run.step + 1))),
 ended AS (SELECT qid, arg_max(chosen, step) AS chosen, arg_max(refused, step) AS refused FROM run GROUP BY qid),
-fate AS (SELECT r.qid, r.id, r.rank, list_position(chosen, r.rank) AS place, list_filter(refused, lambda x: x.rank = r.rank)[1] AS no, NOT list_contains(kept, r.rank) AS copy FROM r JOIN ended USING (qid) JOIN survivors USING (qid))
-SELECT f.qid AS query_id, f.id::VARCHAR AS chunk_id, f.rank, CASE WHEN place > 0 THEN 'accepted' WHEN copy THEN 'lexical_duplicate' WHEN no IS NOT NULL THEN 'semantic_duplicate' ELSE 'not_needed' END AS status,
-  CASE WHEN place > 0 THEN place::INTEGER END AS selected, CASE WHEN coalesce(place, 0) = 0 THEN round(no.c, 4) END AS similarity, CASE WHEN coalesce(place, 0) = 0 THEN m.id::VARCHAR END AS matched
-FROM fate f LEFT JOIN r m ON m.qid = f.qid AND m.rank = no.j"""
+fate AS (SELECT r.qid, r.id, r.rank, r.name, list_position(chosen, r.rank) AS place, list_filter(refused, lambda x: x.rank = r.rank)[1] AS no, NOT list_contains(kept, r.rank) AS copy FROM r JOIN ended USING (qid) JOIN survivors USING (qid)),
+chosen AS (SELECT f.qid, f.id, f.rank, f.name, CASE WHEN place > 0 THEN 'accepted' WHEN copy THEN 'lexical_duplicate' WHEN no IS NOT NULL THEN 'semantic_duplicate' ELSE 'not_needed' END AS status,
+  CASE WHEN place > 0 THEN place::INTEGER END AS selected, CASE WHEN coalesce(place, 0) = 0 THEN round(no.c, 4) END AS similarity, CASE WHEN coalesce(place, 0) = 0 THEN m.name END AS matched
+  FROM fate f LEFT JOIN r m ON m.qid = f.qid AND m.rank = no.j)"""
+
+
+def _pool_choice(limit: int, per_source: int, lexical: float, semantic: float) -> str:
+    return _selection_sql(_TOP_POOLS, limit, per_source, lexical, semantic) + " SELECT qid AS query_id, name AS chunk_id, rank, status, selected, similarity, matched FROM chosen"
 
 
 _SNIPPET = "substr(" + _SPACES.format("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)', 1), '(?s)<[^>]*>?', ' ', 'g')") + ", 1, 200)"
@@ -505,14 +510,61 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9)
 fused AS (SELECT *, 0.5 / (60 + br) + 0.5 / (60 + dr) AS rrf FROM ranks),
 ranked AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, pos) AS rank, rrf * 61 AS similarity FROM fused QUALIFY rank <= 5)"""
 _TRIMMED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
-_PACKED = f"""WITH RECURSIVE b AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex('# ' || source || chr(10) || text, '\\n+'), lambda x: {_TRIMMED.format('x')}), lambda x: x <> '') AS blocks FROM documents),
-s(doc_id, i, held, put) AS (SELECT doc_id, 0::BIGINT, '', []::VARCHAR[] FROM b
-  UNION ALL SELECT doc_id, i + 1, CASE WHEN length(x) > 300 THEN '' WHEN held = '' OR length(held) + 2 + length(x) > 300 THEN x ELSE held || chr(10) || chr(10) || x END,
+
+
+def _packed_sql(blocks: str, key: str) -> str:
+    """CTEs that pack blocks (key, blocks) into c(key, i, chunk, k), where (i, k) is a chunk's place."""
+    return f"""{blocks},
+s({key}, i, held, put) AS (SELECT {key}, 0::BIGINT, '', []::VARCHAR[] FROM b
+  UNION ALL SELECT {key}, i + 1, CASE WHEN length(x) > 300 THEN '' WHEN held = '' OR length(held) + 2 + length(x) > 300 THEN x ELSE held || chr(10) || chr(10) || x END,
     list_filter(CASE WHEN length(x) > 300 THEN list_prepend(held, list_transform(range(0, length(x), 220), lambda k: {_TRIMMED.format('substr(x, k + 1, 300)')})) WHEN length(held) + 2 + length(x) > 300 THEN [held] ELSE []::VARCHAR[] END, lambda y: y <> '')
-  FROM (SELECT s.doc_id, i, held, blocks[i + 1] AS x FROM s JOIN b USING (doc_id) WHERE i < len(blocks))),
-e AS (SELECT doc_id, i, put FROM s UNION ALL SELECT s.doc_id, i + 1, [held] FROM s JOIN b USING (doc_id) WHERE i = len(blocks) AND held <> ''),
-c AS (SELECT doc_id, i, unnest(put) AS chunk, generate_subscripts(put, 1) AS k FROM e)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INTEGER AS chunk_id, {_TRIMMED.format('source')} AS heading, length(chunk)::INTEGER AS tokens, md5(chunk) AS digest FROM c JOIN b USING (doc_id)"""
+  FROM (SELECT s.{key}, i, held, blocks[i + 1] AS x FROM s JOIN b USING ({key}) WHERE i < len(blocks))),
+e AS (SELECT {key}, i, put FROM s UNION ALL SELECT s.{key}, i + 1, [held] FROM s JOIN b USING ({key}) WHERE i = len(blocks) AND held <> ''),
+c AS (SELECT {key}, i, unnest(put) AS chunk, generate_subscripts(put, 1) AS k FROM e)"""
+
+
+_LINES = f"b AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex('# ' || source || chr(10) || text, '\\n+'), lambda x: {_TRIMMED.format('x')}), lambda x: x <> '') AS blocks FROM documents)"
+_PACKED = "WITH RECURSIVE " + _packed_sql(_LINES, "doc_id")
+
+# the readable blocks of the test pages: what is hidden or left out goes, block marks become chr(1), headings and list items keep theirs
+_BLOCK_MARK = "(?i)</?(address|article|blockquote|body|br|dd|div|dl|dt|fieldset|figure|form|h[1-6]|hr|html|li|main|ol|p|pre|section|table|td|th|tr|ul)(\\s[^>]*)?>"
+_SHOWN = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->|<![^>]*>', '', 'g')"
+_SHOWN = f"regexp_replace({_SHOWN}, '(?is)<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>', chr(1), 'g')"
+_SHOWN = f"regexp_replace(regexp_replace({_SHOWN}, '(?i)<h1(\\s[^>]*)?>', chr(1) || '# ' || chr(2), 'g'), '(?i)<li(\\s[^>]*)?>', chr(1) || '* ' || chr(2), 'g')"
+_SHOWN = f"regexp_replace(regexp_replace({_SHOWN}, '{_BLOCK_MARK}', chr(1), 'g'), '<[^>]*>', '', 'g')"
+for _name, _said in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    _SHOWN = f"replace({_SHOWN}, {_text(_name)}, {_text(_said)})"
+_MARK, _SAID = "CASE WHEN contains(x, chr(2)) THEN split_part(x, chr(2), 1) ELSE '' END", _SPACES.format("split_part(x, chr(2), -1)")
+_MARKDOWN = f"list_transform(list_filter(string_split({_SHOWN}, chr(1)), lambda x: {_SAID} <> ''), lambda x: {_MARK} || {_SAID})"
+_READ = f"md AS (SELECT page_id, url, {_TITLE} AS title, {_MARKDOWN} AS blocks FROM pages)"
+_PAGE_BLOCKS = f"{_READ}, b AS (SELECT page_id, blocks FROM md)"
+_HEADING = "coalesce(substr(list_filter(blocks[1:i], lambda x: starts_with(x, '# '))[-1], 3), '')"  # of the last one read when a chunk closes
+
+# research: results, their pages' blocks that matter, chunks of those, ranks over a query's chunks, choice
+_RESEARCHED = f"""{_FOUND}, {_READ},
+pb AS (SELECT qid * 1000000 + page_id AS pool, qid, page_id, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS id FROM ranked JOIN md ON page_id = ranked.id),
+{_bm25_sql("SELECT pool, id, " + _tokens("block") + " AS t FROM pb", "SELECT DISTINCT pb.pool, 0 AS qid, one_q.t FROM pb JOIN one_q USING (qid)", "fit_")},
+fitted AS (SELECT pb.pool, list(block ORDER BY pb.id) AS blocks FROM pb JOIN fit_s ON fit_s.pool = pb.pool AND fit_s.id = pb.id WHERE score >= 1.5 GROUP BY pb.pool),
+b AS (SELECT qid * 1000000 + page_id AS pool, qid, page_id, url, rank AS page_rank, CASE WHEN length(array_to_string(f.blocks, chr(10) || chr(10))) >= 200 THEN f.blocks ELSE md.blocks END AS blocks
+  FROM ranked JOIN md ON page_id = ranked.id LEFT JOIN fitted f ON f.pool = qid * 1000000 + page_id)"""
+_RESEARCHED = _packed_sql(_RESEARCHED, "pool") + f""",
+ch AS (SELECT qid, page_id, url, page_rank * 1000000 + row_number() OVER (PARTITION BY pool ORDER BY i, k) - 1 AS pos, page_id::VARCHAR || ':' || (row_number() OVER (PARTITION BY pool ORDER BY i, k) - 1)::VARCHAR AS name, chunk FROM c JOIN b USING (pool)),
+{_bm25_sql("SELECT qid AS pool, pos AS id, " + _tokens("chunk") + " AS t FROM ch", "SELECT qid AS pool, qid, t FROM one_q", "of_")},
+cv AS (SELECT pool, id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM of_tok GROUP BY ALL), uv AS (SELECT pool, {_BUCKET} AS b, sum(a)::DOUBLE AS c FROM of_qt GROUP BY ALL), un AS (SELECT pool, sqrt(sum(c * c)) AS norm FROM uv GROUP BY pool),
+cd AS (SELECT cv.pool, id, sum(cv.c * coalesce(uv.c, 0)) / sqrt(sum(cv.c * cv.c)) / any_value(norm) AS dense FROM cv JOIN un USING (pool) LEFT JOIN uv USING (pool, b) GROUP BY cv.pool, id),
+both_ AS (SELECT ch.*, coalesce(score, 0) AS bm25, coalesce(dense, 0) AS dense FROM ch LEFT JOIN of_s ON of_s.pool = ch.qid AND of_s.id = pos LEFT JOIN cd ON cd.pool = ch.qid AND cd.id = pos),
+places AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, pos) AS br, row_number() OVER (PARTITION BY qid ORDER BY round(dense, 9) DESC, pos) AS dr FROM both_),
+mixed AS (SELECT *, 0.5 / (60 + br) + 0.5 / (60 + dr) AS rrf FROM places),
+pooled AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, pos) AS rank FROM mixed QUALIFY rank <= 6),
+r AS (SELECT qid, qid::VARCHAR || ':' || name AS id, name, url AS source, rank::INTEGER AS rank, {_tokens('chunk')} AS t FROM pooled)"""
+_RESEARCH = _selection_sql(_RESEARCHED, 2, 4, 0.92, 0.92)
+_STATS = """ran AS (SELECT item_id AS qid, coalesce(n, 0) AS search_results, coalesce(m, 0) AS chunks_considered, coalesce(a, 0) AS chunks_selected, coalesce(said, 0) AS returned_tokens, n IS NULL AS none FROM benchmark
+  LEFT JOIN (SELECT qid, count(*) AS n FROM ranked GROUP BY qid) x ON x.qid = item_id
+  LEFT JOIN (SELECT qid, count(*) AS m, count(*) FILTER (status = 'accepted') AS a, sum(length(chunk)) FILTER (status = 'accepted') AS said FROM chosen JOIN pooled USING (qid, rank) GROUP BY qid) y ON y.qid = item_id)"""
+_SAVED = f"""{_RESEARCH}, {_STATS},
+naive AS (SELECT listed.qid, sum(length(snippet) + length(array_to_string(blocks, chr(10) || chr(10)))) AS naive_tokens FROM ranked JOIN listed USING (qid, id) JOIN md ON page_id = listed.id GROUP BY listed.qid),
+saved AS (SELECT ran.qid AS query_id, coalesce(naive_tokens, 0)::BIGINT AS naive_tokens, returned_tokens::BIGINT AS returned_tokens, (coalesce(naive_tokens, 0) - returned_tokens)::BIGINT AS tokens_saved FROM ran LEFT JOIN naive USING (qid))"""
+_PCT = "CASE WHEN naive_tokens > 0 THEN round(100 * tokens_saved / naive_tokens, 1) ELSE 0 END::DOUBLE AS pct_saved"
 _ORDERED = "row_number() OVER (ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, id)"
 _NAV = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS text, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1), 1) - 1 AS pos FROM pages"
 _ROOT = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)"
@@ -569,16 +621,39 @@ SELECT qid AS query_id, id::VARCHAR AS chunk_id, rank::INTEGER AS rank, least(le
 FROM r WHERE run <= 2000 OR rank = 1""",
 }
 ORACLE_SQL |= {
-    "jaccard_dedupe": _selection_sql(POOL, 0, 0.8, 1.0),
-    "semantic_dedupe": _selection_sql(POOL, 0, 1.0, 0.92),
-    "quota_fill": _selection_sql(10, 2, 0.92, 0.97),
-    "chunk_pack": _PACKED,
+    "jaccard_dedupe": _pool_choice(POOL, 0, 0.8, 1.0),
+    "semantic_dedupe": _pool_choice(POOL, 0, 1.0, 0.92),
+    "quota_fill": _pool_choice(10, 2, 0.92, 0.97),
+    "chunk_pack": f"{_PACKED} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INTEGER AS chunk_id, {_TRIMMED.format('source')} AS heading, length(chunk)::INTEGER AS tokens, md5(chunk) AS digest FROM c JOIN b USING (doc_id)",
+    "page_chunks": f"WITH RECURSIVE {_packed_sql(_PAGE_BLOCKS, 'page_id')} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1)::INTEGER AS chunk_id, {_HEADING} AS heading, length(chunk)::INTEGER AS tokens, md5(chunk) AS digest FROM c JOIN b USING (page_id)",
+    "page_order_extract": f"""WITH {_READ}, w AS (SELECT page_id, array_to_string(blocks, chr(10) || chr(10)) AS whole FROM md), t AS (SELECT page_id, whole, {_TRIMMED.format('substr(whole, 1, 2000)')} AS said FROM w)
+SELECT page_id AS item_id, '1' AS chunk_id, length(said)::INTEGER AS tokens, length(whole) > 2000 AS truncated, md5(said) AS digest FROM t""",
+    "research_e2e": f"""{_RESEARCH} SELECT qid AS query_id, chosen.name AS chunk_id, url AS source_url, rank, status, selected, length(chunk)::INTEGER AS tokens, chunk AS text, round(rrf * 61, 4) AS rrf, round(dense, 4) AS dense, round(bm25, 4) AS bm25
+FROM chosen JOIN pooled USING (qid, rank)""",
+    "evidence_stats": f"{_RESEARCH}, {_STATS} SELECT qid AS query_id, CASE WHEN none THEN 'no_results' ELSE 'ok' END AS status, search_results, chunks_considered, chunks_selected FROM ran",
+    "token_savings": f"{_SAVED} SELECT *, {_PCT} FROM saved",
+    "token_savings_total": f"{_SAVED} SELECT *, {_PCT} FROM (SELECT sum(naive_tokens)::BIGINT AS naive_tokens, sum(returned_tokens)::BIGINT AS returned_tokens, sum(tokens_saved)::BIGINT AS tokens_saved FROM saved)",
     "search_ranking": f"WITH {_FOUND} SELECT qid AS query_id, id AS page_id, rank::INTEGER AS rank, round(similarity, 4) AS similarity FROM ranked",
 }
-_CHUNKS = _PACKED[: _PACKED.rindex("SELECT doc_id, (row_number()")]
 _CHUNK_DOCS = f"SELECT 0 AS pool, doc_id * 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS id, {_tokens('chunk')} AS t FROM c"
-ORACLE_SQL["chunk_search"] = f"""{_CHUNKS.rstrip()}, {_bm25_sql(_CHUNK_DOCS, _ASKED, "of_")},
+ORACLE_SQL["chunk_search"] = f"""{_PACKED}, {_bm25_sql(_CHUNK_DOCS, _ASKED, "of_")},
 every AS (SELECT qid, id, score FROM of_s UNION ALL SELECT of_q.qid, f.id, 0.0 FROM of_q, (SELECT id FROM of_d ORDER BY id LIMIT 5) f WHERE NOT EXISTS (SELECT 1 FROM of_s x WHERE x.qid = of_q.qid AND x.id = f.id))
 SELECT qid AS query_id, (id // 1000000)::VARCHAR || ':' || (id % 1000000)::VARCHAR AS chunk_id, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id))::INTEGER AS rank, round(score, 6) AS score FROM every QUALIFY rank <= 5"""
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _element_sql(name: str, column: str) -> str:
+    return f"'<{name}>' || chr(10) || {_ESCAPED.format(_TRIMMED.format(column))} || chr(10) || '</{name}>'"
+
+
+_QUESTION = f"array_to_string({_tokens('text')}, ' ')"
+_LISTED = f"WITH {_FOUND}, shown AS (SELECT ranked.qid, rank, title, url, snippet FROM ranked JOIN listed USING (qid, id))"
+ORACLE_SQL |= {
+    "search_listing": f"""{_LISTED} SELECT qid AS query_id, regexp_replace('Search results for: ' || any_value({_QUESTION}) || chr(10) ||
+string_agg(rank || '. ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Preview: ' || {_TRIMMED.format('snippet')} || chr(10), chr(10) ORDER BY rank), '\\s+$', '') AS listing FROM shown JOIN benchmark ON item_id = qid GROUP BY qid""",
+    "search_results_xml": f"""{_LISTED} SELECT qid AS query_id, '<search_results today="1970-01-01">' || chr(10) || any_value({_element_sql('question', _QUESTION)}) || chr(10) || '<results>' || chr(10) ||
+string_agg('<result rank="' || rank || '">' || chr(10) || {_element_sql('title', 'title')} || chr(10) || {_element_sql('url', 'url')} || chr(10) || {_element_sql('preview', 'snippet')} || chr(10) || '</result>', chr(10) ORDER BY rank) ||
+chr(10) || '</results>' || chr(10) || '</search_results>' AS prompt FROM shown JOIN benchmark ON item_id = qid GROUP BY qid""",
+}
 ORACLE_SQL["batch_rollup"] = f"""SELECT CASE WHEN bool_or(code <> 'ok') THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (code = 'ok') AS n_ok, count(*) FILTER (code <> 'ok') AS n_errors
 FROM ({ORACLE_SQL["url_safety_codes"]})"""
