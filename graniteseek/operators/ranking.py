@@ -11,6 +11,7 @@ come from range partitions and their offsets, not from one ordered window.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.names import fresh
-from ..functions.vectors import cosine
+from ..functions.vectors import DIMENSIONS, cosine
 from ..sources.staging import staged
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -146,6 +147,30 @@ def bm25_column(corpus: DataFrame, queries: DataFrame, query: str, name: str = "
     return corpus.mapInArrow(score, schema)
 
 
+def hashed_dense_column(corpus: DataFrame, queries: DataFrame, name: str = "dense_score", dimensions: int = DIMENSIONS) -> DataFrame:
+    """The corpus with the cosine of its hashed token counts and those of its one query; 0 if either has no tokens."""
+    asked = queries.select("tokens").first()
+
+    def buckets(tokens) -> np.ndarray:
+        return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dimensions for t in tokens], np.int64)
+
+    wanted = np.bincount(buckets(asked[0] or ()) if asked else buckets(()), minlength=dimensions).astype(float)
+    schema = T.StructType([*corpus.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def score(batches):
+        for batch in _batches(batches, SCORES // dimensions):
+            tokens = batch.column("tokens")
+            doc = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+            words = tokens.flatten().dictionary_encode()
+            bucket = buckets(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            counts = np.bincount(doc * dimensions + bucket, minlength=len(tokens) * dimensions).reshape(len(tokens), dimensions).astype(float)
+            size = np.sqrt((counts * counts).sum(1) * (wanted * wanted).sum())
+            found = np.divide(counts @ wanted, size, out=np.zeros(len(tokens)), where=size > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=schema.names)
+
+    return corpus.mapInArrow(score, schema)
+
+
 class Best:
     """The best k of each query so far: by score, highest first, then by position."""
 

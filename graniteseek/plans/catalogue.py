@@ -12,7 +12,7 @@ from ..operators.budget import first_per_source, within_budget
 from ..operators.chunking import pack_chunks, window_chunks
 from ..operators.dedupe import jaccard_columns, select_with_quota
 from ..operators.pages import admissible_links, metadata, page_struct
-from ..operators.ranking import bm25_column, bm25_top, cosine_top, hybrid_rank
+from ..operators.ranking import bm25_column, bm25_top, cosine_top, hashed_dense_column, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked, safety_code
 from ..sources.payloads import dispatch, parse_results, unresponsive_engines, with_fallback
 from ..sources.staging import staged
@@ -238,8 +238,9 @@ def hashed_buckets(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, **options):
-    scored = with_dense(_scored(spark, sf_dir), _one_query(spark), ["doc_id"], "q", "tokens")
-    return hybrid_rank(scored.withColumn("pos", F.col("doc_id")), [], **options)
+    """One query over the whole corpus: both scores in passes over its batches, ranks by range partitions."""
+    scored = hashed_dense_column(_scored(spark, sf_dir), _one_query(spark)).drop("tokens")
+    return hybrid_rank(staged(scored, "scored"), [], **options)  # stored, as ranges are sampled before they are cut
 
 
 def rrf_hybrid(spark, sf_dir):

@@ -171,3 +171,15 @@ def test_embedders_are_held_to_their_texts(spark):
     assert pooled(both).tolist() == [[1.0, 0.0]] and pooled(both, pooling="cls").tolist() == [[0.0, 1.0]]
     with pytest.raises(ValueError):
         pooled(both, pooling="mean")
+
+
+def test_hashed_cosines_in_batches(spark):
+    from graniteseek.operators.ranking import hashed_dense_column
+    from graniteseek.plans.search import with_dense
+
+    texts = ["bread and flour", "python async python", "", "Search ranking combines signals"] * 3
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").withColumn("tokens", retrieval_tokens(F.col("text"))).withColumn("q", F.lit(0))
+    query = spark.range(1).select(F.lit(0).alias("q"), retrieval_tokens(F.lit("python search search")).alias("tokens"))
+    one = {r.doc: round(r.dense_score, 12) for r in hashed_dense_column(corpus, query).collect()}
+    assert one == {r.doc: round(r.dense_score, 12) for r in with_dense(corpus, query, ["doc"], "q", "tokens").collect()}
+    assert set(hashed_dense_column(corpus, query.limit(0)).select("dense_score").distinct().toPandas()["dense_score"]) == {0.0}
