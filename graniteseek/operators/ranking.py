@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.names import fresh
 from ..functions.vectors import DIMENSIONS, cosine
-from ..sources.staging import staged
+from ..sources.staging import staged, unstaged
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Ranks compare scores at this many decimals, so that the order of a distributed sum can't flip a tie.
@@ -125,6 +125,7 @@ def query_weights(corpus: DataFrame, queries: DataFrame, query: str, term_block:
         starts = np.concatenate(([0], np.cumsum(np.bincount([at[r["term"]] for r in rows], minlength=len(found)) if found else np.zeros(0)))).astype(np.int64)
         length = whole["length"] / whole["df"] if whole and whole["length"] else 1.0
         yield Weights(pa.array(found, pa.string()), starts, np.array([number[r["asked_by"]] for r in rows], np.int64), np.array([r["weight"] for r in rows], float), names, length)
+    unstaged(stats, asked)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -135,7 +136,7 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 def bm25_column(corpus: DataFrame, queries: DataFrame, query: str, name: str = "bm25_score") -> DataFrame:
     """The corpus with the score of its one query; documents without a hit score 0."""
-    weights, = query_weights(corpus, queries, query)
+    weights, = query_weights(corpus, queries, query)  # one query's terms are one block
     shipped = corpus.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([*corpus.schema.fields, T.StructField(name, T.DoubleType())])
 
