@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh
+from ..sources.staging import staged as cut, unstaged as free
 
-__all__ = ["as_bytes", "ascii_lower", "cut", "free", "fresh", "shared_folder", "table", "words_of"]
+__all__ = ["as_bytes", "ascii_lower", "cut", "free", "fresh", "table", "words_of"]
 
 #: A-Z lower-cased, 0-9, a-z and all bytes of non-ASCII characters kept, the rest blank.
 _WORD_TABLE = bytes(
@@ -35,46 +32,6 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only a single-process local master may fall back to a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + os.path.join(tempfile.gettempdir(), "graniteseek-" + uuid.uuid4().hex)
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def cut(frame: DataFrame, name: str) -> DataFrame:
-    """Writes the frame to the shared folder and reads it back, so that later work doesn't redo earlier work.
-
-    A lost executor costs nothing that was written here.
-    """
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    out = spark.read.schema(frame.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def free(*frames: DataFrame | None) -> None:
-    """Deletes tables that `cut` wrote, once all that read them is written itself."""
-    for frame in frames:
-        path = getattr(frame, "_scratch", None)
-        if path:
-            spark = frame.sparkSession
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            frame._scratch = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
