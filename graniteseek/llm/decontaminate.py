@@ -1,12 +1,14 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
 
-Benchmark words are numbered, and windows of consecutive words become patterns of numbers.  A document is normalised
-the same way (A-Z lower-cased, runs of letters and digits; a word of no benchmark item is 0) and its numbers run
-through the automaton once, whatever the number of patterns; matches come as word numbers and, for
-`contamination_spans`, are mapped back to character offsets of the original text.
+Benchmark words are numbered, and windows of consecutive words become patterns of numbers of two digits each, from two
+alphabets, so that no node has many children and no match begins amid a number.  A document is normalised the same way
+(A-Z lower-cased, runs of letters and digits; words of no benchmark item are blanks) and its numbers run through the
+automaton once, whatever the number of patterns; stretches of known words that are shorter than any pattern are passed
+over.  Matches come as word numbers and, for `contamination_spans`, are mapped back to character offsets of the
+original text.
 
 Scale: the scan is a map over the documents with no shuffle.  An automaton has at most `block_nodes` nodes (about 100
-bytes each, a node for a word of a pattern), so its memory has a bound.  A benchmark beyond that is scanned in further
+bytes each, two for a word of a pattern), so its memory has a bound.  A benchmark beyond that is scanned in further
 passes over the source, one automaton each; nothing is rewritten: the passes give hits by a hash of the text, and only
 those are joined with the rows.  Long items are cut into sections that overlap by a window.
 
@@ -32,7 +34,10 @@ from pyspark.sql import types as T
 from .shared import WORD_PATTERN, as_bytes, cut, fresh, words_of
 
 WINDOW = 10
-BLOCK_NODES = 2 << 20
+BLOCK_NODES = 4 << 20
+#: Children of a node at most, and a word that no pattern has.
+DIGIT = 512
+_UNKNOWN = "\x00\x00"
 
 _built: dict[str, tuple] = {}
 
@@ -41,15 +46,15 @@ class WindowIndex:
     """The automaton and, for each pattern, its length in words and the items that have it."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.numbers: dict[bytes, int] = {}
-        patterns: dict[tuple[int, ...], int] = {}
+        self.codes: dict[bytes, str] = {}
+        patterns: dict[str, int] = {}
         self.owners: list[tuple[int, tuple[str] | set[str]]] = []  # mostly one item, which needs no set
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton()
         for item, text in items:
-            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text))
+            words = [self._code(w) for w in words_of(text)]
             size = min(window, len(words))
             for k in range(len(words) - size + 1 if words else 0):
-                pattern = words[k : k + size]
+                pattern = "".join(words[k : k + size])
                 place = patterns.setdefault(pattern, len(patterns))
                 if place == len(self.owners):
                     self.owners.append((size, (item,)))
@@ -62,14 +67,27 @@ class WindowIndex:
                     self.owners[place] = (size, {*had, item})
         if patterns:
             self.automaton.make_automaton()
+            self.known = re.compile(rf"[^\x00]{{{2 * min(size for size, _ in self.owners)},}}")
+
+    def _code(self, word: bytes) -> str:
+        code = self.codes.get(word)
+        if code is None:
+            high, low = divmod(len(self.codes), DIGIT)
+            code = self.codes[word] = chr(0x10000 + high) + chr(0x1000 + low)
+        return code
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, tuple[str] | set[str]]]:
         """(first word, word after the last, items) of every window occurrence."""
         if not words or not self.owners:
             return []
-        number = self.numbers.get
-        found = self.automaton.iter(tuple([number(w, 0) for w in words]))
-        return [(end + 1 - self.owners[k][0], end + 1, self.owners[k][1]) for end, k in found]
+        code = self.codes.get
+        flat = "".join([code(w, _UNKNOWN) for w in words])
+        out = []
+        for m in self.known.finditer(flat):
+            for end, k in self.automaton.iter(flat, m.start(), m.end()):
+                stop = (end + 1) // 2
+                out.append((stop - self.owners[k][0], stop, self.owners[k][1]))
+        return out
 
     def hits(self, words: list[bytes]) -> tuple[list[int], list[str]]:
         """Flat word ranges (first, after the last) of each item, and the item of each range."""
@@ -108,17 +126,17 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_nodes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark in blocks whose automata have at most `block_nodes` nodes; the driver holds one at a time."""
     block: list[tuple[str, bytes]] = []
-    size, longest = 0, max(window, block_nodes // window)
+    size, longest = 0, max(window, block_nodes // (2 * window))
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text).cast("binary"))
     for item, body in rows.filter(F.col(text).isNotNull()).toLocalIterator():
         words = words_of(bytes(body))
         for at in range(0, max(1, len(words) - window + 1), max(1, longest - window + 1)):
             section = words[at : at + longest]
-            if block and size + len(section) * window > block_nodes:
+            if block and size + 2 * len(section) * window > block_nodes:
                 yield block
                 block, size = [], 0
             block.append((item, b" ".join(section)))
-            size += len(section) * window
+            size += 2 * len(section) * window
     yield block
 
 
