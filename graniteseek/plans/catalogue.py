@@ -18,7 +18,7 @@ from ..sources.payloads import dispatch, parse_results, unresponsive_engines, wi
 from ..sources.staging import staged
 from ..sources.tables import load, query_log
 from .options import Options
-from .render import batch_status, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
+from .render import INSTRUCTIONS, batch_status, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
 from .research import evidence, local_search, research, run_stats, savings_total, token_savings
 from .scrape import page_order, prefiltered_links, read_items, related_links, scrape
 from .search import discover, page_title, pages_as_results, ranked_results, with_dense
@@ -656,5 +656,13 @@ string_agg(rank || '. ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Pre
 string_agg('<result rank="' || rank || '">' || chr(10) || {_element_sql('title', 'title')} || chr(10) || {_element_sql('url', 'url')} || chr(10) || {_element_sql('preview', 'snippet')} || chr(10) || '</result>', chr(10) ORDER BY rank) ||
 chr(10) || '</results>' || chr(10) || '</search_results>' AS prompt FROM shown JOIN benchmark ON item_id = qid GROUP BY qid""",
 }
+_TOLD = " || chr(10) || ".join(_text(line) for line in ("<instructions>", *INSTRUCTIONS, "</instructions>"))
+ORACLE_SQL["prompt_xml"] = f"""{_RESEARCH},
+said AS (SELECT qid, url, min(rank) AS rank, any_value(l.title) AS title, list(chunk ORDER BY rank) AS chunks FROM chosen JOIN pooled USING (qid, rank) JOIN (SELECT qid, id AS page_id, title FROM listed) l USING (qid, page_id) WHERE status = 'accepted' GROUP BY qid, url),
+one AS (SELECT qid, rank, title, url, array_to_string(list_transform(chunks, lambda x, k: '<chunk index="' || k || '">' || chr(10) || {_ESCAPED.format(_TRIMMED.format('x'))} || chr(10) || '</chunk>'), chr(10)) AS texts, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM said),
+shown AS (SELECT qid, string_agg('<result index="' || place || '">' || chr(10) || {_element_sql('title', 'title')} || chr(10) || {_element_sql('url', 'url')} || chr(10) || '<search_preview>' || chr(10) || chr(10) || '</search_preview>' || chr(10) ||
+  '<relevant_text>' || chr(10) || texts || chr(10) || '</relevant_text>' || chr(10) || '</result>', chr(10) ORDER BY place) AS results FROM one GROUP BY qid)
+SELECT item_id AS query_id, '<search_grounded_answer today="1970-01-01">' || chr(10) || {_element_sql('question', _QUESTION)} || chr(10) || {_TOLD} || chr(10) ||
+  coalesce('<results>' || chr(10) || results || chr(10) || '</results>', '<results />') || chr(10) || '</search_grounded_answer>' AS prompt FROM benchmark LEFT JOIN shown ON qid = item_id"""
 ORACLE_SQL["batch_rollup"] = f"""SELECT CASE WHEN bool_or(code <> 'ok') THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (code = 'ok') AS n_ok, count(*) FILTER (code <> 'ok') AS n_errors
 FROM ({ORACLE_SQL["url_safety_codes"]})"""
