@@ -48,6 +48,8 @@ PIVOT_BYTES = 16 << 20
 ROUNDS = 8
 WORTH = 0.97
 MOST_PLACES = 4
+#: Sampled vectors of a cell that tell whether a split pays.
+PROBES = 64
 
 
 def _able() -> Column:
@@ -86,17 +88,18 @@ def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most:
     """Pivots of the largest cells (label, width, cell) that are worth a split; what was looked at goes into `done`."""
     keys = ["label", "width", "cell"]
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).filter(F.col("size") > cell)
-    # a cell has two pivots and two probes at least, so no more cells than this fit
-    least = pivot_bytes // (4 * 8)
+    # a cell has two pivots and its probes at least, so no more cells than this fit
+    least = pivot_bytes // ((2 + PROBES) * 8)
     large = [r for r in sizes.orderBy(F.desc("size"), *keys).limit(min(100_000, least)).collect() if tuple(r[k] for k in keys) not in done]
-    chosen, places, left = [], {}, pivot_bytes
+    chosen, places, pivots_of, left = [], {}, {}, pivot_bytes
     for r in large:
         n = min(most, max(2, math.ceil(2 * r["size"] / cell)))
-        if left < 2 * n * 8 * r["width"]:
+        if left < (n + PROBES) * 8 * r["width"]:
             break
-        left -= 2 * n * 8 * r["width"]
+        left -= (n + PROBES) * 8 * r["width"]
         places[tuple(r[k] for k in keys)] = r["size"] / max(1, r["homes"])
-        chosen.append((*(r[k] for k in keys), 2.0 * n / r["size"]))
+        pivots_of[tuple(r[k] for k in keys)] = n
+        chosen.append((*(r[k] for k in keys), min(1.0, (n + PROBES) / r["size"])))
     if not chosen:
         return {}
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
@@ -112,7 +115,8 @@ def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most:
         vectors = found.get(tuple(key), [])
         if len(vectors) >= 4:
             x = _unit(vectors)
-            pivots, probes = x[0::2], x[1::2]
+            n = min(pivots_of[tuple(key)], len(x) // 2)
+            pivots, probes = x[:n], x[n:]
             while len(pivots) >= 2:
                 more = 1 + _parts(probes, pivots, radius)[1].sum(1).mean()
                 if more <= WORTH * len(pivots) and more * places[tuple(key)] <= MOST_PLACES:
