@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import as_bytes, cut, free, fresh, words_of
+from .shared import as_bytes, cut, free, fresh, sliced, words_of
 
 SHINGLE = 3
 SKETCHES = 60
@@ -245,7 +245,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, sketches: int, picks: int, s
 
     def run(batches):
         seeds = _seeds(sketches)
-        for batch in batches:
+        for batch in sliced(batches):
             hi, lo, counts, keys = [], [], [], []
             for body in as_bytes(batch.column(text)):
                 words = words_of(body)
@@ -266,7 +266,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFra
     joined = joined.join(texts_b.hint("merge"), F.col("b") == F.col("cb")).select("a", "b", "ta", "tb")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keep, last, had = [], None, None
             for ta, tb in zip(as_bytes(batch.column("ta")), as_bytes(batch.column("tb"))):
                 if tb != last:
@@ -300,7 +300,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     each = classes.filter(F.size("keys") > 0).select("cls", "n_words", F.posexplode("keys").alias("sketch", "key")).filter("key <> 0")
     each = each.select("cls", "n_words", F.col("sketch").cast("short").alias("sketch"), F.xxhash64("sketch", "key").alias("key"))
     several = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).filter("n > 1").select(F.col("key").alias("bucket"), "first")
-    return cut(each.join(several.hint("shuffle_hash"), F.col("key") == F.col("bucket")).select("bucket", "sketch", "cls", "n_words", "first"), "omh-buckets")
+    return cut(each.join(several.hint("merge"), F.col("key") == F.col("bucket")).select("bucket", "sketch", "cls", "n_words", "first"), "omh-buckets")
 
 
 def _links(docs: DataFrame, text: str, classes: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", sketches=SKET
 def _class_texts(docs: DataFrame, text: str, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, body) of the wanted classes (w), one row each."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([*_class_keys(as_bytes(batch.column(text))), batch.column(text)], names=["th", "tl", "body"])
 
     texts = docs.select(text).filter(F.col(text).isNotNull()).mapInArrow(run, "th long, tl long, body string")
@@ -382,7 +382,7 @@ def _profiles(bodies: DataFrame) -> DataFrame:
     """(pc, profile, body): how many words of a text fall into each of PROFILE hash buckets, as 16-bit integers; empty
     for texts whose counts might not fit."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for words in map(words_of, as_bytes(batch.column("body"))):
                 bucket = (word_hashes(words) % np.uint64(PROFILE)).astype(np.int64) if len(words) < 1 << 16 else None
@@ -427,9 +427,9 @@ def _rest_links(rest: DataFrame, classes: DataFrame, bodies: DataFrame, similari
     only are seldom aligned.  What is linked here is one component from then on.
     """
     dealt = _dealt(rest, similarity, block)
-    keyed = dealt.join(classes.select(F.col("cls").alias("kc"), "keys"), F.col("cls") == F.col("kc"))
-    wanted = bodies.join(rest.select(F.col("cls").alias("w")).distinct(), F.col("cls") == F.col("w"), "left_semi")
-    keyed = keyed.join(_profiles(wanted), F.col("cls") == F.col("pc"))
+    keyed = dealt.join(classes.select(F.col("cls").alias("kc"), "keys").hint("merge"), F.col("cls") == F.col("kc"))
+    wanted = bodies.join(rest.select(F.col("cls").alias("w")).distinct().hint("merge"), F.col("cls") == F.col("w"), "left_semi")
+    keyed = keyed.join(_profiles(wanted).hint("merge"), F.col("cls") == F.col("pc"))
     cell = ["bucket", "low_band", "low_part", "high_band", "high_part"]
     keyed = keyed.select("bucket", *(F.col(f"pair.{side}.{part}").alias(f"{side}_{part}") for side in ("low", "high") for part in ("band", "part")), "cls", "n_words", "root", F.slice("keys", 1, F.col("sketch").cast("int")).alias("earlier"), "profile", "body", F.col("cell.band").alias("band"), F.col("cell.part").alias("part"))
     keyed = keyed.repartition(*cell).sortWithinPartitions(*cell)
@@ -516,7 +516,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", **option
     schema = T.StructType([*docs.schema.fields, T.StructField(hi, T.LongType()), T.StructField(lo, T.LongType())])
 
     def tagged(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, *_class_keys(as_bytes(batch.column(text)))], names=schema.names)
 
     stay = decided.filter("kept and hi is not null").select(F.col("id").alias(mark), F.col("hi").alias(hi2), F.col("lo").alias(lo2)).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.names import fresh
 from ..sources.staging import staged as cut, unstaged as free
 
-__all__ = ["as_bytes", "ascii_lower", "cut", "free", "fresh", "table", "words_of"]
+__all__ = ["as_bytes", "ascii_lower", "cut", "free", "fresh", "sliced", "table", "words_of"]
 
 #: A-Z lower-cased, 0-9, a-z and all bytes of non-ASCII characters kept, the rest blank.
 _WORD_TABLE = bytes(
@@ -32,6 +34,13 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds the texts and results of a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
