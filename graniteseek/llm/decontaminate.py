@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WORD_PATTERN, as_bytes, cut, fresh, words_of
+from .shared import WORD_PATTERN, as_bytes, cut, fresh, sliced, words_of
 
 WINDOW = 10
 BLOCK_NODES = 4 << 20
@@ -162,7 +162,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, i
         schema = T.StructType([*kept, *hit_fields, T.StructField(count, T.LongType())])
 
         def scan(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 index = _index(key, shipped.value, window)
                 words = [words_of(body) for body in as_bytes(batch.column(text))]
                 found = [index.hits(w) for w in words]
@@ -181,7 +181,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, i
         shipped, key = index_of(block)
 
         def scan_block(batches, shipped=shipped, key=key):
-            for batch in batches:
+            for batch in sliced(batches):
                 index, bodies = _index(key, shipped.value, window), as_bytes(batch.column(text))
                 hits = [(body, *index.hits(words_of(body))) for body in bodies]
                 hits = [h for h in hits if h[1]]
@@ -201,7 +201,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, i
     schema = T.StructType([*kept, *key_fields, T.StructField(count, T.LongType())])
 
     def tagged(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             bodies = as_bytes(batch.column(text))
             counts = pa.array([len(words_of(b)) for b in bodies], pa.int64())
             yield pa.RecordBatch.from_arrays([*kept_columns(batch), *text_keys(bodies), counts], names=schema.names)
@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="
     schema = T.StructType([docs.schema[doc_id]] + [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.ArrayType(T.StringType())), ("contaminated", T.BooleanType()))])
 
     def summed(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             hits, items = [], []
             for flat, whose in zip(batch.column(ranges).to_pylist(), batch.column(owners).to_pylist()):
                 hits.append(sum(stop - start for start, stop in merged(list(zip(flat[::2], flat[1::2])))))
@@ -240,7 +240,7 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id",
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     def spans(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc, body, flat, whose in zip(*(batch.column(c).to_pylist() for c in (doc_id, text, ranges, owners))):
                 if flat:

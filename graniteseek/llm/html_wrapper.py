@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, free
+from .shared import cut, free, sliced
 
 BROADCAST_BYTES = 32 << 20
 DEEPEST = 64
@@ -577,7 +577,7 @@ def extract_main_text(pages: DataFrame, page_id="page_id", url="url", html="html
     schema = T.StructType([pages.schema[page_id], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("host", T.StringType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, sets = [], {}
             for page, site, items, framed, loose in zip(batch.column(html), batch.column("page_host").to_pylist(), batch.column("items"), batch.column("framed"), batch.column("loose")):
                 if site not in sets:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, fresh
+from .shared import as_bytes, fresh, sliced
 
 UNDETERMINED = "und"
 SEGMENT = 256
@@ -244,7 +244,7 @@ def predict_language(docs: DataFrame, model: PpmModel, doc_id="doc_id", text="te
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores, rates = _predict(shipped.value, as_bytes(batch.column(text)))
             yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=schema.names)
 
@@ -261,7 +261,7 @@ def keep_identified(docs: DataFrame, model: PpmModel, limit: float, text="text",
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             bodies = as_bytes(batch.column(text))
             if shipped.value.languages:
                 names, _, rates = _predict(shipped.value, bodies)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, words_of
+from .shared import as_bytes, sliced, words_of
 
 THRESHOLD = 0.9
 TEMPLATE_WORDS = 1 << 20
@@ -180,7 +180,7 @@ def license_links(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPL
     schema = T.StructType([docs.schema[doc_id], T.StructField("block", T.LongType()), T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("passage", T.StringType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             index, out = shipped.value, []
             for doc, body in zip(batch.column(doc_id).to_pylist(), as_bytes(batch.column(text))):
                 for k, line in enumerate(body.split(b"\n") if body else ()):
@@ -204,7 +204,7 @@ def license_labels(docs: DataFrame, doc_id="doc_id", text="text", phrases=PHRASE
     schema = T.StructType([docs.schema[doc_id]] + [T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")] + [T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             index, flat = shipped.value
             out: list[list] = [[] for _ in range(7)]
             for body in as_bytes(batch.column(text)):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, cut, fresh
+from .shared import as_bytes, cut, fresh, sliced
 
 BLOCK_ROWS = 256
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -150,7 +150,7 @@ def token_sizes(docs: DataFrame, doc_id="doc_id", text="text", source="source")
     schema = T.StructType([docs.schema[doc_id], docs.schema[source], T.StructField("size", T.LongType()), T.StructField("tag", T.LongType())])
 
     def count(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             bodies = as_bytes(batch.column(text))
             tags = [int.from_bytes(hashlib.blake2b(b or b"", digest_size=8).digest(), "big", signed=True) for b in bodies]
             sizes = pa.array([len(b.split()) if b else 0 for b in bodies], pa.int64())
@@ -231,7 +231,7 @@ def take_mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", **o
     schema = T.StructType([*docs.schema.fields, T.StructField(tag, T.LongType())])
 
     def tagged(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in sliced(batches):
             tags = [int.from_bytes(hashlib.blake2b(b or b"", digest_size=8).digest(), "big", signed=True) for b in as_bytes(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=schema.names)
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import sliced
 from .tokenizer import DEFAULT_VOCABULARY, encode, encoding, read_vocabulary
 
 LEAF_CHARS = 256
@@ -131,7 +132,7 @@ def build_trees(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, doc_id="d
 
     def run(batches):
         coder = encoding(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             chars, tokens = [], []
             for body in batch.column(text):
                 leaves = leaves_of(body.as_py(), leaf_chars) if body.is_valid else []
@@ -162,7 +163,7 @@ def recount(docs: DataFrame, edits: str | Callable[[str], list[Edit]], vocabular
         def count(x: str) -> int:
             return len(encode(coder, x))
 
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(7)]
             given = batch.column(edits).to_pylist() if isinstance(edits, str) else None
             kept = list(zip(batch.column(leaf_chars).to_pylist(), batch.column(leaf_tokens).to_pylist())) if leaf_chars else None
