@@ -656,6 +656,23 @@ string_agg(rank || '. ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Pre
 string_agg('<result rank="' || rank || '">' || chr(10) || {_element_sql('title', 'title')} || chr(10) || {_element_sql('url', 'url')} || chr(10) || {_element_sql('preview', 'snippet')} || chr(10) || '</result>', chr(10) ORDER BY rank) ||
 chr(10) || '</results>' || chr(10) || '</search_results>' AS prompt FROM shown JOIN benchmark ON item_id = qid GROUP BY qid""",
 }
+# links of the test pages: what was read before one is the title and the links before it
+_PLAIN = "{0}"
+for _name, _said in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, {_text(_name)}, {_text(_said)})"
+_LINK_POOLS = f"""nav AS (SELECT page_id, pos, text AS raw FROM ({_NAV})), every_link AS ({ORACLE_SQL['link_dedupe']}),
+before AS (SELECT page_id, pos, coalesce(string_agg({_PLAIN.format('raw')}, '') OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS read FROM nav),
+lk AS (SELECT l.page_id, l.pos, l.url, l.text, {_SPACES.format(f"right({_TITLE_RAW} || read, 240)")} AS context FROM every_link l JOIN before USING (page_id, pos) JOIN pages USING (page_id)),
+{_bm25_sql("SELECT page_id AS pool, pos AS id, " + _tokens("text || ' ' || context") + " AS t FROM lk", f"SELECT page_id AS pool, 0 AS qid, {_tokens(_TITLE)} AS t FROM pages", "lk_")},
+scored AS (SELECT page_id AS item_id, pos, url, text, coalesce(score, 0) AS bm25 FROM lk LEFT JOIN lk_s ON lk_s.pool = page_id AND lk_s.id = pos)"""
+ORACLE_SQL["link_prefilter"] = f"WITH {_LINK_POOLS} SELECT item_id, pos, url, round(bm25, 6) AS bm25_score FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, pos) <= 3"
+ORACLE_SQL["link_rank"] = f"""WITH {_LINK_POOLS},
+lv AS (SELECT pool, id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM lk_tok GROUP BY ALL), qv AS (SELECT pool, {_BUCKET} AS b, sum(a)::DOUBLE AS c FROM lk_qt GROUP BY ALL), qn AS (SELECT pool, sqrt(sum(c * c)) AS norm FROM qv GROUP BY pool),
+ld AS (SELECT lv.pool, id, sum(lv.c * coalesce(qv.c, 0)) / sqrt(sum(lv.c * lv.c)) / any_value(norm) AS dense FROM lv JOIN qn USING (pool) LEFT JOIN qv USING (pool, b) GROUP BY lv.pool, id),
+two AS (SELECT scored.*, coalesce(dense, 0) AS dense FROM scored LEFT JOIN ld ON ld.pool = item_id AND ld.id = pos),
+places AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, pos) AS br, row_number() OVER (PARTITION BY item_id ORDER BY round(dense, 9) DESC, pos) AS dr FROM two),
+mixed AS (SELECT *, 0.5 / (60 + br) + 0.5 / (60 + dr) AS rrf FROM places)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, pos))::INTEGER AS rank, url, text, round(rrf * 61, 4) AS score FROM mixed QUALIFY rank <= 3"""
 _TOLD = " || chr(10) || ".join(_text(line) for line in ("<instructions>", *INSTRUCTIONS, "</instructions>"))
 ORACLE_SQL["prompt_xml"] = f"""{_RESEARCH},
 said AS (SELECT qid, url, min(rank) AS rank, any_value(l.title) AS title, list(chunk ORDER BY rank) AS chunks FROM chosen JOIN pooled USING (qid, rank) JOIN (SELECT qid, id AS page_id, title FROM listed) l USING (qid, page_id) WHERE status = 'accepted' GROUP BY qid, url),
