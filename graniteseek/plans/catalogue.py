@@ -318,6 +318,12 @@ def scrape_batch(spark, sf_dir):
     return rows.select("item_id", "status", "error_code", "title", "content_tokens", "truncated", F.to_json("chunks").alias("chunks"), F.to_json("links").alias("links"))
 
 
+def scrape_chunks(spark, sf_dir):
+    """The passages of every page for its own title, a row each."""
+    rows = scrape(_items(spark, sf_dir), _pages(spark, sf_dir), Options()).select("item_id", "content_tokens", "truncated", F.explode("chunks").alias("c"))
+    return rows.select("item_id", "c.rank", "c.chunk_id", "c.tokens", "content_tokens", "truncated", F.md5(F.col("c.text").cast("binary")).alias("digest"), "c.score")
+
+
 def scrape_xml(spark, sf_dir):
     """Items in batches of five, as one XML each."""
     rows = scrape(_items(spark, sf_dir), _pages(spark, sf_dir), Options())
@@ -394,7 +400,7 @@ QUERIES = {f.__name__: f for f in (
     host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, engine_reports,
     retrieval_token_counts, chunk_windows, chunk_pack, page_chunks, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
     page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe,
-    semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
+    semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_chunks, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
 QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings, "token_savings_total": savings_total_all, "chunk_search": chunk_search}
 
 # --- SQL --------------------------------------------------------------------------------------------------------
@@ -673,6 +679,25 @@ two AS (SELECT scored.*, coalesce(dense, 0) AS dense FROM scored LEFT JOIN ld ON
 places AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, pos) AS br, row_number() OVER (PARTITION BY item_id ORDER BY round(dense, 9) DESC, pos) AS dr FROM two),
 mixed AS (SELECT *, 0.5 / (60 + br) + 0.5 / (60 + dr) AS rrf FROM places)
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, pos))::INTEGER AS rank, url, text, round(rrf * 61, 4) AS score FROM mixed QUALIFY rank <= 3"""
+# focused reads: a page's blocks that matter to its title, chunks of those, ranks within the page, token budget
+_SCRAPED = f"""{_READ}, sq AS (SELECT page_id AS pool, 0 AS qid, {_tokens('title')} AS t FROM md),
+sb AS (SELECT page_id AS pool, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS id FROM md),
+{_bm25_sql("SELECT pool, id, " + _tokens("block") + " AS t FROM sb", "SELECT * FROM sq", "fit_")},
+fitted AS (SELECT sb.pool, list(block ORDER BY sb.id) AS blocks FROM sb JOIN fit_s ON fit_s.pool = sb.pool AND fit_s.id = sb.id WHERE score >= 1.5 GROUP BY sb.pool),
+b AS (SELECT page_id AS pool, coalesce(f.blocks, md.blocks) AS blocks FROM md LEFT JOIN fitted f ON f.pool = page_id)"""
+_SCRAPED = _packed_sql(_SCRAPED, "pool") + f""",
+ch AS (SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY i, k) - 1 AS pos, chunk FROM c),
+{_bm25_sql("SELECT pool, pos AS id, " + _tokens("chunk") + " AS t FROM ch", "SELECT * FROM sq", "of_")},
+cv AS (SELECT pool, id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM of_tok GROUP BY ALL), uv AS (SELECT pool, {_BUCKET} AS b, sum(a)::DOUBLE AS c FROM of_qt GROUP BY ALL), un AS (SELECT pool, sqrt(sum(c * c)) AS norm FROM uv GROUP BY pool),
+cd AS (SELECT cv.pool, id, sum(cv.c * coalesce(uv.c, 0)) / sqrt(sum(cv.c * cv.c)) / any_value(norm) AS dense FROM cv JOIN un USING (pool) LEFT JOIN uv USING (pool, b) GROUP BY cv.pool, id),
+two AS (SELECT ch.*, coalesce(score, 0) AS bm25, coalesce(dense, 0) AS dense FROM ch LEFT JOIN of_s ON of_s.pool = ch.pool AND of_s.id = pos LEFT JOIN cd ON cd.pool = ch.pool AND cd.id = pos),
+places AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY round(bm25, 9) DESC, pos) AS br, row_number() OVER (PARTITION BY pool ORDER BY round(dense, 9) DESC, pos) AS dr FROM two),
+mixed AS (SELECT *, 0.5 / (60 + br) + 0.5 / (60 + dr) AS rrf FROM places),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC, round(bm25, 9) DESC, pos) AS rank FROM mixed),
+summed AS (SELECT *, sum(length(chunk)) OVER (PARTITION BY pool ORDER BY rank) AS running FROM ordered),
+kept AS (SELECT pool, rank, pos, rrf, substr(chunk, 1, 2000) AS chunk, running > 2000 AS over FROM summed WHERE running <= 2000 OR rank = 1)"""
+ORACLE_SQL["scrape_chunks"] = f"""WITH RECURSIVE {_SCRAPED} SELECT pool AS item_id, rank::INTEGER AS rank, pos::VARCHAR AS chunk_id, length(chunk)::INTEGER AS tokens, (sum(length(chunk)) OVER (PARTITION BY pool))::BIGINT AS content_tokens,
+bool_or(over) OVER (PARTITION BY pool) AS truncated, md5(chunk) AS digest, round(rrf * 61, 4) AS score FROM kept"""
 _TOLD = " || chr(10) || ".join(_text(line) for line in ("<instructions>", *INSTRUCTIONS, "</instructions>"))
 ORACLE_SQL["prompt_xml"] = f"""{_RESEARCH},
 said AS (SELECT qid, url, min(rank) AS rank, any_value(l.title) AS title, list(chunk ORDER BY rank) AS chunks FROM chosen JOIN pooled USING (qid, rank) JOIN (SELECT qid, id AS page_id, title FROM listed) l USING (qid, page_id) WHERE status = 'accepted' GROUP BY qid, url),
