@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_labels
 from .mixing import mix_sources
 from .order_minhash import near_duplicates
 from .packing import pack_documents
-from .shared import table
+from .shared import bounded_batches, table
 from .token_count import recount, scrub_edits
 from .url_filter import LISTED_HOSTS, RULES, judge_urls
 
@@ -78,7 +80,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_reencoded")
 
 
-QUERIES = {f.__name__: f for f in (
+def _bounded(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (
     op1_mix_sources, op2_embedding_dedup, op3_decontaminate, op4_order_minhash, op5_license_scan,
     op6_pack_tokens, op7_url_filter, op8_language_id, op9_html_text, op10_token_counts)}
 

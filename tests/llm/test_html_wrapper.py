@@ -100,3 +100,9 @@ def test_the_alignment_decides_the_text(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in extract_main_text(frame).collect()}
     assert all(got[k] == f"x{k}" for k in range(4)) and all("Same notice" in got[k] for k in range(4, 8))
+
+
+def test_of_several_matches_the_earliest_places_count():
+    level = Level([["p", 0, 1, []], ["div", 0, 1, []], ["()", 0, 2, [["h2", 1, 1, []], ["p", 0, 1, []]]]])
+    assert level.match(["p"]) == [0] and level.match(["div", "h2", "p"]) == [1, 2, 3] and level.match(["h2", "p", "h2", "p"]) == [2, 3, 2, 3]
+    assert level.match(["p", "table", "p"])[1] == -1
