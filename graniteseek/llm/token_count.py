@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,16 +33,34 @@ from .shared import sliced
 from .tokenizer import DEFAULT_VOCABULARY, encode, encoding, read_vocabulary
 
 LEAF_CHARS = 256
-_CUT = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\p{L}\p{N}\x1c-\x1f])(?=[ \t\r\n])")
 
 Edit = tuple[int, int, str]
 
 
+@cache
+def cut_pattern() -> re.Pattern:
+    """Where a pre-token always ends, by the tokenizer's own letters and digits, which are those of its Unicode version."""
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+
+    def members(kind: str) -> str:
+        # a pattern that knows only one kind of character keeps only those
+        only = tiktoken.Encoding(kind, pat_str=kind + "+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        points = sorted(map(ord, only.decode(only.encode_ordinary(every))))
+        begins = [points[0]] + [b for a, b in zip(points, points[1:]) if b != a + 1]
+        ends = [a for a, b in zip(points, points[1:]) if b != a + 1] + [points[-1]]
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends))
+
+    letters, digits = members(r"\p{L}"), members(r"\p{N}")
+    return re.compile(rf"(?<=[{letters}])(?![{letters}])|(?<=[{digits}])(?![{digits}])|(?<=\S)(?=[ \t\r\n])")
+
+
 def leaves_of(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
     """The text in leaves that end where a pre-token always ends."""
     out, begin = [], 0
     while len(text) - begin > leaf_chars:
-        m = _CUT.search(text, begin + leaf_chars)
+        m = cut_pattern().search(text, begin + leaf_chars)
         if not m or m.start() >= len(text):
             break
         out.append(text[begin : m.start()])
