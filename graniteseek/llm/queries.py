@@ -7,6 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import CLUSTERS, ROUNDS, SCALE, SEED, WIDTH, cluster_vectors
 from .decontaminate import contamination
 from .embedding_dedup import embedding_components
 from .html_wrapper import extract_main_text
@@ -17,7 +18,9 @@ from .order_minhash import near_duplicates
 from .packing import pack_documents
 from .shared import bounded_batches, table
 from .token_count import recount, scrub_edits
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import LISTED_HOSTS, RULES, judge_urls
+from .whitening import whiten
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -80,6 +83,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_reencoded")
 
 
+def unlabelled(doc_id: str = "doc_id"):
+    """Documents whose toxicity labels aren't learnt: the id's CRC-32 leaves 0 modulo 5; a null id isn't one."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), ~unlabelled()))
+    return found.select("doc_id", unlabelled().alias("held_out"), "score", "predicted", "n_clauses")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _bounded(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +113,8 @@ def _bounded(query):
 
 QUERIES = {f.__name__: _bounded(f) for f in (
     op1_mix_sources, op2_embedding_dedup, op3_decontaminate, op4_order_minhash, op5_license_scan,
-    op6_pack_tokens, op7_url_filter, op8_language_id, op9_html_text, op10_token_counts)}
+    op6_pack_tokens, op7_url_filter, op8_language_id, op9_html_text, op10_token_counts,
+    op11_toxicity, op12_centroids, op13_whitening)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -164,6 +187,30 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN both_labels USING (doc_id)
 """
 
 
+def _op12() -> str:
+    """A chain of tables: the distances and the centroids of each round."""
+    parts = [f"""
+v AS (
+  SELECT rid, vec_id, unnest(range(1, {WIDTH + 1})) AS i, unnest(x) AS x
+  FROM (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: floor({SCALE} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)),
+c0 AS (
+  SELECT c, i, x FROM v JOIN (
+    SELECT rid, row_number() OVER (ORDER BY h) - 1 AS c FROM (SELECT rid, sha256('{SEED}:' || vec_id) AS h FROM v WHERE i = 1 ORDER BY h LIMIT {CLUSTERS})) USING (rid))"""]
+    for r in range(ROUNDS + 1):
+        parts.append(f"d{r} AS (SELECT rid, c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d FROM v JOIN c{r} k USING (i) GROUP BY rid, c)")
+        parts.append(f"a{r} AS (SELECT rid, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)")
+        if r < ROUNDS:
+            parts.append(f"m{r} AS (SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (rid) GROUP BY c, i))")
+            parts.append(f"c{r + 1} AS (SELECT k.c, k.i, coalesce(m{r}.x, k.x) AS x FROM c{r} k LEFT JOIN m{r} ON m{r}.c = k.c AND m{r}.i = k.i)")
+    parts.append(f"keys AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY c)")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{ROUNDS} JOIN (SELECT rid, vec_id FROM v WHERE i = 1) USING (rid) JOIN keys USING (c)
+"""
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
 
@@ -172,5 +219,6 @@ ORACLE_SQL = {
     "op2_embedding_dedup": _OP2,
     "op3_decontaminate": _OP3,
     "op5_license_scan": _OP5.format(words=_WORDS, phrases=_values(PHRASES), templates=_values(TEMPLATES), template_words=_WORDS.replace("(text,", "(body,"), threshold=THRESHOLD),
+    "op12_centroids": _op12(),
     "op7_url_filter": _OP7.format(rules=_values(RULES), listed=" OR ".join(f"('.' || host) LIKE '%.{k.rstrip('/')}'" for k in LISTED_HOSTS)),
 }
