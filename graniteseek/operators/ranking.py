@@ -3,16 +3,16 @@
 Operators on pools take `pool` columns: statistics, ranks and cut-offs are those of a pool (a page's links, a query's
 chunks), and windows are partitioned by it.
 
-Operators on a whole corpus read it twice and shuffle none of its text: once for the term statistics, which add up on
-the map side to a row for each term, and once to score.  There the queries' terms, a bounded broadcast, meet each
-batch of documents as a sparse product, and every task keeps its own best k of each query.  Ranks over a whole corpus
-come from range partitions and their offsets, not from one ordered window.
+Operators on a whole corpus shuffle none of its text.  The best documents of many queries come from an inverted index
+(see postings.py), whose rows also give the term statistics.  One query's scores of all documents are a Column
+expression over statistics that add up on the map side to a row for each term.  Ranks over a whole corpus come from
+range partitions and their offsets, not from one ordered window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,18 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.names import fresh
 from ..functions.vectors import DIMENSIONS, cosine
 from ..sources.staging import staged, unstaged
+from .postings import B, K1, RANK_DECIMALS, index_statistics, search_index, stored_index
 
-K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-#: Ranks compare scores at this many decimals, so that the order of a distributed sum can't flip a tie.
-RANK_DECIMALS = 9
+EPSILON, RRF_K = 0.25, 60
 #: Query vectors that are broadcast at once.
 QUERY_BLOCK = 4096
-#: Terms of queries that are broadcast at once, and scores that a task holds at once.
+#: Terms of queries that are broadcast at once, and counts by bucket that a task holds at once.
 TERM_BLOCK = 200_000
 SCORES = 4 << 20
 
@@ -67,30 +65,20 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, pool: list[str], key: lis
 
 @dataclass
 class Weights:
-    """Query terms with the queries that have them, for scoring batches of documents."""
+    """Query terms with the queries that have them."""
 
     terms: pa.Array
-    starts: np.ndarray  # of each term in `queries` and `weights`
-    queries: np.ndarray
+    term: np.ndarray  # of each pair of a query and a term
+    query: np.ndarray  # of each pair, rising
     weights: np.ndarray  # inverse document frequency times places in the query
     names: list  # of the queries
     mean_length: float
 
-    def scores(self, tokens: pa.ListArray) -> np.ndarray:
-        """Documents by queries; 0 where they share no term."""
-        n, q = len(tokens), len(self.names)
-        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        term = pc.index_in(tokens.flatten(), value_set=self.terms)
-        hit = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
-        if not len(hit):
-            return np.zeros((n, q))
-        doc = np.repeat(np.arange(n), lengths)[hit]
-        key, tf = np.unique(doc * len(self.terms) + pc.fill_null(term, 0).to_numpy(zero_copy_only=False)[hit], return_counts=True)
-        doc, term = np.divmod(key, len(self.terms))
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.mean_length))
-        times = self.starts[term + 1] - self.starts[term]
-        place = np.repeat(self.starts[term] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        return np.bincount(np.repeat(doc, times) * q + self.queries[place], np.repeat(part, times) * self.weights[place], n * q).reshape(n, q)
+    def by_query(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Terms and weights of each query."""
+        first = np.searchsorted(self.query, np.arange(len(self.names) + 1))
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield self.term[a:b], self.weights[a:b]
 
 
 def term_statistics(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -101,12 +89,11 @@ def term_statistics(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
     return corpus.select(F.inline(F.concat(terms, whole))).groupBy("term").agg(F.sum("n").alias("df"), F.sum("size").alias("length"))
 
 
-def query_weights(corpus: DataFrame, queries: DataFrame, query: str, term_block: int = TERM_BLOCK) -> Iterator[Weights]:
-    """Weights of the queries (query, tokens) under the corpus's statistics, in blocks of bounded size.
+def query_weights(stats: DataFrame, queries: DataFrame, query: str, term_block: int = TERM_BLOCK) -> Iterator[Weights]:
+    """Weights of the queries (query, tokens) under stored term statistics, in blocks of bounded size.
 
     The mean inverse document frequency is that of all terms, not only those asked for.
     """
-    stats = staged(term_statistics(corpus), "term-statistics")
     whole = stats.filter("term IS NULL").first()
     asked = queries.select(F.col(query).alias("asked_by"), F.explode("tokens").alias("term")).groupBy("asked_by", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = staged(asked, "asked")
@@ -114,18 +101,18 @@ def query_weights(corpus: DataFrame, queries: DataFrame, query: str, term_block:
     raw = F.log(F.lit(whole["df"] if whole else 0) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = stats.filter("term IS NOT NULL").select("term", raw.alias("raw"))
     mean = terms.agg(F.avg("raw")).first()[0] or 0.0
+    weight = F.when(F.col("raw") < 0, F.lit(mean * EPSILON)).otherwise(F.col("raw"))
     for block in range(blocks):
         mine = F.pmod(F.xxhash64("asked_by"), F.lit(blocks)) == block
         names = [r[0] for r in queries.select(F.col(query).alias("asked_by")).filter(mine).distinct().collect()]
-        rows = asked.filter(mine).join(terms, "term").select("term", "asked_by", (F.col("times") * F.when(F.col("raw") < 0, F.lit(mean * EPSILON)).otherwise(F.col("raw"))).alias("weight")).collect()
         number = {name: k for k, name in enumerate(names)}
-        rows = sorted(rows, key=lambda r: (r["term"], number[r["asked_by"]]))
+        rows = asked.filter(mine).join(terms, "term").select("term", "asked_by", (F.col("times") * weight).alias("weight")).collect()
+        rows = sorted(rows, key=lambda r: (number[r["asked_by"]], r["term"]))
         found = sorted({r["term"] for r in rows})
         at = {t: k for k, t in enumerate(found)}
-        starts = np.concatenate(([0], np.cumsum(np.bincount([at[r["term"]] for r in rows], minlength=len(found)) if found else np.zeros(0)))).astype(np.int64)
         length = whole["length"] / whole["df"] if whole and whole["length"] else 1.0
-        yield Weights(pa.array(found, pa.string()), starts, np.array([number[r["asked_by"]] for r in rows], np.int64), np.array([r["weight"] for r in rows], float), names, length)
-    unstaged(stats, asked)
+        yield Weights(pa.array(found, pa.string()), np.array([at[r["term"]] for r in rows], np.int64), np.array([number[r["asked_by"]] for r in rows], np.int64), np.array([r["weight"] for r in rows], float), names, length)
+    unstaged(asked)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -134,29 +121,40 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
             yield batch.slice(at, most)
 
 
-def bm25_column(corpus: DataFrame, queries: DataFrame, query: str, name: str = "bm25_score") -> DataFrame:
-    """The corpus with the score of its one query; documents without a hit score 0."""
-    weights, = query_weights(corpus, queries, query)  # one query's terms are one block
-    shipped = corpus.sparkSession.sparkContext.broadcast(weights)
-    schema = T.StructType([*corpus.schema.fields, T.StructField(name, T.DoubleType())])
+def _is(term: str):
+    return lambda t: t == F.lit(term)
 
-    def score(batches):
-        for batch in _batches(batches, SCORES):
-            found = shipped.value.scores(batch.column("tokens"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0] if found.shape[1] else np.zeros(batch.num_rows), pa.float64())], names=schema.names)
 
-    return corpus.mapInArrow(score, schema)
+def bm25_column(corpus: DataFrame, queries: DataFrame, query: str, name: str = "bm25_score") -> DataFrame:
+    """The corpus with the score of its one query; documents without a hit score 0.
+
+    Only the query's own terms are kept of the tokens and counted, in a Column expression.
+    """
+    stats = staged(term_statistics(corpus), "term-statistics")
+    weights, = query_weights(stats, queries, query)  # one query's terms are one block
+    unstaged(stats)
+    held, size = fresh(corpus, "held", "size")
+    wanted = weights.terms.take(pa.array(weights.term)).to_pylist()
+    rows = corpus.withColumns({held: F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>"), size: F.size("tokens").cast("double")})
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B / weights.mean_length) * F.col(size))
+    score = F.lit(0.0)
+    for term, weight in zip(wanted, weights.weights.tolist()):
+        tf = F.size(F.filter(held, _is(term))).cast("double")
+        score = score + F.lit(weight * (K1 + 1)) * tf / (tf + norm)
+    return rows.withColumn(name, F.coalesce(score, F.lit(0.0))).drop(held, size)
 
 
 def hashed_dense_column(corpus: DataFrame, queries: DataFrame, name: str = "dense_score", dimensions: int = DIMENSIONS) -> DataFrame:
-    """The corpus with the cosine of its hashed token counts and those of its one query; 0 if either has no tokens."""
+    """The corpus without its tokens, with the cosine of its hashed token counts and those of its one query; 0 if either
+    has no tokens.  Tokens go to Python once and don't come back."""
     asked = queries.select("tokens").first()
 
     def buckets(tokens) -> np.ndarray:
         return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dimensions for t in tokens], np.int64)
 
     wanted = np.bincount(buckets(asked[0] or ()) if asked else buckets(()), minlength=dimensions).astype(float)
-    schema = T.StructType([*corpus.schema.fields, T.StructField(name, T.DoubleType())])
+    kept = [f for f in corpus.schema.fields if f.name != "tokens"]
+    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
 
     def score(batches):
         for batch in _batches(batches, SCORES // dimensions):
@@ -167,61 +165,32 @@ def hashed_dense_column(corpus: DataFrame, queries: DataFrame, name: str = "dens
             counts = np.bincount(doc * dimensions + bucket, minlength=len(tokens) * dimensions).reshape(len(tokens), dimensions).astype(float)
             size = np.sqrt((counts * counts).sum(1) * (wanted * wanted).sum())
             found = np.divide(counts @ wanted, size, out=np.zeros(len(tokens)), where=size > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, pa.float64())], names=schema.names)
 
     return corpus.mapInArrow(score, schema)
 
 
-class Best:
-    """The best k of each query so far: by score, highest first, then by position."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.rows = [(np.zeros(0), np.zeros(0, np.int64), []) for _ in range(queries)]
-
-    def take(self, scores: np.ndarray, pos: np.ndarray, keys: Callable[[int], object]) -> None:
-        rounded = np.round(scores, RANK_DECIMALS)
-        for q, (had, had_pos, had_keys) in enumerate(self.rows):
-            column = rounded[:, q]
-            least = had[-1] if len(had) == self.k else -np.inf
-            if len(column) > self.k:
-                least = max(least, np.partition(column, -self.k)[-self.k])
-            new = np.flatnonzero(column >= least)
-            if len(new):
-                values, places = np.concatenate([had, column[new]]), np.concatenate([had_pos, pos[new]])
-                order = np.lexsort((places, -values))[: self.k]
-                names = [had_keys[j] if j < len(had) else (keys(int(new[j - len(had)])), float(scores[new[j - len(had)], q])) for j in order.tolist()]
-                self.rows[q] = (values[order], places[order], names)
-
-
-def bm25_top(corpus: DataFrame, queries: DataFrame, key: str, pos: str, query: str, k: int) -> DataFrame:
+def bm25_top(corpus: DataFrame, queries: DataFrame, key: str, pos: str, query: str, k: int, index: DataFrame | None = None) -> DataFrame:
     """query, key, pos, bm25_score, rank: the k best documents of one corpus for every query.
 
     corpus: key, pos (an integer), tokens; queries: query, tokens.  Documents that share no term score 0 and come by
-    position.  A task hands on k rows a query at most.
+    position.  index: the corpus's stored index, if there is one already.
     """
-    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(key, corpus.schema[key].dataType), T.StructField("best_pos", T.LongType()), T.StructField("bm25_score", T.DoubleType())])
-    arrow = [to_arrow_type(f.dataType) for f in schema.fields]
-    found = None
-    for weights in query_weights(corpus, queries, query):
-        shipped = corpus.sparkSession.sparkContext.broadcast(weights)
-
-        def best(batches, shipped=shipped):
-            names = shipped.value.names
-            held = Best(len(names), k)
-            for batch in _batches(batches, max(1, SCORES // max(1, len(names)))):
-                keys = batch.column(key)
-                held.take(shipped.value.scores(batch.column("tokens")), batch.column("best_pos").to_numpy(zero_copy_only=False), lambda j, keys=keys: keys[j].as_py())
-            rows = [(name, one[0], int(place), one[1]) for name, (_, places, ones) in zip(names, held.rows) for place, one in zip(places.tolist(), ones)]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow)], names=schema.names)
-
-        part = corpus.select(key, F.col(pos).cast("long").alias("best_pos"), "tokens").mapInArrow(best, schema)
-        found = part if found is None else found.unionAll(part)
+    found = bm25_shards(stored_index(corpus, key, pos) if index is None else index, queries, query, k).filter("best_pos IS NOT NULL").withColumnRenamed("key", key)
     ranked = found.withColumn("rank", rank_by([query], "bm25_score", "best_pos")).filter(F.col("rank") <= k)
     return ranked.select(query, key, *([] if pos == key else [F.col("best_pos").alias(pos)]), "bm25_score", "rank")
 
 
+def bm25_shards(index: DataFrame, queries: DataFrame, query: str, k: int, term_block: int = TERM_BLOCK) -> DataFrame:
+    """The best of each shard of an index, and how much was scored: see search_index."""
+    stats, found = staged(index_statistics(index), "term-statistics"), None
+    for weights in query_weights(stats, queries, query, term_block):
+        part = search_index(index, weights, query, queries.schema[query].dataType, k)
+        found = part if found is None else found.unionAll(part)
+    unstaged(stats)
+    return found
+
+
 def global_rank(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     """The rows with their place, from 1, in one order over all of them.
 

@@ -239,7 +239,7 @@ def hashed_buckets(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, **options):
     """One query over the whole corpus: both scores in passes over its batches, ranks by range partitions."""
-    scored = hashed_dense_column(_scored(spark, sf_dir), _one_query(spark)).drop("tokens")
+    scored = hashed_dense_column(_scored(spark, sf_dir), _one_query(spark))
     return hybrid_rank(staged(scored, "scored"), [], **options)  # stored, as ranges are sampled before they are cut
 
 
