@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import fresh
-from ..functions.vectors import DIMENSIONS, cosine
+from ..functions.vectors import DIMENSIONS
 from ..sources.staging import staged, unstaged
 from .postings import B, K1, RANK_DECIMALS, index_statistics, search_index, stored_index
+from .vector_index import nearest_exact
 
 EPSILON, RRF_K = 0.25, 60
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 4096
 #: Terms of queries that are broadcast at once, and counts by bucket that a task holds at once.
 TERM_BLOCK = 200_000
 SCORES = 4 << 20
@@ -245,17 +244,5 @@ def hybrid_rank(rows: DataFrame, pool: list[str], pos: str = "pos", dense_weight
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int) -> DataFrame:
-    """query, key, dense_score, rank: the k nearest rows of every query vector.
-
-    A stated set of queries goes in broadcast blocks of bounded size against all rows, as a nested loop; each task
-    keeps its own best k before the shuffle.
-    """
-    keep = vectors.select(key, F.col(vector).alias("_v"))
-    asked = queries.select(F.col(query).alias("_q"), F.col(query_vector).alias("_u"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    scored = None
-    for block in range(blocks):
-        some = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block) if blocks > 1 else asked
-        part = keep.join(F.broadcast(some)).select(F.col("_q").alias(query), key, cosine(F.col("_v"), F.col("_u")).alias("dense_score"))
-        scored = part if scored is None else scored.unionAll(part)
-    return scored.withColumn("rank", rank_by([query], "dense_score", key)).filter(F.col("rank") <= k)
+    """query, key, dense_score, rank: the k nearest rows of every query vector, exactly: see vector_index."""
+    return nearest_exact(vectors, queries, key, vector, query, query_vector, k)

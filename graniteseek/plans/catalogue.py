@@ -14,6 +14,7 @@ from ..operators.dedupe import jaccard_columns, select_with_quota
 from ..operators.pages import admissible_links, metadata, page_struct
 from ..operators.ranking import bm25_column, bm25_top, cosine_top, hashed_dense_column, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked, safety_code
+from ..operators.vector_index import build_vector_index, search_vectors
 from ..sources.payloads import dispatch, parse_results, unresponsive_engines, with_fallback
 from ..sources.staging import staged
 from ..sources.tables import load, query_log
@@ -232,6 +233,17 @@ def cosine_topk(spark, sf_dir):
     return found.select("query_id", "vec_id", "rank", F.round("dense_score", 6).alias("score"))
 
 
+def cosine_index_topk(spark, sf_dir):
+    """The same questions, answered by the index of coded lists; ranked by exact cosines, recall is measured in tests."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = build_vector_index(vectors, "vec_id", "embedding")
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    if index is None:
+        return cosine_top(vectors, asked, "vec_id", "embedding", "query_id", "embedding", 10).limit(0).withColumnRenamed("dense_score", "score")
+    found = search_vectors(index, asked, "query_id", "embedding", 10)
+    return found.select("query_id", "vec_id", "rank", F.round("dense_score", 6).alias("score"))
+
+
 def hashed_buckets(spark, sf_dir):
     rows = _corpus(spark, sf_dir).select("doc_id", F.explode("tokens").alias("t"))
     return rows.groupBy("doc_id", hash_bucket(F.col("t")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -399,7 +411,7 @@ def current_datetime(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, engine_reports,
     retrieval_token_counts, chunk_windows, chunk_pack, page_chunks, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
-    page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe,
+    page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, cosine_index_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe,
     semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_chunks, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
 QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings, "token_savings_total": savings_total_all, "chunk_search": chunk_search}
 
