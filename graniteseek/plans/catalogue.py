@@ -11,6 +11,7 @@ from ..functions.vectors import hash_bucket
 from ..operators.budget import first_per_source, within_budget
 from ..operators.chunking import pack_chunks, window_chunks
 from ..operators.dedupe import jaccard_columns, select_with_quota
+from ..operators.lexical import mark_lexical
 from ..operators.pages import admissible_links, metadata, page_struct
 from ..operators.ranking import bm25_column, bm25_top, cosine_top, hashed_dense_column, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked, safety_code
@@ -27,6 +28,7 @@ from .search import discover, page_title, pages_as_results, ranked_results, with
 QUERY = "the on and thing re tion"
 BLOCKED = ("spam-farm.example.com", "https://www.CHEAP-pills.example.com/x", "org")
 POOL = 30
+CORPUS_JACCARD = 0.8
 
 # Fixed inputs: urls whose form the test pages don't have.
 ODD_URLS = (
@@ -293,6 +295,12 @@ def jaccard_dedupe(spark, sf_dir):
     return _select(spark, sf_dir, POOL, 0, 0.8, 1.0)
 
 
+def corpus_dedupe(spark, sf_dir):
+    """All documents as one pool, in order of their ids."""
+    rows = _documents(spark, sf_dir).select("doc_id", "text")
+    return mark_lexical(rows, "doc_id", CORPUS_JACCARD).select("doc_id", "kept")
+
+
 def semantic_dedupe(spark, sf_dir):
     return _select(spark, sf_dir, POOL, 0, 1.0, 0.92)
 
@@ -411,7 +419,7 @@ def current_datetime(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, engine_reports,
     retrieval_token_counts, chunk_windows, chunk_pack, page_chunks, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
-    page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, cosine_index_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe,
+    page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, cosine_index_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe, corpus_dedupe,
     semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_chunks, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
 QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings, "token_savings_total": savings_total_all, "chunk_search": chunk_search}
 
@@ -459,6 +467,20 @@ def _bm25_sql(docs: str, queries: str, p: str = "") -> str:
   FROM {p}tf x JOIN {p}qt USING (pool, term) JOIN {p}idf USING (pool, term) JOIN {p}d y ON y.pool = x.pool AND y.id = x.id JOIN {p}stats z ON z.pool = x.pool GROUP BY x.pool, x.id, qid)"""
 
 
+# all documents, in order: similar pairs, then the greedy walk over the linked ones as a recursion
+_CORPUS_DEDUPE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_sort(list_distinct({_tokens('text')})) AS t, trim(coalesce(text, ''), E' \\n\\t\\r') AS bare FROM documents),
+c AS (SELECT min(doc_id) AS id, t FROM d WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.id < y.id AND len(y.t) >= {CORPUS_JACCARD} * len(x.t) - 1e-9 AND len(x.t) >= {CORPUS_JACCARD} * len(y.t) - 1e-9
+  WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::DOUBLE >= {CORPUS_JACCARD}),
+n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, (SELECT coalesce(list(a), []) FROM e WHERE b = id) AS before FROM (SELECT a AS id FROM e UNION SELECT b FROM e)),
+walk(k, kept, gone) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT n.k, CASE WHEN len(list_intersect(kept, before)) > 0 THEN kept ELSE list_append(kept, id) END, CASE WHEN len(list_intersect(kept, before)) > 0 THEN list_append(gone, id) ELSE gone END
+  FROM walk JOIN n ON n.k = walk.k + 1),
+stay AS (SELECT id FROM c WHERE NOT list_contains((SELECT gone FROM walk ORDER BY k DESC LIMIT 1), id) UNION ALL SELECT min(doc_id) FROM d WHERE len(t) = 0 GROUP BY bare)
+SELECT doc_id, doc_id IN (SELECT id FROM stay) AS kept FROM documents
+"""
 _DOCS = f"SELECT 0 AS pool, doc_id AS id, {_tokens('text')} AS t FROM documents"
 _ONE = f"SELECT 0 AS pool, 0 AS qid, {_tokens(_text(QUERY))} AS t"
 _ASKED = f"SELECT 0 AS pool, item_id AS qid, {_tokens('text')} AS t FROM benchmark"
@@ -516,7 +538,21 @@ def _pool_choice(limit: int, per_source: int, lexical: float, semantic: float) -
 _SNIPPET = "substr(" + _SPACES.format("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)', 1), '(?s)<[^>]*>?', ' ', 'g')") + ", 1, 200)"
 _PAGE_WORDS = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 _DOMAIN = f"regexp_replace({_HOST}, '^www\\.', '')"
-_RESULT_DOCS = f"SELECT 0 AS pool, page_id AS id, {_tokens(_PAGE_WORDS)} AS t FROM pages WHERE {_TITLE} <> '' AND url <> ''"
+_RESULT# all documents, in order: similar pairs, then the greedy walk over the linked ones as a recursion
+_CORPUS_DEDUPE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_sort(list_distinct({_tokens('text')})) AS t, trim(coalesce(text, ''), E' \\n\\t\\r') AS bare FROM documents),
+c AS (SELECT min(doc_id) AS id, t FROM d WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.id < y.id AND len(y.t) >= {CORPUS_JACCARD} * len(x.t) - 1e-9 AND len(x.t) >= {CORPUS_JACCARD} * len(y.t) - 1e-9
+  WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::DOUBLE >= {CORPUS_JACCARD}),
+n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, (SELECT coalesce(list(a), []) FROM e WHERE b = id) AS before FROM (SELECT a AS id FROM e UNION SELECT b FROM e)),
+walk(k, kept, gone) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT n.k, CASE WHEN len(list_intersect(kept, before)) > 0 THEN kept ELSE list_append(kept, id) END, CASE WHEN len(list_intersect(kept, before)) > 0 THEN list_append(gone, id) ELSE gone END
+  FROM walk JOIN n ON n.k = walk.k + 1),
+stay AS (SELECT id FROM c WHERE NOT list_contains((SELECT gone FROM walk ORDER BY k DESC LIMIT 1), id) UNION ALL SELECT min(doc_id) FROM d WHERE len(t) = 0 GROUP BY bare)
+SELECT doc_id, doc_id IN (SELECT id FROM stay) AS kept FROM documents
+"""
+_DOCS = f"SELECT 0 AS pool, page_id AS id, {_tokens(_PAGE_WORDS)} AS t FROM pages WHERE {_TITLE} <> '' AND url <> ''"
 _FOUND = f"""{_bm25_sql(_RESULT_DOCS, _ASKED, "one_")},
 every AS (SELECT qid, id, score FROM one_s UNION ALL SELECT one_q.qid, f.id, 0.0 FROM one_q, (SELECT id FROM one_d ORDER BY id LIMIT 10) f WHERE NOT EXISTS (SELECT 1 FROM one_s x WHERE x.qid = one_q.qid AND x.id = f.id)),
 top AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS pos FROM every QUALIFY pos <= 10),
@@ -640,6 +676,7 @@ SELECT qid AS query_id, id::VARCHAR AS chunk_id, rank::INTEGER AS rank, least(le
 FROM r WHERE run <= 2000 OR rank = 1""",
 }
 ORACLE_SQL |= {
+    "corpus_dedupe": _CORPUS_DEDUPE,
     "jaccard_dedupe": _pool_choice(POOL, 0, 0.8, 1.0),
     "semantic_dedupe": _pool_choice(POOL, 0, 1.0, 0.92),
     "quota_fill": _pool_choice(10, 2, 0.92, 0.97),
@@ -654,7 +691,21 @@ FROM chosen JOIN pooled USING (qid, rank)""",
     "token_savings_total": f"{_SAVED} SELECT *, {_PCT} FROM (SELECT sum(naive_tokens)::BIGINT AS naive_tokens, sum(returned_tokens)::BIGINT AS returned_tokens, sum(tokens_saved)::BIGINT AS tokens_saved FROM saved)",
     "search_ranking": f"WITH {_FOUND} SELECT qid AS query_id, id AS page_id, rank::INTEGER AS rank, round(similarity, 4) AS similarity FROM ranked",
 }
-_CHUNK_DOCS = f"SELECT 0 AS pool, doc_id * 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS id, {_tokens('chunk')} AS t FROM c"
+_CHUNK# all documents, in order: similar pairs, then the greedy walk over the linked ones as a recursion
+_CORPUS_DEDUPE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_sort(list_distinct({_tokens('text')})) AS t, trim(coalesce(text, ''), E' \\n\\t\\r') AS bare FROM documents),
+c AS (SELECT min(doc_id) AS id, t FROM d WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.id < y.id AND len(y.t) >= {CORPUS_JACCARD} * len(x.t) - 1e-9 AND len(x.t) >= {CORPUS_JACCARD} * len(y.t) - 1e-9
+  WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::DOUBLE >= {CORPUS_JACCARD}),
+n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, (SELECT coalesce(list(a), []) FROM e WHERE b = id) AS before FROM (SELECT a AS id FROM e UNION SELECT b FROM e)),
+walk(k, kept, gone) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT n.k, CASE WHEN len(list_intersect(kept, before)) > 0 THEN kept ELSE list_append(kept, id) END, CASE WHEN len(list_intersect(kept, before)) > 0 THEN list_append(gone, id) ELSE gone END
+  FROM walk JOIN n ON n.k = walk.k + 1),
+stay AS (SELECT id FROM c WHERE NOT list_contains((SELECT gone FROM walk ORDER BY k DESC LIMIT 1), id) UNION ALL SELECT min(doc_id) FROM d WHERE len(t) = 0 GROUP BY bare)
+SELECT doc_id, doc_id IN (SELECT id FROM stay) AS kept FROM documents
+"""
+_DOCS = f"SELECT 0 AS pool, doc_id * 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS id, {_tokens('chunk')} AS t FROM c"
 ORACLE_SQL["chunk_search"] = f"""{_PACKED}, {_bm25_sql(_CHUNK_DOCS, _ASKED, "of_")},
 every AS (SELECT qid, id, score FROM of_s UNION ALL SELECT of_q.qid, f.id, 0.0 FROM of_q, (SELECT id FROM of_d ORDER BY id LIMIT 5) f WHERE NOT EXISTS (SELECT 1 FROM of_s x WHERE x.qid = of_q.qid AND x.id = f.id))
 SELECT qid AS query_id, (id // 1000000)::VARCHAR || ':' || (id % 1000000)::VARCHAR AS chunk_id, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id))::INTEGER AS rank, round(score, 6) AS score FROM every QUALIFY rank <= 5"""
