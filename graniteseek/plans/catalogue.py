@@ -16,11 +16,12 @@ from ..operators.pages import admissible_links, metadata, page_struct
 from ..operators.ranking import bm25_column, bm25_top, cosine_top, hashed_dense_column, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked, safety_code
 from ..operators.vector_index import build_vector_index, search_vectors
-from ..sources.payloads import dispatch, parse_results, unresponsive_engines, with_fallback
+from ..sources.backends import ask_in_turn
+from ..sources.payloads import backend_errors, dispatch, parse_results, unresponsive_engines
 from ..sources.staging import staged
 from ..sources.tables import load, query_log
 from .options import Options
-from .render import INSTRUCTIONS, batch_status, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
+from .render import INSTRUCTIONS, ISO, batch_status, datetime_xml, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
 from .research import evidence, local_search, research, run_stats, savings_total, token_savings
 from .scrape import page_order, prefiltered_links, read_items, related_links, scrape
 from .search import discover, page_title, pages_as_results, ranked_results, with_dense
@@ -34,14 +35,9 @@ CORPUS_JACCARD = 0.8
 ODD_URLS = (
     "HTTP://WWW.Example.COM", "https://example.com:8443/a/b.PDF?x=1#f", "ftp://example.com/", "https://user@example.com/", "javascript:alert(1)",
     "https://127.0.0.1/x", "http://[::1]/", "http://8.8.8.8/ok", "http://192.168.1.9/", "https://host_name.example.org./p", "//example.com/x", "", "http:///nohost", "https://localhost/a")
-# Fixed inputs: captured responses of the three backends, one query each or shared.
-RESPONSES = (
-    ("searxng", 1, '{"results":[{"title":"A","url":"https://a.example.com/","content":"aa","publishedDate":"2024-01-02"},{"title":"","url":"https://b.example.com/"},{"title":"C","url":"https://c.example.com/","published":" 2023 "}],"unresponsive_engines":[["bing","timeout"],"qwant"]}'),
-    ("searxng", 2, '{"results":[],"unresponsive_engines":["google"]}'),
-    ("ddgs", 2, '[{"title":"D","href":"https://d.example.com/","body":"dd"},{"title":"E","body":"no link"}]'),
-    ("ddgs", 3, '[{"title":"F","href":"https://f.example.com/","body":"ff","date":"2022-02-02"}]'),
-    ("brave", 3, '{"web":{"results":[{"title":"G","url":"https://g.example.com/","description":"gg"}]}}'),
-    ("brave", 4, '{"web":{"results":[{"title":"H","url":"https://h.example.com/","description":"hh"},{"title":"I","url":""}]}}'))
+BACKENDS = ("searxng", "ddgs", "brave")
+#: Queries that captured responses are dealt to.
+CAPTURED = 40
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,26 +83,54 @@ def search_discovery(spark, sf_dir):
     return discover(pages_as_results(_pages(spark, sf_dir)), 50, BLOCKED).select("rank", "result_id", "title", "url")
 
 
-def _responses(spark, backend):
-    return _literal_rows(spark, [(q, b) for name, q, b in RESPONSES if name == backend], "query_id", "body")
+def _responses(spark, sf_dir, backend):
+    """query_id, body: captured responses, made of the pages.  A page is a result of one query in one backend.
+
+    Some results lack a title or a url.  A quarter of the queries finds nothing in the first source, as its engines
+    don't respond; of those half find nothing in the second one either.
+    """
+    page, query = F.col("page_id"), F.col("query_id")
+    pages = _pages(spark, sf_dir).select("page_id", F.pmod(page, F.lit(CAPTURED)).alias("query_id"), F.pmod(F.expr(f"page_id div {CAPTURED}"), F.lit(3)).alias("backend"), "url", page_title(F.col("html")).alias("title"))
+    title, url = F.when(page % 11 == 0, F.lit("")).otherwise(F.col("title")), F.when(page % 13 == 0, F.lit(" ")).otherwise(F.col("url"))
+    text = F.concat(F.lit("about "), F.col("title"))
+    old, new = F.when(page % 3 == 0, F.lit("2024-01-02")), F.when(page % 3 != 2, F.concat(F.lit(" 202"), (page % 10).cast("string"), F.lit(" ")))
+    fields = {
+        "searxng": (title.alias("title"), url.alias("url"), text.alias("content"), old.alias("publishedDate"), new.alias("published")),
+        "ddgs": (title.alias("title"), url.alias("href"), text.alias("body"), new.alias("date")),
+        "brave": (title.alias("title"), url.alias("url"), text.alias("description")),
+    }[backend]
+    empty = {"searxng": query % 4 == 3, "ddgs": query % 8 == 7, "brave": F.lit(False)}[backend]
+    mine = pages.filter((F.col("backend") == BACKENDS.index(backend)) & ~empty).select("query_id", F.struct("page_id", F.struct(*fields).alias("r")).alias("r"))
+    bodies = mine.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["r"])).alias("found"))
+    rows = pages.select("query_id").distinct().join(bodies, "query_id", "left").select("query_id", F.coalesce("found", F.lit("[]")).alias("found"))
+    engines = F.when(query % 4 == 3, '[["google","timeout"],"qwant"]').when(query % 4 == 1, '["bing"," "]').otherwise("[]")
+    body = {"searxng": F.concat(F.lit('{"results":'), "found", F.lit(',"unresponsive_engines":'), engines, F.lit("}")), "ddgs": F.col("found"), "brave": F.concat(F.lit('{"web":{"results":'), "found", F.lit("}}"))}[backend]
+    return rows.select("query_id", body.alias("body"))
 
 
 def search_payloads(spark, sf_dir):
     out = None
-    for backend in ("searxng", "ddgs", "brave"):
-        rows = parse_results(_responses(spark, backend), backend)
+    for backend in BACKENDS:
+        rows = parse_results(_responses(spark, sf_dir, backend), backend)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def fallback_union(spark, sf_dir):
-    asked = _literal_rows(spark, [(q,) for q in (1, 2, 3, 4, 5)], "query_id")
-    results = {b: parse_results(_responses(spark, b), b) for b in ("searxng", "ddgs", "brave")}
-    return with_fallback(results, dispatch("searxng", True, True), asked).select("query_id", "result_id", "url", "backend")
+    """Every captured query, asked in turn: a later source only for what none before has answered."""
+    queries = _pages(spark, sf_dir).select(F.pmod("page_id", F.lit(CAPTURED)).alias("query_id")).distinct()
+    sources = {b: (lambda left, b=b: _responses(spark, sf_dir, b).join(left.select("query_id"), "query_id", "left_semi")) for b in BACKENDS}
+    return ask_in_turn(sources, dispatch("searxng", True, True), queries)[0].select("query_id", "result_id", "url", "backend")
+
+
+def search_error_codes(spark, sf_dir):
+    """Why a source has no answer, for every captured query that it has none for."""
+    codes = [backend_errors(_responses(spark, sf_dir, b), b).withColumn("backend", F.lit(b)) for b in BACKENDS]
+    return codes[0].unionByName(codes[1]).unionByName(codes[2]).select("query_id", "backend", "error_code")
 
 
 def engine_reports(spark, sf_dir):
-    return unresponsive_engines(_responses(spark, "searxng")).withColumn("listed", engine_list(F.concat_ws(" , ", F.col("engine"), F.lit(" "), F.lit("ddg "))))
+    return unresponsive_engines(_responses(spark, sf_dir, "searxng")).withColumn("listed", engine_list(F.concat_ws(" , ", F.col("engine"), F.lit(" "), F.lit("ddg "))))
 
 
 # --- text -------------------------------------------------------------------------------------------------------
@@ -412,12 +436,13 @@ def savings(spark, sf_dir):
 
 
 def current_datetime(spark, sf_dir):
-    now = F.current_timestamp()
-    return spark.range(1).select(F.date_format(now, "yyyy-MM-dd").alias("date"), F.date_format(now, "HH:mm:ss").alias("time"))
+    """The record of a moment, for the moment of every event."""
+    ts = F.col("ts")
+    return load(spark, sf_dir, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd").alias("date"), F.date_format(ts, "HH:mm:ss").alias("time"), F.date_format(ts, ISO).alias("iso"), F.md5(datetime_xml(ts).cast("binary")).alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (
-    host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, engine_reports,
+    host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, search_error_codes, engine_reports,
     retrieval_token_counts, chunk_windows, chunk_pack, page_chunks, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
     page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, cosine_index_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe, corpus_dedupe,
     semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_chunks, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
@@ -610,6 +635,13 @@ _ORDERED = "row_number() OVER (ORDER BY round(rrf, 9) DESC, round(dense, 9) DESC
 _NAV = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS text, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1), 1) - 1 AS pos FROM pages"
 _ROOT = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)"
 
+# results of captured responses, without the JSON between
+_PAYLOADS = f"""WITH p AS (SELECT page_id, page_id % {CAPTURED} AS query_id, page_id // {CAPTURED} % 3 AS k, url, {_TITLE} AS title FROM pages),
+found AS (
+  SELECT query_id, k, row_number() OVER (PARTITION BY query_id, k ORDER BY page_id)::INTEGER AS result_id, title, url, 'about ' || title AS text,
+    CASE WHEN k = 0 AND page_id % 3 = 0 THEN '2024-01-02' WHEN k < 2 AND page_id % 3 <> 2 THEN '202' || (page_id % 10) END AS published_at,
+    CASE k WHEN 0 THEN 'searxng' WHEN 1 THEN 'ddgs' ELSE 'brave' END AS backend
+  FROM p WHERE page_id % 11 <> 0 AND page_id % 13 <> 0 AND title <> '' AND NOT (k = 0 AND query_id % 4 = 3) AND NOT (k = 1 AND query_id % 8 = 7) QUALIFY result_id <= 10)"""
 ORACLE_SQL = {
     "host_normalize": f"WITH {_URLS} SELECT page_id, {_NORMAL} AS host, regexp_replace({_HOST}, '^www\\.', '') AS domain FROM u",
     "url_canonicalize": f"""WITH {_URLS}, s AS (SELECT page_id, {_CANONICAL} AS canonical, lower(regexp_extract({_PATH}, '\\.([^./]*)$', 1)) AS suffix FROM u)
@@ -619,12 +651,13 @@ WHEN {_HOST} = 'localhost' OR regexp_matches({_AUTHORITY}, '^(127|10|192\\.168)\
     "blocked_domain_filter": f"WITH p AS (SELECT page_id, url, {_NORMAL} AS h FROM pages) SELECT page_id, url FROM p WHERE {_OPEN}",
     "search_discovery": f"""WITH r AS (SELECT page_id AS result_id, {_TITLE} AS title, url, {_NORMAL} AS h FROM pages WHERE {_TITLE} <> '' AND url <> '' ORDER BY page_id LIMIT 50)
 SELECT row_number() OVER (ORDER BY result_id)::INTEGER AS rank, result_id, title, url FROM r WHERE regexp_matches(url, '(?i)^https?://') AND {_OPEN}""",
-    "search_payloads": """SELECT * FROM (VALUES (1, 1, 'A', 'https://a.example.com/', 'aa', '2024-01-02', 'searxng'), (1, 2, 'C', 'https://c.example.com/', '', '2023', 'searxng'),
-(2, 1, 'D', 'https://d.example.com/', 'dd', NULL, 'ddgs'), (3, 1, 'F', 'https://f.example.com/', 'ff', '2022-02-02', 'ddgs'), (3, 1, 'G', 'https://g.example.com/', 'gg', NULL, 'brave'), (4, 1, 'H', 'https://h.example.com/', 'hh', NULL, 'brave'))
-t(query_id, result_id, title, url, text, published_at, backend)""",
-    "fallback_union": """SELECT * FROM (VALUES (1, 1, 'https://a.example.com/', 'searxng'), (1, 2, 'https://c.example.com/', 'searxng'), (2, 1, 'https://d.example.com/', 'ddgs'),
-(3, 1, 'https://f.example.com/', 'ddgs'), (4, 1, 'https://h.example.com/', 'brave')) t(query_id, result_id, url, backend)""",
-    "engine_reports": "SELECT * FROM (VALUES (1, 'bing', 'bing,ddg'), (1, 'qwant', 'qwant,ddg'), (2, 'google', 'google,ddg')) t(query_id, engine, listed)",
+    "search_payloads": f"{_PAYLOADS} SELECT query_id, result_id, title, url, text, published_at, backend FROM found",
+    "fallback_union": f"{_PAYLOADS} SELECT query_id, result_id, url, backend FROM found QUALIFY k = min(k) OVER (PARTITION BY query_id)",
+    "search_error_codes": f"SELECT DISTINCT page_id % {CAPTURED} AS query_id, 'searxng' AS backend, 'backend_blocked' AS error_code FROM pages WHERE page_id % {CAPTURED} % 4 = 3",
+    "engine_reports": f"""SELECT query_id, engine, engine || ',ddg' AS listed FROM (SELECT DISTINCT page_id % {CAPTURED} AS query_id FROM pages)
+JOIN (VALUES (3, 'google'), (3, 'qwant'), (1, 'bing')) e(rest, engine) ON query_id % 4 = rest""",
+    "current_datetime": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso,
+  md5('<current_datetime><date>' || strftime(ts, '%Y-%m-%d') || '</date><time>' || strftime(ts, '%H:%M:%S') || '</time></current_datetime>') AS digest FROM events""",
     "retrieval_token_counts": f"WITH t AS (SELECT doc_id, {_tokens('text')} AS t FROM documents) SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM t",
     "chunk_windows": """WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 220)) AS start FROM documents)
 SELECT doc_id, (start // 220)::INTEGER AS chunk_id, start::INTEGER AS start, length(substr(text, start + 1, 300))::INTEGER AS tokens, md5(substr(text, start + 1, 300)) AS digest FROM w""",

@@ -78,12 +78,6 @@ def markdown_listing(results: Column) -> Column:
     return F.array_join(F.transform(results, lambda r, i: F.concat(F.lit("## "), (i + 1).cast("string"), F.lit(". "), r["title"], F.lit("\nURL: "), r["url"], F.lit("\nText: "), F.coalesce(r["preview"], F.lit("")))), "\n\n")
 
 
-def write_trace(rows: DataFrame, path: str) -> None:
-    """Run records as JSON lines under `path`; nothing if the path is empty."""
-    if path:
-        rows.write.mode("overwrite").json(path)
-
-
 def grounded_batch(pages: Column, today: Column) -> Column:
     """The XML of several pages: an array of (status, error_code, url, title, chunks, links)."""
     def one(p, i):
