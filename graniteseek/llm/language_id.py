@@ -29,11 +29,11 @@ An empty table gives an empty one.  Extra columns are ignored by `predict_langua
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +42,7 @@ from .shared import as_bytes, fresh, sliced
 
 UNDETERMINED = "und"
 SEGMENT = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -195,18 +195,19 @@ def fit_ppm(samples: dict[str, list[bytes]], options: PpmOptions = PpmOptions())
 
 
 def labelled_sample(docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str, options: PpmOptions) -> dict[str, list[bytes]]:
-    """Whole texts by language: those whose id hashes lowest, up to the bounds."""
+    """Whole texts by language: those whose id and text hash lowest, up to the bounds; equal rows count once."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(options.languages).collect()
     if not sizes:
         return {}
-    place = (F.xxhash64(F.col(doc_id).cast("string"), F.lit(8)).cast("double") / F.lit(2.0**64)) + F.lit(0.5)
+    place = (F.xxhash64(F.col(doc_id).cast("string"), F.lit(8), F.col(text)).cast("double") / F.lit(2.0**64)) + F.lit(0.5)
     chosen = F.lit(False)
     for name, n in sizes:
         chosen |= (F.col(lang) == F.lit(name)) & (place < F.lit(min(1.0, options.rows_per_language / n)))
     order = ["place", "id", "body"]
     found = rows.filter(chosen & (F.octet_length(text) <= options.row_bytes)).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("body"), place.alias("place"), F.col(doc_id).cast("string").alias("id"))
-    # whole texts while those before them are under the bound; a language's candidates are bounded already
+    found = found.dropDuplicates(["lang", *order])  # so that one repeated row can't bring more than its share
+    # whole texts while those before them are under the bound; a language's candidates are `rows_per_language` in the mean
     before = F.coalesce(F.sum(F.octet_length("body")).over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = found.withColumn("before", before).filter(F.col("before") < options.bytes_per_language)
     out: dict[str, list[bytes]] = {}

@@ -1,16 +1,18 @@
 """License scan: an exact set-similarity join of text blocks with license templates by containment.
 
-A block is a line of a document, as the set of its words, and on demand (`wrapped`) also any run of words as long
-as a template, for license texts wrapped over several lines; a template is a set of words.  A block links to a
-template if it holds at least `threshold` of the template's words.  Words are ordered by how many blocks of the
-whole corpus have them, rarest first; words of no template can't add to an overlap and are left out.  With
-t words and a need of ceil(threshold * t):
-
-- prefix filter: a linked block has one of the template's first t - need + 1 words;
-- length filter: a linked block has at least `need` template words;
+A template is a set of words.  A block is any run of a document's words as long as the template (its words with repeats,
+divided by the threshold), wherever lines end; it links to the template if it holds at least `threshold` of its words.
+Words are ordered by how many texts of the whole corpus have them, rarest first; words of no template can't add to an
+overlap and are left out.  With t words and a need of ceil(threshold * t):
+
+- prefix filter: a text with a linked block has one of the template's first t - need + 1 words;
+- length filter: it has at least `need` template words;
 - positional filter: from the first shared prefix word on, no more words can be shared than the shorter rest.
 
-Only pairs that pass are verified.  Places of fixed phrases are found beside it, word by word.
+Only templates that pass are looked for in the text's runs, by a sliding count of the words held.  A link goes from the
+run's first template word to its last.  Where a template's words are a proper subset of another's (`CC BY 4.0` in
+`CC BY-NC 4.0`), its links that overlap one of the other's give way: the text says the longer name there.  Places of
+fixed phrases are found beside it, word by word.
 
 Scale: two maps over the documents, the first for word frequencies (summed per batch, then by word; at most
 the templates' vocabulary is collected), the second for the join.  Templates are a parameter, checked to fit
@@ -24,6 +26,7 @@ Repeated rows get a row each; extra columns are ignored; empty tables and templa
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,24 +63,24 @@ TEMPLATES = (
 )
 
 
-def template_sets(templates=TEMPLATES, template_words: int = TEMPLATE_WORDS) -> list[tuple[str, frozenset[bytes]]]:
-    out = [(label, frozenset(words_of(text.encode()))) for label, text in templates]
-    if sum(len(words) for _, words in out) > template_words:
+def template_sets(templates=TEMPLATES, template_words: int = TEMPLATE_WORDS) -> list[tuple[str, frozenset[bytes], int]]:
+    """Label, words and length with repeats of each template."""
+    out = [(label, frozenset(words), len(words)) for label, text in templates for words in [words_of(text.encode())]]
+    if sum(n for _, _, n in out) > template_words:
         raise ValueError(f"templates have more than {template_words} words; scan with them in parts")
-    return [(label, words) for label, words in out if words]
+    return [t for t in out if t[1]]
 
 
 def block_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text="text") -> dict[bytes, int]:
-    """In how many blocks of all documents each word of the vocabulary stands."""
+    """In how many of all texts each word of the vocabulary stands."""
     schema = "word binary, blocks long"
 
     def count(batches):
         for batch in batches:
             found: dict[bytes, int] = {}
             for body in as_bytes(batch.column(text)):
-                for line in body.split(b"\n") if body else ():
-                    for word in vocabulary.intersection(words_of(line)):
-                        found[word] = found.get(word, 0) + 1
+                for word in vocabulary.intersection(words_of(body)):
+                    found[word] = found.get(word, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "blocks"])
 
     rows = docs.select(text).mapInArrow(count, schema).groupBy("word").agg(F.sum("blocks").alias("blocks"))
@@ -87,23 +90,23 @@ def block_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text="text"
 class ContainmentIndex:
     """Prefix index of the templates under a global word order."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequencies: dict[bytes, int], threshold: float):
-        words = sorted({w for _, t in templates for w in t}, key=lambda w: (frequencies.get(w, 0), w))
+    def __init__(self, templates: list[tuple[str, frozenset[bytes], int]], frequencies: dict[bytes, int], threshold: float):
+        words = sorted({w for _, t, _ in templates for w in t}, key=lambda w: (frequencies.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(words)}
         self.vocabulary = frozenset(words)
         self.templates = []
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
-        for k, (label, members) in enumerate(templates):
+        for k, (label, members, length) in enumerate(templates):
             order = sorted(self.rank[w] for w in members)
             need = max(1, math.ceil(threshold * len(order) - 1e-9))
-            self.templates.append((label, frozenset(order), len(order), need))
+            self.templates.append((label, frozenset(order), len(order), need, math.floor(length / threshold + 1e-9)))
             for place, rank in enumerate(order[: len(order) - need + 1]):
                 self.prefixes.setdefault(rank, []).append((k, place))
         self.least = min((t[3] for t in self.templates), default=1)
-        self.threshold = threshold
+        self.wider = [[j for j, t in enumerate(self.templates) if own[1] < t[1]] for own in self.templates]
 
-    def links(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """Templates that the block holds well enough, with the containment."""
+    def candidates(self, words: list[bytes]) -> list[int]:
+        """Templates that the whole text holds well enough, by the three filters and a check."""
         shared = self.vocabulary.intersection(words)
         if len(shared) < self.least:
             return []
@@ -115,38 +118,59 @@ class ContainmentIndex:
                 if k in seen:
                     continue
                 seen.add(k)
-                _, members, size, need = self.templates[k]
+                _, members, size, need, _ = self.templates[k]
                 if len(block) < need or 1 + min(size - at - 1, len(block) - place - 1) < need:
                     continue
-                overlap = len(members.intersection(block))
-                if overlap >= need:
-                    out.append((k, overlap / size))
+                if len(members.intersection(block)) >= need:
+                    out.append(k)
         return out
 
-    def wrapped_links(self, words: list[bytes], lengths: list[int]) -> list[tuple[int, float]]:
-        """Templates that a run of the text's words holds well enough wherever its lines end, with the best containment.
+    def runs(self, k: int, places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(first word, last word, words held) of every run that holds a template well enough; both ends rise.
 
-        A run has the template's words with repeats (lengths), divided by the threshold.  Only templates that the
-        whole text holds are looked for.
+        places: (word, rank) of the text's words that some template has.
         """
+        _, members, _, need, reach = self.templates[k]
+        places = [p for p in places if p[1] in members]
+        inside: dict[int, int] = {}
+        begin, out = 0, []
+        for at, rank in places:
+            inside[rank] = inside.get(rank, 0) + 1
+            while places[begin][0] <= at - reach:
+                gone = places[begin][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                begin += 1
+            if len(inside) >= need:
+                out.append((places[begin][0], at, len(inside)))
+        return out
+
+    def links(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, last word, containment): of runs that overlap each other the first of the best."""
+        some = self.candidates(words)
+        if not some:
+            return []
+        rank = self.rank
+        places = [(at, rank[w]) for at, w in enumerate(words) if w in rank]
+        found = {k: self.runs(k, places) for k in some}
         out = []
-        for k, _ in self.links(words):
-            _, members, size, need = self.templates[k]
-            reach = math.floor(lengths[k] / self.threshold + 1e-9)
-            places = [(at, self.rank[w]) for at, w in enumerate(words) if w in self.vocabulary and self.rank[w] in members]
-            inside: dict[int, int] = {}
-            begin = best = 0
-            for at, rank in places:
-                inside[rank] = inside.get(rank, 0) + 1
-                while places[begin][0] <= at - reach:
-                    gone = places[begin][1]
-                    inside[gone] -= 1
-                    if not inside[gone]:
-                        del inside[gone]
-                    begin += 1
-                best = max(best, len(inside))
-            if best >= need:
-                out.append((k, best / size))
+        for k in sorted(found):
+            wider = [(found[j], [end for _, end, _ in found[j]]) for j in self.wider[k] if found.get(j)]
+            group: tuple[int, int, int] | None = None
+            until = -1
+            for first, last, held in found[k]:
+                if any((at := bisect_left(ends, first)) < len(ends) and runs[at][0] <= last for runs, ends in wider):
+                    continue
+                if group is not None and first <= until:
+                    group = max(group, (first, last, held), key=lambda r: r[2])
+                else:
+                    if group is not None:
+                        out.append((k, group[0], group[1], group[2] / self.templates[k][2]))
+                    group = (first, last, held)
+                until = last
+            if group is not None:
+                out.append((k, group[0], group[1], group[2] / self.templates[k][2]))
         return out
 
 
@@ -171,35 +195,34 @@ def _flat_phrases(phrases) -> list[tuple[bytes, str]]:
 def license_index(docs: DataFrame, text="text", templates=TEMPLATES, threshold=THRESHOLD) -> ContainmentIndex:
     """The templates ordered by the word frequencies of all documents."""
     sets = template_sets(templates)
-    return ContainmentIndex(sets, block_frequencies(docs, frozenset(w for _, t in sets for w in t), text), threshold)
+    return ContainmentIndex(sets, block_frequencies(docs, frozenset(w for _, t, _ in sets for w in t), text), threshold)
 
 
 def license_links(docs: DataFrame, doc_id="doc_id", text="text", templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
-    """One row per linked block and template: doc_id, block (line, from 0), template (number), label, containment, passage."""
+    """One row per linked block and template: doc_id, first_word, last_word (from 0), template (number), label,
+    containment, passage (the block's words)."""
     shipped = docs.sparkSession.sparkContext.broadcast(license_index(docs, text, templates, threshold))
-    schema = T.StructType([docs.schema[doc_id], T.StructField("block", T.LongType()), T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("passage", T.StringType())])
+    schema = T.StructType([docs.schema[doc_id], T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("passage", T.StringType())])
 
     def run(batches):
         for batch in sliced(batches):
             index, out = shipped.value, []
             for doc, body in zip(batch.column(doc_id).to_pylist(), as_bytes(batch.column(text))):
-                for k, line in enumerate(body.split(b"\n") if body else ()):
-                    for j, containment in index.links(words_of(line)):
-                        out.append((doc, k, j, index.templates[j][0], containment, line.decode()))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = [batch.schema.field(doc_id).type, pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string()]
+                words = words_of(body)
+                for k, first, last, containment in index.links(words):
+                    out.append((doc, first, last, k, index.templates[k][0], containment, b" ".join(words[first : last + 1]).decode()))
+            columns = list(zip(*out)) or [[]] * 7
+            kinds = [batch.schema.field(doc_id).type, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=schema.names)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def license_labels(docs: DataFrame, doc_id="doc_id", text="text", phrases=PHRASES, templates=TEMPLATES, threshold=THRESHOLD, wrapped=False) -> DataFrame:
+def license_labels(docs: DataFrame, doc_id="doc_id", text="text", phrases=PHRASES, templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score: 1 with a phrase, else the best containment of a linked block, else 0.  With `wrapped`, runs of words over
-    several lines are blocks too.
+    score: 1 with a phrase, else the best containment of a linked block, else 0.
     """
-    lengths = [n for n in (len(words_of(body.encode())) for _, body in templates) if n]
     shipped = docs.sparkSession.sparkContext.broadcast((license_index(docs, text, templates, threshold), _flat_phrases(phrases)))
     schema = T.StructType([docs.schema[doc_id]] + [T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")] + [T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -208,16 +231,13 @@ def license_labels(docs: DataFrame, doc_id="doc_id", text="text", phrases=PHRASE
             index, flat = shipped.value
             out: list[list] = [[] for _ in range(7)]
             for body in as_bytes(batch.column(text)):
-                lines = [words_of(line) for line in body.split(b"\n")] if body else []
-                words = [w for line in lines for w in line]
+                words = words_of(body)
                 places = phrase_places(words, flat) if words else []
-                links = [link for line in lines if len(line) >= index.least for link in index.links(line)]
-                if wrapped and len(lines) > 1:
-                    links += index.wrapped_links(words, lengths)
+                links = index.links(words)
                 base = {label for _, label in places}
-                more = {index.templates[k][0] for k, _ in links}
+                more = {index.templates[link[0]][0] for link in links}
                 starts = [at for at, _ in places]
-                score = 1.0 if places else max((c for _, c in links), default=0.0)
+                score = 1.0 if places else max((link[3] for link in links), default=0.0)
                 row = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score)
                 for column, x in zip(out, row):
                     column.append(x)

@@ -46,7 +46,7 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_labels(table(spark, sf_dir, "documents"), wrapped=True)
+    return license_labels(table(spark, sf_dir, "documents"))
 
 
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +176,19 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id),
 templates(label, body) AS (VALUES {templates}),
-t AS (SELECT label, list_distinct({template_words}) AS tw FROM templates),
-blocks AS (SELECT doc_id, list_distinct({words}) AS bw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM d)),
-links AS (SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw)::DOUBLE AS c FROM blocks, t WHERE len(list_intersect(bw, tw)) >= ceil({threshold} * len(tw) - 1e-9)),
+t AS (
+  SELECT tid, label, list_distinct(tw) AS tw, floor(len(tw) / {threshold} + 1e-9)::BIGINT AS reach, ceil({threshold} * len(list_distinct(tw)) - 1e-9) AS need
+  FROM (SELECT row_number() OVER () AS tid, label, {template_words} AS tw FROM templates)),
+candidates AS (SELECT doc_id, tid, w, tw, reach, need FROM w JOIN t ON len(list_intersect(list_distinct(w), tw)) >= need),
+ends AS (SELECT * FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM candidates) WHERE list_contains(tw, w[k])),
+runs AS (SELECT doc_id, tid, tw, need, k, w[greatest(1, k - reach + 1) : k] AS run FROM ends),
+hits AS (
+  SELECT doc_id, tid, k AS last, k - len(run) + list_position(list_transform(run, lambda x: list_contains(tw, x)), true) AS first, len(list_intersect(list_distinct(run), tw)) / len(tw)::DOUBLE AS c
+  FROM runs WHERE len(list_intersect(list_distinct(run), tw)) >= need),
+wider AS (SELECT a.tid AS narrow, b.tid AS wide FROM t a JOIN t b ON len(a.tw) < len(b.tw) AND len(list_intersect(a.tw, b.tw)) = len(a.tw)),
+links AS (
+  SELECT doc_id, label, c FROM hits h JOIN t USING (tid)
+  WHERE NOT EXISTS (SELECT 1 FROM hits b JOIN wider ON wide = b.tid WHERE narrow = h.tid AND b.doc_id = h.doc_id AND b.first <= h.last AND b.last >= h.first)),
 both_labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM links) GROUP BY doc_id)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

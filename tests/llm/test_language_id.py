@@ -115,3 +115,20 @@ def test_samples_are_bounded_before_they_are_collected(spark, docs_of):
     found = labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", options)
     assert {k: len(v) for k, v in found.items()} == {"en": 10, "de": 10}
     assert reject_limit(fit_ppm({}), found) == float("inf")
+
+
+def test_only_letters_make_a_language(spark, docs_of):
+    import unicodedata
+
+    model = fit_ppm({"en": [b"the of and the of "], "de": ["straße ß ß ".encode()]})
+    texts = ["½ ² 12", "Ⅷ", "①②", "٣ ४", "_ __", "ª", "字", "ǅ", "ʰ", "́"]
+    got = [r.lang_pred for r in predict_language(docs_of(texts), model).collect()]
+    assert [g == "und" for g in got] == [not any(unicodedata.category(c).startswith("L") for c in t) for t in texts]
+
+
+def test_a_repeated_row_trains_once(spark, docs_of):
+    docs = docs_of(["the cat " * 5] * 500 + ["der hund"], ids=[7] * 500 + [8], langs=["en"] * 500 + ["de"])
+    from pyspark.sql import functions as F
+
+    found = labelled_sample(docs, F.lit(True), "doc_id", "text", "lang", PpmOptions(rows_per_language=1000))
+    assert {k: len(v) for k, v in found.items()} == {"en": 1, "de": 1}

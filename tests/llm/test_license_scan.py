@@ -16,12 +16,20 @@ def words(text):
 
 
 def brute(docs, threshold=0.9):
-    sets = [(label, set(words(t))) for label, t in TEMPLATES]
+    """Every run of every text; a narrower template's runs give way to a wider one's that they overlap."""
+    sets = [(label, words(t), set(words(t))) for label, t in TEMPLATES]
     out = []
     for doc, text in docs:
         w = words(text)
         places = [(k, label) for p, label in PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        links = [(label, len(t & set(words(line))) / len(t)) for line in (text or "").split("\n") for label, t in sets if len(t & set(words(line))) >= math.ceil(threshold * len(t) - 1e-9)]
+        hits = []
+        for label, listed, t in sets:
+            reach, need = math.floor(len(listed) / threshold + 1e-9), math.ceil(threshold * len(t) - 1e-9)
+            for k in range(len(w)):
+                run = [j for j in range(max(0, k - reach + 1), k + 1) if w[j] in t]
+                if w[k] in t and len({w[j] for j in run}) >= need:
+                    hits.append((label, t, run[0], k, len({w[j] for j in run}) / len(t)))
+        links = [(h[0], h[4]) for h in hits if not any(h[1] < o[1] and o[2] <= h[3] and o[3] >= h[2] for o in hits)]
         base = {label for _, label in places}
         score = 1.0 if places else max((c for _, c in links), default=0.0)
         at = [k for k, _ in places]
@@ -50,7 +58,7 @@ def test_matches_brute_force(spark, docs_of, threshold):
 def test_links_and_empty_tables(spark, docs_of):
     docs = docs_of(["intro\nReleased under the MIT License. Thanks"])
     row, = license_links(docs).collect()
-    assert (row.block, row.label, row.containment, row.passage) == (1, "mit", 1.0, "Released under the MIT License. Thanks")
+    assert (row.first_word, row.last_word, row.label, row.containment, row.passage) == (1, 5, "mit", 1.0, "released under the mit license")
     assert license_links(docs.limit(0)).count() == 0 and license_labels(docs.limit(0)).count() == 0
     assert license_labels(docs, templates=()).first().labels == "mit"
 
@@ -72,6 +80,22 @@ def test_wrapped_texts_have_their_labels(spark, docs_of, tmp_path):
     assert (got[len(full)].labels, got[len(full)].score) == ("", 0.0)
 
 
+def test_line_ends_do_not_matter(spark, docs_of):
+    rng = random.Random(10)
+    strewn = words(TEMPLATES[10][1]) + [f"x{k}" for k in range(1200)]
+    rng.shuffle(strewn)
+    full = "intro " + TEMPLATES[10][1] + " outro"
+    texts = [" ".join(strewn), "\n".join(" ".join(strewn[k : k + 12]) for k in range(0, len(strewn), 12)), full, "\n".join(full.split())]
+    got = [r.labels for r in license_labels(docs_of(texts)).collect()]
+    assert got == ["", "", "mit", "mit"]
+
+
+def test_a_template_within_a_wider_one_gives_way(spark, docs_of):
+    texts = ["Licensed under CC BY-NC 4.0", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC 4.0. " + "word " * 30 + "Licensed under CC BY 4.0", "Licensed under\nCC BY-NC\n4.0"]
+    got = [r.labels for r in license_labels(docs_of(texts)).collect()]
+    assert got == ["cc-by,cc-by-nc-4.0", "cc-by,cc-by-4.0", "cc-by,cc-by-sa-4.0", "cc-by,cc-by-4.0,cc-by-nc-4.0", "cc-by,cc-by-nc-4.0"]
+
+
 def test_a_very_long_text_of_phrases_is_linear(spark, docs_of):
     import time
 
