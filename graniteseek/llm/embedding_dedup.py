@@ -1,24 +1,28 @@
 """Embedding near-dedup: an exact metric range join of vectors with equal labels.
 
 On unit vectors, cosine >= c is Euclidean distance <= r = sqrt(2 - 2c).  All vectors of a label are a cell at first.  A
-cell of more than `cell` vectors gets pivots, a hash sample of it; a vector's home is the part of its nearest pivot.
-It is replicated to every other part in which it may have a neighbour: if y's nearest pivot is q and d(x, y) <= r, the
-triangle inequality gives d(x, q) <= d(x, p) + 2r for x's nearest pivot p, and x is no more than r beyond the plane
-between p and q.  Parts that are still too large are split again with pivots of their own, so pivots grow with the
-vectors.  A cell holds all neighbours of its home vectors and cells join independently: links of a vector are counted
-at home, and each cell gives a spanning forest of its links rather than all pairs.
-
-In a cell, home vectors meet all its vectors and replicas don't meet each other.  So with m pivots and f places a vector
-the join falls to f / m.  Probes, other sampled vectors, tell f before a split: of the pivots drawn as many are used as
-keep a vector at `MOST_PLACES` places in all, and none where they rule out less than 1 - `WORTH` of the parts.  So
-vectors of one dense ball, in which the inequality rules nothing out, stay together.  Equal vectors are one class with a
-count from the start, so thousands of copies are a single point.  A cell that stays above `block` points is dealt into
-blocks by hash and joined block by block, each task with at most two blocks of bounded size, with nothing dropped; only
-there the work is quadratic.
-
-Scale: the pivots of a round take at most `pivot_bytes`, a bounded broadcast, and the largest cells come first; a round
-is a map.  Vectors move once for the classes and once, as they were given, for the cells.  Components are found by
-contraction on DataFrames; scratch tables are deleted when they have been read.
+cell of more than `cell` vectors gets pivots; a vector's home is the part of its nearest pivot.  It is replicated to
+every other part in which it may have a neighbour, by the triangle inequality three times.  Let p be x's pivot, q that of
+a part with covering radius R, the largest distance of a home vector from q.  A neighbour y of x that lives at q has
+d(y, q) <= R, so d(x, q) <= R + r; it is nearer to q than to p, so d(x, q) <= d(x, p) + 2r; and x is no more than r beyond
+the plane between p and q.  The first rule keeps far vectors out of tight parts, the second vectors of tight parts out of
+wide ones.  Parts that are still too large are split again with pivots of their own, so pivots grow with the vectors.  A
+cell holds all neighbours of its home vectors and cells join independently: links of a vector are counted at home, and
+each cell gives a spanning forest of its links rather than all pairs.
+
+Pivots are taken farthest first from a hash sample of the cell: each is the sampled vector farthest from those before, so
+every cluster gets one before any gets a second.  More are taken as long as they cover more; of the beginnings of that
+sequence the one is used that leaves the fewest pairs to compare by the probes (sampled vectors that are no candidates),
+if it rules out a share of 1 - `WORTH` at least and keeps a vector at `MOST_PLACES` places.  In a dense ball the
+inequality rules nothing out; such a cell stays whole.  Equal vectors are one class with a count from the start, so
+thousands of copies are a single point.  In a cell, home vectors meet all its vectors and replicas don't meet each
+other.  A cell that stays above `block` points is dealt into blocks by hash and joined block by block, each task with at
+most two blocks of bounded size, with nothing dropped; only there the work is quadratic.  Small cells are dealt to tasks
+in packs.
+
+Scale: the sample and pivots of a round take at most `pivot_bytes`, a bounded broadcast, and the largest cells come
+first; a round is two maps, one for the radii.  Vectors move once for the classes and once, as they were given, for the
+cells.  Components are found by contraction on DataFrames; scratch tables are deleted when they have been read.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with
 nothing and are kept.  Vectors of different lengths never link.  Ties in distance go to the first pivot.  Repeated
@@ -35,21 +39,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
 from .shared import cut, free, fresh
 
 COSINE = 0.93
-CELL = 2048
+CELL = 32
 BLOCK = 2048
-#: Pivots of one cell in a round, what the pivots of a round may take, and rounds.
-MOST_PIVOTS = 256
-PIVOT_BYTES = 16 << 20
+#: Pivots of one cell in a round, what the sample and pivots of a round may take, and rounds.
+MOST_PIVOTS = 4096
+PIVOT_BYTES = 32 << 20
 ROUNDS = 8
 WORTH = 0.97
 MOST_PLACES = 4
-#: Sampled vectors of a cell that tell whether a split pays.
+#: Sampled vectors for each pivot wanted, and those that tell whether a split pays.
+SAMPLE = 4
 PROBES = 64
+KEYS = ["label", "width", "cell"]
 
 
 def _able() -> Column:
@@ -73,81 +80,166 @@ def _unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _parts(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """The part of each vector's nearest pivot, and which other parts it may have a neighbour in."""
-    d = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
-    near, gap = d.argmin(1), d.min(1)
-    between = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))[near]
-    plane = (d * d - (gap * gap)[:, None]) / np.maximum(2 * between, 1e-12)
-    may = (d <= gap[:, None] + 2 * radius + 1e-9) & ((plane <= radius + 1e-9) | (between < 1e-9))
-    may[np.arange(len(x)), near] = False
-    return near, may
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
+
+
+def _parts(x: np.ndarray, pivots: np.ndarray, radius: float, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part of each vector's nearest pivot, and (row, part) of the other parts it may have a neighbour in."""
+    near, rows, parts = np.empty(len(x), np.int64), [], []
+    step = max(1, (1 << 21) // len(pivots))
+    for at in range(0, len(x), step):
+        d = _distances(x[at : at + step], pivots)
+        own, gap = d.argmin(1), d.min(1)
+        near[at : at + step] = own
+        row, part = np.nonzero((d <= gap[:, None] + 2 * radius + 1e-7) & (d <= radii[None, :] + radius + 1e-7))
+        row, part = row[own[row] != part], part[own[row] != part]
+        between = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", pivots[own[row]], pivots[part]), 0))
+        plane = (d[row, part] ** 2 - gap[row] ** 2) / np.maximum(2 * between, 1e-12)
+        may = (plane <= radius + 1e-7) | (between < 1e-7)
+        rows.append(row[may] + at)
+        parts.append(part[may])
+    return near, np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _farthest_first(x: np.ndarray, most: int, radius: float) -> list[int]:
+    """Rows of x, each the farthest from those before; fewer than `most` if no more are needed or more won't help."""
+    order, gap, check = [0], _distances(x, x[:1])[:, 0], 64
+    while len(order) < min(most, len(x)) and gap.max() > radius / 4:
+        order.append(int(gap.argmax()))
+        np.minimum(gap, _distances(x, x[order[-1:]])[:, 0], out=gap)
+        if len(order) == check:
+            # covered by a pivot that isn't itself: with clusters that share grows with the pivots, in a ball it doesn't
+            covered = ((gap <= radius).sum() - len(order)) / max(1, len(x) - len(order))
+            if covered < 0.5 * check / most:
+                break
+            check *= 4
+    return order
+
+
+def choose_pivots(sample: np.ndarray, most: int, radius: float, places: float, whole: bool = False) -> np.ndarray | None:
+    """Pivots for a cell from a sample of its unit vectors in random order; None if no number of them pays.
+
+    places: at how many places a vector is already; whole: the sample is all of the cell, so it needs no probes.
+    """
+    probes = len(sample) if whole else min(PROBES, len(sample) // 4)
+    if probes < 1:
+        return None
+    asked, x = sample[:probes], sample if whole else sample[probes:]
+    order = _farthest_first(x, most, radius)
+    best, chosen = WORTH, None
+    for m in sorted({*(k for k in (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 2048, 4096) if k <= len(order)), len(order)} - {1}):
+        pivots = x[order[:m]]
+        near, gap = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for at in range(0, len(sample), 1024):
+            d = _distances(sample[at : at + 1024], pivots)
+            near[at : at + 1024], gap[at : at + 1024] = d.argmin(1), d.min(1)
+        share = np.bincount(near, minlength=m) / len(sample)
+        radii = np.zeros(m)
+        np.maximum.at(radii, near, gap)
+        own, row, part = _parts(asked, pivots, radius, radii)
+        compared = (share[own].sum() + share[part].sum()) / probes
+        if compared <= best and (1 + len(row) / probes) * places <= MOST_PLACES:
+            best, chosen = compared, pivots
+    return chosen
 
 
 def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most: int, pivot_bytes: int, round_: int) -> dict[tuple, np.ndarray]:
     """Pivots of the largest cells (label, width, cell) that are worth a split; what was looked at goes into `done`."""
-    keys = ["label", "width", "cell"]
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).filter(F.col("size") > cell)
-    # a cell has two pivots and its probes at least, so no more cells than this fit
+    sizes = points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).filter(F.col("size") > cell)
+    # a cell has a few pivots and its probes at least, so no more cells than this fit
     least = pivot_bytes // ((2 + PROBES) * 8)
-    large = [r for r in sizes.orderBy(F.desc("size"), *keys).limit(min(100_000, least)).collect() if tuple(r[k] for k in keys) not in done]
-    chosen, places, pivots_of, left = [], {}, {}, pivot_bytes
+    large = [r for r in sizes.orderBy(F.desc("size"), *KEYS).limit(min(20_000, least)).collect() if tuple(r[k] for k in KEYS) not in done]
+    chosen, left = {}, pivot_bytes
     for r in large:
-        n = min(most, max(2, math.ceil(2 * r["size"] / cell)))
-        if left < (n + PROBES) * 8 * r["width"]:
+        n = min(most, max(2, r["size"] // SAMPLE))
+        drawn = min(r["size"], SAMPLE * n + PROBES)
+        if left < drawn * 8 * r["width"]:
             break
-        left -= (n + PROBES) * 8 * r["width"]
-        places[tuple(r[k] for k in keys)] = r["size"] / max(1, r["homes"])
-        pivots_of[tuple(r[k] for k in keys)] = n
-        chosen.append((*(r[k] for k in keys), min(1.0, (n + PROBES) / r["size"])))
+        left -= drawn * 8 * r["width"]
+        chosen[tuple(r[k] for k in KEYS)] = (n, drawn / r["size"], r["size"] / max(1, r["homes"]))
     if not chosen:
         return {}
-    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    rates = F.broadcast(points.sparkSession.createDataFrame(chosen, kinds + ", rate double"))
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in KEYS)
+    rates = F.broadcast(points.sparkSession.createDataFrame([(*k, rate) for k, (_, rate, _) in chosen.items()], kinds + ", rate double"))
     place = F.pmod(F.xxhash64("cls", F.lit(2 + round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = points.join(rates, keys).filter(place < F.col("rate")).select(*keys, "cls", "v", place.alias("place")).collect()
-    found: dict[tuple, list] = {}
-    for r in sorted(sample, key=lambda r: (r["place"], r["cls"])):
-        found.setdefault(tuple(r[k] for k in keys), []).append(r["v"])
+    sample = points.join(rates, KEYS).filter(place < F.col("rate")).select(*KEYS, "cls", F.col("v").cast("array<double>").alias("v"), place.alias("place")).toArrow().combine_chunks()
+    keys = list(zip(*(sample.column(k).to_pylist() for k in KEYS)))
+    order = np.lexsort((sample.column("cls").to_numpy(), sample.column("place").to_numpy())).tolist()
+    found: dict[tuple, list[int]] = {}
+    for k in order:
+        found.setdefault(keys[k], []).append(k)
+    vectors = sample.column("v").combine_chunks()
     out = {}
-    for *key, _ in chosen:
-        done.add(tuple(key))
-        vectors = found.get(tuple(key), [])
-        if len(vectors) >= 4:
-            x = _unit(vectors)
-            n = min(pivots_of[tuple(key)], len(x) // 2)
-            pivots, probes = x[:n], x[n:]
-            while len(pivots) >= 2:
-                more = 1 + _parts(probes, pivots, radius)[1].sum(1).mean()
-                if more <= WORTH * len(pivots) and more * places[tuple(key)] <= MOST_PLACES:
-                    out[tuple(key)] = pivots
-                    break
-                pivots = pivots[: len(pivots) * 4 // 5]
+    for key, (n, rate, places) in chosen.items():
+        done.add(key)
+        rows = found.get(key, [])
+        if len(rows) >= 8:
+            pivots = choose_pivots(_unit(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), key[1])), n, radius, places, rate >= 1)
+            if pivots is not None:
+                out[key] = pivots
+    return out
+
+
+def _by_cell(batch: pa.RecordBatch) -> dict[tuple, list[int]]:
+    rows_of: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(*(batch.column(n).to_pylist() for n in KEYS))):
+        rows_of.setdefault(key, []).append(k)
+    return rows_of
+
+
+def _grid(batch: pa.RecordBatch, rows: list[int], width: int) -> np.ndarray:
+    return _unit(batch.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width))
+
+
+def _radii(points: DataFrame, shipped) -> dict[tuple, np.ndarray]:
+    """The covering radius of each part: the largest distance of a vector at home there."""
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            home = batch.column("home").to_pylist()
+            for key, rows in _by_cell(batch).items():
+                pivots, rows = shipped.value.get(key), [k for k in rows if home[k]]
+                if pivots is None or not rows:
+                    continue
+                radii = held.setdefault(key, np.full(len(pivots), -1.0))
+                x = _grid(batch, rows, key[1])
+                for at in range(0, len(x), step := max(1, (1 << 21) // len(pivots))):
+                    d = _distances(x[at : at + step], pivots)
+                    np.maximum.at(radii, d.argmin(1), d.min(1))
+        columns = [list(c) for c in zip(*((*key, p, r) for key, radii in held.items() for p, r in enumerate(radii.tolist()) if r >= 0))] or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*KEYS, "part", "radius"])
+
+    kinds = [*(to_arrow_type(points.schema[k].dataType) for k in KEYS), pa.int32(), pa.float64()]
+    names = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in KEYS)
+    # a row for each pivot, which are bounded
+    rows = points.mapInArrow(run, names + ", part int, radius double").groupBy(*KEYS, "part").agg(F.max("radius").alias("radius")).collect()
+    out = {key: np.full(len(pivots), -10.0) for key, pivots in shipped.value.items()}  # parts without a home vector take no replicas
+    for r in rows:
+        out[tuple(r[k] for k in KEYS)][r["part"]] = r["radius"]
     return out
 
 
 def _split(points: DataFrame, centres: dict[tuple, np.ndarray], radius: float) -> DataFrame:
     """The points with cells split by their pivots; those of other cells as they are."""
-    shipped = points.sparkSession.sparkContext.broadcast(centres)
+    context = points.sparkSession.sparkContext
+    first = context.broadcast(centres)
+    radii = _radii(points, first)
+    shipped = context.broadcast({key: (pivots, radii[key]) for key, pivots in centres.items()})
     names = points.columns
 
     def place(batches):
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in ("label", "width", "cell"))))
-            rows_of: dict[tuple, list[int]] = {}
-            for k, key in enumerate(keys):
-                rows_of.setdefault(key, []).append(k)
             rows, cells, homes = [], [], []
-            was_home, vectors = batch.column("home").to_pylist(), batch.column("v")
-            for key, some in rows_of.items():
-                pivots = shipped.value.get(key)
-                if pivots is None:
+            was_home = batch.column("home").to_pylist()
+            for key, some in _by_cell(batch).items():
+                if key not in shipped.value:
                     rows += some
                     cells += [key[2]] * len(some)
                     homes += [was_home[k] for k in some]
                     continue
-                near, may = _parts(_unit(vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), key[1])), pivots, radius)
-                at, part = np.nonzero(may)
+                # a replica meets home vectors only, so it goes where it may have a home neighbour, at its own part too
+                near, at, part = _parts(_grid(batch, some, key[1]), shipped.value[key][0], radius, shipped.value[key][1])
                 rows += some + [some[k] for k in at.tolist()]
                 cells += [f"{key[2]}/{p}" for p in [*near.tolist(), *part.tolist()]]
                 homes += [was_home[k] for k in some] + [False] * len(at)
@@ -155,7 +247,24 @@ def _split(points: DataFrame, centres: dict[tuple, np.ndarray], radius: float) -
             columns = {**{n: out.column(n) for n in names}, "cell": pa.array(cells, pa.string()), "home": pa.array(homes, pa.bool_())}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return points.mapInArrow(place, points.schema)
+    out = cut(points.mapInArrow(place, points.schema), "vector-points")
+    first.destroy()
+    shipped.destroy()
+    return out
+
+
+def partition(classes: DataFrame, radius: float, cell: int = CELL, most_pivots: int = MOST_PIVOTS, pivot_bytes: int = PIVOT_BYTES) -> DataFrame:
+    """label, width, cls, n, v, cell, home: the classes (label, v, cls, n) in cells, with their replicas."""
+    points = classes.select("label", F.size("v").alias("width"), "cls", "n", "v", F.lit("").alias("cell"), F.lit(True).alias("home"))
+    done, old = set(), None
+    for round_ in range(ROUNDS):
+        centres = _pivots(points, done, radius, cell, most_pivots, pivot_bytes, round_)
+        if not centres:
+            break
+        points = _split(points, centres, radius)
+        free(old)
+        old = points
+    return points
 
 
 def _linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
@@ -198,26 +307,23 @@ def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embeddi
     rows = rows.select("id", "label", "v", *(F.when(_able(), F.xxhash64(F.lit(seed), "label", "v")).alias(name) for seed, name in enumerate(("hi", "lo"))))
     classes = _classes(rows)
     radius = math.sqrt(2 - 2 * cosine)
-    points = classes.select("label", F.size("v").alias("width"), "cls", "n", "v", F.lit("").alias("cell"), F.lit(True).alias("home"))
-    scratch, done = [], set()
-    for round_ in range(ROUNDS):
-        centres = _pivots(points, done, radius, cell, most_pivots, pivot_bytes, round_)
-        if not centres:
-            break
-        points = cut(_split(points, centres, radius), "vector-points")
-        scratch.append(points)
-    free(*scratch[:-1])
+    points = partition(classes, radius, cell, most_pivots, pivot_bytes)
     # into how many blocks each cell is dealt
-    where = points
-    sizes = where.groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    dealt = where.join(sizes, ["label", "width", "cell"])
+    sizes = points.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = points.join(sizes, KEYS)
     own = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int")
     # block pair (x, y) with x <= y: a member of block k goes to (min(k, j), max(k, j)) for every j
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
-    groups = dealt.select("label", "width", "cell", "cls", "n", "home", "v", own.alias("block"), F.explode(pairs).alias("pair"))
+    # cells of one block share a task in packs of about a block of points
+    packs = max(1, points.count() // block)
+    pack = F.when(F.col("blocks") == 1, F.concat(F.lit("pack "), F.pmod(F.xxhash64(*KEYS), F.lit(packs)).cast("string"))).otherwise(F.concat_ws(" ", *KEYS))
+    groups = dealt.select("label", "width", "cell", "cls", "n", "home", "v", own.alias("block"), pack.alias("pack"), F.explode(pairs).alias("pair"))
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x, y = key[3], key[4]
+        parts = [one(key[1], key[2], some) for _, some in group.groupby(KEYS, sort=False)]
+        return pd.concat(parts, ignore_index=True)
+
+    def one(x: int, y: int, group: pd.DataFrame) -> pd.DataFrame:
         matrix = _unit(group["v"])
         cls, n, home, own_block = (group[c].to_numpy() for c in ("cls", "n", "home", "block"))
         if x == y:  # home vectors against all, which begin with them
@@ -231,11 +337,9 @@ def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embeddi
         linked = _linked(matrix[left], matrix[right], cosine)
         # pairs of two replicas are found where one of them is at home
         linked &= (home[left][:, None] | home[right][None, :]) & (cls[left][:, None] != cls[right][None, :])
-        counted = np.array([(row * n[right]).sum() for row in linked], np.int64).reshape(len(left))
-        links[left] = np.where(home[left], counted, 0)
+        links[left] = np.where(home[left], linked @ n[right], 0)
         if x != y:
-            counted = np.array([(column * n[left]).sum() for column in linked.T], np.int64).reshape(len(right))
-            links[right] = np.where(home[right], counted, 0)
+            links[right] = np.where(home[right], n[left] @ linked, 0)
         edges = [(int(cls[left[i]]), int(cls[right[j]])) for i, j in _forest(linked, x == y)]
         some = np.flatnonzero(links)
         # hashes use all 64 bits, which a column that pandas makes of integers and gaps would lose
@@ -246,8 +350,8 @@ def embedding_components(vectors: DataFrame, vec_id="vec_id", embedding="embeddi
         }
         return pd.DataFrame(column)
 
-    found = cut(groups.groupBy("label", "width", "cell", "pair.x", "pair.y").applyInPandas(join, "cls long, links long, other long"), "vector-links")
-    free(*scratch[-1:])
+    found = cut(groups.groupBy("pack", "pair.x", "pair.y").applyInPandas(join, "cls long, links long, other long"), "vector-links")
+    free(points)
     roots = connected_components(found.filter("other is not null").select(F.xxhash64("cls").alias("a"), F.xxhash64("other").alias("b")))
     links = found.groupBy(F.col("cls").alias("c2")).agg(F.sum("links").alias("links"))
     members = classes.select("hi", "lo", "cls", "n", "least").join(links, F.col("cls") == F.col("c2"), "left").join(roots, F.xxhash64("cls") == F.col("node"), "left")

@@ -98,3 +98,47 @@ def test_clashing_names_repeated_and_null_ids(spark):
     assert got == [("1", 2, "1"), ("1", 2, "1"), ("2", 1, "2"), ("2", 1, "2"), ("None", 0, "None"), ("None", 2, "1")]
     kept = drop_near_vectors(frame)
     assert kept.columns == frame.columns and {r.vec_id for r in kept.collect()} == {1, 2, None}
+
+
+def compared(spark, x, cell=32):
+    """Pairs that cells compare, as a share of all, and whether vectors were dealt to parts at all."""
+    from pyspark.sql import functions as F
+
+    from graniteseek.llm.embedding_dedup import partition
+
+    rows = [(k, [float(v) for v in row], 1) for k, row in enumerate(np.asarray(x, np.float32))]
+    classes = spark.createDataFrame(rows, "cls long, v array<float>, label int").withColumn("n", F.lit(1).cast("long"))
+    points = partition(classes, math.sqrt(2 - 2 * 0.93), cell)
+    cells = points.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("size")).agg(F.sum(F.col("homes") * F.col("size")).alias("pairs"), F.sum("homes").alias("homes"), F.sum("size").alias("places"), F.count("*").alias("cells")).first()
+    assert cells.homes == len(x)
+    return cells.pairs / len(x) ** 2, cells.places / len(x), cells.cells
+
+
+@pytest.mark.parametrize(("clusters", "n"), [(30, 1500), (300, 6000), (3000, 18000)])
+def test_the_triangle_inequality_spares_most_pairs_of_clustered_vectors(spark, clusters, n):
+    rng = np.random.default_rng(clusters)
+    x = rng.standard_normal((clusters, 64))[rng.integers(0, clusters, n)] + 0.12 * rng.standard_normal((n, 64))
+    share, places, cells = compared(spark, x)
+    assert share < 0.2 and places < 4 and cells >= clusters / 4
+
+
+def test_pairs_grow_in_proportion_with_clusters(spark):
+    rng = np.random.default_rng(77)
+    pairs = []
+    for n in (1200, 6000):
+        x = rng.standard_normal((n // 20, 64))[rng.integers(0, n // 20, n)] + 0.12 * rng.standard_normal((n, 64))
+        pairs.append(compared(spark, x)[0] * n * n)
+    assert math.log(pairs[1] / pairs[0]) / math.log(5) < 1.1
+
+
+def test_pivots_take_part_on_the_given_tables(spark, monkeypatch):
+    from graniteseek.llm import embedding_dedup
+    from graniteseek.llm.queries import op2_embedding_dedup
+
+    used = []
+    real = embedding_dedup._split
+    monkeypatch.setattr(embedding_dedup, "_split", lambda points, centres, radius: used.extend(len(p) for p in centres.values()) or real(points, centres, radius))
+    rows = [(k, v.tolist(), int(lab)) for k, (v, lab) in enumerate(zip(np.random.default_rng(5).standard_normal((500, 64)).astype(np.float32), np.random.default_rng(6).integers(0, 10, 500)))]
+    frame = spark.createDataFrame(rows, VECTORS)  # as the given tables: random directions, some fifty a label
+    assert embedding_components(frame).filter("kept").count() == 500
+    assert len(used) >= 5 and callable(op2_embedding_dedup)
