@@ -13,6 +13,7 @@ from ..operators.chunking import pack_chunks, window_chunks
 from ..operators.dedupe import jaccard_columns, select_with_quota
 from ..operators.lexical import mark_lexical
 from ..operators.pages import admissible_links, metadata, page_struct
+from ..operators.pools import pool_scores
 from ..operators.ranking import bm25_column, bm25_top, cosine_top, hashed_dense_column, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked, safety_code
 from ..operators.vector_index import build_vector_index, search_vectors
@@ -24,7 +25,7 @@ from .options import Options
 from .render import INSTRUCTIONS, ISO, batch_status, datetime_xml, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
 from .research import evidence, local_search, research, run_stats, savings_total, token_savings
 from .scrape import page_order, prefiltered_links, read_items, related_links, scrape
-from .search import discover, page_title, pages_as_results, ranked_results, with_dense
+from .search import discover, page_title, pages_as_results, ranked_results
 
 QUERY = "the on and thing re tion"
 BLOCKED = ("spam-farm.example.com", "https://www.CHEAP-pills.example.com/x", "org")
@@ -305,8 +306,9 @@ def _query_pool(spark, sf_dir):
     queries = query_log(spark, sf_dir)
     corpus = _corpus(spark, sf_dir)
     best = bm25_top(corpus.drop("text", "source"), queries, "doc_id", "pos", "query_id", POOL).select("query_id", "doc_id", "rank", "bm25_score")
-    rows = staged(best.join(corpus.select("doc_id", "source", "text", "tokens"), "doc_id"), "query-pool")
-    rows = with_dense(rows, queries, ["doc_id"], "query_id", "tokens", rows)
+    # at most POOL rows a query: their ids go to the documents, and only their texts are read into the pools
+    rows = corpus.select("doc_id", "source", "text", "tokens").join(staged(best, "query-best"), "doc_id").drop("bm25_score")
+    rows = pool_scores(rows, queries, "query_id")
     return rows.select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_url"), "text", F.length("text").alias("tokens"), "rank", "vector")
 
 

@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens, stripped
 from ..operators.chunking import pack_chunks, pruned
 from ..operators.dedupe import select_with_quota
 from ..operators.pages import page_struct
-from ..operators.ranking import bm25_hits, bm25_scores, bm25_top, hybrid_rank
+from ..operators.pools import pool_scores, with_fit_blocks
+from ..operators.ranking import bm25_top, hybrid_rank
 from ..sources.staging import staged
 from .options import Options
-from .search import ranked_results, with_dense
+from .search import ranked_results
 
 
-def fit_markdown(pages: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """query_id, page_id, fit: the blocks of a page whose BM25 against the query is `threshold` or more, in order.
-
-    pages: query_id, page_id, markdown.  A block's corpus is its page.
-    """
-    blocks = pages.select("query_id", "page_id", F.posexplode(F.split("markdown", r"\n{2,}")).alias("pos", "block")).withColumn("tokens", retrieval_tokens(F.col("block")))
-    blocks = staged(blocks, "blocks")
-    asked = pages.select("query_id", "page_id").join(queries.select("query_id", "tokens"), "query_id")
-    hits = bm25_hits(blocks, asked, ["query_id", "page_id"], ["pos"], []).filter(F.col("bm25_score") >= threshold)
-    kept = blocks.join(hits.select("query_id", "page_id", "pos"), ["query_id", "page_id", "pos"], "left_semi")
-    return kept.groupBy("query_id", "page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda b: b["block"]), "\n\n").alias("fit"))
-
-
-def with_fit(rows: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
-    """Rows (query_id, page_id, markdown) with fit: the blocks that matter, by the configured filter; null without one."""
+def with_fit(rows: DataFrame, asked: Column, options: Options) -> DataFrame:
+    """Rows with fit: the blocks of their markdown that matter to the tokens asked, by the configured filter; null without
+    one or if none does."""
     if options.crawl_fit_markdown_mode == "bm25":
-        return rows.join(fit_markdown(rows.select("query_id", "page_id", "markdown"), queries, options.crawl_bm25_threshold), ["query_id", "page_id"], "left")
+        return with_fit_blocks(rows, asked, options.crawl_bm25_threshold)
     if options.crawl_fit_markdown_mode == "pruning":
         return rows.withColumn("fit", pruned(F.col("markdown"), options.crawl_pruning_threshold))
     return rows.withColumn("fit", F.lit(None).cast("string"))
@@ -40,7 +29,8 @@ def with_fit(rows: DataFrame, queries: DataFrame, options: Options) -> DataFrame
 def readable(kept: DataFrame, pages: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
     """query_id, page_id, url, title, rank, markdown: each kept page parsed once, whoever keeps it."""
     wanted = pages.join(kept.select("page_id").distinct(), "page_id", "left_semi").select("page_id", page_struct(F.col("html"))["markdown"].alias("markdown"))
-    rows = with_fit(staged(kept.join(wanted, "page_id"), "readable"), queries, options)
+    asked = queries.select("query_id", F.col("tokens").alias("asked"))
+    rows = with_fit(kept.join(wanted, "page_id").join(asked, "query_id", "left"), F.col("asked"), options).drop("asked")
     enough = F.length(stripped(F.coalesce("fit", F.lit("")))) >= options.crawl_fit_min_chars
     rows = rows.withColumn("markdown", F.when(enough, F.col("fit")).otherwise(F.col("markdown"))).drop("fit")
     if options.crawl_max_page_tokens > 0:
@@ -51,10 +41,8 @@ def readable(kept: DataFrame, pages: DataFrame, queries: DataFrame, options: Opt
 def chunk_pool(rows: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
     """The best chunks of each query over all its pages: as many as selection may need."""
     chunks = pack_chunks(rows.select("query_id", "page_id", "url", "title", F.col("rank").alias("result_rank"), "markdown"), "markdown", options.crawl_max_chunk_tokens, options.crawl_overlap_tokens)
-    corpus = chunks.withColumns({"size": F.col("tokens"), "tokens": retrieval_tokens(F.col("chunk_text")), "pos": F.col("result_rank") * 1_000_000 + F.col("chunk_id")})
-    corpus = staged(corpus, "chunks")
-    scored = bm25_scores(corpus, queries.select("query_id", "tokens"), ["query_id"], ["page_id", "chunk_id"])
-    scored = with_dense(scored, queries, ["query_id", "page_id", "chunk_id"], "query_id", "tokens", corpus)
+    corpus = chunks.withColumns({"size": F.col("tokens"), "tokens": retrieval_tokens(F.col("chunk_text")), "pos": F.struct("result_rank", "chunk_id")})
+    scored = pool_scores(corpus, queries, "query_id")
     cap = max(1, options.chunk_max_results_to_keep * options.chunk_rank_oversample)
     ranked = hybrid_rank(scored, ["query_id"], "pos", options.chunk_dense_weight, options.chunk_rrf_cutoff, cap)
     name = F.concat_ws(":", F.col("page_id"), F.col("chunk_id"))
@@ -110,6 +98,9 @@ def local_search(rows: DataFrame, queries: DataFrame, text: str, key: str, top_k
     rows: key (an integer), text.  Chunks are packed on the way and only the best ones' texts move.
     """
     chunks = pack_chunks(rows.select(key, text), text, options.crawl_max_chunk_tokens, options.crawl_overlap_tokens)
-    chunks = staged(chunks.select((F.col(key) * 1_000_000 + F.col("chunk_id")).alias("pos"), F.concat_ws(":", F.col(key), F.col("chunk_id")).alias("chunk_id"), "chunk_text"), "local-chunks")
+    chunks = staged(chunks.select(F.col(key).cast("long").alias("row"), F.col("chunk_id").alias("n"), "chunk_text"), "local-chunks")
+    # places in the order of rows and chunks; a key too large for that is an error, not a wrong place
+    most = (chunks.agg(F.max("n")).first()[0] or 0) + 1
+    chunks = chunks.select((F.col("row") * F.lit(most).cast("long") + F.col("n")).alias("pos"), F.concat_ws(":", "row", "n").alias("chunk_id"), "chunk_text")
     best = bm25_top(chunks.select("pos", retrieval_tokens(F.col("chunk_text")).alias("tokens")), queries, "pos", "pos", "query_id", top_k)
     return best.join(chunks, "pos").select("query_id", "chunk_id", "rank", "bm25_score", "chunk_text")

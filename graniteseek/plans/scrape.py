@@ -10,12 +10,12 @@ from ..functions.text import retrieval_tokens, stripped
 from ..operators.budget import within_budget
 from ..operators.chunking import pack_chunks
 from ..operators.pages import admissible_links, metadata, page_struct
-from ..operators.ranking import bm25_scores, hybrid_rank, rank_by
+from ..operators.pools import pool_scores
+from ..operators.ranking import hybrid_rank, rank_by
 from ..operators.urls import blocked_list, fetch_code
 from ..sources.staging import staged
 from .options import Options, checked_batch
 from .research import with_fit
-from .search import with_dense
 
 
 def read_items(items: DataFrame, pages: DataFrame, blocked: DataFrame | None = None, dns: DataFrame | None = None) -> DataFrame:
@@ -56,27 +56,25 @@ def focused_chunks(rows: DataFrame, options: Options) -> DataFrame:
 
     Chunks are those of the blocks that matter to the query, or of the whole page if none does.
     """
-    asked = rows.select(F.col("item_id").alias("query_id"), retrieval_tokens(F.col("query")).alias("tokens")).distinct()
-    fit = with_fit(rows.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("page_id"), "query", "markdown"), asked, options)
+    fit = with_fit(rows.select("item_id", "query", "markdown"), retrieval_tokens(F.col("query")), options)
     text = F.when(stripped(F.coalesce("fit", F.lit(""))) != "", F.col("fit")).otherwise(F.col("markdown"))
-    rows = staged(fit.select(F.col("query_id").alias("item_id"), "query", text.alias("markdown")), "fitted")
+    rows = staged(fit.select("item_id", "query", text.alias("markdown")), "fitted")
     chunks = pack_chunks(rows.select("item_id", "query", "markdown"), "markdown", options.crawl_max_chunk_tokens, options.crawl_overlap_tokens)
     chunks = chunks.withColumn("tokens_list", retrieval_tokens(F.col("chunk_text")))
     asked = rows.select("item_id", retrieval_tokens(F.col("query")).alias("tokens")).distinct()
-    corpus = staged(chunks.select("item_id", "chunk_id", "chunk_text", F.col("tokens").alias("size"), F.col("tokens_list").alias("tokens")), "item-chunks")
-    scored = with_dense(bm25_scores(corpus, asked, ["item_id"], ["chunk_id"]), asked, ["item_id", "chunk_id"], "item_id", "tokens", corpus)
+    corpus = chunks.select("item_id", "chunk_id", "chunk_text", F.col("tokens").alias("size"), F.col("tokens_list").alias("tokens"))
+    scored = pool_scores(corpus, asked, "item_id")
     ranked = hybrid_rank(scored.withColumn("pos", F.col("chunk_id")), ["item_id"], "pos", options.chunk_dense_weight, options.chunk_rrf_cutoff)
     ranked = ranked.select("item_id", "chunk_id", "rank", F.col("chunk_text").alias("text"), F.col("size").alias("tokens"), "rrf_similarity", "dense_score", "bm25_score")
     return within_budget(ranked, ["item_id"], "rank", options.scrape_max_tokens)
 
 
 def prefiltered_links(links: DataFrame, asked: DataFrame, most: int) -> DataFrame:
-    """Links (item_id, pos, url, text, context) with bm25_score; of more than `most` in an item, the best by BM25.
+    """Links (item_id, pos, url, text, context) with both scores; of more than `most` in an item, the best by BM25.
 
     Without query tokens or without link texts the first ones stay, as all scores are 0.
     """
-    corpus = staged(links.withColumn("tokens", retrieval_tokens(F.concat_ws(" ", "text", "context"))), "links")
-    scored = bm25_scores(corpus, asked, ["item_id"], ["pos"])
+    scored = pool_scores(links.withColumn("tokens", retrieval_tokens(F.concat_ws(" ", "text", "context"))), asked, "item_id")
     place, = fresh(scored, "place")
     return scored.withColumn(place, rank_by(["item_id"], "bm25_score", "pos")).filter(F.col(place) <= most).drop(place)
 
@@ -87,8 +85,7 @@ def related_links(rows: DataFrame, options: Options) -> DataFrame:
     blocked = blocked_list(rows.sparkSession, options.blocked_domains) if options.blocked_domains else None
     links = staged(admissible_links(raw, "item_id", "url", blocked), "admissible")
     asked = rows.filter(is_focused(F.col("query"))).select("item_id", retrieval_tokens(F.col("query")).alias("tokens")).distinct()
-    focused = staged(prefiltered_links(links.join(asked.select("item_id"), "item_id", "left_semi"), asked, options.link_prefilter), "prefiltered")
-    scored = with_dense(focused, asked, ["item_id", "pos"], "item_id", "tokens")
+    scored = prefiltered_links(links.join(asked.select("item_id"), "item_id", "left_semi"), asked, options.link_prefilter)
     best = hybrid_rank(scored, ["item_id"], "pos", options.search_dense_weight, 0.0, options.scrape_max_links)
     best = best.select("item_id", "rank", "url", "text", F.round("rrf_similarity", 4).alias("score"))
     plain = links.join(asked.select("item_id"), "item_id", "left_anti").withColumn("rank", rank_by(["item_id"], F.lit(0.0), "pos"))

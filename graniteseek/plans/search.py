@@ -9,7 +9,8 @@ from ..functions.names import fresh
 from ..functions.text import collapsed, retrieval_tokens
 from ..functions.urls import is_http, url_domain
 from ..functions.vectors import cosine, hash_vectors
-from ..operators.ranking import bm25_scores, bm25_top, hybrid_rank
+from ..operators.pools import pool_scores
+from ..operators.ranking import bm25_top, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked
 from ..sources.staging import staged
 from .options import Options, checked_limit
@@ -85,8 +86,7 @@ def ranked_results(queries: DataFrame, pages: DataFrame, options: Options) -> Da
     found = found.select("query_id", "result_id", F.col("rank").alias("backend_rank")).join(listed, "result_id").filter(is_http(F.col("url")))
     if options.blocked_domains:
         found = drop_blocked(found, blocked_list(pages.sparkSession, options.blocked_domains))
-    found = staged(found.withColumn("tokens", retrieval_tokens(search_document(F.col("title"), F.col("url"), F.col("text")))), "found")
-    scored = bm25_scores(found, queries.select("query_id", "tokens"), ["query_id"], ["result_id"])
-    scored = with_dense(scored, queries, ["query_id", "result_id"], "query_id", "tokens", found).withColumn("pos", F.col("backend_rank"))
+    found = found.withColumn("tokens", retrieval_tokens(search_document(F.col("title"), F.col("url"), F.col("text"))))
+    scored = pool_scores(found, queries, "query_id").withColumn("pos", F.col("backend_rank"))
     ranked = hybrid_rank(scored, ["query_id"], "pos", options.search_dense_weight, options.search_rrf_cutoff, min(options.search_top_k, options.search_max_results_to_keep))
     return staged(ranked.select("query_id", F.col("result_id").alias("page_id"), "url", "title", F.col("text").alias("snippet"), "rank", "rrf_similarity", "dense_score", "bm25_score"), "ranked")
