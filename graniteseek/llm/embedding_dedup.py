@@ -49,7 +49,8 @@ CELL = 32
 BLOCK = 2048
 #: Pivots of one cell in a round, what the sample and pivots of a round may take, and rounds.
 MOST_PIVOTS = 4096
-PIVOT_BYTES = 32 << 20
+FIRST_PIVOTS = 256
+PIVOT_BYTES = 12 << 20
 ROUNDS = 8
 WORTH = 0.97
 MOST_PLACES = 4
@@ -102,8 +103,11 @@ def _parts(x: np.ndarray, pivots: np.ndarray, radius: float, radii: np.ndarray)
     return near, np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _farthest_first(x: np.ndarray, most: int, radius: float) -> list[int]:
-    """Rows of x, each the farthest from those before; fewer than `most` if no more are needed or more won't help."""
+def _farthest_first(x: np.ndarray, most: int, limit: int, radius: float) -> tuple[list[int], bool]:
+    """Rows of x, each the farthest from those before, and whether more than `most` of them would help.
+
+    They end when all of x is covered closely, or when more won't help up to `limit`.
+    """
     order, gap, check = [0], _distances(x, x[:1])[:, 0], 64
     while len(order) < min(most, len(x)) and gap.max() > radius / 4:
         order.append(int(gap.argmax()))
@@ -111,22 +115,25 @@ def _farthest_first(x: np.ndarray, most: int, radius: float) -> list[int]:
         if len(order) == check:
             # covered by a pivot that isn't itself: with clusters that share grows with the pivots, in a ball it doesn't
             covered = ((gap <= radius).sum() - len(order)) / max(1, len(x) - len(order))
-            if covered < 0.5 * check / most:
-                break
+            if covered < 0.5 * check / limit:
+                return order, False
             check *= 4
-    return order
+    return order, len(order) == most < limit
 
 
-def choose_pivots(sample: np.ndarray, most: int, radius: float, places: float, whole: bool = False) -> np.ndarray | None:
-    """Pivots for a cell from a sample of its unit vectors in random order; None if no number of them pays.
+def choose_pivots(sample: np.ndarray, most: int, limit: int, radius: float, places: float, whole: bool = False) -> tuple[np.ndarray | None, bool]:
+    """Pivots for a cell from a sample of its unit vectors in random order, None if no number of them pays; and whether
+    more than `most`, up to `limit`, would help.
 
     places: at how many places a vector is already; whole: the sample is all of the cell, so it needs no probes.
     """
     probes = len(sample) if whole else min(PROBES, len(sample) // 4)
     if probes < 1:
-        return None
+        return None, False
     asked, x = sample[:probes], sample if whole else sample[probes:]
-    order = _farthest_first(x, most, radius)
+    order, more = _farthest_first(x, most, limit, radius)
+    if more:
+        return None, True
     best, chosen = WORTH, None
     for m in sorted({*(k for k in (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 2048, 4096) if k <= len(order)), len(order)} - {1}):
         pivots = x[order[:m]]
@@ -141,43 +148,58 @@ def choose_pivots(sample: np.ndarray, most: int, radius: float, places: float, w
         compared = (share[own].sum() + share[part].sum()) / probes
         if compared <= best and (1 + len(row) / probes) * places <= MOST_PLACES:
             best, chosen = compared, pivots
-    return chosen
+    return chosen, False
+
+
+def _sample(points: DataFrame, rates: list[tuple], round_: int) -> dict[tuple, np.ndarray]:
+    """Unit vectors by cell (label, width, cell, rate), in the order of a hash."""
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in KEYS)
+    rated = F.broadcast(points.sparkSession.createDataFrame(rates, kinds + ", rate double"))
+    place = F.pmod(F.xxhash64("cls", F.lit(2 + round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    table = points.join(rated, KEYS).filter(place < F.col("rate")).select(*KEYS, "cls", "v", place.alias("place")).toArrow().combine_chunks()
+    if not table.num_rows:
+        return {}
+    keys = list(zip(*(table.column(k).to_pylist() for k in KEYS)))
+    found: dict[tuple, list[int]] = {}
+    for k in np.lexsort((table.column("cls").to_numpy(), table.column("place").to_numpy())).tolist():
+        found.setdefault(keys[k], []).append(k)
+    vectors = table.column("v").combine_chunks()
+    return {key: _unit(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), key[1])) for key, rows in found.items()}
 
 
 def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most: int, pivot_bytes: int, round_: int) -> dict[tuple, np.ndarray]:
-    """Pivots of the largest cells (label, width, cell) that are worth a split; what was looked at goes into `done`."""
+    """Pivots of the largest cells (label, width, cell) that are worth a split; what was looked at goes into `done`.
+
+    A small sample comes first; a large one only where clusters show that they need more pivots.
+    """
     sizes = points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes")).filter(F.col("size") > cell)
     # a cell has a few pivots and its probes at least, so no more cells than this fit
     least = pivot_bytes // ((2 + PROBES) * 8)
     large = [r for r in sizes.orderBy(F.desc("size"), *KEYS).limit(min(20_000, least)).collect() if tuple(r[k] for k in KEYS) not in done]
-    chosen, left = {}, pivot_bytes
-    for r in large:
-        n = min(most, max(2, r["size"] // SAMPLE))
-        drawn = min(r["size"], SAMPLE * n + PROBES)
-        if left < drawn * 8 * r["width"]:
+    facts = {tuple(r[k] for k in KEYS): (r["size"], min(most, max(2, r["size"] // SAMPLE)), r["size"] / max(1, r["homes"])) for r in large}
+    want, out = {key: min(limit, FIRST_PIVOTS) for key, (_, limit, _) in facts.items()}, {}
+    while want:
+        rates, left = {}, pivot_bytes
+        for key, n in want.items():
+            drawn = min(facts[key][0], SAMPLE * n + PROBES)
+            if left < drawn * 8 * key[1]:
+                break
+            left -= drawn * 8 * key[1]
+            rates[key] = drawn / facts[key][0]
+        if not rates:
             break
-        left -= drawn * 8 * r["width"]
-        chosen[tuple(r[k] for k in KEYS)] = (n, drawn / r["size"], r["size"] / max(1, r["homes"]))
-    if not chosen:
-        return {}
-    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in KEYS)
-    rates = F.broadcast(points.sparkSession.createDataFrame([(*k, rate) for k, (_, rate, _) in chosen.items()], kinds + ", rate double"))
-    place = F.pmod(F.xxhash64("cls", F.lit(2 + round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = points.join(rates, KEYS).filter(place < F.col("rate")).select(*KEYS, "cls", F.col("v").cast("array<double>").alias("v"), place.alias("place")).toArrow().combine_chunks()
-    keys = list(zip(*(sample.column(k).to_pylist() for k in KEYS)))
-    order = np.lexsort((sample.column("cls").to_numpy(), sample.column("place").to_numpy())).tolist()
-    found: dict[tuple, list[int]] = {}
-    for k in order:
-        found.setdefault(keys[k], []).append(k)
-    vectors = sample.column("v").combine_chunks()
-    out = {}
-    for key, (n, rate, places) in chosen.items():
-        done.add(key)
-        rows = found.get(key, [])
-        if len(rows) >= 8:
-            pivots = choose_pivots(_unit(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), key[1])), n, radius, places, rate >= 1)
-            if pivots is not None:
-                out[key] = pivots
+        samples = _sample(points, [(*key, rate) for key, rate in rates.items()], round_)
+        later = {}
+        for key, rate in rates.items():
+            done.add(key)
+            size, limit, places = facts[key]
+            if len(samples.get(key, ())) >= 8:
+                pivots, more = choose_pivots(samples.pop(key), want[key], limit, radius, places, rate >= 1)
+                if more:
+                    later[key] = limit
+                elif pivots is not None:
+                    out[key] = pivots
+        want = later
     return out
 
 
