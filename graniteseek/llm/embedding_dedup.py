@@ -156,15 +156,12 @@ def _sample(points: DataFrame, rates: list[tuple], round_: int) -> dict[tuple, n
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in KEYS)
     rated = F.broadcast(points.sparkSession.createDataFrame(rates, kinds + ", rate double"))
     place = F.pmod(F.xxhash64("cls", F.lit(2 + round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    table = points.join(rated, KEYS).filter(place < F.col("rate")).select(*KEYS, "cls", "v", place.alias("place")).toArrow().combine_chunks()
-    if not table.num_rows:
-        return {}
-    keys = list(zip(*(table.column(k).to_pylist() for k in KEYS)))
-    found: dict[tuple, list[int]] = {}
-    for k in np.lexsort((table.column("cls").to_numpy(), table.column("place").to_numpy())).tolist():
-        found.setdefault(keys[k], []).append(k)
-    vectors = table.column("v").combine_chunks()
-    return {key: _unit(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), key[1])) for key, rows in found.items()}
+    # rows, not Arrow: its buffers in the driver's JVM would be many times this sample
+    rows = points.join(rated, KEYS).filter(place < F.col("rate")).select(*KEYS, "cls", "v", place.alias("place")).collect()
+    found: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: (r["place"], r["cls"])):
+        found.setdefault(tuple(r[k] for k in KEYS), []).append(r["v"])
+    return {key: _unit(np.array(vectors, np.float64)) for key, vectors in found.items()}
 
 
 def _pivots(points: DataFrame, done: set[tuple], radius: float, cell: int, most: int, pivot_bytes: int, round_: int) -> dict[tuple, np.ndarray]:

@@ -78,11 +78,16 @@ def _label(tag: str, attributes: str) -> str:
 def events(page: str):
     """('open', label, tag), ('close', label, tag), ('text', text, None) and ('break', None, tag) in page order, balanced."""
     stack: list[tuple[str, str]] = []
+    blocks: list[int] = []  # depths of the elements that aren't inline
+    opened: dict[str, int] = {}  # by name, so that a stray end costs nothing
     at, lower = 0, None
 
     def pop_to(depth):
         while len(stack) > depth:
             tag, label = stack.pop()
+            opened[tag] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
             yield "close", label, tag
 
     while at < len(page):
@@ -101,20 +106,24 @@ def events(page: str):
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    yield from pop_to(depth)
-                    break
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:  # all of these are closed, so each is passed once
+                    depth -= 1
+                yield from pop_to(depth)
             continue
         if tag in ENDS_PARAGRAPH or tag in ENDED_BY:
             ends = ENDED_BY.get(tag) or frozenset(["p"])
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ends:
-                    yield from pop_to(depth)
+            below = len(blocks) - 1
+            while below >= 0:
+                name = stack[blocks[below]][0]
+                if name in ends:
+                    yield from pop_to(blocks[below])
                     if tag != "tr":
                         break
-                elif stack[depth][0] in LISTS or stack[depth][0] not in INLINE and stack[depth][0] != "p":
+                elif name != "p":
                     break
+                below -= 1
         label = _label(tag, m[3])
         if tag in VOID or m[3].endswith("/"):
             yield "break", label, tag
@@ -132,6 +141,9 @@ def events(page: str):
             stop = page.find(">", end)
             at = len(page) if stop < 0 else stop + 1
             continue
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append((tag, label))
         yield "open", label, tag
     yield from pop_to(0)

@@ -106,3 +106,63 @@ def test_of_several_matches_the_earliest_places_count():
     level = Level([["p", 0, 1, []], ["div", 0, 1, []], ["()", 0, 2, [["h2", 1, 1, []], ["p", 0, 1, []]]]])
     assert level.match(["p"]) == [0] and level.match(["div", "h2", "p"]) == [1, 2, 3] and level.match(["h2", "p", "h2", "p"]) == [2, 3, 2, 3]
     assert level.match(["p", "table", "p"])[1] == -1
+
+
+def naive_events(page):
+    """What `events` says, by walking the whole stack for every tag."""
+    from graniteseek.llm import html_wrapper as h
+
+    stack, out, at = [], [], 0
+
+    def pop_to(depth):
+        while len(stack) > depth:
+            out.append(("close", stack.pop()))
+
+    for m in h._TOKEN.finditer(page):
+        if m[4] or not m[2]:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth] == tag:
+                    pop_to(depth)
+                    break
+            continue
+        if tag in h.ENDS_PARAGRAPH or tag in h.ENDED_BY:
+            ends = h.ENDED_BY.get(tag) or {"p"}
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth] in ends:
+                    pop_to(depth)
+                    if tag != "tr":
+                        break
+                elif stack[depth] in h.LISTS or stack[depth] not in h.INLINE and stack[depth] != "p":
+                    break
+        if tag in h.VOID:
+            continue
+        stack.append(tag)
+        out.append(("open", tag))
+    pop_to(0)
+    return out
+
+
+def test_nesting_equals_a_walk_of_the_whole_stack():
+    import random
+
+    from graniteseek.llm.html_wrapper import events
+
+    rng = random.Random(4)
+    names = "div p b i ul li table tr td th dl dt dd span hr section a h1 br select option".split()
+    for _ in range(300):
+        page = "".join(f"<{'/' if rng.random() < 0.35 else ''}{rng.choice(names)}>" for _ in range(rng.randint(0, 60)))
+        assert [(k, t) for k, _, t in events(page) if k in ("open", "close")] == naive_events(page)
+
+
+def test_stray_ends_and_deep_nesting_take_linear_time():
+    import time
+
+    from graniteseek.llm.html_wrapper import events
+
+    for page in ("<div>" * 90_000 + "</q>" * 140_000, "<p><b>" + "<i>" * 150_000 + "<hr>" * 130_000, "<b>" * 170_000 + "</p>" * 120_000):
+        began = time.time()
+        assert len(page) > 900_000 and sum(1 for _ in events(page)) > 100_000
+        assert time.time() - began < 5
