@@ -22,6 +22,7 @@ from ..sources.payloads import backend_errors, dispatch, parse_results, unrespon
 from ..sources.staging import staged
 from ..sources.tables import load, query_log
 from .options import Options
+from .progress import Progress
 from .render import INSTRUCTIONS, ISO, batch_status, datetime_xml, envelope, grounded_batch, grounded_results, public_scores, search_text, search_xml
 from .research import evidence, local_search, research, run_stats, savings_total, token_savings
 from .scrape import page_order, prefiltered_links, read_items, related_links, scrape
@@ -406,6 +407,14 @@ def evidence_stats(spark, sf_dir):
     return run_stats(queries, kept, decided)
 
 
+def run_progress(spark, sf_dir):
+    """The events of a run over all questions, with what each stage counted."""
+    progress = Progress()
+    research(query_log(spark, sf_dir), _pages(spark, sf_dir), progress=progress)
+    rows = [(k, event, name, int(n)) for k, (event, counts) in enumerate(progress.events, 1) for name, n in counts.items()]
+    return spark.createDataFrame(rows, "place int, event string, counted string, n long")
+
+
 def envelope_json(spark, sf_dir):
     queries, kept, decided = _researched(spark, sf_dir)
     rows = queries.join(evidence(decided), "query_id", "left").join(run_stats(queries, kept, decided), "query_id")
@@ -447,7 +456,7 @@ QUERIES = {f.__name__: f for f in (
     host_normalize, url_canonicalize, url_safety_codes, blocked_domain_filter, search_discovery, search_payloads, fallback_union, search_error_codes, engine_reports,
     retrieval_token_counts, chunk_windows, chunk_pack, page_chunks, token_truncate, text_labels, xml_escape, html_title, html_meta, link_extract, link_resolve, link_dedupe,
     page_order_extract, link_prefilter, link_rank, bm25_topk, cosine_topk, cosine_index_topk, hashed_buckets, rrf_hybrid, rrf_cutoff, jaccard_pairs, jaccard_dedupe, corpus_dedupe,
-    semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_chunks, scrape_xml, batch_rollup, research_e2e, evidence_stats, envelope_json, prompt_xml, current_datetime)}
+    semantic_dedupe, quota_fill, quota_first_pass, budget_select, search_ranking, search_listing, search_results_xml, scrape_batch, scrape_chunks, scrape_xml, batch_rollup, research_e2e, evidence_stats, run_progress, envelope_json, prompt_xml, current_datetime)}
 QUERIES |= {"bm25_scores": bm25_scores_all, "token_savings": savings, "token_savings_total": savings_total_all, "chunk_search": chunk_search}
 
 # --- SQL --------------------------------------------------------------------------------------------------------
@@ -778,3 +787,8 @@ SELECT item_id AS query_id, '<search_grounded_answer today="1970-01-01">' || chr
   coalesce('<results>' || chr(10) || results || chr(10) || '</results>', '<results />') || chr(10) || '</search_grounded_answer>' AS prompt FROM benchmark LEFT JOIN shown ON qid = item_id"""
 ORACLE_SQL["batch_rollup"] = f"""SELECT CASE WHEN bool_or(code <> 'ok') THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (code = 'ok') AS n_ok, count(*) FILTER (code <> 'ok') AS n_errors
 FROM ({ORACLE_SQL["url_safety_codes"]})"""
+ORACLE_SQL["run_progress"] = f"""WITH s AS ({ORACLE_SQL['evidence_stats']})
+SELECT 1 AS place, 'search_ranked' AS event, 'kept_results' AS counted, sum(search_results)::BIGINT AS n FROM s
+UNION ALL SELECT 2, 'pages_read', 'urls_read', sum(search_results)::BIGINT FROM s
+UNION ALL SELECT 3, 'chunks_ranked', 'chunks_considered', sum(chunks_considered)::BIGINT FROM s
+UNION ALL SELECT 4, 'chunks_selected', 'chunks_selected', sum(chunks_selected)::BIGINT FROM s"""

@@ -13,6 +13,7 @@ from ..operators.pools import pool_scores, with_fit_blocks
 from ..operators.ranking import bm25_top, hybrid_rank
 from ..sources.staging import staged
 from .options import Options
+from .progress import Progress
 from .search import ranked_results
 
 
@@ -49,15 +50,18 @@ def chunk_pool(rows: DataFrame, queries: DataFrame, options: Options) -> DataFra
     return ranked.select("query_id", name.alias("chunk_id"), F.col("url").alias("source_url"), "title", "heading", F.col("chunk_text").alias("text"), F.col("size").alias("tokens"), "rank", "rrf_similarity", "dense_score", "bm25_score", "vector")
 
 
-def research(queries: DataFrame, pages: DataFrame, options: Options = Options(), kept: DataFrame | None = None) -> DataFrame:
+def research(queries: DataFrame, pages: DataFrame, options: Options = Options(), kept: DataFrame | None = None, progress: Progress | None = None) -> DataFrame:
     """One row per ranked chunk of a query, with its fate: query_id, chunk_id, source_url, text, scores, status, selected.
 
-    kept: the results of `ranked_results`, if they are known already.
+    kept: the results of `ranked_results`, if they are known already.  progress: hears of each stage.
     """
-    kept = ranked_results(queries, pages, options) if kept is None else kept
-    pool = chunk_pool(readable(kept, pages, queries, options), queries, options)
+    progress = progress or Progress()
+    kept = ranked_results(queries, pages, options, progress) if kept is None else kept
+    read = progress.watch(readable(kept, pages, queries, options), "pages_read", urls_read=F.count(F.lit(1)))
+    pool = progress.watch(chunk_pool(read, queries, options), "chunks_ranked", chunks_considered=F.count(F.lit(1)))
     decided = select_with_quota(pool, "query_id", options.chunk_max_results_to_keep, options.chunk_max_per_source_url, options.chunk_dedupe_jaccard_threshold, options.chunk_semantic_dedupe_threshold, options.chunk_semantic_dedupe_enabled)
-    return staged(decided, "decided")
+    decided = progress.watch(decided, "chunks_selected", chunks_selected=F.count_if(F.col("status") == "accepted"))
+    return progress.stored(staged(decided, "decided"))
 
 
 def evidence(decided: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators.ranking import bm25_top, hybrid_rank
 from ..operators.urls import blocked_list, drop_blocked
 from ..sources.staging import staged
 from .options import Options, checked_limit
+from .progress import Progress
 
 
 def page_title(html: Column) -> Column:
@@ -73,7 +74,7 @@ def with_dense(rows: DataFrame, queries: DataFrame, keys: list[str], query: str,
     return joined.withColumn("dense_score", F.coalesce(cosine(F.col("vector"), F.col(name)), F.lit(0.0))).drop(name)
 
 
-def ranked_results(queries: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
+def ranked_results(queries: DataFrame, pages: DataFrame, options: Options, progress: Progress | None = None) -> DataFrame:
     """query_id, page_id, url, title, snippet and scores: the results kept for each query.
 
     BM25 over whole pages plays the backend; what it returns is filtered, ranked again by both scores of its title, url
@@ -89,4 +90,6 @@ def ranked_results(queries: DataFrame, pages: DataFrame, options: Options) -> Da
     found = found.withColumn("tokens", retrieval_tokens(search_document(F.col("title"), F.col("url"), F.col("text"))))
     scored = pool_scores(found, queries, "query_id").withColumn("pos", F.col("backend_rank"))
     ranked = hybrid_rank(scored, ["query_id"], "pos", options.search_dense_weight, options.search_rrf_cutoff, min(options.search_top_k, options.search_max_results_to_keep))
-    return staged(ranked.select("query_id", F.col("result_id").alias("page_id"), "url", "title", F.col("text").alias("snippet"), "rank", "rrf_similarity", "dense_score", "bm25_score"), "ranked")
+    ranked = ranked.select("query_id", F.col("result_id").alias("page_id"), "url", "title", F.col("text").alias("snippet"), "rank", "rrf_similarity", "dense_score", "bm25_score")
+    progress = progress or Progress()
+    return progress.stored(staged(progress.watch(ranked, "search_ranked", kept_results=F.count(F.lit(1))), "ranked"))
