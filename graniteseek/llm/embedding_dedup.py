@@ -88,14 +88,17 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _parts(x: np.ndarray, pivots: np.ndarray, radius: float, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The part of each vector's nearest pivot, and (row, part) of the other parts it may have a neighbour in."""
     near, rows, parts = np.empty(len(x), np.int64), [], []
-    step = max(1, (1 << 21) // len(pivots))
+    step = max(1, (1 << 18) // len(pivots))
     for at in range(0, len(x), step):
         d = _distances(x[at : at + step], pivots)
         own, gap = d.argmin(1), d.min(1)
         near[at : at + step] = own
         row, part = np.nonzero((d <= gap[:, None] + 2 * radius + 1e-7) & (d <= radii[None, :] + radius + 1e-7))
         row, part = row[own[row] != part], part[own[row] != part]
-        between = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", pivots[own[row]], pivots[part]), 0))
+        between = np.empty(len(row))
+        for k in range(0, len(row), 1 << 13):  # pairs of pivots in full would be a thousand times the distances
+            between[k : k + (1 << 13)] = np.einsum("ij,ij->i", pivots[own[row[k : k + (1 << 13)]]], pivots[part[k : k + (1 << 13)]])
+        between = np.sqrt(np.maximum(2 - 2 * between, 0))
         plane = (d[row, part] ** 2 - gap[row] ** 2) / np.maximum(2 * between, 1e-12)
         may = (plane <= radius + 1e-7) | (between < 1e-7)
         rows.append(row[may] + at)
@@ -223,7 +226,7 @@ def _radii(points: DataFrame, shipped) -> dict[tuple, np.ndarray]:
                     continue
                 radii = held.setdefault(key, np.full(len(pivots), -1.0))
                 x = _grid(batch, rows, key[1])
-                for at in range(0, len(x), step := max(1, (1 << 21) // len(pivots))):
+                for at in range(0, len(x), step := max(1, (1 << 18) // len(pivots))):
                     d = _distances(x[at : at + step], pivots)
                     np.maximum.at(radii, d.argmin(1), d.min(1))
         columns = [list(c) for c in zip(*((*key, p, r) for key, radii in held.items() for p, r in enumerate(radii.tolist()) if r >= 0))] or [[]] * 5
