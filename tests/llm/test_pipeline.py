@@ -49,7 +49,7 @@ def test_whole_run(spark, folder):
 def test_registration():
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
