@@ -172,6 +172,12 @@ def test_page_reading():
     assert read_page(None)["markdown"] == "" and read_page("")["links"] == []
 
 
+def test_only_complete_character_references_are_decoded():
+    page = read_page('<article><h1>und&amp;&amp; &lt;b&gt; ver&amp</h1><p>a &copy 1 &notit; &#233;&#xe9; &eacute; & b</p><a href="/x?a=1&copy=2&amp;b=3">l&lt</a></article>')
+    assert page["markdown"] == "# und&& <b> ver&amp\n\na &copy 1 &notit; éé é & b\n\nl&lt"
+    assert [(k["href"], k["text"]) for k in page["links"]] == [("/x?a=1&copy=2&b=3", "l&lt")] and page["links"][0]["context"].startswith("und&& <b> ver&amp")
+
+
 def test_metadata_precedence(spark):
     frame = spark.createDataFrame([('<meta property="og:description" content="o"><meta name="author" content="w">',)], "html string").select(page_struct(F.col("html")).alias("p"))
     assert tuple(frame.select(*metadata(F.col("p.meta"))).first()) == ("o", "w", None)
