@@ -26,7 +26,7 @@ from ..functions.names import fresh
 from ..functions.vectors import DIMENSIONS
 from ..sources.staging import staged, unstaged
 from .postings import B, K1, RANK_DECIMALS, index_statistics, search_index, stored_index
-from .vector_index import nearest_exact
+from .vector_index import QUERY_BLOCK, nearest_exact
 
 EPSILON, RRF_K = 0.25, 60
 #: Terms of queries that are broadcast at once, and counts by bucket that a task holds at once.
@@ -245,4 +245,4 @@ def hybrid_rank(rows: DataFrame, pool: list[str], pos: str = "pos", dense_weight
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int) -> DataFrame:
     """query, key, dense_score, rank: the k nearest rows of every query vector, exactly: see vector_index."""
-    return nearest_exact(vectors, queries, key, vector, query, query_vector, k)
+    return nearest_exact(vectors, queries, key, vector, query, query_vector, k, QUERY_BLOCK)

@@ -286,7 +286,7 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow)], names=names)
 
 
-def nearest_exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int) -> DataFrame:
+def nearest_exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query, key, dense_score, rank: the k nearest rows of every query vector, by all cosines.
 
     A stated set of queries goes in broadcast blocks of bounded size to batches of all rows, as matrix products; a task
@@ -295,7 +295,7 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("key"), F.when(usable(F.col(vector)), F.col(vector)).alias("v"), F.monotonically_increasing_id().alias("row"))
     asked = staged(queries.select(F.col(query).alias("q"), F.when(usable(F.col(query_vector)), F.col(query_vector)).alias("u"), F.monotonically_increasing_id().alias("number")), "asked-vectors")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // query_block))
     schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("row", T.LongType()), T.StructField("key", vectors.schema[key].dataType), T.StructField("dense_score", T.DoubleType())])
     arrow = [to_arrow_type(f.dataType) for f in schema.fields]
     found = None
