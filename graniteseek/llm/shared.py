@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import fresh
 from ..sources.staging import staged as cut, unstaged as free
+from ..sources.tables import bounded_batches
 
 __all__ = ["as_bytes", "ascii_lower", "bounded_batches", "cut", "free", "fresh", "sliced", "table", "words_of"]
 
@@ -41,16 +42,6 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Fewer rows in an Arrow batch than Spark's 10,000, which are tens of MB of documents on both sides of a Python
-    worker, several times over; a number that someone has set stays."""
-    if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, rows)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

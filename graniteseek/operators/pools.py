@@ -50,7 +50,7 @@ def bm25_of_pool(documents: list[list[str]], asked: list[str]) -> list[float | N
     return out
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def _bucket(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSIONS
 

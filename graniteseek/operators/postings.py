@@ -38,7 +38,7 @@ RANK_DECIMALS = 9
 #: Documents of a block, and documents and tokens at which a shard is closed.
 NEIGHBOURS = 64
 SHARD_DOCUMENTS = 16_384
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 #: What a bound may miss by rounding; ranks compare scores at 9 decimals.
 SLACK = 1e-8
 

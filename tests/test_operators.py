@@ -178,6 +178,11 @@ def test_only_complete_character_references_are_decoded():
     assert [(k["href"], k["text"]) for k in page["links"]] == [("/x?a=1&copy=2&b=3", "l&lt")] and page["links"][0]["context"].startswith("und&& <b> ver&amp")
 
 
+def test_a_page_is_parsed_once(spark):
+    frame = spark.createDataFrame([('<a href="/x">l</a>',)], "html string").select(page_struct(F.col("html")).alias("p")).select(F.explode("p.links").alias("l"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and frame.first().l.href == "/x"
+
+
 def test_metadata_precedence(spark):
     frame = spark.createDataFrame([('<meta property="og:description" content="o"><meta name="author" content="w">',)], "html string").select(page_struct(F.col("html")).alias("p"))
     assert tuple(frame.select(*metadata(F.col("p.meta"))).first()) == ("o", "w", None)
