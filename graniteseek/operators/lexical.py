@@ -14,8 +14,10 @@ texts.  It is found without an ordered group:
 4. On the links: what has no undecided earlier neighbour stays, its neighbours go, until no link is left.  The number
    of rounds is the longest chain of decisions that depend on each other.
 
-Scale: joins and aggregations by key with partial minima; the sets move when pairs are compared, the texts never.
-Tables between rounds are written to the shared folder and deleted when they have been read.
+Scale: joins and aggregations by key.  What moves are prefix words (a fifth of the words at a threshold of 0.8), once a
+round and only of undecided classes, sketches of 64 bytes of the candidate pairs, and the words of the pairs whose
+sketches leave them in reach; the texts never.  The hash of a word holds its pool, so pools share none.  Tables between
+rounds are written to the shared folder and deleted when they have been read.
 
 Cases: texts without words are compared letter by letter, with each other, without white space at the ends; null is
 empty.  A threshold of 1 or more keeps all rows, one of 0 or less the first with words of each pool.  Equal ranks: by the
@@ -24,9 +26,11 @@ hash of the words, then in the order the rows are read.  An empty table gives an
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh
@@ -40,6 +44,17 @@ BLOCK = 1_000
 #: Share of the undecided that a round of leaders has to decide to be followed by another one.
 WORTH = 0.1
 ROUNDS = 6
+#: Bits of a sketch: whether a set's words with that hash are odd in number.
+SKETCH = 512
+#: Pairs whose classes are broadcast to the texts, so that only their words move.
+BROADCAST = 200_000
+
+
+class Sets(NamedTuple):
+    """The classes with words, and the words of all rows, which are read from the texts when they are asked for."""
+
+    classes: DataFrame  # row, cls
+    words: DataFrame  # row, words
 
 
 def _least_overlap(size, threshold: float):
@@ -47,7 +62,7 @@ def _least_overlap(size, threshold: float):
 
 
 def _ordered(sets: DataFrame, threshold: float, common: int) -> DataFrame:
-    """cls, pool, rank, size, words: hashes in the global order, and n_prefix."""
+    """row, size, prefix (the first words in the global order) and sketch of every set (row, words)."""
     counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     frequent = {r.word: k for k, r in enumerate(reversed(counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(common).collect()))}
     known = np.array(sorted(frequent), np.int64)
@@ -57,21 +72,30 @@ def _ordered(sets: DataFrame, threshold: float, common: int) -> DataFrame:
     def order(batches):
         known, places = shipped.value
         for batch in batches:
-            lists = batch.column("words")
-            words, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-            place = np.where(known[at] == words, places[at], 0) if len(known) else np.zeros(len(words), np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            words = words[np.lexsort((words, place, row))]
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(words)) if n == "words" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+            for at in range(0, batch.num_rows, 1024):
+                yield ordered(batch.slice(at, 1024), known, places)
+
+    def ordered(batch, known, places):
+        lists = batch.column("words")
+        words, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+        place = np.where(known[at] == words, places[at], 0) if len(known) else np.zeros(len(words), np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        bits = np.bincount(row * SKETCH + (words & (SKETCH - 1)), minlength=len(sizes) * SKETCH) & 1
+        sketches = np.packbits(bits.astype(np.uint8)).view(np.int64)
+        words = words[np.lexsort((words, place, row))]
+        n_prefix = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)
+        first = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(n_prefix, sizes)
+        ends = np.concatenate(([0], np.cumsum(n_prefix))).astype(np.int32)
+        grid = np.arange(0, len(sketches) + 1, SKETCH // 64, dtype=np.int32)
+        columns = [batch.column("row"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(words[first])), pa.ListArray.from_arrays(pa.array(grid), pa.array(sketches))]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "size", "prefix", "sketch"])
 
-    out = sets.mapInArrow(order, sets.schema).withColumn("size", F.size("words"))
-    return out.withColumn("n_prefix", (F.col("size") - _least_overlap(F.col("size"), threshold) + 1).cast("int"))
+    return sets.mapInArrow(order, "row long, size int, prefix array<long>, sketch array<long>")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    return sets.select("pool", "cls", "place", "size", F.posexplode(F.slice("words", F.lit(1), F.col("n_prefix"))).alias("at", "word"))
+def _prefixes(left: DataFrame) -> DataFrame:
+    return left.select("cls", "size", F.posexplode("prefix").alias("at", "word"))
 
 
 def _may_reach(x: str, y: str, threshold: float) -> Column:
@@ -82,39 +106,52 @@ def _may_reach(x: str, y: str, threshold: float) -> Column:
     return within & (1 + F.least(size_x - at_x - 1, size_y - at_y - 1) >= needed)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity reaches the threshold."""
-    mine = lambda side: sets.select(F.col("cls").alias(side), F.col("words").alias(f"w_{side}"))
-    both = pairs.join(mine("a"), "a").join(mine("b"), "b")
+def _similar(pairs: DataFrame, left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The distinct pairs (a, b) of classes whose similarity reaches the threshold.
+
+    Bits that differ between two sketches are words that only one has, so most pairs go by their sketches; words move
+    for the rest alone.
+    """
+    seen = lambda side: left.select(F.col("cls").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    both = pairs.join(seen("a"), "a").join(seen("b"), "b")
+    near = staged(both.filter(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b"), "near-pairs")
+    asked = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    some = sets.classes.join(asked, "cls", "left_semi").select("row", "cls")
+    some = F.broadcast(some) if near.count() <= BROADCAST else some
+    words = sets.words.join(some, "row").select("cls", "words")
+    mine = lambda side: words.select(F.col("cls").alias(side), F.col("words").alias(f"w_{side}"))
     shared = F.size(F.array_intersect("w_a", "w_b"))
-    return both.filter(shared / (F.size("w_a") + F.size("w_b") - shared) >= threshold).select("a", "b")
+    found = near.join(mine("a"), "a").join(mine("b"), "b").filter(shared / (F.size("w_a") + F.size("w_b") - shared) >= threshold)
+    out = staged(found.select("a", "b"), "similar")
+    unstaged(near)
+    return out
 
 
-def _leaders(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _leaders(left: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Classes that come first under each of their prefix words, and the classes that are similar to one of them."""
-    prefixes = staged(_prefixes(sets), "prefixes")
-    first = prefixes.groupBy("pool", "word").agg(F.min("place").alias("first"))
-    ahead = prefixes.join(first, ["pool", "word"]).groupBy("cls").agg(F.bool_and(F.col("place") == F.col("first")).alias("leads")).filter("leads")
-    leaders = staged(ahead.select("cls"), "leaders")
-    lead = prefixes.join(leaders, "cls", "left_semi").alias("x")
-    pairs = lead.join(prefixes.alias("y"), ["pool", "word"]).filter((F.col("x.cls") != F.col("y.cls")) & _may_reach("x", "y", threshold))
-    gone = staged(_similar(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), sets, threshold).select(F.col("b").alias("cls")).distinct(), "similar-to-leaders")
-    unstaged(prefixes)
+    # plain columns under the window: a struct would be shuffled beside its parts
+    first = Window.partitionBy("word").orderBy("cls")
+    under = _prefixes(left).select("cls", "size", "at", *(F.first(c).over(first).alias(f"first_{c}") for c in ("cls", "size", "at")))
+    under = under.select(F.struct("cls", "size", "at").alias("y"), F.struct(*(F.col(f"first_{c}").alias(c) for c in ("cls", "size", "at"))).alias("x"))
+    heads = staged(under.groupBy(F.col("y.cls").alias("b"), F.col("x.cls").alias("a")).agg(F.bool_or(_may_reach("x", "y", threshold)).alias("near")), "heads")
+    leaders = staged(heads.groupBy("b").agg(F.bool_and(F.col("a") == F.col("b")).alias("leads")).filter("leads").select(F.col("b").alias("cls")), "leaders")
+    pairs = heads.filter("a <> b AND near").join(leaders.withColumnRenamed("cls", "a"), "a", "left_semi").select("a", "b")
+    alike = _similar(pairs, left, sets, threshold)
+    gone = staged(alike.select(F.col("b").alias("cls")).distinct(), "similar-to-leaders")
+    unstaged(heads, alike)
     return leaders, gone
 
 
-def _links(sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """a, b: all similar pairs of classes of a pool, a before b."""
-    prefixes = staged(_prefixes(sets), "prefixes")
-    blocks = prefixes.groupBy("pool", "word").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = prefixes.join(blocks, ["pool", "word"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+def _links(left: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a, b: all similar pairs of classes, a before b."""
+    prefixes = _prefixes(left)
+    blocks = prefixes.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = prefixes.join(blocks, "word").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # a text meets those of every block: as the left one in its own, as the right one in all
     right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = dealt.withColumn("other", F.col("own"))
-    pairs = left.alias("x").join(right.alias("y"), ["pool", "word", "other"]).filter((F.col("x.place") < F.col("y.place")) & _may_reach("x", "y", threshold))
-    found = staged(_similar(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), sets, threshold), "lexical-links")
-    unstaged(prefixes)
-    return found
+    pairs = dealt.withColumn("other", F.col("own")).alias("x").join(right.alias("y"), ["word", "other"]).filter((F.col("x.cls") < F.col("y.cls")) & _may_reach("x", "y", threshold))
+    return _similar(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), left, sets, threshold)
 
 
 def first_independent(links: DataFrame) -> DataFrame:
@@ -141,32 +178,33 @@ def mark_lexical(rows: DataFrame, rank: str, threshold: float, pool: list[str] =
         return rows.withColumn(name, F.lit(True))
     row, = fresh(rows, "row")
     rows = staged(rows.withColumn(row, F.monotonically_increasing_id()), "lexical-rows")
-    words = F.array_distinct(F.transform(retrieval_tokens(F.col(text)), lambda t: F.xxhash64(t)))
+    words = F.array_distinct(F.transform(retrieval_tokens(F.col(text)), lambda t: F.xxhash64(t, *pool)))
     bare = stripped(F.coalesce(F.col(text), F.lit("")))
     base = rows.select(F.col(row).alias("row"), F.col(rank).alias("rank"), F.xxhash64(F.lit(3), *pool).alias("pool"), words.alias("words"), bare.alias("bare"))
     whole = F.when(F.size("words") == 0, F.concat(F.lit("-"), "bare")).otherwise(F.lit("+") if threshold <= 0 else F.array_join(F.array_sort("words"), " "))
-    base = base.select("row", "rank", "pool", "words", *(F.xxhash64(F.lit(seed), "pool", whole).alias(h) for seed, h in ((1, "hi"), (2, "lo"))))
-    found = base.groupBy("pool", "hi", "lo").agg(F.min(F.struct("rank", "row")).alias("first"), F.min("words").alias("words"))
-    classes = staged(found.withColumn("cls", F.monotonically_increasing_id()), "lexical-classes")
-    sets = classes.filter(F.size("words") > 0).select("cls", "pool", F.struct("first.rank", "hi", "lo").alias("place"), "words")
+    base = base.select("row", "rank", (F.size("words") > 0).alias("worded"), *(F.xxhash64(F.lit(seed), "pool", whole).alias(h) for seed, h in ((1, "hi"), (2, "lo"))))
+    found = base.groupBy("hi", "lo").agg(F.min(F.struct("rank", "row")).alias("first"), F.first("worded").alias("worded")).select("first.*", "hi", "lo", "worded")
+    # numbers that rise with the order of the pools
+    found = found.repartitionByRange("rank", "hi", "lo").sortWithinPartitions("rank", "hi", "lo").withColumn("cls", F.monotonically_increasing_id())
+    classes = staged(found.select("row", "cls", "worded"), "lexical-classes")
     gone = []
     if threshold > 0:
-        left = staged(_ordered(sets, threshold, common), "lexical-sets")
+        sets = Sets(classes.filter("worded").select("row", "cls"), rows.select(F.col(row).alias("row"), words.alias("words")))
+        left = staged(_ordered(sets.words, threshold, common).join(sets.classes, "row").drop("row"), "lexical-sets")
         for _ in range(ROUNDS):
             before = left.count()
             if not before:
                 break
-            leaders, out = _leaders(left, threshold)
+            leaders, out = _leaders(left, sets, threshold)
             gone.append(out)
             rest = staged(left.join(leaders, "cls", "left_anti").join(out, "cls", "left_anti"), "lexical-sets")
             unstaged(left, leaders)
             left = rest
             if left.count() > (1 - WORTH) * before:
                 break
-        links = _links(left, threshold, block)
-        gone.append(first_independent(links).withColumnRenamed("node", "cls"))
+        gone.append(first_independent(_links(left, sets, threshold, block)).withColumnRenamed("node", "cls"))
         unstaged(left)
-    kept = classes.select("cls", F.col("first.row").alias(row))
+    kept = classes.select("cls", F.col("row").alias(row))
     for part in gone:
         kept = kept.join(part, "cls", "left_anti")
     kept = kept.select(row, F.lit(True).alias(name))

@@ -67,6 +67,19 @@ def test_odd_rows(spark):
     assert mark_lexical(same, "id", 0.8).filter("kept").count() == 1
 
 
+def test_sketches_leave_few_pairs_and_lose_none(spark):
+    from graniteseek.operators.lexical import _ordered
+
+    rng = random.Random(8)
+    base = [rng.sample(range(10**6), 60) for _ in range(40)]
+    sets = base + [b[:55] + rng.sample(range(10**6), 5) for b in base]
+    got = {r.row: r for r in _ordered(spark.createDataFrame(list(enumerate(sets)), "row long, words array<long>"), 0.8, 100).collect()}
+    assert all(len(r.prefix) == 60 - 48 + 1 and r.size == 60 and len(r.sketch) == 8 for r in got.values())
+    apart = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(got[x].sketch, got[y].sketch))
+    assert all(apart(x, y) <= len(set(sets[x]) ^ set(sets[y])) for x in range(80) for y in range(80))
+    assert sum(apart(x, y) * 1.8 <= 0.2 * 120 for x in range(80) for y in range(x)) == 40
+
+
 def test_first_independent_set_by_rounds(spark):
     rng = random.Random(7)
     links = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)} | {(k, k + 1) for k in range(80, 110)})
