@@ -11,7 +11,7 @@ from .centroids import CLUSTERS, ROUNDS, SCALE, SEED, WIDTH, cluster_vectors
 from .decontaminate import contamination
 from .embedding_dedup import embedding_components
 from .html_wrapper import extract_main_text
-from .language_id import PpmOptions, fit_ppm, keep_identified, labelled_sample, predict_language, reject_limit
+from .language_id import PpmOptions, calibrated_limit, fit_language_model, keep_identified, predict_language
 from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_labels
 from .mixing import mix_sources
 from .order_minhash import near_duplicates
@@ -58,14 +58,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted_language_model(docs: DataFrame, options: PpmOptions = PpmOptions()):
-    """The model of the labelled documents that aren't held out."""
-    return fit_ppm(labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", options), options)
+    """The model of all labelled documents that aren't held out."""
+    return fit_language_model(docs, ~held_out(), options=options)
 
 
 def keep_known_languages(docs: DataFrame, options: PpmOptions = PpmOptions()) -> DataFrame:
-    """The documents that a language explains; the limit is calibrated on the held-out ones."""
+    """The documents that a language explains; the limit is calibrated on all held-out ones."""
     model = fitted_language_model(docs, options)
-    return keep_identified(docs, model, reject_limit(model, labelled_sample(docs, held_out(), "doc_id", "text", "lang", options), options))
+    return keep_identified(docs, model, calibrated_limit(docs, held_out(), model, options=options), options=options)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

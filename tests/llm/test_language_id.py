@@ -132,3 +132,144 @@ def test_a_repeated_row_trains_once(spark, docs_of):
 
     found = labelled_sample(docs, F.lit(True), "doc_id", "text", "lang", PpmOptions(rows_per_language=1000))
     assert {k: len(v) for k, v in found.items()} == {"en": 1, "de": 1}
+
+
+def everything_counts(rng):
+    """More texts, bytes and long texts than a sample took, in two languages of very different size."""
+    words = {"en": "the of and to in is that it was for".split(), "de": "der die und das nicht ist ein mit für auf".split()}
+    texts = [(" ".join(rng.choices(words["en"], k=rng.randint(100, 500))), "en") for _ in range(700)]
+    texts += [(" ".join(rng.choices(words["de"], k=rng.randint(1, 40))), "de") for _ in range(60)]
+    return texts + [("rare zebra quagga " * 4000, "en"), ("", "en"), (None, "de"), ("", "xx"), ("kein", None)]
+
+
+def test_the_model_is_that_of_all_labelled_texts(spark, docs_of):
+    from graniteseek.llm.language_id import fit_language_model
+    from pyspark.sql import functions as F
+
+    rows = everything_counts(random.Random(5))
+    docs = docs_of([t for t, _ in rows], langs=[g for _, g in rows], clashing=True)
+    samples = {g: [t.encode() for t, h in rows if h == g and t] for g in ("en", "de")}
+    assert sum(map(len, samples["en"])) > 2 * PpmOptions().bytes_per_language
+    model = fit_language_model(docs.repartition(5), F.lit(True))
+    assert model.languages == ["de", "en"]
+    for text in (b"the of quagga zebra", "für und die".encode(), b"\xff\x00 unseen"):
+        got = model.code_lengths([text])[0]
+        for k, language in enumerate(model.languages):
+            assert got[k] == pytest.approx(brute_bits_of(samples[language], text, 5), rel=1e-4, abs=1e-2)
+
+
+def brute_bits_of(texts, text, order):
+    """`brute_bits`, counting only the contexts that the text meets."""
+    counts = {}
+    for k in range(len(text) + 1):
+        for j in range(min(order, k) + 1):
+            counts.setdefault(text[k - j : k], {})
+    for t in texts:
+        for context, after in counts.items():
+            at = t.find(context)
+            while 0 <= at < len(t) - len(context):
+                c = t[at + len(context)]
+                after[c] = after.get(c, 0) + 1
+                at = t.find(context, at + 1)
+
+    def chances(context):
+        shorter = chances(context[1:]) if context else [1 / 256] * 256
+        seen = counts[context]
+        if not seen:
+            return shorter
+        total, distinct = sum(seen.values()), len(seen)
+        rest = sum(p for b, p in enumerate(shorter) if b not in seen)
+        whole = total + distinct if rest > 0 else total
+        return [seen[b] / whole if b in seen else distinct / whole * shorter[b] / rest for b in range(256)]
+
+    return sum(-math.log2(chances(text[max(0, k - order) : k])[text[k]]) for k in range(len(text)))
+
+
+def test_contexts_kept_are_the_best_of_all_texts(spark, docs_of):
+    from graniteseek.llm.language_id import fit_language_model
+    from pyspark.sql import functions as F
+
+    rows = everything_counts(random.Random(6))
+    docs = docs_of([t for t, _ in rows], langs=[g for _, g in rows])
+    samples = {g: [t.encode() for t, h in rows if h == g and t] for g in ("en", "de")}
+    options = PpmOptions(order=4, states=150, bytes_per_language=20_000)
+    sizes = {g: sum(map(len, t)) for g, t in samples.items()}
+    n, weight = {}, {}
+    for g, texts in samples.items():
+        for t in texts:
+            for size in range(1, options.order + 1):
+                for k in range(len(t) - size + 1):
+                    c = t[k : k + size]
+                    n[c] = n.get(c, 0) + 1
+                    weight[c] = weight.get(c, 0) + min(1, options.bytes_per_language / sizes[g])
+    best = sorted((w for c, w in weight.items() if n[c] > 1), reverse=True)
+    want = {c for c, w in weight.items() if n[c] > 1 and w > best[options.states] * (1 + 1e-9)}
+    for model in (fit_language_model(docs, F.lit(True), options=options), fit_ppm(samples, options)):
+        step = model.step.reshape(-1, model.stride)
+        assert len(step) == len(want) + 1
+        # each context has a state of its own, other than that of its end
+        byte = {b: int(model.classes[b]) for b in range(256)}
+
+        def state(context):
+            at = 0
+            for b in context:
+                at = step[at, byte[b]]
+            return at
+
+        assert len({state(c) for c in want} | {0}) == len(want) + 1
+    whole, local = fit_language_model(docs, F.lit(True), options=options), fit_ppm(samples, options)
+    assert np.array_equal(whole.step, local.step) and np.array_equal(whole.cost, local.cost)
+
+
+def test_the_limit_is_that_of_all_labelled_texts(spark, docs_of):
+    from graniteseek.llm.language_id import calibrated_limit
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    model = fit_ppm({"en": [b"the of and to in is that it was for " * 50], "de": ["der die und das nicht ist ein mit für auf ".encode() * 50]})
+    rows = [(t, g) for t, g in corpus(rng, 700) if g != "fr"] + [("".join(rng.choices("qxzjvk", k=200_000)), "en") for _ in range(20)] + [("12", "en"), (None, "de"), ("x", "zz"), ("x", None)]
+    docs = docs_of([t for t, _ in rows], langs=[g for _, g in rows])
+    held = {r.doc_id for r in docs.filter(held_out()).collect()}
+    samples = {}
+    for k, (t, g) in enumerate(rows):
+        if k in held and t and g:
+            samples.setdefault(g, []).append(t.encode())
+    options = PpmOptions(plain_bits=0.0)
+    assert calibrated_limit(docs, held_out(), model, options=options) == pytest.approx(reject_limit(model, samples, options), abs=2.1 / 1024)
+    assert calibrated_limit(docs, F.lit(False), model) == calibrated_limit(docs, held_out(), fit_ppm({})) == float("inf")
+
+
+def test_repeated_rows_train_and_calibrate_once(spark, docs_of):
+    from graniteseek.llm.language_id import calibrated_limit, fit_language_model
+    from pyspark.sql import functions as F
+
+    once = docs_of(["the cat sat on the mat " * 5, "der hund und die katze " * 5, "the dog"], ids=[7, 8, 9], langs=["en", "de", "en"])
+    again = once.union(once.filter("doc_id < 9")).union(once.filter("doc_id = 7"))
+    models = [fit_language_model(d, F.lit(True)) for d in (once, again)]
+    assert np.array_equal(models[0].cost, models[1].cost)
+    options = PpmOptions(plain_bits=0.0)
+    assert len({calibrated_limit(d, F.lit(True), models[0], options=options) for d in (once, again)}) == 1
+
+
+def test_places_are_counted_by_language_state_and_class():
+    from graniteseek.llm import language_id as m
+
+    auto = m.Automaton([np.zeros(1, np.int64), np.arange(256)], np.arange(256, dtype=np.uint16), 256)
+    parts = [([b"abab" * 100, b"ba"], np.array([0, 1])), ([b"a" * 5_000_000], np.array([1]))]
+    got = {}
+    for cells, n in m.Counts(auto, 2).summed(iter(parts)):
+        for c, k in zip(cells.tolist(), n.tolist()):
+            got[c] = got.get(c, 0) + k
+    size = auto.states * auto.stride
+    a, b = ord("a"), ord("b")
+    assert got == {a: 1, (1 + a) * 257 + b: 200, (1 + b) * 257 + a: 199, size + b: 1, size + (1 + b) * 257 + a: 1, size + a: 1, size + (1 + a) * 257 + a: 4_999_999}
+
+
+def test_no_labelled_text_is_left_out(spark, docs_of):
+    import zlib
+
+    from graniteseek.llm.queries import fitted_language_model
+
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 != 1][:20]
+    texts = ["the of and to in is " * 5] * 19 + ["ein langer text mit vielen worten " * 2000]
+    assert fitted_language_model(docs_of(texts, ids=ids, langs=["en"] * 19 + ["de"])).languages == ["de", "en"]
