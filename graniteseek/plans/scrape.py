@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh
@@ -24,10 +24,17 @@ def read_items(items: DataFrame, pages: DataFrame, blocked: DataFrame | None = N
     Items without a page fail with fetch_failed, unsafe or blocked ones before that, empty ones with empty_content.
     Pages may have final_url, where a redirect ended, which must be as safe as the url; and fetch_error, why a page
     wasn't read: `timeout` gives fetch_timeout, any other fetch_failed.  Only pages that an item names are parsed.
+    Items that name their page_id read that page, others the page of their url, the first one if a url has several.
     """
     more = [c for c in ("final_url", "fetch_error") if c in pages.columns]
-    wanted = pages.join(items.select("url").distinct(), "url", "left_semi").select("url", *more, page_struct(F.col("html")).alias("p"))
-    rows = fetch_code(items.select("item_id", "url", "query"), "code", "url", blocked, dns).join(wanted, "url", "left")
+    key = "page_id" if "page_id" in items.columns and "page_id" in pages.columns else "url"
+    wanted = pages.join(items.select(key).distinct(), key, "left_semi")
+    if key == "url":
+        place, = fresh(wanted, "place")
+        first = Window.partitionBy("url").orderBy(*(c for c in ("page_id", *more, "html") if c in pages.columns))
+        wanted = wanted.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    wanted = wanted.select(key, *more, page_struct(F.col("html")).alias("p"))
+    rows = fetch_code(items.select("item_id", "url", "query", *({key} - {"url"})), "code", "url", blocked, dns).join(wanted, key, "left")
     for name in ("final_url", "fetch_error"):
         if name not in more:
             rows = rows.withColumn(name, F.lit(None).cast("string"))

@@ -10,6 +10,7 @@ from graniteseek.operators.budget import first_per_source, within_budget
 from graniteseek.operators.chunking import pruned
 from graniteseek.operators.ranking import bm25_column, bm25_scores, bm25_top, global_rank, hybrid_rank, rank_by
 from graniteseek.operators.urls import blocked_list, drop_blocked, fetch_code, is_private_literal, safety_code
+from graniteseek.plans.catalogue import ORACLE_SQL, QUERIES
 from graniteseek.plans.options import Options, checked_batch
 from graniteseek.plans.render import prompt
 from graniteseek.plans.research import local_search, savings_total
@@ -57,6 +58,30 @@ def test_redirects_and_failed_fetches(spark):
     assert got == {0: None, 1: "blocked_url", 2: "blocked_url", 3: "fetch_timeout", 4: "fetch_failed", 5: "empty_content", 9: "fetch_failed"}
 
 
+def test_pages_of_one_url_are_items_apart(spark):
+    url, more = "https://a.com/", "<article><p>other words</p></article>"
+    pages = spark.createDataFrame([(1, url, PAGE), (2, url, more), (3, "https://b.com/", PAGE)], "page_id int, url string, html string")
+    items = pages.select((F.col("page_id") + 10).alias("item_id"), "page_id", "url", F.lit(None).cast("string").alias("query"))
+    got = sorted((r.item_id, "other" in r.markdown) for r in read_items(items, pages).collect())
+    assert got == [(11, False), (12, True), (13, False)]
+    # by urls alone: one row an item, of the first page
+    got = sorted((r.item_id, "other" in r.markdown) for r in read_items(items.drop("page_id"), pages.orderBy(F.desc("page_id"))).collect())
+    assert got == [(11, False), (12, False), (13, False)]
+
+
+@pytest.mark.parametrize("name", ["link_rank"])
+def test_reads_match_their_sql_where_a_url_stands_twice(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").limit(12)
+    twice = F.when(F.col("page_id") % 3 == 1, F.first("url").over(Window.orderBy("page_id"))).otherwise(F.col("url"))
+    rows.withColumn("url", twice).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_a_focused_read_uses_the_blocks_that_matter(spark):
     body = "".join(f"<p>block {k} about nothing in particular at all</p>" for k in range(30))
     pages = spark.createDataFrame([(0, "https://a.com/", f"<title>t</title><article>{body}<p>zebra crossing zebra</p></article>")], "page_id int, url string, html string")
