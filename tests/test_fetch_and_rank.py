@@ -69,7 +69,7 @@ def test_pages_of_one_url_are_items_apart(spark):
     assert got == [(11, False), (12, False), (13, False)]
 
 
-@pytest.mark.parametrize("name", ["link_rank", "page_order_extract"])
+@pytest.mark.parametrize("name", ["link_rank", "page_order_extract", "scrape_chunks"])
 def test_reads_match_their_sql_where_a_url_stands_twice(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").limit(12)
