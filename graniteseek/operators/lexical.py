@@ -15,8 +15,8 @@ texts.  It is found without an ordered group:
    of rounds is the longest chain of decisions that depend on each other.
 
 Scale: joins and aggregations by key.  What moves are prefix words (a fifth of the words at a threshold of 0.8), once a
-round and only of undecided classes, sketches of 64 bytes of the candidate pairs, and the words of the pairs whose
-sketches leave them in reach; the texts never.  The hash of a word holds its pool, so pools share none.  Tables between
+round and only of undecided classes, in the last step with sketches, so that a pair is judged where two texts meet under
+a word, and the words of the pairs whose sketches leave them in reach; the texts never.  The hash of a word holds its pool, so pools share none.  Tables between
 rounds are written to the shared folder and deleted when they have been read.
 
 Cases: texts without words are compared letter by letter, with each other, without white space at the ends; null is
@@ -26,6 +26,7 @@ hash of the words, then in the order the rows are read.  An empty table gives an
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -44,8 +45,11 @@ BLOCK = 1_000
 #: Share of the undecided that a round of leaders has to decide to be followed by another one.
 WORTH = 0.1
 ROUNDS = 6
-#: Bits of a sketch: whether a set's words with that hash are odd in number.
+#: Least bits of a sketch: whether a set's words with that hash are odd in number.  Sets of more words have more bits, as
+#: otherwise the sketches of any two large sets would be near.
 SKETCH = 512
+#: Bits of the folded sketch that goes with each prefix word; whole sketches go with those of sets that it can't tell apart.
+FOLDED = 256
 #: Pairs whose classes are broadcast to the texts, so that only their words move.
 BROADCAST = 200_000
 
@@ -61,6 +65,27 @@ def _least_overlap(size, threshold: float):
     return F.ceil(F.lit(threshold) * size - 1e-9)
 
 
+def _bits(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of sets: the power of two from 0.75 bits a word on."""
+    return np.maximum(SKETCH, 2 ** np.ceil(np.log2(np.maximum(1, 0.75 * sizes))).astype(np.int64))
+
+
+def _folded(sketch: Column, longs: Column) -> Column:
+    """The sketch with fewer bits, as if it had been made with them."""
+    one = lambda k: F.aggregate(F.sequence(k, F.size(sketch) - 1, longs), F.lit(0).cast("long"), lambda z, i: z.bitwiseXOR(F.get(sketch, i)))
+    return F.when(F.size(sketch) == longs, sketch).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), one))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Bits that differ between two sketches, no more than words that only one set has."""
+    longs = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(_folded(x, longs), _folded(y, longs), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
+def _in_reach(apart: Column, sizes: Column, threshold: float) -> Column:
+    return apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * sizes + 1e-9
+
+
 def _ordered(sets: DataFrame, threshold: float, common: int) -> DataFrame:
     """row, size, prefix (the first words in the global order) and sketch of every set (row, words)."""
     counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -81,13 +106,15 @@ def _ordered(sets: DataFrame, threshold: float, common: int) -> DataFrame:
         at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
         place = np.where(known[at] == words, places[at], 0) if len(known) else np.zeros(len(words), np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        bits = np.bincount(row * SKETCH + (words & (SKETCH - 1)), minlength=len(sizes) * SKETCH) & 1
+        width = _bits(sizes)
+        starts = np.concatenate(([0], np.cumsum(width)))
+        bits = np.bincount(starts[row] + (words & (width[row] - 1)), minlength=starts[-1]) & 1
         sketches = np.packbits(bits.astype(np.uint8)).view(np.int64)
         words = words[np.lexsort((words, place, row))]
         n_prefix = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)
         first = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(n_prefix, sizes)
         ends = np.concatenate(([0], np.cumsum(n_prefix))).astype(np.int32)
-        grid = np.arange(0, len(sketches) + 1, SKETCH // 64, dtype=np.int32)
+        grid = (starts // 64).astype(np.int32)
         columns = [batch.column("row"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(words[first])), pa.ListArray.from_arrays(pa.array(grid), pa.array(sketches))]
         return pa.RecordBatch.from_arrays(columns, names=["row", "size", "prefix", "sketch"])
 
@@ -113,9 +140,8 @@ def _similar(pairs: DataFrame, left: DataFrame, sets: DataFrame, threshold: floa
     for the rest alone.
     """
     seen = lambda side: left.select(F.col("cls").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     both = pairs.join(seen("a"), "a").join(seen("b"), "b")
-    near = staged(both.filter(apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b"), "near-pairs")
+    near = staged(both.filter(_in_reach(_apart(F.col("s_a"), F.col("s_b")), F.col("n_a") + F.col("n_b"), threshold)).select("a", "b"), "near-pairs")
     asked = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     some = sets.classes.join(asked, "cls", "left_semi").select("row", "cls")
     some = F.broadcast(some) if near.count() <= BROADCAST else some
@@ -143,15 +169,44 @@ def _leaders(left: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFr
     return leaders, gone
 
 
+def _near_sketches(x: str, y: str, threshold: float) -> Column:
+    """Whether the sketches of two prefix rows leave their sets in reach: the folded ones, then the whole ones, if any."""
+    sizes = F.col(f"{x}.size") + F.col(f"{y}.size")
+    folded = reduce(Column.__add__, (F.bit_count(F.col(f"{x}.bits_{k}").bitwiseXOR(F.col(f"{y}.bits_{k}"))) for k in range(FOLDED // 64)))
+    whole = F.when(F.col(f"{x}.sketch").isNull() | F.col(f"{y}.sketch").isNull(), True).otherwise(_in_reach(_apart(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")), sizes, threshold))
+    return _in_reach(folded, sizes, threshold) & whole
+
+
+def _candidates(left: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a, b: the distinct pairs of classes under a prefix word that lengths, places and sketches leave, a before b.
+
+    Sketches stand beside the words, so that a pair is judged where it is made: pairs grow with the square of a word's
+    texts, and those that go are never written.
+    """
+    sketch, longs = F.col("sketch"), FOLDED // 64
+    folded = left.select("cls", "size", "prefix", _folded(sketch, F.lit(longs)).alias("bits"), F.when(F.col("size") * 0.75 > FOLDED, sketch).alias("sketch"))
+    prefixes = folded.select("cls", "size", "sketch", *(F.col("bits")[k].alias(f"bits_{k}") for k in range(longs)), F.posexplode("prefix").alias("at", "word"))
+    frequent = staged(_prefixes(left).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("word", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "frequent-words")
+    fits = (F.col("x.cls") < F.col("y.cls")) & _may_reach("x", "y", threshold) & _near_sketches("x", "y", threshold)
+    few = prefixes.join(frequent, "word", "left_anti")
+    pairs = few.alias("x").join(few.alias("y"), "word").filter(fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    if not frequent.isEmpty():
+        dealt = prefixes.join(frequent, "word").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        # a text meets those of every block: as the left one in its own, as the right one in all
+        right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        many = dealt.withColumn("other", F.col("own")).alias("x").join(right.alias("y"), ["word", "other"]).filter(fits)
+        pairs = pairs.unionAll(many.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
+    out = staged(pairs.distinct(), "candidates")
+    unstaged(frequent)
+    return out
+
+
 def _links(left: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """a, b: all similar pairs of classes, a before b."""
-    prefixes = _prefixes(left)
-    blocks = prefixes.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = prefixes.join(blocks, "word").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # a text meets those of every block: as the left one in its own, as the right one in all
-    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.withColumn("other", F.col("own")).alias("x").join(right.alias("y"), ["word", "other"]).filter((F.col("x.cls") < F.col("y.cls")) & _may_reach("x", "y", threshold))
-    return _similar(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), left, sets, threshold)
+    pairs = _candidates(left, threshold, block)
+    out = _similar(pairs, left, sets, threshold)
+    unstaged(pairs)
+    return out
 
 
 def first_independent(links: DataFrame) -> DataFrame:

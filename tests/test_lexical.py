@@ -80,6 +80,30 @@ def test_sketches_leave_few_pairs_and_lose_none(spark):
     assert sum(apart(x, y) * 1.8 <= 0.2 * 120 for x in range(80) for y in range(x)) == 40
 
 
+def test_pairs_of_large_sets_go_where_they_are_made(spark):
+    from graniteseek.operators.lexical import _candidates, _ordered, _prefixes
+
+    rng = random.Random(9)
+    base = [rng.sample(range(20_000), n) for n in (50, 400, 1100, 2000) for _ in range(8)]
+    sets = base + [b[: len(b) - len(b) // 20] + rng.sample(range(10**6, 2 * 10**6), len(b) // 20) for b in base]
+    left = _ordered(spark.createDataFrame(list(enumerate(sets)), "row long, words array<long>"), 0.8, 100).withColumnRenamed("row", "cls").cache()
+    x, y = (_prefixes(left).select("word", F.col("cls").alias(side)) for side in "ab")
+    assert x.join(y, "word").filter("a < b").select("a", "b").distinct().count() > 200
+    near = {(k, k + 32) for k in range(32)}
+    for block in (1000, 2):  # words of more texts are dealt into blocks
+        assert {(r.a, r.b) for r in _candidates(left, 0.8, block).collect()} == near
+
+
+def test_sketches_of_unlike_lengths_lose_no_pair(spark):
+    rng = random.Random(10)
+    sets = [rng.sample(range(10**6), n) for n in (100, 600, 690, 1360, 1500, 3000)]
+    sets += [s[: len(s) // 2 + 1] for s in sets]
+    texts = [" ".join(f"w{w}" for w in s) for s in sets]
+    frame = spark.createDataFrame([(k, "p", t) for k, t in enumerate(texts)], ROWS)
+    for threshold in (0.2, 0.5, 0.8):
+        assert kept(mark_lexical(frame, "id", threshold)) == set(lexical_survivors(texts, threshold))
+
+
 def test_first_independent_set_by_rounds(spark):
     rng = random.Random(7)
     links = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)} | {(k, k + 1) for k in range(80, 110)})
